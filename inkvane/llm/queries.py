@@ -25,6 +25,12 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op2_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import benchmark_leaks
+
+    return benchmark_leaks(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .chat import chat_digest
 
@@ -34,14 +40,32 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_digest(spark, rows.unionByName(extra))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import toxicity
+
+    return toxicity(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .tokenfile import token_file
 
     return token_file(table(spark, sf_dir, "documents"), vocabulary(), end_id=2)
 
 
+def op6_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .hyperminhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op8_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffixes import repeated_passages
+
+    return repeated_passages(table(spark, sf_dir, "documents")).drop("text_key")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op3_chat_format, op5_token_file)}
+    return {f.__name__: f for f in (op1_token_counts, op2_benchmark_leaks, op3_chat_format, op4_toxicity, op5_token_file, op6_hyperminhash, op8_repeated_passages)}
 
 
 def oracle_sql() -> dict[str, str]:
