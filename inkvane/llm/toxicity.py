@@ -19,6 +19,8 @@ from .common import Workspace, fresh, rows_of
 #: Labelled rows that the fit may use, for each class; the features it may keep.
 SAMPLE_ROWS, MAX_FEATURES = 4000, 4096
 GRADES = 4
+#: P(grade > 0) from which a document is called toxic.
+DECIDE = 0.3
 _STRIP = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "¡¿«»“”‘’„…–—"
 
 
@@ -42,7 +44,7 @@ class OrdinalModel:
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def fit_ordinal(x: np.ndarray, y: np.ndarray, grades: int = GRADES, ridge: float = 1e-3, steps: int = 600, rate: float = 0.05) -> tuple[np.ndarray, np.ndarray]:
+def fit_ordinal(x: np.ndarray, y: np.ndarray, grades: int = GRADES, ridge: float = 3e-4, steps: int = 600, rate: float = 0.05) -> tuple[np.ndarray, np.ndarray]:
     """Maximum likelihood by Adam over shared weights and thresholds kept in order by positive gaps."""
     n, d = x.shape
     p = np.zeros(d + grades - 1)
@@ -146,7 +148,7 @@ def score(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_col
         for b in batches:
             scores = np.array([text_score(t, weights, known) for t in b.column(1).to_pylist()])
             above = model.above(scores) if weights else np.zeros((b.num_rows, GRADES - 1))
-            yield pa.record_batch([b.column(0), pa.array(above.sum(1)), pa.array((above >= 0.5).sum(1).astype(np.int32)), pa.array(above[:, 0]), pa.array(above[:, 0] >= 0.5)], names=[id_col, "expected_severity", "grade", "p_toxic", "toxic"])
+            yield pa.record_batch([b.column(0), pa.array(above.sum(1)), pa.array((above >= 0.5).sum(1).astype(np.int32)), pa.array(above[:, 0]), pa.array(above[:, 0] >= DECIDE)], names=[id_col, "expected_severity", "grade", "p_toxic", "toxic"])
 
     Workspace(docs.sparkSession, "toxicity")
     kind = docs.schema[id_col].dataType.simpleString()
@@ -166,7 +168,7 @@ def keep_clean(docs: DataFrame, model: OrdinalModel, text_col: str = "text") ->
         weights = model.weights
         for b in batches:
             scores = np.array([text_score(t, weights, known) for t in b.column(b.schema.get_field_index(text_col)).to_pylist()])
-            yield b.filter(pa.array(model.above(scores)[:, 0] < 0.5))
+            yield b.filter(pa.array(model.above(scores)[:, 0] < DECIDE))
 
     return docs.mapInArrow(run, docs.schema)
 
