@@ -64,8 +64,14 @@ def op8_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages(table(spark, sf_dir, "documents")).drop("text_key")
 
 
+def op9_flat_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .flatgraph import near_vectors
+
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_benchmark_leaks, op3_chat_format, op4_toxicity, op5_token_file, op6_hyperminhash, op8_repeated_passages)}
+    return {f.__name__: f for f in (op1_token_counts, op2_benchmark_leaks, op3_chat_format, op4_toxicity, op5_token_file, op6_hyperminhash, op8_repeated_passages, op9_flat_graph)}
 
 
 def oracle_sql() -> dict[str, str]:
