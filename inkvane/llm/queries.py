@@ -58,6 +58,12 @@ def op6_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import language_id
+
+    return language_id(spark, table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
+
+
 def op8_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .suffixes import repeated_passages
 
@@ -70,8 +76,20 @@ def op9_flat_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op10_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pieces import sentence_pieces
+
+    return sentence_pieces(spark, table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_benchmark_leaks, op3_chat_format, op4_toxicity, op5_token_file, op6_hyperminhash, op8_repeated_passages, op9_flat_graph)}
+    return {f.__name__: f for f in (op1_token_counts, op2_benchmark_leaks, op3_chat_format, op4_toxicity, op5_token_file, op6_hyperminhash, op7_language_id, op8_repeated_passages, op9_flat_graph, op10_sentence_pieces, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
