@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import heapq
 import json
+import re
 import unicodedata
 
 import numpy as np
@@ -35,7 +36,17 @@ ODD_SPACE = regex.compile(r"[\x1c-\x1f]")
 CAPITALS = {0x1C89: 0x1C8A, 0xA7CB: 0x0264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x019B}
 CAPITALS |= {c: c + 0x20 for c in range(0x10D50, 0x10D66)} | {c: c + 0x1B for c in range(0x16EA0, 0x16EB9)}
 NEW_CAPITAL = regex.compile("[" + "".join(map(chr, CAPITALS)) + "]")
-REMEMBERED = 300_000
+REMEMBERED = 600_000
+
+
+ASCII_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
+
+
+def words_in(chunk: str) -> list[str]:
+    """The words of a chunk without white space, in lower case."""
+    if chunk.isalpha():
+        return [chunk]
+    return ASCII_WORDS.findall(chunk) if chunk.isascii() and chunk.isprintable() else WORDS.findall(chunk)
 
 
 def byte_alphabet() -> list[str]:
@@ -142,7 +153,7 @@ class TokenCounter:
 
     def chunk(self, chunk: str) -> int:
         total = 0
-        for w in WORDS.findall(chunk):
+        for w in words_in(chunk):
             n = self.words.get(w)
             if n is None:
                 if len(self.words) >= REMEMBERED:
@@ -206,24 +217,24 @@ class TokenEncoder:
 
     def encode_batch(self, texts: list[str | None]) -> list[bytes]:
         """For each text its identifiers, little-endian, in ``self.kind``."""
-        split, fresh = [], {}
-        if len(self.of_chunk) >= REMEMBERED:
-            self.of_chunk.clear()
+        split, fresh, known = [], set(), self.of_chunk
+        if len(known) >= REMEMBERED:
+            known.clear()
         for t in texts:
             parts = [self.v.specials[s] if k % 2 else self.v.chunks(self.v.normalized(s)) for k, s in enumerate(self.v.segments(t or ""))]
             split.append(parts)
             for p in parts:
                 if not isinstance(p, int):
-                    fresh.update((c, None) for c in p if c not in self.of_chunk)
-        found = {c: WORDS.findall(c) for c in fresh}
-        need = {w: None for ws in found.values() for w in ws}
+                    fresh.update(set(p).difference(known))
+        found = {c: words_in(c) for c in fresh}
+        need = {w for ws in found.values() for w in ws}
         if len(self.words) + len(need) > REMEMBERED:
             self.words.clear()
         self.learn([w for w in need if w not in self.words])
         for c, ws in found.items():
-            self.of_chunk[c] = b"".join([self.words[w] for w in ws])
-        get = self.of_chunk.__getitem__
+            known[c] = self.words[ws[0]] if len(ws) == 1 else b"".join([self.words[w] for w in ws])
+        get = known.__getitem__
         out = []
         for parts in split:
-            out.append(b"".join(np.array([p], self.kind).tobytes() if isinstance(p, int) else b"".join(map(get, p)) for p in parts))
+            out.append(b"".join([np.array([p], self.kind).tobytes() if isinstance(p, int) else b"".join(map(get, p)) for p in parts]))
         return out
