@@ -16,6 +16,8 @@ import unicodedata
 import numpy as np
 import regex
 
+from .common import spans_of_words
+
 # Fixed values of the vocabulary file: its white space class (Unicode White_Space) and its word pattern.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 # Letters and numbers of Unicode 17, which the library's tables do not hold yet.
@@ -36,6 +38,7 @@ ODD_SPACE = regex.compile(r"[\x1c-\x1f]")
 CAPITALS = {0x1C89: 0x1C8A, 0xA7CB: 0x0264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x019B}
 CAPITALS |= {c: c + 0x20 for c in range(0x10D50, 0x10D66)} | {c: c + 0x1B for c in range(0x16EA0, 0x16EB9)}
 NEW_CAPITAL = regex.compile("[" + "".join(map(chr, CAPITALS)) + "]")
+WIDE_SPACE = regex.compile(r"[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 REMEMBERED = 600_000
 
 
@@ -182,8 +185,10 @@ class TokenCounter:
 class TokenEncoder:
     """Identifiers of whole texts by the tokenizers library, word by remembered word.
 
-    The library's own model merges each distinct word once; words new in a batch
-    go to it together, in one space-joined string.
+    A batch's texts are laid out in one buffer; word boundaries, word hashes and
+    the distinct words among them are found with array operations, so Python
+    touches each distinct word of a batch once. Words not met before go to the
+    library's own model together, in space-joined strings.
     """
 
     def __init__(self, path: str):
@@ -195,46 +200,80 @@ class TokenEncoder:
         self.ends = np.zeros(self.v.size, bool)
         for s, k in self.v.vocab.items():
             self.ends[k] = s.endswith(self.v.end)
-        self.words: dict[str, bytes] = {}
-        self.of_chunk: dict[str, bytes] = {}
         self.kind = np.dtype("<u2") if self.v.size <= 1 << 16 else np.dtype("<u4")
+        self.forget()
+
+    def forget(self) -> None:
+        """Places of the words and chunks in one pool of identifiers: chunk -> (start, length) as start * 2**24 + length."""
+        self.words: dict[str, int] = {}
+        self.chunks: dict[bytes, int] = {}
+        self.pool = np.empty(1 << 20, self.kind)
+        self.used = 0
+
+    def store(self, ids: np.ndarray) -> int:
+        """Append to the pool; where it began."""
+        need = self.used + len(ids)
+        if need > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.empty(max(len(self.pool), need - len(self.pool)), self.kind)])
+        at = self.used
+        self.pool[at:need] = ids
+        self.used = need
+        return at
 
     def learn(self, words: list[str]) -> None:
-        if not words:
-            return
-        if len(self.words) + len(words) > REMEMBERED:
-            self.words.clear()
-        plain = [w if w.isascii() and w.isprintable() else "".join(self.v.bytes[b] for b in w.encode()) for w in words]
-        for at in range(0, len(plain), 1000):
-            ids = np.array(self.lib.encode_batch_fast([" ".join(plain[at : at + 1000])], add_special_tokens=False)[0].ids, self.kind)
+        plain = [w if w.isascii() and w.isprintable() else "".join([self.v.bytes[b] for b in w.encode()]) for w in words]
+        for a in range(0, len(plain), 1000):
+            part = plain[a : a + 1000]
+            ids = np.array(self.lib.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, self.kind)
             stops = np.flatnonzero(self.ends[ids]) + 1
-            raw, step, start = ids.tobytes(), self.kind.itemsize, 0
-            if len(stops) != len(plain[at : at + 1000]):
+            if len(stops) != len(part):
                 raise ValueError("a word without an end symbol")
-            for w, stop in zip(words[at : at + 1000], (stops * step).tolist(), strict=True):
-                self.words[w] = raw[start:stop]
-                start = stop
+            at = self.store(ids)
+            sizes = np.diff(stops, prepend=0)
+            self.words.update(zip(words[a : a + 1000], ((stops - sizes + at) * (1 << 24) + sizes).tolist(), strict=True))
+
+    def learn_chunks(self, chunks: list[bytes]) -> None:
+        found = [words_in(c.decode()) for c in chunks]
+        self.learn(list({w for ws in found for w in ws if w not in self.words}))
+        for c, ws in zip(chunks, found, strict=True):
+            if len(ws) == 1:
+                self.chunks[c] = self.words[ws[0]]
+            else:
+                ids = np.concatenate([self.pool[(p := self.words[w]) >> 24 : (p >> 24) + (p & 0xFFFFFF)] for w in ws]) if ws else self.pool[:0]
+                self.chunks[c] = (self.store(ids) << 24) + len(ids)
 
     def encode_batch(self, texts: list[str | None]) -> list[bytes]:
         """For each text its identifiers, little-endian, in ``self.kind``."""
-        split, fresh, known = [], set(), self.of_chunk
-        if len(known) >= REMEMBERED:
-            known.clear()
+        pieces: list[str] = []
+        plan: list[list[int]] = []  # of each text: places of its pieces, or -1 - identifier for special strings
         for t in texts:
-            parts = [self.v.specials[s] if k % 2 else self.v.chunks(self.v.normalized(s)) for k, s in enumerate(self.v.segments(t or ""))]
-            split.append(parts)
-            for p in parts:
-                if not isinstance(p, int):
-                    fresh.update(set(p).difference(known))
-        found = {c: words_in(c) for c in fresh}
-        need = {w for ws in found.values() for w in ws}
-        if len(self.words) + len(need) > REMEMBERED:
-            self.words.clear()
-        self.learn([w for w in need if w not in self.words])
-        for c, ws in found.items():
-            known[c] = self.words[ws[0]] if len(ws) == 1 else b"".join([self.words[w] for w in ws])
-        get = known.__getitem__
-        out = []
-        for parts in split:
-            out.append(b"".join([np.array([p], self.kind).tobytes() if isinstance(p, int) else b"".join(map(get, p)) for p in parts]))
-        return out
+            mine = []
+            for k, s in enumerate(self.v.segments(t or "")):
+                if k % 2:
+                    mine.append(-1 - self.v.specials[s])
+                elif s:
+                    mine.append(len(pieces))
+                    s = self.v.normalized(s)
+                    pieces.append(s if s.isascii() else WIDE_SPACE.sub(" ", s))
+            plan.append(mine)
+        coded = self.encode_pieces([p.encode() for p in pieces])
+        return [b"".join([coded[k] if k >= 0 else np.array([-1 - k], self.kind).tobytes() for k in mine]) for mine in plan]
+
+    def encode_pieces(self, raws: list[bytes]) -> list[bytes]:
+        if not raws:
+            return []
+        data = b" ".join(raws) + b" "
+        starts, stops, hashes = spans_of_words(np.frombuffer(data, np.uint8), part_marks=True)
+        _, first, which = np.unique(hashes, return_index=True, return_inverse=True)
+        distinct = [data[a:b] for a, b in zip(starts[first].tolist(), stops[first].tolist(), strict=True)]
+        if len(self.chunks) + len(distinct) > REMEMBERED or self.used > REMEMBERED * 16:
+            self.forget()
+        self.learn_chunks([c for c in distinct if c not in self.chunks])
+        place = np.fromiter(map(self.chunks.__getitem__, distinct), np.int64, len(distinct))
+        size = (place & 0xFFFFFF)[which]
+        begin = (place >> 24)[which]
+        total = np.concatenate([[0], np.cumsum(size)])
+        ids = self.pool[np.repeat(begin - total[:-1], size) + np.arange(total[-1])] if total[-1] else self.pool[:0]
+        edges = np.cumsum([len(r) + 1 for r in raws])
+        cut = [0, *total[np.searchsorted(starts, edges)].tolist()]
+        return [ids[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]

@@ -81,6 +81,48 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+_BASE = 0x9E3779B97F4A7C15
+_POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+_SPACES = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of the base of the running sums, and of its inverse."""
+    if len(_POWERS[0]) < n:
+        size = max(n, 2 * len(_POWERS[0]), 4096)
+        for k, b in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
+            steps = np.full(size, b, np.uint64)
+            steps[0] = 1
+            _POWERS[k] = np.multiply.accumulate(steps)
+    return _POWERS[0][:n], _POWERS[1][:n]
+
+
+_MARKS = np.isin(np.arange(256), list(b".,!?;:*|$%#&)\"]"))
+_ALNUM = np.array([b < 128 and chr(b).isalnum() for b in range(256)])
+
+
+def spans_of_words(data: np.ndarray, part_marks: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, stops, hashes) of the words in a byte array that ends in white space.
+
+    part_marks: a run of punctuation at a word's end is a word of its own where
+    an ASCII letter or digit precedes it.
+    """
+    space = _SPACES[data]
+    edge = np.flatnonzero(space[1:] != space[:-1]) + 1
+    if len(data) and not space[0]:
+        edge = np.concatenate([[0], edge])
+    starts, stops = edge[0::2], edge[1::2]
+    if part_marks and len(stops):
+        mark = _MARKS[data]
+        last = np.maximum.accumulate(np.where(mark, -1, np.arange(len(data))))[stops - 1]
+        cut = (last + 1 < stops) & (last >= starts) & _ALNUM[data[np.maximum(last, 0)]]
+        inner = last[cut] + 1
+        starts, stops = np.sort(np.concatenate([starts, inner])), np.sort(np.concatenate([stops, inner]))
+    up, down = powers(len(data) + 1)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:-1], dtype=np.uint64)])
+    return starts, stops, mixed((sums[stops] - sums[starts]) * down[starts] + (stops - starts).astype(np.uint64))
+
+
 def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:
     """Hashes of all runs of n words, in order; empty where there are fewer words."""
     if len(words) < n:
