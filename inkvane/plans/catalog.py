@@ -3,17 +3,37 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import texts
+from .dialect import Duck, Spark
+
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+RELATIONAL = dict(texts.QUERIES)
+
+
+def views(spark: SparkSession, sf_dir: str, text: str) -> None:
+    """Register the tables that a query names; a single-file table is spread over the cores by the plan itself."""
+    for t in TABLES:
+        if t in text:
+            spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
+
+
+def relational(build: Callable, spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = build(Spark())
+    views(spark, sf_dir, text)
+    return spark.sql(text)
+
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").limit(0)
+    return relational(texts.lexical_diversity, spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {k: partial(relational, f) for k, f in RELATIONAL.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: f(Duck()) for k, f in RELATIONAL.items()}
