@@ -7,11 +7,11 @@ from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import texts
+from . import statistics, texts
 from .dialect import Duck, Spark
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-RELATIONAL = dict(texts.QUERIES)
+RELATIONAL = texts.QUERIES | statistics.QUERIES
 
 
 def views(spark: SparkSession, sf_dir: str, text: str) -> None:
