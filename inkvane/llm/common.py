@@ -169,13 +169,47 @@ def components(ws: Workspace, edges: DataFrame, a: str = "a", b: str = "b") -> D
     are joined back, so that the join of a vertex with very many edges can be
     split.
     """
-    e = ws.save(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct(), "edges")
-
-    def mark(t: DataFrame) -> tuple:
-        return tuple(t.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-
-    seen = mark(e)
-    while seen[0]:
+    import pyarrow as pa
+
+    kind = edges.schema[a].dataType.simpleString()
+
+    def forest(batches):
+        """A spanning forest of the edges that a task holds, as stars: fewer edges, same components."""
+        parent: dict[int, int] = {}
+
+        def find(x):
+            root = x
+            while (up := parent.setdefault(root, root)) != root:
+                root = up
+            while parent[x] != root:
+                parent[x], x = root, parent[x]
+            return root
+
+        def flush(schema):
+            rows = [(v, find(v)) for v in list(parent)]
+            rows = [(v, r) for v, r in rows if v != r]
+            parent.clear()
+            return pa.record_batch([pa.array([c[k] for c in rows], schema.field(0).type) for k in range(2)], names=["u", "v"])
+
+        schema = None
+        for batch in batches:
+            schema = batch.schema
+            for x, y in rows_of(batch):
+                x, y = find(x), find(y)
+                if x != y:
+                    parent[max(x, y)] = min(x, y)
+            if len(parent) > 500_000:
+                yield flush(schema)
+        if schema is not None:
+            yield flush(schema)
+
+    e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v")
+    e = ws.save(e.mapInArrow(forest, f"u {kind}, v {kind}"), "edges")
+    while True:
+        ends = e.select(F.col("u").alias("id"), F.lit(1).alias("left")).unionAll(e.select(F.col("v").alias("id"), F.lit(0).alias("left")))
+        wrong = ends.groupBy("id").agg(F.sum("left").alias("n"), F.min("left").alias("low")).filter("n > 1 or (n = 1 and low = 0)")
+        if not wrong.agg(F.count("*").alias("n")).first().n:
+            break
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = ws.save(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "large")
         big = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
@@ -183,12 +217,6 @@ def components(ws: Workspace, edges: DataFrame, a: str = "a", b: str = "b") -> D
         low2 = ws.save(big.groupBy("u").agg(F.min("v").alias("m")), "small")
         small = big.join(low2, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").unionByName(low2.select("u", F.col("m").alias("v"))).distinct()
         small = ws.save(small, "small-star")
-        now = mark(small)
         ws.drop(e, low, big, low2)
         e = small
-        if now == seen:
-            break
-        seen = now
-    return e.groupBy("u").agg(F.min("v").alias("c")).select(F.col("u").alias("id"), F.col("c").alias("component_id")).unionByName(
-        e.select(F.col("v").alias("id"), F.col("v").alias("component_id")).distinct()
-    )
+    return e.select(F.col("u").alias("id"), F.col("v").alias("component_id")).unionByName(e.select(F.col("v").alias("id"), F.col("v").alias("component_id")).distinct())

@@ -120,7 +120,7 @@ def _confirm(ws: Workspace, pairs: DataFrame, sketches: DataFrame, sets: DataFra
     two = lambda t, c, of: t.select(F.col("id").alias(of), *(F.col(x).alias(f"{x}_{of}") for x in c))
     t = pairs.join(two(sketches, ["n_shingles", "regs"], "a"), "a").join(two(sketches, ["n_shingles", "regs"], "b"), "b")
     kind = pairs.schema["a"].dataType.simpleString()
-    likely = ws.save(t.select("a", "b", "n_shingles_a", "regs_a", "n_shingles_b", "regs_b").mapInArrow(estimate, f"a {kind}, b {kind}"), "likely")
+    likely = t.select("a", "b", "n_shingles_a", "regs_a", "n_shingles_b", "regs_b").mapInArrow(estimate, f"a {kind}, b {kind}")
     t = likely.join(two(sets, ["hashes"], "a"), "a").join(two(sets, ["hashes"], "b"), "b")
     return ws.save(t.select("a", "b", "hashes_a", "hashes_b").mapInArrow(exact, f"a {kind}, b {kind}"), "links")
 
@@ -133,7 +133,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Equal sets are one class, represented by their smallest id. Within a band's
     bucket a leader is compared with the members that are not yet in its
-    component, then more leaders by turns (1, 2, 4, ...), until each bucket holds
+    component, then more leaders by turns (64, 4096, ...), until each bucket holds
     one component or has no uncompared pair left. So a bucket of copies costs its
     size, not its square, and no link between components is lost.
 
@@ -150,20 +150,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     first = ws.save(usable.groupBy("set_id").agg(F.min("id").alias("rep")), "sets")
     member = ws.save(usable.select("id", "set_id").join(first, "set_id").select("id", "rep"), "classes")
     reps = ws.save(usable.join(first.select(F.col("rep").alias("id"), "set_id"), ["id", "set_id"]).select("id", "n_shingles", "regs", "bands").dropDuplicates(["id", "regs"]), "reps")
-    edges = member.filter("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
+    # an id that repeats with other texts ties their classes together
+    same_id = member.groupBy("id").agg(F.min("rep").alias("b"), F.collect_set("rep").alias("reps")).filter("size(reps) > 1").select(F.explode("reps").alias("a"), "b").filter("a <> b")
+    stars = ws.save(same_id, "repeated-ids").select(F.col("a").alias("id"), F.col("b").alias("component_id"))
 
     keys = reps.select("id", F.explode("bands").alias("key"))
     shared = ws.save(keys.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi").select("key", "lo"), "shared")
     rows = ws.save(keys.join(shared, "key").select("key", "id", "lo").distinct(), "buckets")
     wanted = ws.save(rows.select("id").distinct(), "wanted")
     sets = ws.save(_sets(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(wanted, "id"), reps), "shingles")
-    stars = None
     pairs = rows.filter("id <> lo").select(F.col("lo").alias("a"), F.col("id").alias("b")).distinct()
     rows = rows.select("key", "id", (F.col("id") == F.col("lo")).alias("done"))
     turn = 0
     while True:
-        links = _confirm(ws, ws.save(pairs, "pairs"), reps, sets, percent)
-        known = links if stars is None else links.unionByName(stars.select(F.col("id").alias("a"), F.col("component_id").alias("b")))
+        links = _confirm(ws, pairs, reps, sets, percent)
+        known = links.unionByName(stars.select(F.col("id").alias("a"), F.col("component_id").alias("b")))
         stars = ws.save(components(ws, known), "components")
         open_rows = rows.join(stars, "id", "left").select("key", "id", "done", F.coalesce("component_id", "id").alias("c"))
         open_rows = ws.save(open_rows, "open")
@@ -173,12 +174,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             break
         turn += 1
         rest = ws.save(open_rows.join(mixed_keys, "key").filter("not done"), "rest")
-        turns = F.pmod(F.xxhash64("id", F.lit(turn)), F.lit(1 << min(turn, 40)))
+        turns = F.pmod(F.xxhash64("id", F.lit(turn)), F.lit(1 << min(6 * turn, 48)))
         leaders = ws.save(rest.groupBy("key", turns.alias("turn")).agg(F.min_by(F.struct("id", "c"), "id").alias("l")).select("key", F.col("l.id").alias("leader"), F.col("l.c").alias("leader_c")), "leaders")
         pairs = rest.join(leaders, "key").filter("c <> leader_c").select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
         rows = rest.join(leaders.select("key", F.col("leader").alias("id"), F.lit(True).alias("leads")), ["key", "id"], "left").select("key", "id", F.coalesce("leads", F.lit(False)).alias("done"))
-    whole = components(ws, edges.unionByName(stars.select(F.col("id").alias("a"), F.col("component_id").alias("b"))))
-    whole = ws.save(whole, "components")
+    # a class's representative is its smallest id, so a component's smallest representative is its smallest id
+    whole = member.groupBy("id").agg(F.min("rep").alias("rep")).join(stars.select(F.col("id").alias("rep"), "component_id"), "rep", "left")
+    whole = ws.save(whole.select("id", F.coalesce("component_id", "rep").alias("component_id")), "whole")
     return (
         all_rows.select("id", "n_shingles")
         .join(whole, "id", "left")
