@@ -133,7 +133,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Equal sets are one class, represented by their smallest id. Within a band's
     bucket a leader is compared with the members that are not yet in its
-    component, then more leaders by turns (64, 4096, ...), until each bucket holds
+    component, then more leaders by turns (4, 16, 64, ...), until each bucket holds
     one component or has no uncompared pair left. So a bucket of copies costs its
     size, not its square, and no link between components is lost.
 
@@ -174,7 +174,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             break
         turn += 1
         rest = ws.save(open_rows.join(mixed_keys, "key").filter("not done"), "rest")
-        turns = F.pmod(F.xxhash64("id", F.lit(turn)), F.lit(1 << min(6 * turn, 48)))
+        turns = F.pmod(F.xxhash64("id", F.lit(turn)), F.lit(1 << min(2 * turn, 48)))
         leaders = ws.save(rest.groupBy("key", turns.alias("turn")).agg(F.min_by(F.struct("id", "c"), "id").alias("l")).select("key", F.col("l.id").alias("leader"), F.col("l.c").alias("leader_c")), "leaders")
         pairs = rest.join(leaders, "key").filter("c <> leader_c").select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
         rows = rest.join(leaders.select("key", F.col("leader").alias("id"), F.lit(True).alias("leads")), ["key", "id"], "left").select("key", "id", F.coalesce("leads", F.lit(False)).alias("done"))
