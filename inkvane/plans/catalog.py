@@ -6,6 +6,7 @@ from collections.abc import Callable
 from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import statistics, texts
 from .dialect import Duck, Spark
@@ -32,8 +33,69 @@ def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {k: partial(relational, f) for k, f in RELATIONAL.items()}
+    return {k: partial(relational, f) for k, f in RELATIONAL.items()} | PROVIDED
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: f(Duck()) for k, f in RELATIONAL.items()}
+    return {k: f(Duck()) for k, f in RELATIONAL.items()} | PROVIDED_SQL
+
+
+def _stories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = Spark()
+    return relational(lambda _: f"WITH {texts.stories(d)} SELECT id, source, story FROM stories", spark, sf_dir)
+
+
+def mtld(spark, sf_dir):
+    from ..functions.annotate import mtld
+
+    return mtld(_stories(spark, sf_dir))
+
+
+def syntax_markers(spark, sf_dir):
+    from ..functions.annotate import syntax_markers
+
+    return syntax_markers(_stories(spark, sf_dir)).drop("pos")
+
+
+def pos_ratios(spark, sf_dir):
+    from ..functions.annotate import syntax_markers
+
+    return syntax_markers(_stories(spark, sf_dir)).selectExpr("id", "explode(pos) as (marker, value)")
+
+
+def semantic_markers(spark, sf_dir):
+    from ..functions.annotate import semantic_markers
+
+    return semantic_markers(_stories(spark, sf_dir))
+
+
+def pca_projection(spark, sf_dir):
+    from ..operators.projection import pca2
+
+    return pca2(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), "embedding", "label")
+
+
+def wilcoxon_p(spark, sf_dir):
+    from ..operators.paired import benjamini_hochberg, wilcoxon
+
+    pairs = relational(lambda d: f"WITH {statistics.long(d)} SELECT * FROM long", spark, sf_dir)
+    return benjamini_hochberg(wilcoxon(pairs, ["condition", "marker"]), "p", ["condition"])
+
+
+def rewrite_offline(spark, sf_dir):
+    from ..operators.rewriting import plan_jobs, rewrite_stories
+
+    return rewrite_stories(plan_jobs(_stories(spark, sf_dir), ["gpt54"], ["generic"]))
+
+
+def events_by_window(spark, sf_dir):
+    from ..streaming.live import windowed_events
+
+    return windowed_events(spark.read.parquet(f"{sf_dir}/events.parquet")).withColumn("total", F.round("total", 4))
+
+
+#: SQL of the provided queries that SQL can express.
+PROVIDED_SQL = {"events_by_window": "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2"}
+
+
+PROVIDED = {f.__name__: f for f in (mtld, syntax_markers, pos_ratios, semantic_markers, pca_projection, wilcoxon_p, rewrite_offline, events_by_window)}

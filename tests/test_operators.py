@@ -1,0 +1,135 @@
+"""Closed forms of the operators that SQL does not express, and of the paired statistics."""
+
+import math
+
+import pytest
+from pyspark.sql import functions as F
+
+from inkvane.functions.annotate import mtld, mtld_pass, semantic_markers, syntax_markers
+from inkvane.operators import markers, paired, rewriting
+from inkvane.plans.dialect import Spark, upper_tail
+from inkvane.sources import tables
+from inkvane.streaming import live
+
+
+def test_mtld_closed_forms():
+    assert mtld_pass(list("abcdefghij")) == 10
+    assert mtld_pass(list("aaaa")) == 2
+
+
+def stories(spark, *texts):
+    return spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "id long, story string")
+
+
+def test_blank_texts_keep_their_id(spark):
+    s = stories(spark, None, "", "  ", "...!")
+    assert {r.id: r.ld_mtld for r in mtld(s).collect()} == {0: None, 1: None, 2: None, 3: 0.0}
+    assert {r.id: r.pos for r in syntax_markers(s).collect()}[0] is None
+    assert {r.id: r.sd_spread for r in semantic_markers(s).collect()} == {0: None, 1: None, 2: None, 3: 0.0}
+    assert markers.compute_empathic_markers(s).count() == 4
+
+
+def test_substring_trap_and_contractions(spark):
+    s = stories(spark, "some person", "don’t it's")
+    got = {r.id: r for r in markers.marker_table(s, "moral_reflective").collect()}
+    assert got[0].causal_markers == pytest.approx(100.0)
+    voice = {r.id: r for r in markers.marker_table(s, "authenticity_voice").collect()}
+    assert voice[1].voice_contraction_density == pytest.approx(2 / 4)
+
+
+def test_short_text_has_no_char_ngrams(spark):
+    r = markers.marker_table(stories(spark, "abc"), "char_ngrams").first()
+    assert r.char_2gram_entropy == r.char_4gram_type_ratio == 0
+
+
+def test_repeated_token(spark):
+    s = stories(spark, "a a a a")
+    assert markers.marker_table(s, "vocab_richness").first().vocab_simpsons_d == 1
+    assert markers.marker_table(s, "mfw_profile").first().mfw_concentration == 0
+
+
+def test_merged_markers(spark):
+    r = markers.compute_all_markers(stories(spark, "I went home. We laughed and walked because it was late.", ""), True, True).orderBy("id").collect()
+    assert len(r) == 2 and r[0].ld_ttr is not None and r[1].ld_ttr is None
+    assert markers.compute_indexical_markers(stories(spark, "Maybe I think so.")).first().idx_hedge_density == 1
+
+
+def test_normal_tail(spark):
+    q = ", ".join(f"{upper_tail(f'CAST({x} AS DOUBLE)')} AS t{k}" for k, x in enumerate((0.0, 0.5, 1.96, 5.0, 9.0)))
+    for x, got in zip((0.0, 0.5, 1.96, 5.0, 9.0), spark.sql(f"SELECT {q}").first(), strict=True):
+        assert got == pytest.approx(math.erfc(x / math.sqrt(2)) / 2, rel=1e-7)
+
+
+def test_wilcoxon_closed_forms(spark):
+    rows = [("same", i, 1.0, 1.0) for i in range(12)] + [("up", i, 0.0, float(i + 1)) for i in range(10)]
+    got = {r.g: r for r in paired.wilcoxon(spark.createDataFrame(rows, "g string, id long, o double, w double"), ["g"]).collect()}
+    assert (got["same"].w, got["same"].p) == (0, 1)
+    assert got["up"].p == pytest.approx(2 / 2**10)
+    assert paired.exact_wilcoxon_p(3, 0) == 0.25
+
+
+def test_benjamini_hochberg(spark):
+    df = spark.createDataFrame([(p,) for p in (0.01, 0.02, 0.03, 0.04)], "p double")
+    assert [round(r.q, 12) for r in paired.benjamini_hochberg(df).collect()] == [0.04] * 4
+
+
+@pytest.mark.parametrize("kind,want", [("paired", 1.0), ("temperature", -1.0)])
+def test_cohens_d(spark, kind, want):
+    df = spark.createDataFrame([(2.0, 0.0), (4.0, 4.0), (5.0, 1.0)], "o double, w double")
+    assert df.agg(paired.cohens_d(kind).alias("d")).first().d == pytest.approx(want)
+    assert df.withColumn("w", F.col("o")).agg(paired.cohens_d(kind).alias("d")).first().d == 0
+
+
+def test_retries():
+    waits, calls = [], []
+
+    def call():
+        calls.append(1)
+        if len(calls) < 3:
+            raise RuntimeError("429 retry after 7" if len(calls) == 1 else "rate limit")
+        return "ok"
+
+    assert rewriting.call_with_retry(call, sleep=waits.append) == "ok"
+    assert waits == [12.0, 120.0]
+    with pytest.raises(rewriting.QuotaExhausted):
+        rewriting.call_with_retry(lambda: (_ for _ in ()).throw(rewriting.QuotaExhausted("no")))
+
+
+def test_plan_and_rewrite(spark):
+    s = stories(spark, "i don't know.", None)
+    done = spark.createDataFrame([(0, "m1", "c1", "")], "id long, model string, condition string, variant string")
+    jobs = rewriting.plan_jobs(s, ["m1", "m2"], ["c1"], done=done)
+    assert jobs.count() == 3
+    assert {r.text for r in rewriting.rewrite_stories(jobs).collect()} == {"I do not know.", None}
+
+
+def test_sources(spark, tmp_path):
+    s = stories(spark, "a b", "c").withColumnRenamed("story", "text")
+    assert tables.load_parquet(spark, tables.save_parquet(s, f"{tmp_path}/p")).count() == 2
+    assert tables.load_csv(spark, tables.save_csv(s, f"{tmp_path}/c"), "id long, text string").count() == 2
+    line = spark.read.text(tables.save_requests(s, f"{tmp_path}/j", "m", "Rewrite: {text}")).orderBy("value").first().value
+    assert '"custom_id":"0"' in line and "Rewrite: a b" in line
+    answer = ['{"custom_id":"4","response":{"body":{"choices":[{"message":{"content":" hi "}}]}}}', '{"custom_id":"5","error":"x"}']
+    spark.createDataFrame([(a,) for a in answer], "value string").write.text(f"{tmp_path}/r")
+    assert [tuple(r) for r in tables.parse_responses(spark, f"{tmp_path}/r").collect()] == [(4, "hi")]
+    for n in (1, 2, 2):
+        out = tables.append_missing(spark, s.filter(f"id < {n}"), f"{tmp_path}/sink", lambda df: df, ["id"])
+        assert out.count() == n
+    wide = tables.to_wide(spark.createDataFrame([(1, "m1", "x")], "id long, model string, text string"), ["m1", "m2"])
+    assert wide.columns == ["id", "rewrite_m1", "rewrite_m2"] and tables.to_long(wide).filter("text is not null").first().model == "m1"
+    assert tables.rewrite_column("gpt54", True) == "rewrite_gpt54_clean"
+
+
+def test_stream(spark, sf, tmp_path):
+    import shutil
+
+    shutil.copy(f"{sf}/documents.parquet", tmp_path / "documents.parquet")
+    q = live.stream_word_counts(spark, str(tmp_path)).writeStream.format("memory").queryName("words").start()
+    q.processAllAvailable()
+    q.stop()
+    assert spark.table("words").count() == spark.read.parquet(f"{sf}/documents.parquet").count()
+
+
+def test_dialect_literals(spark):
+    d = Spark()
+    assert spark.sql(f"SELECT {d.s(chr(92) + 'p{L}')} AS a, {d.s('it' + chr(39) + 's ' + chr(92))} AS b").first() == (r"\p{L}", "it's \\")
