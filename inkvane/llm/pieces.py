@@ -3,14 +3,18 @@
 The piece table is a relation (piece, id, score). A word's lattice is relational
 too: its substrings of bounded length, exploded and equi-joined to the pieces,
 grouped by word; Viterbi is a fold over its positions with Spark's higher-order
-``aggregate``. Corpora repeat their words, so the lattice is built for the most
-frequent words of the corpus (a bounded dictionary that every task may hold), and
-the words beyond are folded by the same recurrence in the workers that read them;
-both give the same identifiers.
+``aggregate``. The model is of the BPE kind, so the fold is a constrained one: an
+edge may only follow a piece beside which greedy merging would have left it. With
+that constraint one path is left for every prefix, and it is the library's.
+
+Corpora repeat their words, so the lattice is built for the most frequent words
+of the corpus (a bounded dictionary that every task may hold), and the words
+beyond are folded by the same recurrence in the workers that read them; both give
+the same identifiers.
 
 Words are split at spaces and carry the word-start marker; characters without a
-piece are written as their bytes, so decoding is exact for every text. The best
-path maximises the sum of the model's piece scores.
+piece are written as their bytes, and so is a marker that a text itself holds:
+decoding is exact for every text.
 """
 
 from __future__ import annotations
@@ -24,10 +28,8 @@ from pyspark.sql import functions as F
 from .common import Workspace, fresh
 
 SPACE_MARK = "▁"
-#: Score of a character without a piece: below any sum that pieces of a unit can reach.
-UNKNOWN = -1.0e9
-#: Words of the corpus that the dictionary may hold; characters of a unit (a longer run without a space is cut there).
-DICTIONARY, UNIT = 50_000, 1000
+#: Words of the corpus that the dictionary may hold, and characters that one of them may have.
+DICTIONARY, LONGEST_WORD = 50_000, 200
 
 
 class PieceModel:
@@ -52,25 +54,81 @@ class PieceModel:
                 if SPACE_MARK not in p.piece[1:]:
                     self.pieces[p.piece] = (k, float(p.score))
         self.longest = max(map(len, self.pieces), default=1)
+        #: Order of merging: single characters first, then by falling score; and each piece's last merge.
+        ordered = sorted(self.pieces.items(), key=lambda x: (len(x[0]) > 1, -x[1][1]))
+        self.order = {p: k for k, (p, _) in enumerate(ordered)}
+        self.name = [p for p, _ in ordered]
+        self.halves = [(k, k) for k in range(len(ordered))]
+        for k, p in enumerate(self.name):
+            if len(p) > 1:
+                last = self.merge(list(p))[1]
+                if last is None or "".join(last) != p:
+                    del self.pieces[p]  # merging never arrives at it
+                else:
+                    self.halves[k] = (self.order[last[0]], self.order[last[1]])
+        self.beside: dict[tuple[str, str], bool] = {}
+        self.spaces = {p.piece: k for k, p in enumerate(proto.pieces) if p.type == p.NORMAL and set(p.piece) == {SPACE_MARK}}
+        self.runs: dict[int, list[int]] = {}
+
+    def merge(self, symbols: list[str], known=None) -> tuple[list[str], tuple[str, str] | None]:
+        """Greedy merging of short lists: best piece first, leftmost of equals; and the last merge made."""
+        known, last = known or self.order, None
+        while True:
+            best = min(((known[x], i) for i in range(len(symbols) - 1) if (x := symbols[i] + symbols[i + 1]) in known), default=None)
+            if best is None:
+                return symbols, last
+            i = best[1]
+            last = (symbols[i], symbols[i + 1])
+            symbols = [*symbols[:i], symbols[i] + symbols[i + 1], *symbols[i + 2 :]]
+
+    def may_follow(self, left: str, right: str) -> bool:
+        """Whether merging leaves the two pieces side by side: no earlier merge crosses the border between them."""
+        got = self.beside.get((left, right))
+        if got is None:
+            if len(self.beside) >= 500_000:
+                self.beside.clear()
+            got = self.beside[left, right] = self._apart(left, right)
+        return got
+
+    def _apart(self, left: str, right: str) -> bool:
+        if left not in self.order or right not in self.order:
+            return True  # a character without a piece never merges
+        a, b = self.order[left], self.order[right]
+        limit = len(self.order) + 1
+        while True:
+            joined = self.order.get(self.name[a] + self.name[b])
+            if joined is not None and joined < limit:
+                return False
+            if a > b:
+                limit, a = a, self.halves[a][1]
+                if a == limit:
+                    limit, b = b + 1, self.halves[b][0]
+                    if b + 1 == limit:
+                        return True
+            else:
+                limit, b = b + 1, self.halves[b][0]
+                if b + 1 == limit:
+                    limit, a = a, self.halves[a][1]
+                    if a == limit:
+                        return True
 
     def best_path(self, unit: str, marked: bool = True) -> list[int]:
-        """Identifiers of a unit; ``marked``: its first character is the word-start marker. Equal sums prefer the later start."""
+        """Identifiers of a word; ``marked``: its first character is the word-start marker."""
         n = len(unit)
-        score, start, ident = [0.0] + [0.0] * n, [0] * (n + 1), [0] * (n + 1)
-        get = self.pieces.get
+        start, ident = [0] * (n + 1), [0] * (n + 1)
+        last: list[str] = [""] * (n + 1)
+        get, may = self.pieces.get, self.may_follow
         for end in range(1, n + 1):
-            best: tuple[float, int, int] | None = None
             for a in range(max(0, end - self.longest), end):
                 sub = unit[a:end]
                 hit = get(sub)
                 if hit is None or sub[0] == SPACE_MARK and not (marked and a == 0):
                     if end - a > 1:
                         continue
-                    hit = (-1, UNKNOWN)
-                cand = (score[a] + hit[1], a, hit[0])
-                if best is None or cand > best:
-                    best = cand
-            score[end], start[end], ident[end] = best
+                    start[end], ident[end], last[end] = a, -1, ""
+                elif a == 0 or last[a] == "" or may(last[a], sub):
+                    start[end], ident[end], last[end] = a, hit[0], sub
+                    break
         out: list[int] = []
         at = n
         while at:
@@ -79,6 +137,25 @@ class PieceModel:
             at = a
         return out[::-1]
 
+    def space_run(self, n: int) -> list[int]:
+        """Identifiers of n markers in a row that no word took."""
+        if n not in self.runs:
+            self.runs[n] = [self.spaces[p] for p in self.merge([SPACE_MARK] * n, dict.fromkeys(self.spaces, 0))[0]] if n <= 64 else self.space_run(64) * (n // 64) + (self.space_run(n % 64) if n % 64 else [])
+        return self.runs[n]
+
+    def join_spaces(self, ids: np.ndarray) -> np.ndarray:
+        """Markers left alone side by side become the longer pieces of the model, if it has any."""
+        lone = ids == self.spaces.get(SPACE_MARK, -1)
+        if not (lone[1:] & lone[:-1]).any():
+            return ids
+        edge = np.flatnonzero(np.diff(np.concatenate([[0], lone.astype(np.int8), [0]])))
+        out, at = [], 0
+        for a, b in zip(edge[0::2].tolist(), edge[1::2].tolist(), strict=True):
+            if b - a > 1:
+                out += [ids[at:a], np.array(self.space_run(b - a), "<i4")]
+                at = b
+        return np.concatenate([*out, ids[at:]])
+
     def decode(self, ids) -> str:
         raw = b"".join(map(self.text.__getitem__, ids))
         return raw[1:].decode("utf-8", "surrogatepass")
@@ -106,15 +183,25 @@ def lattice(ws: Workspace, word_table: DataFrame, model: PieceModel) -> DataFram
     at = w.select("word", "unit", "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("start"))
     at = at.select("*", F.explode(F.sequence(F.lit(1), F.least(F.lit(model.longest), F.col("n") - F.col("start")))).alias("len"))
     sub = F.substring("unit", F.col("start") + 1, F.col("len"))
-    edges = at.select("word", "n", "start", "len", sub.alias("sub"))
+    edges = at.select("word", "n", "start", (F.col("start") + F.col("len")).alias("end"), "len", sub.alias("sub"))
     allowed = (F.col("start") == 0) | ~F.col("sub").startswith(SPACE_MARK)
     # the piece table is as long as the vocabulary file
     edges = edges.withColumn("piece", F.when(allowed, F.col("sub"))).join(F.broadcast(pieces), "piece", "left").filter("id is not null or len = 1")
-    e = F.struct((F.col("start") + F.col("len")).alias("end"), "start", F.coalesce("id", F.lit(-1)).alias("id"), F.coalesce("score", F.lit(UNKNOWN)).alias("score"))
+    edges = ws.save(edges.select("word", "n", "start", "end", F.when(F.col("id").isNotNull(), F.col("piece")).alias("piece"), F.coalesce("id", F.lit(-1)).alias("id"), F.coalesce("score", F.lit(0.0)).alias("score")), "edges")
+
+    # which edges may follow which: the pairs that meet in some word, decided once each
+    left = edges.select("word", F.col("end").alias("start"), F.col("piece").alias("before"))
+    met = edges.join(left, ["word", "start"]).filter("piece is not null and before is not null")
+    pairs = ws.save(met.select("before", "piece").distinct().mapInArrow(_decide(model), "before string, piece string, fine boolean").filter("fine").drop("fine"), "pairs")
+    after = met.join(pairs, ["before", "piece"]).groupBy("word", "start", "end").agg(F.collect_set("before").alias("befores"))
+    edges = edges.join(after, ["word", "start", "end"], "left")
+    e = F.struct("end", "start", "id", "score", "piece", F.coalesce("befores", F.array().cast("array<string>")).alias("befores"))
     grouped = edges.groupBy("word").agg(F.first("n").alias("n"), F.collect_list(e).alias("edges"))
+    # Viterbi with the constraint: of the edges that may end here, a piece before a bare character, then the best score
     best = F.expr(
-        """aggregate(sequence(1, n), array(named_struct('score', 0.0D, 'start', 0, 'id', 0)), (acc, i) -> concat(acc, array(array_max(
-        transform(filter(edges, e -> e.end = i), e -> named_struct('score', acc[e.start].score + e.score, 'start', e.start, 'id', e.id))))))"""
+        """aggregate(sequence(1, n), array(named_struct('known', true, 'score', 0.0D, 'start', 0, 'id', 0, 'piece', cast(null as string))), (acc, i) -> concat(acc, array(array_max(
+        transform(filter(edges, e -> e.end = i and (e.piece is null or e.start = 0 or acc[e.start].piece is null or array_contains(e.befores, acc[e.start].piece))),
+        e -> named_struct('known', e.piece is not null, 'score', acc[e.start].score + e.score, 'start', e.start, 'id', e.id, 'piece', e.piece))))))"""
     )
     path = F.expr(
         """aggregate(sequence(n, 1, -1), named_struct('at', n, 'path', cast(array() as array<struct<start:int,id:int>>)), (s, i) -> if(s.at = i,
@@ -136,10 +223,21 @@ def lattice(ws: Workspace, word_table: DataFrame, model: PieceModel) -> DataFram
     return folded.select("word", flat.alias("ids"))
 
 
+def _decide(model: PieceModel):
+    import pyarrow as pa
+
+    def run(batches):
+        for b in batches:
+            fine = [model.may_follow(x, y) for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+            yield pa.record_batch([b.column(0), b.column(1), pa.array(fine, pa.bool_())], names=["before", "piece", "fine"])
+
+    return run
+
+
 def dictionary(docs: DataFrame, model: PieceModel, size: int = DICTIONARY, text_col: str = "text") -> dict[str, bytes]:
     """Best paths of the corpus' most frequent words, from the relational lattice."""
     ws = Workspace(docs.sparkSession, "pieces")
-    frequent = words(fresh(docs, text_col).filter(F.col(text_col).isNotNull()), text_col).filter(F.length("word") < UNIT).orderBy(F.desc("n"), "word").limit(size)
+    frequent = words(fresh(docs, text_col).filter(F.col(text_col).isNotNull()), text_col).filter(F.length("word") < LONGEST_WORD).orderBy(F.desc("n"), "word").limit(size)
     frequent = ws.save(frequent, "words")
     return {r.word: np.array(r.ids, "<i4").tobytes() for r in ws.save(lattice(ws, frequent, model), "paths").toLocalIterator()}
 
@@ -166,10 +264,7 @@ def encode_pieces(docs: DataFrame, model_path: str, id_col: str = "doc_id", text
         def fold(word: str) -> bytes:
             if len(rest) >= 300_000:
                 rest.clear()
-            unit, ids = SPACE_MARK + word, []
-            for a in range(0, len(unit), UNIT):
-                ids += model.best_path(unit[a : a + UNIT], a == 0)
-            got = np.array(ids, "<i4").tobytes()
+            got = np.array(model.best_path(SPACE_MARK + word), "<i4").tobytes()
             if len(word) <= 64:
                 rest[word] = got
             return got
@@ -187,7 +282,8 @@ def encode_pieces(docs: DataFrame, model_path: str, id_col: str = "doc_id", text
                             got = fold(w)
                     parts.append(got)
                 coded.append(b"".join(parts))
-            arrays = [np.frombuffer(c, "<i4") for c in coded]
+            arrays = [model.join_spaces(np.frombuffer(c, "<i4")) for c in coded]
+            coded = [a.tobytes() for a in arrays]
             sizes = np.array([len(a) for a in arrays], np.int64)
             values = np.concatenate(arrays) if arrays else np.empty(0, np.int32)
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(values, pa.int32()))
