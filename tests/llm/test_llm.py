@@ -318,6 +318,15 @@ def test_lattice_equals_plain_viterbi(spark):
         assert model.decode(r.ids) == r.word
 
 
+def test_pieces_equal_the_library():
+    import sentencepiece
+
+    model, library = pieces.load(PIECES), sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    for t in ["hello world", "a  b", "a   中 x", "   ", " " * 37 + "中", "internationalization of aaaaaaa", *(t.replace("▁", "") for t in random_texts(800, 9))]:
+        ids = [i for w in t.split(" ") for i in model.best_path(pieces.SPACE_MARK + w)] if t else []
+        assert model.join_spaces(np.array(ids, "<i4")).tolist() == library.encode(t)
+
+
 def test_pieces_round_trip(spark):
     rows = [*odd_rows(), *[(100 + k, t) for k, t in enumerate(random_texts(200, 7))]]
     df = documents(spark, rows)
