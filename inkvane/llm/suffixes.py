@@ -20,30 +20,17 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, fresh, gram_hashes, mixed, rows_of, word_hashes
+from .common import Workspace, fresh, gram_hashes, mixed, powers, rows_of, word_hashes
 
 SEED_WORDS = 10
-_BASE = 0x9E3779B97F4A7C15
-_BASE_INVERSE = pow(_BASE, -1, 1 << 64)
-_POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_POWERS[0]) < n:
-        size = max(n, 4096)
-        for k, b in enumerate((_BASE, _BASE_INVERSE)):
-            steps = np.full(size, b, np.uint64)
-            steps[0] = 1
-            _POWERS[k] = np.multiply.accumulate(steps)
-    return _POWERS[0][:n], _POWERS[1][:n]
-
-
 class Stretches:
     """Hashes of any stretches of a text's words, from one running sum."""
 
     def __init__(self, words: np.ndarray):
-        up, self.down = _powers(len(words) + 1)
+        up, self.down = powers(len(words) + 1)
         self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(words) * up[:-1], dtype=np.uint64)])
 
     def __call__(self, start: np.ndarray, stop: np.ndarray) -> np.ndarray:

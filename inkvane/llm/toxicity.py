@@ -118,9 +118,8 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", grade_col:
     if not names:
         return OrdinalModel()
     place = {f: k for k, f in enumerate(sorted(names))}
-    found = long.filter(F.col("feature").isin(names) if len(names) <= 200 else F.col("feature").isNotNull())
     keep = spark.createDataFrame([(f,) for f in names], "feature string")
-    hits = found.join(F.broadcast(keep), "feature").groupBy("doc_id").agg(F.collect_list(F.struct("feature", "n")).alias("f"))
+    hits = long.join(F.broadcast(keep), "feature").groupBy("doc_id").agg(F.collect_list(F.struct("feature", "n")).alias("f"))
     data = sample.join(hits, "doc_id", "left").orderBy("doc_id").collect()
     x = np.zeros((len(data), len(place)))
     y = np.array([int(r.y > 0) for r in data])
