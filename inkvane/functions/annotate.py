@@ -187,3 +187,33 @@ def mtld(stories: DataFrame) -> DataFrame:
             yield pd.DataFrame({"id": b["id"], "ld_mtld": pd.Series(out, dtype="float64")})
 
     return stories.select("id", "story").mapInPandas(run, "id long, ld_mtld double")
+
+
+def edit_distance(a: list[str], b: list[str]) -> int:
+    """Levenshtein distance of word lists, a row at a time."""
+    ids = {w: k for k, w in enumerate(dict.fromkeys(a + b))}
+    y = np.array([ids[w] for w in b], np.int64)
+    ramp = np.arange(len(b) + 1)
+    row = ramp.copy()
+    for k, w in enumerate(a, 1):
+        new = np.empty_like(row)
+        new[0] = k
+        new[1:] = np.minimum(row[1:] + 1, row[:-1] + (y != ids[w]))
+        row = np.minimum.accumulate(new - ramp) + ramp
+    return int(row[-1])
+
+
+def pair_distances(pairs: DataFrame, embedder: Callable[[], HashedEmbedder] = HashedEmbedder) -> DataFrame:
+    """(id, trans_word_edit_distance, trans_semantic_similarity) of (id, orig, rewrite); the similarity is null for an empty side."""
+
+    def run(batches):
+        model = embedder()
+        for b in batches:
+            rows = []
+            for i, o, w in zip(b["id"], b["orig"], b["rewrite"], strict=True):
+                x, y = (o or "").lower().split(), (w or "").lower().split()
+                e = model.encode([o or "", w or ""])
+                rows.append((i, edit_distance(x, y) / max(len(x), len(y), 1), float(e[0] @ e[1]) if e.any(1).all() else None))
+            yield pd.DataFrame(rows, columns=["id", "trans_word_edit_distance", "trans_semantic_similarity"])
+
+    return pairs.select("id", "orig", "rewrite").mapInPandas(run, "id long, trans_word_edit_distance double, trans_semantic_similarity double")

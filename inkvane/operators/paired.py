@@ -77,3 +77,46 @@ def wilcoxon(pairs: DataFrame, by: list[str]) -> DataFrame:
         return pd.DataFrame(out, columns=["z", "p"])
 
     return rows.withColumn("t", test("n", "nonzero", "w", "ties")).select(*by, "n", "nonzero", "w", "t.z", "t.p")
+
+
+def student_tail(t: float, df: float) -> float:
+    """Two-sided p of Student's t, by the continued fraction of the incomplete beta function."""
+    x, a, b = df / (df + t * t), df / 2, 0.5
+    if x >= 1:
+        return 1.0
+
+    def fraction(x: float, a: float, b: float) -> float:
+        tiny, c, d = 1e-300, 1.0, 1 - (a + b) * x / (a + 1)
+        d = 1 / (d if abs(d) > tiny else tiny)
+        h = d
+        for m in range(1, 500):
+            for num in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+                d, c = 1 + num * d, 1 + num / c
+                d, c = 1 / (d if abs(d) > tiny else tiny), c if abs(c) > tiny else tiny
+                h *= d * c
+            if abs(d * c - 1) < 1e-14:
+                break
+        return h
+
+    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x))
+    return front * fraction(x, a, b) / a if x < (a + 1) / (a + b + 2) else 1 - front * fraction(1 - x, b, a) / b
+
+
+def correlation(pairs: DataFrame, by: list[str]) -> DataFrame:
+    """(by, n, pearson_r, pearson_p, spearman_r, spearman_p); null where a side does not vary."""
+
+    def rank(c: str):
+        return F.rank().over(W.partitionBy(*by).orderBy(c)) + (F.count("*").over(W.partitionBy(*by, c)) - 1) / 2
+
+    def r(a: str, b: str):
+        cov = F.avg(F.col(a) * F.col(b)) - F.avg(a) * F.avg(b)
+        spread = F.sqrt(F.greatest(F.avg(F.col(a) * F.col(a)) - F.avg(a) * F.avg(a), F.lit(0.0))) * F.sqrt(F.greatest(F.avg(F.col(b) * F.col(b)) - F.avg(b) * F.avg(b), F.lit(0.0)))
+        return F.try_divide(cov, spread)
+
+    @F.pandas_udf("double")
+    def p(r: pd.Series, n: pd.Series) -> pd.Series:
+        return pd.Series([None if v is None or v != v or k < 3 else 0.0 if abs(v) >= 1 else student_tail(v * math.sqrt((k - 2) / (1 - v * v)), k - 2) for v, k in zip(r, n, strict=True)], dtype="float64")
+
+    ranked = pairs.filter("o is not null and w is not null").withColumn("_ro", rank("o").cast("double")).withColumn("_rw", rank("w").cast("double"))
+    out = ranked.groupBy(*by).agg(F.count("*").alias("n"), r("o", "w").alias("pearson_r"), r("_ro", "_rw").alias("spearman_r"))
+    return out.select(*by, "n", "pearson_r", p("pearson_r", "n").alias("pearson_p"), "spearman_r", p("spearman_r", "n").alias("spearman_p"))

@@ -98,4 +98,16 @@ def events_by_window(spark, sf_dir):
 PROVIDED_SQL = {"events_by_window": "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2"}
 
 
-PROVIDED = {f.__name__: f for f in (mtld, syntax_markers, pos_ratios, semantic_markers, pca_projection, wilcoxon_p, rewrite_offline, events_by_window)}
+def pair_distances(spark, sf_dir):
+    from ..functions.annotate import pair_distances
+
+    return pair_distances(relational(lambda d: f"WITH {statistics.pairs(d)} SELECT id, orig, rewrite FROM pairs", spark, sf_dir))
+
+
+def correlation_p(spark, sf_dir):
+    from ..operators.paired import correlation
+
+    return correlation(relational(lambda d: f"WITH {statistics.long(d)} SELECT * FROM long", spark, sf_dir), ["model", "marker"])
+
+
+PROVIDED = {f.__name__: f for f in (mtld, syntax_markers, pos_ratios, semantic_markers, pca_projection, wilcoxon_p, rewrite_offline, events_by_window, pair_distances, correlation_p)}

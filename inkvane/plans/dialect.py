@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-NGRAM_LAMBDA = "abcdefgh"
-
 
 class Spark:
     spark = True
@@ -51,9 +49,6 @@ class Spark:
     def unpivot(self, cols):
         return "inline(array(" + ", ".join(f"struct('{c}' AS marker, CAST({c} AS DOUBLE) AS value)" for c in cols) + "))"
 
-    def slice(self, x, a, b):
-        return f"slice({x}, {a}, greatest({b} - ({a}) + 1, 0))"
-
     def ngrams(self, x, n):
         """Array operations over the characters: linear in the text's length."""
         e = "cs"
@@ -125,9 +120,6 @@ class Duck(Spark):
     def unpivot(self, cols):
         return "unnest([" + ", ".join(f"{{'marker': '{c}', 'value': CAST({c} AS DOUBLE)}}" for c in cols) + "], recursive := true)"
 
-    def slice(self, x, a, b):
-        return f"list_slice({x}, {a}, {b})"
-
     def ngrams(self, x, n):
         return f"list_transform(range(1, length({x}) - {n} + 2), lambda i: substr({x}, i, {n}))"
 

@@ -280,19 +280,30 @@ def convergence_spread(d):
     SELECT label, count(*) AS n, {r('avg(dist)', 5)} AS mean_distance, {r('stddev_pop(dist)', 5)} AS std_distance, {r('min(dist)', 5)} AS min_distance, {r('max(dist)', 5)} AS max_distance FROM q GROUP BY label"""
 
 
-def standardised(d: Duck) -> str:
-    """CTEs up to sides (id, model, o array, w array) of z-scored markers, scaled on the originals of each model."""
-    return f"""{long(d)}, sc AS (SELECT model, marker, avg(o) AS mu, coalesce(nullif(stddev_pop(o), 0), 1) AS sd FROM long GROUP BY model, marker),
+def standardised(d: Duck, fit: str) -> str:
+    """CTEs up to zl (id, model, marker, zo, zw): z scores by the originals of each model, or by both sides stacked."""
+    both = "SELECT model, marker, o AS x FROM long" + (" UNION ALL SELECT model, marker, w AS x FROM long" if fit == "stacked" else "")
+    return f"""{long(d)}, fit AS ({both}), sc AS (SELECT model, marker, avg(x) AS mu, coalesce(nullif(stddev_pop(x), 0), 1) AS sd FROM fit GROUP BY model, marker),
     zl AS (SELECT id, long.model, long.marker, (o - mu) / sd AS zo, (w - mu) / sd AS zw FROM long JOIN sc ON long.model = sc.model AND long.marker = sc.marker)"""
 
 
-def source_matching(d):
+def source_matching(d, fit="reference"):
     """Nearest rewrite of each original within a model's texts by mean absolute z difference, and the share that hit their own."""
-    return f"""WITH {standardised(d)}, dist AS (SELECT a.model, a.id AS original, b.id AS rewrite, avg(abs(a.zo - b.zw)) AS dd FROM zl a JOIN zl b ON a.model = b.model AND a.marker = b.marker GROUP BY a.model, a.id, b.id),
+    return f"""WITH {standardised(d, fit)}, dist AS (SELECT a.model, a.id AS original, b.id AS rewrite, avg(abs(a.zo - b.zw)) AS dd FROM zl a JOIN zl b ON a.model = b.model AND a.marker = b.marker GROUP BY a.model, a.id, b.id),
     best AS (SELECT model, original, rewrite, row_number() OVER (PARTITION BY model, original ORDER BY round(dd, 8), rewrite) AS k FROM dist)
     SELECT model, count(*) AS n, {r('100.0 * count_if(original = rewrite) / count(*)', 4)} AS accuracy, {r('100.0 / count(*)', 4)} AS chance FROM best WHERE k = 1 GROUP BY model"""
 
 
+def source_matching_stacked(d):
+    return source_matching(d, "stacked")
+
+
+def stance_effects(d):
+    """The stance kind of Cohen's d for the markers that the stance figure shows, by condition."""
+    shown = words_in(["slen_mean", "punct_comma_ratio", "sty_mean_word_length", "wlen_long_ratio", "ld_ttr"])
+    return f"""WITH {long(d)} SELECT condition, marker, count(*) AS n, {r('coalesce(avg(o - w) / nullif(sqrt((var_pop(o) + var_pop(w)) / 2), 0), 0)')} AS d_stance FROM long WHERE marker IN {shown} GROUP BY condition, marker"""
+
+
 def burrows_delta_pairs(d):
     """Min, max, mean and deviation of pairwise Delta among the rewrites of each model."""
     return f"""WITH {long(d)}, sc AS (SELECT model, marker, avg(w) AS mu, coalesce(nullif(stddev_pop(w), 0), 1) AS sd FROM long GROUP BY model, marker), z AS (SELECT id, long.model, long.marker, (w - mu) / sd AS v FROM long JOIN sc ON long.model = sc.model AND long.marker = sc.marker),
@@ -304,6 +315,6 @@ QUERIES = {
     f.__name__: f
     for f in (
         compare_markers, wilcoxon_signed_rank, bh_fdr, cohens_d_variants, summary_by_dimension, pearson_spearman, protocol_stability, reliability_icc_cv, run_alignment, temperature_stability, temperature_summary, direction_agreement, condition_vs_generic, refined_effects, category_summary, table_significance, table_conditions, table_dimensions,
-        table_models, table_key_markers, marker_count_validation, pivot_effects, topk_cross_model, highlights, radar_effects, paired_histogram, kde_density, transformation, transformation_bars, stylometric_delta, semantic_cosine, burrows_delta_mean, convergence_spread, source_matching, burrows_delta_pairs,
+        table_models, table_key_markers, marker_count_validation, pivot_effects, topk_cross_model, highlights, radar_effects, paired_histogram, kde_density, transformation, transformation_bars, stylometric_delta, semantic_cosine, burrows_delta_mean, convergence_spread, source_matching, source_matching_stacked, stance_effects, burrows_delta_pairs,
     )
 }

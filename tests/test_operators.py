@@ -133,3 +133,28 @@ def test_stream(spark, sf, tmp_path):
 def test_dialect_literals(spark):
     d = Spark()
     assert spark.sql(f"SELECT {d.s(chr(92) + 'p{L}')} AS a, {d.s('it' + chr(39) + 's ' + chr(92))} AS b").first() == (r"\p{L}", "it's \\")
+
+
+def test_student_tail_and_edit_distance(spark):
+    assert paired.student_tail(2.0, 10) == pytest.approx(0.0733880, abs=1e-6)
+    assert paired.student_tail(0.0, 5) == 1.0
+    from inkvane.functions.annotate import edit_distance, pair_distances
+
+    assert edit_distance(list("kitten"), list("sitting")) == 3 and edit_distance([], ["a"]) == 1
+    df = spark.createDataFrame([(1, "a b", "a b"), (2, "", "x"), (3, None, None)], "id long, orig string, rewrite string")
+    got = {r.id: (r.trans_word_edit_distance, r.trans_semantic_similarity) for r in pair_distances(df).collect()}
+    assert got[1] == (0.0, pytest.approx(1.0)) and got[2] == (1.0, None) and got[3] == (0.0, None)
+
+
+def test_endpoints():
+    from inkvane.sources import endpoints
+
+    sent = []
+    answers = {"openai": {"choices": [{"message": {"content": " x "}}]}, "anthropic": {"content": [{"text": "x"}]}, "google": {"candidates": [{"content": {"parts": [{"text": "x"}]}}]}}
+    for kind, answer in answers.items():
+        e = endpoints.ChatEndpoint(kind, "u", {}, post=lambda u, b, h, a=answer: sent.append(b) or a, pause=0)
+        assert e.rewrite("T", "m", "P {text}") == "x" and e.rewrite("T", "m", "P {text}", "system") == "x"
+    assert "P T" in str(sent[0]) and sent[1]["messages"][0]["role"] == "system"
+    states = iter([{"id": "b"}, {"status": "running"}, {"status": "ended", "results": [{"id": 1}, {"id": 2, "error": "e"}]}])
+    b = endpoints.BatchEndpoint("s", lambda i: i, {}, post=lambda *a: next(states), sleep=lambda s: None)
+    assert b.poll(b.submit([{}])) == [{"id": 1}]
