@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,8 +31,16 @@ def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relational(texts.lexical_diversity, spark, sf_dir)
 
 
+def _named(name: str, build: Callable) -> Callable[[SparkSession, str], DataFrame]:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return relational(build, spark, sf_dir)
+
+    query.__name__ = name
+    return query
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {k: partial(relational, f) for k, f in RELATIONAL.items()} | PROVIDED
+    return {k: _named(k, f) for k, f in RELATIONAL.items()} | PROVIDED
 
 
 def oracle_sql() -> dict[str, str]:
