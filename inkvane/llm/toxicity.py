@@ -8,6 +8,7 @@ log(1 + occurrences) in the whole text.
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -20,7 +21,7 @@ from .common import Workspace, fresh, rows_of
 SAMPLE_ROWS, MAX_FEATURES = 4000, 4096
 GRADES = 4
 #: P(grade > 0) from which a document is called toxic.
-DECIDE = 0.3
+DECIDE = 0.15
 _STRIP = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "¡¿«»“”‘’„…–—"
 
 
@@ -44,7 +45,7 @@ class OrdinalModel:
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def fit_ordinal(x: np.ndarray, y: np.ndarray, grades: int = GRADES, ridge: float = 3e-4, steps: int = 600, rate: float = 0.05) -> tuple[np.ndarray, np.ndarray]:
+def fit_ordinal(x: np.ndarray, y: np.ndarray, grades: int = GRADES, ridge: float = 5e-5, steps: int = 1000, rate: float = 0.05) -> tuple[np.ndarray, np.ndarray]:
     """Maximum likelihood by Adam over shared weights and thresholds kept in order by positive gaps."""
     n, d = x.shape
     p = np.zeros(d + grades - 1)
@@ -95,25 +96,32 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", grade_col:
 
     def featurise(batches):
         for b in batches:
-            ids, names, counts = [], [], []
+            ids, names, counts, starts = [], [], [], []
             for i, text in rows_of(b):
                 c: dict[str, int] = {}
-                for w in text.lower().split():
+                words = text.lower().split()
+                start = zlib.crc32(" ".join(words[:8]).encode("utf-8", "surrogatepass"))
+                for w in words:
                     for f in features_of(w):
                         c[f] = c.get(f, 0) + 1
                 ids += [i] * len(c)
                 names += c.keys()
                 counts += c.values()
-            yield pa.record_batch([pa.array(ids, b.schema.field(0).type), pa.array(names, pa.string()), pa.array(counts, pa.int32())], names=["doc_id", "feature", "n"])
+                starts += [start] * len(c)
+            yield pa.record_batch([pa.array(ids, b.schema.field(0).type), pa.array(names, pa.string()), pa.array(counts, pa.int32()), pa.array(starts, pa.int64())], names=["doc_id", "feature", "n", "start"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    long = ws.save(rows.select("doc_id", "text").mapInArrow(featurise, f"doc_id {kind}, feature string, n int"), "features").join(F.broadcast(sample), "doc_id")
-    n1, n0 = (min(x, sample_rows) for x in (shares.k, shares.n - shares.k))
-    df = long.groupBy("feature").agg(F.count_if(F.col("y") > 0).alias("a"), F.count_if(F.col("y") <= 0).alias("b"))
-    # one-sided two-proportion score; a feature must be at least four times as frequent among toxic rows
+    long = ws.save(rows.select("doc_id", "text").mapInArrow(featurise, f"doc_id {kind}, feature string, n int, start long"), "features").join(F.broadcast(sample), "doc_id")
+    # copies of one text count once: rows are told apart by how they begin
+    per_class = [F.count_distinct(F.when(c, F.col("start"))).alias(k) for k, c in (("a", F.col("y") > 0), ("b", F.col("y") <= 0))]
+    n1, n0 = long.agg(*per_class).first()
+    if not n1 or not n0:
+        return OrdinalModel()
+    df = long.groupBy("feature").agg(*per_class)
+    # one-sided two-proportion score; a feature must be at least eight times as frequent among toxic rows
     pooled = (F.col("a") + F.col("b")) / (n1 + n0)
     z = (F.col("a") / n1 - F.col("b") / n0) / F.sqrt(pooled * (1 - pooled) * (1 / n1 + 1 / n0) + 1e-12)
-    chosen = df.withColumn("z", z).filter((F.col("z") >= 4) & (F.col("a") >= 5) & (F.col("a") / n1 >= 4 * F.col("b") / n0)).orderBy(F.desc("z"), "feature").limit(MAX_FEATURES)
+    chosen = df.withColumn("z", z).filter((F.col("z") >= 6) & (F.col("a") >= 5) & (F.col("a") / n1 >= 8 * F.col("b") / n0)).orderBy(F.desc("z"), "feature").limit(MAX_FEATURES)
     names = [r.feature for r in chosen.select("feature").collect()]
     if not names:
         return OrdinalModel()
@@ -133,7 +141,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", grade_col:
         thirds = np.quantile(found_n[y > 0], [1 / 3, 2 / 3])
         y = np.where(y > 0, 1 + (found_n > thirds[0]) + (found_n > thirds[1]), 0)
     w, theta = fit_ordinal(x, y)
-    shift = np.log((n1 / n0) / (shares.k / (shares.n - shares.k)))
+    shift = np.log((np.sum(y > 0) / np.sum(y == 0)) / (shares.k / (shares.n - shares.k)))
     return OrdinalModel({f: float(w[k]) for f, k in place.items()}, theta, float(max(0.0, shift)))
 
 
