@@ -184,8 +184,8 @@ def char_ngrams(d):
 
 
 def lexical_diversity(d):
-    return f"""WITH {freq(d)}, h AS (SELECT id, count_if(c = 1) AS v1 FROM freq GROUP BY id)
-    SELECT size.id, {r('v / n')} AS ld_ttr, {r('v / sqrt(n)')} AS ld_root_ttr, {r('v1 / v')} AS ld_hapax_ratio, CAST(v AS BIGINT) AS ld_unique_words, CAST(n AS BIGINT) AS ld_total_words FROM size JOIN h ON size.id = h.id"""
+    return f"""WITH {freq(d)}, a AS (SELECT id, sum(c) AS n, CAST(count(*) AS DOUBLE) AS v, count_if(c = 1) AS v1 FROM freq GROUP BY id)
+    SELECT id, {r('v / n')} AS ld_ttr, {r('v / sqrt(n)')} AS ld_root_ttr, {r('v1 / v')} AS ld_hapax_ratio, CAST(v AS BIGINT) AS ld_unique_words, CAST(n AS BIGINT) AS ld_total_words FROM a"""
 
 
 def textual_entropy(d):
