@@ -25,11 +25,13 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace, fresh
+from .common import Workspace, fresh, mixed, powers
 
 SPACE_MARK = "▁"
 #: Words of the corpus that the dictionary may hold, and characters that one of them may have.
 DICTIONARY, LONGEST_WORD = 50_000, 200
+#: Words that a worker remembers.
+REMEMBERED = 500_000
 
 
 class PieceModel:
@@ -161,6 +163,121 @@ class PieceModel:
         return raw[1:].decode("utf-8", "surrogatepass")
 
 
+class BatchFolder:
+    """The recurrence of ``best_path`` for many words at once, position by position.
+
+    Words with a character of several bytes that has no piece, and words over
+    LONGEST characters, go through ``best_path`` itself.
+    """
+
+    LONGEST = 64
+
+    def __init__(self, model: PieceModel):
+        self.model = model
+        self.n = len(model.name)
+        self.ids = np.array([model.pieces[p][0] if p in model.pieces else -1 for p in model.name] + model.bytes[:128], np.int32)
+        usable = [k for k, p in enumerate(model.name) if p in model.pieces]
+        data = np.frombuffer("".join(model.name[k] for k in usable).encode("utf-32-le"), "<u4")
+        size = np.array([len(model.name[k]) for k in usable])
+        stop = np.cumsum(size)
+        h = self.hashes(data)(stop - size, stop)
+        order = np.argsort(h)
+        self.keys, self.values = h[order], np.array(usable, np.int32)[order]
+        self.maybe = np.zeros(1 << 21, bool)
+        self.maybe[(self.keys & np.uint64((1 << 21) - 1)).astype(np.int64)] = True
+        self.met, self.fine = np.empty(0, np.int64), np.empty(0, bool)
+
+    @staticmethod
+    def hashes(data: np.ndarray):
+        up, down = powers(len(data) + 1)
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:-1], dtype=np.uint64)])
+        return lambda a, b: mixed((sums[b] - sums[a]) * down[a] + (b - a).astype(np.uint64))
+
+    def apart(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """``may_follow`` for arrays of pieces; each pair is decided once."""
+        key = left.astype(np.int64) * self.n + right
+        at = np.searchsorted(self.met, key)
+        known = at < len(self.met)
+        known[known] = self.met[at[known]] == key[known]
+        if not known.all():
+            new = np.unique(key[~known])
+            fine = np.array([self.model._apart(self.model.name[k // self.n], self.model.name[k % self.n]) for k in new.tolist()], bool)
+            if len(self.met) > 1_000_000:  # begin again with the pairs of this call
+                new = np.unique(key)
+                self.met, self.fine = np.empty(0, np.int64), np.empty(0, bool)
+                fine = np.array([self.model._apart(self.model.name[k // self.n], self.model.name[k % self.n]) for k in new.tolist()], bool)
+            met = np.concatenate([self.met, new])
+            order = np.argsort(met, kind="stable")
+            self.met, self.fine = met[order], np.concatenate([self.fine, fine])[order]
+            at = np.searchsorted(self.met, key)
+        return self.fine[at]
+
+    def fold(self, words: list[str]) -> list[bytes]:
+        """Identifiers of each word, little-endian."""
+        units = [SPACE_MARK + w for w in words]
+        out: list[bytes | None] = [None] * len(units)
+        quick = [k for k, u in enumerate(units) if len(u) <= self.LONGEST]
+        if quick:
+            for k, ids in zip(quick, self._quick([units[k] for k in quick]), strict=True):
+                out[k] = ids
+        return [np.array(self.model.best_path(u), "<i4").tobytes() if o is None else o for u, o in zip(units, out, strict=True)]
+
+    def _quick(self, units: list[str]) -> list[bytes | None]:
+        data = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), "<u4")
+        size = np.array([len(u) for u in units])
+        off = np.cumsum(size) - size
+        left = np.repeat(off + size, size) - np.arange(len(data))
+        blocked = data == ord(SPACE_MARK)
+        blocked[off] = False
+        h = self.hashes(data)
+        places = np.flatnonzero(~blocked)
+        edges = {}
+        for n in range(1, self.model.longest + 1):
+            a = places[left[places] >= n]
+            key = h(a, a + n)
+            hit = self.maybe[(key & np.uint64((1 << 21) - 1)).astype(np.int64)]
+            a, key = a[hit], key[hit]
+            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            same = self.keys[at] == key
+            edge = edges[n] = np.full(len(data), -1, np.int32)
+            edge[a[same]] = self.values[at[same]]
+        single = edges[1]  # characters without a piece: those of one byte are edges of their own that anything may border
+        bare = (single < 0) & (data < 128)
+        single[bare] = self.n + data[bare].astype(np.int32)
+        last, back = np.full(len(data), -1, np.int32), np.zeros(len(data), np.int64)
+        for end in range(1, int(size.max()) + 1):
+            todo = off[size >= end]
+            for n in range(min(end, self.model.longest), 0, -1):
+                start = todo + end - n
+                piece = edges[n][start]
+                ok = piece >= 0
+                if n < end:
+                    before = last[start - 1]
+                    check = np.flatnonzero(ok & (before >= 0) & (before < self.n) & (piece < self.n))
+                    ok[check] = self.apart(before[check], piece[check])
+                    ok &= before >= 0
+                won = todo[ok] + end - 1
+                last[won], back[won] = piece[ok], n
+                todo = todo[~ok]
+        whole = np.minimum.reduceat(last, off) >= 0  # else some character of several bytes has no piece
+        at, steps = size.copy(), []
+        at[~whole] = 0
+        while (go := np.flatnonzero(at > 0)).size:
+            here = off[go] + at[go] - 1
+            steps.append((go, self.ids[last[here]]))
+            at[go] -= back[here]
+        count = np.zeros(len(units), np.int64)
+        for go, _ in steps:
+            count[go] += 1
+        stop = np.cumsum(count)
+        flat, place = np.empty(int(stop[-1]) if len(stop) else 0, "<i4"), stop.copy()
+        for go, ids in steps:
+            place[go] -= 1
+            flat[place[go]] = ids
+        raw = flat.tobytes()
+        return [raw[4 * (b - c) : 4 * b] if w else None for b, c, w in zip(stop.tolist(), count.tolist(), whole.tolist(), strict=True)]
+
+
 _MODELS: dict[str, PieceModel] = {}
 
 
@@ -257,31 +374,22 @@ def encode_pieces(docs: DataFrame, model_path: str, id_col: str = "doc_id", text
 
     def run(batches):
         model = load(model_path)
-        frequent, rest = known.value, {}
+        folder, found = BatchFolder(model), dict(known.value)
         is_byte = np.zeros(len(model.text), bool)
         is_byte[model.bytes] = True
-
-        def fold(word: str) -> bytes:
-            if len(rest) >= 300_000:
-                rest.clear()
-            got = np.array(model.best_path(SPACE_MARK + word), "<i4").tobytes()
-            if len(word) <= 64:
-                rest[word] = got
-            return got
-
         for b in batches:
             texts = [t or "" for t in b.column(1).to_pylist()]
-            coded = []
-            for t in texts:
-                parts = []
-                for w in t.split(" ") if t else ():
-                    got = frequent.get(w)
-                    if got is None:
-                        got = rest.get(w)
-                        if got is None:
-                            got = fold(w)
-                    parts.append(got)
-                coded.append(b"".join(parts))
+            split = [t.split(" ") if t else [] for t in texts]
+            if len(found) > REMEMBERED:
+                found = dict(known.value)
+            new: set[str] = set()
+            for ws in split:
+                new.update(set(ws).difference(found))
+            fresh_words = list(new)
+            for a in range(0, len(fresh_words), 20_000):
+                part = fresh_words[a : a + 20_000]
+                found.update(zip(part, folder.fold(part), strict=True))
+            coded = [b"".join(map(found.__getitem__, ws)) for ws in split]
             arrays = [model.join_spaces(np.frombuffer(c, "<i4")) for c in coded]
             coded = [a.tobytes() for a in arrays]
             sizes = np.array([len(a) for a in arrays], np.int64)
