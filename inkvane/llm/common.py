@@ -160,6 +160,19 @@ def fresh(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*(F.col(f"`{n}`") for n in names))
 
 
+def hash_sample(df: DataFrame, id_col: str, rows: int, total: int, seed: int = 0) -> DataFrame:
+    """About the ``rows`` rows with the smallest id hashes, at most that many.
+
+    Rows beyond a hash bound drop out before the sort, so the last task sees a
+    little more than ``rows`` rows however many partitions there are.
+    """
+    h = F.xxhash64(id_col, F.lit(seed))
+    if total > 2 * rows:
+        share = (rows + 4 * rows**0.5) / total
+        df = df.filter(F.pmod(h, F.lit(1 << 40)) < F.lit(int(share * (1 << 40))))
+    return df.orderBy(F.pmod(h, F.lit(1 << 40)), id_col).limit(rows)
+
+
 def components(ws: Workspace, edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of an undirected edge table: (id, component_id), for vertices with an edge.
 

@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, components, fresh, rows_of
+from .common import Workspace, components, fresh, hash_sample, rows_of
 
 #: Vectors a shard aims at; the most that one graph holds (larger shards are cut into pieces that are all searched).
 TARGET, CAPACITY = 256, 4096
@@ -167,7 +167,7 @@ def near_vectors(vectors: DataFrame, floor: float = 0.98) -> DataFrame:
     nodes = ws.save(rows.filter("v is not null").groupBy("label", "v").agg(F.min("vec_id").alias("id"), F.count("*").alias("weight")), "nodes")
     counts = {(r.label, r.n): r["count"] for r in nodes.groupBy("label", F.length("v").alias("n")).count().filter(F.col("count") > TARGET).collect()}
     sample: dict = {}
-    for r in nodes.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).collect():
+    for r in hash_sample(nodes, "id", SAMPLE, nodes.count()).collect():
         if (key := (r.label, len(r.v))) in counts:
             sample.setdefault(key, []).append(unit(r.v))
     centres = centroids({k: np.stack(v) for k, v in sample.items()}, counts)
@@ -245,8 +245,8 @@ def audit(ws: Workspace, nodes: DataFrame, found: DataFrame, floor: float) -> fl
     """
     import pyarrow as pa
 
-    order = (F.xxhash64("id", F.lit(7)), F.col("id"))
-    both = found.orderBy(*order).limit(AUDITED).unionByName(found.filter("links > 0").orderBy(*order).limit(AUDITED)).select("id", "links").distinct()
+    linked = found.filter("links > 0")
+    both = hash_sample(found, "id", AUDITED, found.count(), 7).unionByName(hash_sample(linked, "id", AUDITED, linked.count(), 7)).select("id", "links").distinct()
     queries = both.join(nodes, "id").select("id", "links", "label", "v").collect()
     by_key: dict = {}
     for r in queries:

@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace, fresh, rows_of
+from .common import Workspace, fresh, hash_sample, rows_of
 
 #: Labelled documents that the profile may be fitted on, and trigrams kept for each language.
 SAMPLE_ROWS, TRIGRAMS = 4000, 4000
@@ -98,7 +98,8 @@ def fit_profile(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Profile:
     import pyarrow as pa
 
     ws = Workspace(docs.sparkSession, "langid")
-    ids = fresh(docs, "doc_id", "lang").filter("lang is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows).select("doc_id").distinct()
+    labelled = fresh(docs, "doc_id", "lang").filter("lang is not null and doc_id is not null")
+    ids = hash_sample(labelled, "doc_id", sample_rows, labelled.count()).select("doc_id").distinct()
     rows = fresh(docs, "doc_id", "lang", "text").join(F.broadcast(ws.save(ids, "sample")), "doc_id").filter("lang is not null and text is not null")
 
     def run(batches):

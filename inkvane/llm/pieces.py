@@ -354,8 +354,16 @@ def _decide(model: PieceModel):
 def dictionary(docs: DataFrame, model: PieceModel, size: int = DICTIONARY, text_col: str = "text") -> dict[str, bytes]:
     """Best paths of the corpus' most frequent words, from the relational lattice."""
     ws = Workspace(docs.sparkSession, "pieces")
-    frequent = words(fresh(docs, text_col).filter(F.col(text_col).isNotNull()), text_col).filter(F.length("word") < LONGEST_WORD).orderBy(F.desc("n"), "word").limit(size)
-    frequent = ws.save(frequent, "words")
+    counted = words(fresh(docs, text_col).filter(F.col(text_col).isNotNull()), text_col).filter(F.length("word") < LONGEST_WORD)
+    counted = ws.save(counted.filter("n > 1").withColumn("level", F.floor(F.log2("n") * 16)), "words")
+    # the count from which on words fit into the dictionary, from a histogram of counts: no sort of all words
+    room, lowest = size, None
+    for r in sorted(counted.groupBy("level").agg(F.count("*").alias("k")).collect(), key=lambda r: -r.level):
+        room -= r.k
+        if room < 0:
+            break
+        lowest = r.level
+    frequent = counted.filter(F.col("level") >= F.lit(lowest)) if lowest is not None else counted.limit(0)
     return {r.word: np.array(r.ids, "<i4").tobytes() for r in ws.save(lattice(ws, frequent, model), "paths").toLocalIterator()}
 
 

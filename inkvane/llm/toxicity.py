@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace, fresh, rows_of
+from .common import Workspace, fresh, hash_sample, rows_of
 
 #: Labelled rows that the fit may use, for each class; the features it may keep.
 SAMPLE_ROWS, MAX_FEATURES = 4000, 4096
@@ -89,7 +89,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", grade_col:
     shares = usable.agg(F.count("*").alias("n"), F.count_if(F.col("y") > 0).alias("k")).first()
     if not shares.n or not shares.k or shares.k == shares.n:
         return OrdinalModel()
-    parts = [usable.filter(c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows) for c in ("y > 0", "y <= 0")]
+    parts = [hash_sample(usable.filter(c), "doc_id", sample_rows, n) for c, n in (("y > 0", shares.k), ("y <= 0", shares.n - shares.k))]
     sample = ws.save(parts[0].unionByName(parts[1]), "sample")
     rows = fresh(docs, "doc_id", "text").join(F.broadcast(sample), "doc_id").filter(F.col("text").isNotNull())
     import pyarrow as pa
