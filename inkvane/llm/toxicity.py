@@ -8,7 +8,6 @@ log(1 + occurrences) in the whole text.
 
 from __future__ import annotations
 
-import zlib
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -19,6 +18,8 @@ from .common import Workspace, fresh, hash_sample, rows_of
 
 #: Labelled rows that the fit may use, for each class; the features it may keep.
 SAMPLE_ROWS, MAX_FEATURES = 4000, 4096
+#: The two-proportion score from which a feature has the plain ridge penalty (the best score, where none reaches it).
+CLEAR = 6.0
 GRADES = 4
 #: P(grade > 0) from which a document is called toxic.
 DECIDE = 0.15
@@ -45,7 +46,24 @@ class OrdinalModel:
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def fit_ordinal(x: np.ndarray, y: np.ndarray, grades: int = GRADES, ridge: float = 5e-5, steps: int = 1000, rate: float = 0.05) -> tuple[np.ndarray, np.ndarray]:
+@dataclass
+class Sparse:
+    """A matrix by its cells other than zero, for products with vectors."""
+
+    rows: np.ndarray
+    cols: np.ndarray
+    values: np.ndarray
+    shape: tuple[int, int]
+
+    @property
+    def T(self) -> Sparse:  # noqa: N802
+        return Sparse(self.cols, self.rows, self.values, self.shape[::-1])
+
+    def __matmul__(self, v: np.ndarray) -> np.ndarray:
+        return np.bincount(self.rows, self.values * v[self.cols], self.shape[0])
+
+
+def fit_ordinal(x: np.ndarray | Sparse, y: np.ndarray, grades: int = GRADES, ridge: float = 5e-5, steps: int = 1000, rate: float = 0.05) -> tuple[np.ndarray, np.ndarray]:
     """Maximum likelihood by Adam over shared weights and thresholds kept in order by positive gaps."""
     n, d = x.shape
     p = np.zeros(d + grades - 1)
@@ -80,6 +98,12 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", grade_col:
     Where the labels carry no grades (``grade_col``), a toxic row's grade is the
     third of the toxic rows it falls in by its number of distinct significant
     features: 1, 2 or 3; other rows have grade 0.
+
+    Every feature that is more frequent among toxic texts takes part, up to the
+    MAX_FEATURES that tell the classes apart best; the ridge penalty weighs each,
+    and the heavier the further its score falls below CLEAR. One that a single
+    toxic text holds says nothing about other texts; it takes part only where no
+    two toxic texts share any.
     """
     spark = docs.sparkSession
     ws = Workspace(spark, "toxicity")
@@ -96,51 +120,52 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", grade_col:
 
     def featurise(batches):
         for b in batches:
-            ids, names, counts, starts = [], [], [], []
-            for i, text in rows_of(b):
+            ids, names, counts, keys = [], [], [], []
+            for i, text, key in rows_of(b):
                 c: dict[str, int] = {}
-                words = text.lower().split()
-                start = zlib.crc32(" ".join(words[:8]).encode("utf-8", "surrogatepass"))
-                for w in words:
+                for w in text.lower().split():
                     for f in features_of(w):
                         c[f] = c.get(f, 0) + 1
                 ids += [i] * len(c)
                 names += c.keys()
                 counts += c.values()
-                starts += [start] * len(c)
-            yield pa.record_batch([pa.array(ids, b.schema.field(0).type), pa.array(names, pa.string()), pa.array(counts, pa.int32()), pa.array(starts, pa.int64())], names=["doc_id", "feature", "n", "start"])
+                keys += [key] * len(c)
+            yield pa.record_batch([pa.array(ids, b.schema.field(0).type), pa.array(names, pa.string()), pa.array(counts, pa.int32()), pa.array(keys, pa.int64())], names=["doc_id", "feature", "n", "text_key"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    long = ws.save(rows.select("doc_id", "text").mapInArrow(featurise, f"doc_id {kind}, feature string, n int, start long"), "features").join(F.broadcast(sample), "doc_id")
-    # copies of one text count once: rows are told apart by how they begin
-    per_class = [F.count_distinct(F.when(c, F.col("start"))).alias(k) for k, c in (("a", F.col("y") > 0), ("b", F.col("y") <= 0))]
+    long = ws.save(rows.select("doc_id", "text", F.xxhash64("text").alias("text_key")).mapInArrow(featurise, f"doc_id {kind}, feature string, n int, text_key long"), "features").join(F.broadcast(sample), "doc_id")
+    # copies of one text count once: rows are told apart by a hash of the whole text
+    per_class = [F.count_distinct(F.when(c, F.col("text_key"))).alias(k) for k, c in (("a", F.col("y") > 0), ("b", F.col("y") <= 0))]
     n1, n0 = long.agg(*per_class).first()
     if not n1 or not n0:
         return OrdinalModel()
     df = long.groupBy("feature").agg(*per_class)
-    # one-sided two-proportion score; a feature must be at least eight times as frequent among toxic rows
+    # one-sided two-proportion score: an order, not a bound
     pooled = (F.col("a") + F.col("b")) / (n1 + n0)
     z = (F.col("a") / n1 - F.col("b") / n0) / F.sqrt(pooled * (1 - pooled) * (1 / n1 + 1 / n0) + 1e-12)
-    chosen = df.withColumn("z", z).filter((F.col("z") >= 6) & (F.col("a") >= 5) & (F.col("a") / n1 >= 8 * F.col("b") / n0)).orderBy(F.desc("z"), "feature").limit(MAX_FEATURES)
-    names = [r.feature for r in chosen.select("feature").collect()]
-    if not names:
+    more = df.withColumn("z", z).filter(F.col("a") / n1 > F.col("b") / n0).orderBy(F.desc("z"), "feature")
+    scores = {r.feature: r.z for r in more.filter("a >= 2").limit(MAX_FEATURES).collect()} or {r.feature: r.z for r in more.limit(MAX_FEATURES).collect()}
+    if not scores:  # nothing is more frequent among toxic texts
         return OrdinalModel()
-    place = {f: k for k, f in enumerate(sorted(names))}
-    keep = spark.createDataFrame([(f,) for f in names], "feature string")
+    place = {f: k for k, f in enumerate(sorted(scores))}
+    # a column scaled by s has a penalty of ridge / s**2 on its own weight
+    scale = np.array([scores[f] for f in place])
+    scale = np.minimum(1, scale / min(CLEAR, scale.max())) ** 6
+    keep = spark.createDataFrame([(f,) for f in place], "feature string")
     hits = long.join(F.broadcast(keep), "feature").groupBy("doc_id").agg(F.collect_list(F.struct("feature", "n")).alias("f"))
     data = sample.join(hits, "doc_id", "left").orderBy("doc_id").collect()
-    x = np.zeros((len(data), len(place)))
+    cells = [(k, place[f.feature], np.log1p(f.n)) for k, r in enumerate(data) for f in r.f or ()]
+    at_row, at_col, values = zip(*cells, strict=True)
+    x = Sparse(np.array(at_row), np.array(at_col), np.array(values) * scale[list(at_col)], (len(data), len(place)))
     y = np.array([int(r.y > 0) for r in data])
-    for k, r in enumerate(data):
-        for f in r.f or ():
-            x[k, place[f.feature]] = np.log1p(f.n)
     if grade_col:
         y = np.clip([int(r.grade or 0) if r.y > 0 else 0 for r in data], y, GRADES - 1)
     else:
-        found_n = (x > 0).sum(1)
+        found_n = np.bincount(x.rows, minlength=len(data))
         thirds = np.quantile(found_n[y > 0], [1 / 3, 2 / 3])
         y = np.where(y > 0, 1 + (found_n > thirds[0]) + (found_n > thirds[1]), 0)
     w, theta = fit_ordinal(x, y)
+    w = w * scale
     shift = np.log((np.sum(y > 0) / np.sum(y == 0)) / (shares.k / (shares.n - shares.k)))
     return OrdinalModel({f: float(w[k]) for f, k in place.items()}, theta, float(max(0.0, shift)))
 

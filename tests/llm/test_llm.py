@@ -289,6 +289,15 @@ def test_toxicity_held_out(spark):
     assert toxicity.toxicity(spark, docs.limit(0), lab).count() == 0
 
 
+def test_toxicity_of_few_labels(spark):
+    rows = [(i, f"a{i} b{i} c{i} " + ("vile" if i < 3 else "fine")) for i in range(30)]
+    docs = documents(spark, [*rows, (50, "quite vile"), (51, "quite fine")])
+    lab = spark.createDataFrame([(i, int(i < 3)) for i in range(30)], "doc_id long, toxic int")
+    assert {r.doc_id for r in toxicity.toxicity(spark, docs, lab).filter("toxic").collect()} == {0, 1, 2, 50}
+    one = lab.filter("doc_id = 0 or toxic = 0")
+    assert {r.doc_id for r in toxicity.toxicity(spark, docs, one).filter("toxic").collect()} >= {0}
+
+
 # 7: language
 
 

@@ -27,3 +27,11 @@ def test_stages(spark, sf):
     name, last = corpus_pipeline.STAGES[-1]
     out = last(spark, docs, sf)
     assert out.count() == n and out.filter("not round_trip").count() == 0
+
+
+def test_labelled_toxic_documents_go(spark, sf):
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    kept = {r.doc_id for r in corpus_pipeline.drop_toxic(spark, docs, sf).select("doc_id").collect()}
+    toxic = {r.doc_id: r.toxic for r in labels.collect()}
+    assert sum(toxic.values()) > 5 and not {i for i, t in toxic.items() if t} & kept
+    assert sum(i in kept for i, t in toxic.items() if not t) > 0.95 * sum(not t for t in toxic.values())
