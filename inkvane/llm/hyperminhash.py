@@ -76,8 +76,11 @@ def passes(a: np.ndarray, b: np.ndarray, n: int, m: int, percent: int) -> bool:
     return equal >= j * either - SLACK * (either * j * (1 - j)) ** 0.5 - 1
 
 
-def sketch(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5) -> DataFrame:
-    """(id, n_shingles, set_id, regs, bands); set_id names the exact set, null where it is empty."""
+def sketch(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 85) -> DataFrame:
+    """(id, n_shingles, set_id, regs, bands); set_id names the exact set, null where it is empty.
+
+    bands is empty where only an equal set can reach the threshold of ``percent``.
+    """
     import pyarrow as pa
 
     def run(batches):
@@ -89,8 +92,8 @@ def sketch(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: i
                     out.append((i, 0, None, None, None))
                     continue
                 r = registers(s)
-                # below six shingles only equal sets can reach the threshold
-                keys = bands(r).view(np.int64) if len(s) >= 6 else np.empty(0, np.int64)
+                # the most similar other set has one shingle more
+                keys = bands(r).view(np.int64) if 100 * len(s) >= percent * (len(s) + 1) else np.empty(0, np.int64)
                 out.append((i, len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), r.tobytes(), keys))
             kinds = [b.schema.field(0).type, pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64())]
             yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [[]] * 5, kinds, strict=True)], names=["id", "n_shingles", "set_id", "regs", "bands"])
@@ -145,7 +148,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     ws = Workspace(spark, "hyperminhash")
     docs = fresh(docs, id_col, text_col)
-    all_rows = ws.save(sketch(docs, id_col, text_col), "sketches")
+    all_rows = ws.save(sketch(docs, id_col, text_col, percent=percent), "sketches")
     usable = all_rows.filter("set_id is not null and id is not null")
     first = ws.save(usable.groupBy("set_id").agg(F.min("id").alias("rep")), "sets")
     member = ws.save(usable.select("id", "set_id").join(first, "set_id").select("id", "rep"), "classes")

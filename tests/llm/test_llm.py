@@ -158,6 +158,20 @@ def test_near_duplicates_equal_brute_force(spark):
     assert hyperminhash.near_duplicates(documents(spark, [])).count() == 0
 
 
+def test_short_near_duplicates_at_80_equal_brute_force(spark):
+    rnd, rows = random.Random(8), []
+    for n in (5, 6, 7, 8, 9, 10):
+        for _ in range(15):
+            words = [f"w{rnd.randrange(10**6)}" for _ in range(n)]
+            rows += [words, [*words, "z"], ["y", *words]]
+    rows = [(i, " ".join(w)) for i, w in enumerate(rows)]
+    sets = {i: set(shingle_set(t).tolist()) for i, t in rows}
+    links = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    assert {len(sets[a]) for a, _ in links} >= {4, 5, 6}
+    got = {r.doc_id: r.component_id for r in hyperminhash.near_duplicates(documents(spark, rows), percent=80).collect()}
+    assert got == groups(sets, links)
+
+
 def test_hyperminhash_estimates():
     rng = np.random.default_rng(0)
     both, a, b = (rng.integers(0, 2**63, n).astype(np.uint64) for n in (800, 100, 100))
