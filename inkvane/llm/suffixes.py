@@ -76,7 +76,7 @@ def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50) -> DataFrame:
+def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, within: bool = False) -> DataFrame:
     """Passages of at least ``length`` words that an earlier document holds too.
 
     (id, text_key, start_word, end_word, first_id): each maximal passage in a
@@ -84,6 +84,10 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     occur in a document with a smaller id; ``first_id`` is such an earlier document.
     A-Z compare as lower case, words are runs without ASCII white space.
 
+    within: a window counts as repeated from its second occurrence on in the order
+    of (id, text_key, start), so repeats inside a document, and in rows that share
+    an id with other texts, are found too; ``first_id`` may then be the id itself.
+
     Null or short texts hold no passage; rows with a null id are left alone; rows
     that repeat an id are one document for this purpose, and ``text_key`` tells
     their texts apart; an empty table gives an empty result; extra columns are
@@ -117,21 +121,29 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                 yield pa.record_batch([pa.array(h), pa.array([i] * len(h), b.schema.field(0).type), pa.array([key] * len(h), pa.int64()), pa.array(starts.astype(np.int32))], names=["window", "id", "text_key", "lo"])
 
     all_rows = ws.save(texts.mapInArrow(suffixes, f"seed long, id {kind}, text_key long, lo int, hi int, stretch long"), "retained")
-    seeds = all_rows.groupBy("seed").agg(F.min("id").alias("a"), F.max("id").alias("b"), F.min("stretch").alias("c"), F.max("stretch").alias("d")).filter("a < b")
-    seeds = ws.save(seeds.select("seed", (F.col("c") < F.col("d")).alias("several")), "seeds")
+    ends = [g(c).alias(f"{c}_{n}") for c in ("id", "stretch", *(("text_key", "lo") if within else ())) for n, g in enumerate((F.min, F.max))]
+    seeds = all_rows.groupBy("seed").agg(*ends).filter("id_0 < id_1" + (" or text_key_0 < text_key_1 or lo_0 < lo_1" if within else ""))
+    seeds = ws.save(seeds.select("seed", (F.col("stretch_0") < F.col("stretch_1")).alias("several")), "seeds")
     rows = ws.save(all_rows.join(seeds, "seed"), "repeated")
     ws.drop(all_rows)
-    firsts = rows.groupBy("seed", "stretch").agg(F.min(F.struct("id", "text_key", "lo", "hi")).alias("f"), F.max("id").alias("last"), F.max("several").alias("several"))
+    place = F.struct("id", "text_key", "lo")
+    firsts = rows.groupBy("seed", "stretch").agg(F.min(F.struct("id", "text_key", "lo", "hi")).alias("f"), F.max(place).alias("last"), F.max("several").alias("several"))
     firsts = ws.save(firsts.select("seed", "stretch", "several", "last", "f.*"), "firsts")
-    again = firsts.filter("id < last").select("seed", "stretch", F.col("id").alias("first_id"))
-    whole = rows.join(ws.save(again, "again"), ["seed", "stretch"]).filter("first_id < id").select("id", "text_key", "lo", (F.col("hi") + length).alias("end"), "first_id")
-
-    # where the stretches of a seed differ, the first holder of each is compared with the others window by window
-    edge = ws.save(firsts.filter("several").groupBy("id", "text_key").agg(F.collect_list(F.struct("lo", "hi")).alias("runs")), "edges")
+    first_cols = [F.col("id").alias("first_id"), F.col("text_key").alias("first_key"), F.col("lo").alias("first_lo")]
+    # an occurrence that overlaps the first one in its own text is no repeat: the first one stays whole
+    repeat = "first_id < id" + (f" or first_key <> text_key or lo >= first_lo + {length}" if within else "")
+    again = ws.save(firsts.filter(F.col("last") > place).select("seed", "stretch", *first_cols), "again")
+    same = rows.join(again, ["seed", "stretch"])
+    whole = same.filter(repeat).select("id", "text_key", "lo", (F.col("hi") + length).alias("end"), "first_id")
+
+    # where the stretches of a seed differ, the first holder of each, and those that do not repeat it, are compared with the others window by window
+    apart = same.filter(f"several and not ({repeat})").select("id", "text_key", "lo", "hi")
+    edge = ws.save(firsts.filter("several").select("id", "text_key", "lo", "hi").unionByName(apart).groupBy("id", "text_key").agg(F.collect_list(F.struct("lo", "hi")).alias("runs")), "edges")
     parts = texts.join(edge, ["id", "text_key"]).select("id", "text_key", "runs", "text").mapInArrow(windows, f"window long, id {kind}, text_key long, lo int")
     parts = ws.save(parts, "windows")
-    first = ws.save(parts.groupBy("window").agg(F.min("id").alias("first_id"), F.max("id").alias("last")).filter("first_id < last").select("window", "first_id"), "first-windows")
-    part = parts.join(first, "window").filter("first_id < id").select("id", "text_key", "lo", (F.col("lo") + length).alias("end"), "first_id")
+    first = parts.groupBy("window").agg(F.min(place).alias("f"), F.max(place).alias("last")).filter("f < last").select("window", "f.*")
+    first = ws.save(first.select("window", *first_cols), "first-windows")
+    part = parts.join(first, "window").filter(repeat).select("id", "text_key", "lo", (F.col("lo") + length).alias("end"), "first_id")
 
     def join_up(batches):
         for b in batches:
@@ -161,14 +173,14 @@ def cut_words(text: str, spans: list[tuple[int, int]]) -> str:
 
 
 def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents, each repeated passage cut from all but the first document that holds it.
+    """The documents, each repeated passage cut from all but its first occurrence, repeats inside a document included.
 
     Columns and rows stay, but for documents of which nothing but white space is
     left; texts without a repeated passage are unchanged.
     """
     import pyarrow as pa
 
-    found = repeated_passages(docs, id_col, text_col, length)
+    found = repeated_passages(docs, id_col, text_col, length, within=True)
     spans = found.groupBy(id_col, "text_key").agg(F.array_sort(F.collect_list(F.struct(F.col("start_word").alias("a"), F.col("end_word").alias("b")))).alias("spans"))
     spans = Workspace(docs.sparkSession, "suffixes").save(spans.select(F.col(id_col).alias("_k"), F.col("text_key").alias("_h"), F.col("spans").alias("_s")), "spans")
     key = F.xxhash64(text_col)

@@ -227,6 +227,32 @@ def test_repeated_passages_equal_brute_force(spark):
     assert suffixes.repeated_passages(documents(spark, [])).count() == 0
 
 
+def brute_occurrences(rows):
+    texts = sorted({(i, key, tuple(suffixes.words_of(t))) for i, t, key in rows})
+    first, out = {}, set()
+    for i, key, w in texts:
+        for p in range(len(w) - 49):
+            first.setdefault(w[p : p + 50], (i, key, p))
+    for i, key, w in texts:
+        firsts = [first[w[p : p + 50]] for p in range(len(w) - 49)]
+        out |= {(i, key, a, b) for a, b in suffixes.merge([(p, p + 50) for p, f in enumerate(firsts) if f[:2] != (i, key) or p >= f[2] + 50])}
+    return out
+
+
+def test_repeats_inside_documents_equal_brute_force(spark):
+    rnd = random.Random(11)
+    words = lambda n: [f"q{rnd.randrange(100_000)}" for _ in range(n)]
+    p, q, s = words(60), words(90), words(7)
+    texts = [(1, p + words(20) + p + words(5) + p[:55]), (2, words(30) + q + words(3)), (2, q + words(40)), (3, s * 30), (4, q[10:80] + q[10:80] + words(9)), (5, ["a"] * 400), (6, words(80)), (7, p[:49] + words(3) + p[:49]), (8, words(9) + s * 12 + words(70) + s * 12)]
+    df = documents(spark, [(i, " ".join(w)) for i, w in texts])
+    rows = [(r.doc_id, r.text, r.k) for r in df.selectExpr("doc_id", "text", "xxhash64(text) as k").collect()]
+    got = {(r.doc_id, r.text_key, r.start_word, r.end_word) for r in suffixes.repeated_passages(df, within=True).collect()}
+    assert got == brute_occurrences(rows) and {i for i, *_ in got} == {1, 2, 3, 4, 5, 8}
+    assert {(r.doc_id, r.start_word, r.end_word) for r in suffixes.repeated_passages(df).collect()} == brute_spans([(i, t) for i, t, _ in rows])
+    left = {r.doc_id: r.text.split() for r in suffixes.remove_repeats(df.filter("doc_id in (1, 5)")).collect()}
+    assert left[1] == texts[0][1][:80] + texts[0][1][140:145] and left[5] == ["a"] * 50
+
+
 def test_near_vectors_equal_brute_force(spark):
     rng = np.random.default_rng(2)
     base = rng.normal(size=(300, 16))
