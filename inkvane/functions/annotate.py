@@ -14,6 +14,7 @@ from collections.abc import Callable
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from . import lexicons as L
 
@@ -204,7 +205,10 @@ def edit_distance(a: list[str], b: list[str]) -> int:
 
 
 def pair_distances(pairs: DataFrame, embedder: Callable[[], HashedEmbedder] = HashedEmbedder) -> DataFrame:
-    """(id, trans_word_edit_distance, trans_semantic_similarity) of (id, orig, rewrite); the similarity is null for an empty side."""
+    """(id, trans_word_edit_distance, trans_semantic_similarity, trans_char_edit_distance) of (id, orig, rewrite).
+
+    The similarity is null for an empty side. The character distance counts code points of any text, over the longer one's length.
+    """
 
     def run(batches):
         model = embedder()
@@ -214,6 +218,9 @@ def pair_distances(pairs: DataFrame, embedder: Callable[[], HashedEmbedder] = Ha
                 x, y = (o or "").lower().split(), (w or "").lower().split()
                 e = model.encode([o or "", w or ""])
                 rows.append((i, edit_distance(x, y) / max(len(x), len(y), 1), float(e[0] @ e[1]) if e.any(1).all() else None))
-            yield pd.DataFrame(rows, columns=["id", "trans_word_edit_distance", "trans_semantic_similarity"])
+            out = pd.DataFrame(rows, columns=["id", "trans_word_edit_distance", "trans_semantic_similarity"])
+            yield out.assign(trans_char_edit_distance=b["chars"].to_numpy())
 
-    return pairs.select("id", "orig", "rewrite").mapInPandas(run, "id long, trans_word_edit_distance double, trans_semantic_similarity double")
+    o, w = (F.coalesce(c, F.lit("")) for c in ("orig", "rewrite"))
+    chars = F.levenshtein(o, w) / F.greatest(F.length(o), F.length(w), F.lit(1))
+    return pairs.select("id", "orig", "rewrite", chars.alias("chars")).mapInPandas(run, "id long, trans_word_edit_distance double, trans_semantic_similarity double, trans_char_edit_distance double")

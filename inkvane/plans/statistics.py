@@ -233,7 +233,7 @@ def kde_density(d):
 
 
 def transformation(d):
-    """Length ratios, vocabulary overlap and normalised edit distance of each pair (ASCII texts up to 500 characters for the distance)."""
+    """Length ratios, vocabulary overlap and normalised edit distance of each pair (the distance of ASCII texts only, as DuckDB counts bytes; ``pair_distances`` has it for every pair)."""
     ascii_ = d.matches("orig || rewrite", r"^[\x00-\x7F]*$")
     ow, rw = (d.tokens(x, r"[^ \t\n\r]+") for x in ("lower(orig)", "lower(rewrite)"))
     return f"""WITH {pairs(d)}, t AS (SELECT id, orig, rewrite, {d.distinct(ow)} AS a, {d.distinct(rw)} AS b, CAST({d.size(ow)} AS DOUBLE) AS na, CAST({d.size(rw)} AS DOUBLE) AS nb, {ascii_} AS plain FROM pairs WHERE orig IS NOT NULL AND rewrite IS NOT NULL),

@@ -146,6 +146,18 @@ def test_student_tail_and_edit_distance(spark):
     assert got[1] == (0.0, pytest.approx(1.0)) and got[2] == (1.0, None) and got[3] == (0.0, None)
 
 
+def test_char_edit_distance_of_any_text(spark):
+    from inkvane.functions.annotate import edit_distance, pair_distances
+
+    texts = ["", "naïve café", "naive cafe", "中文字", "中x字 é", "😀a😀", "a😀", "e\u0301", "\u00e9", "plain", None]
+    rows = [(i * 100 + j, a, b) for i, a in enumerate(texts) for j, b in enumerate(texts)]
+    got = {r.id: r.trans_char_edit_distance for r in pair_distances(spark.createDataFrame(rows, "id long, orig string, rewrite string")).collect()}
+    assert len(got) == len(rows)
+    for i, a, b in rows:
+        a, b = a or "", b or ""
+        assert got[i] == pytest.approx(edit_distance(list(a), list(b)) / max(len(a), len(b), 1))
+
+
 def test_endpoints():
     from inkvane.sources import endpoints
 
