@@ -117,6 +117,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", grade_col:
     sample = ws.save(parts[0].unionByName(parts[1]), "sample")
     rows = fresh(docs, "doc_id", "text").join(F.broadcast(sample), "doc_id").filter(F.col("text").isNotNull())
     import pyarrow as pa
+    import pyarrow.compute as pc
 
     def featurise(batches):
         for b in batches:
@@ -151,15 +152,16 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", grade_col:
     # a column scaled by s has a penalty of ridge / s**2 on its own weight
     scale = np.array([scores[f] for f in place])
     scale = np.minimum(1, scale / min(CLEAR, scale.max())) ** 6
-    keep = spark.createDataFrame([(f,) for f in place], "feature string")
-    hits = long.join(F.broadcast(keep), "feature").groupBy("doc_id").agg(F.collect_list(F.struct("feature", "n")).alias("f"))
-    data = sample.join(hits, "doc_id", "left").orderBy("doc_id").collect()
-    cells = [(k, place[f.feature], np.log1p(f.n)) for k, r in enumerate(data) for f in r.f or ()]
-    at_row, at_col, values = zip(*cells, strict=True)
-    x = Sparse(np.array(at_row), np.array(at_col), np.array(values) * scale[list(at_col)], (len(data), len(place)))
-    y = np.array([int(r.y > 0) for r in data])
+    keep = spark.createDataFrame(list(place.items()), "feature string, col int")
+    # as columns: rows of objects would take the driver's memory; rows that repeat an id count once
+    cells = long.join(F.broadcast(keep), "feature").groupBy("doc_id", "col").agg(F.max("n").alias("n")).orderBy("doc_id", "col").toArrow()
+    data = sample.orderBy("doc_id").toArrow()
+    at_row = pc.index_in(cells["doc_id"], data["doc_id"]).to_numpy()
+    at_col = cells["col"].to_numpy()
+    x = Sparse(at_row, at_col, np.log1p(cells["n"].to_numpy()) * scale[at_col], (len(data), len(place)))
+    y = (data["y"].to_numpy() > 0).astype(int)
     if grade_col:
-        y = np.clip([int(r.grade or 0) if r.y > 0 else 0 for r in data], y, GRADES - 1)
+        y = np.clip(np.where(y > 0, [int(g or 0) for g in data["grade"].to_pylist()], 0), y, GRADES - 1)
     else:
         found_n = np.bincount(x.rows, minlength=len(data))
         thirds = np.quantile(found_n[y > 0], [1 / 3, 2 / 3])
