@@ -172,6 +172,26 @@ def test_short_near_duplicates_at_80_equal_brute_force(spark):
     assert got == groups(sets, links)
 
 
+@pytest.mark.parametrize("percent", [80, 85])
+@pytest.mark.parametrize("unit", [(4096, 1 << 20), (16, 1 << 20), (4096, 700)])
+def test_dense_group_of_many_components_equals_brute_force(spark, percent, unit):
+    """Copies of one text with one to six changed words each: many links, many documents without any."""
+    rnd = random.Random(percent)
+    base = [f"w{rnd.randrange(10**6)}" for _ in range(150)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, 220):
+        words = list(base)
+        for _ in range(rnd.randrange(1, 7)):
+            words[rnd.randrange(len(words))] = f"x{rnd.randrange(10**6)}"
+        rows.append((i, " ".join(words[: rnd.choice([150, 150, 130])])))
+    sets = {i: set(shingle_set(t).tolist()) for i, t in rows}
+    links = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])]
+    want = groups(sets, links)
+    assert len(set(want.values())) > 10
+    got = hyperminhash.near_duplicates(documents(spark, rows), percent=percent, unit_rows=unit[0], unit_shingles=unit[1]).collect()
+    assert {r.doc_id: r.component_id for r in got} == want
+
+
 def test_hyperminhash_estimates():
     rng = np.random.default_rng(0)
     both, a, b = (rng.integers(0, 2**63, n).astype(np.uint64) for n in (800, 100, 100))
