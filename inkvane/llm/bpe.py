@@ -16,7 +16,7 @@ import unicodedata
 import numpy as np
 import regex
 
-from .common import spans_of_words
+from .common import distinct_words, spans_of_words
 
 # Fixed values of the vocabulary file: its white space class (Unicode White_Space) and its word pattern.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -33,13 +33,15 @@ NEWER = (
 )
 LETTER, NUMBER = rf"[\p{{L}}--[{NEWER}]]", rf"[\p{{N}}--[{NEWER}]]"
 WORDS = regex.compile(rf"(?V1)'s|'t|'re|'ve|'m|'ll|'d|{LETTER}+|{NUMBER}|(?:(?!{LETTER}|{NUMBER})[^{SPACE}])+")
-ODD_SPACE = regex.compile(r"[\x1c-\x1f]")
+ODD_SPACE = re.compile(r"[\x1c-\x1f]")
 # Capitals that this Python's tables may not know (Unicode 16 and 17) and their small letters.
 CAPITALS = {0x1C89: 0x1C8A, 0xA7CB: 0x0264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x019B}
 CAPITALS |= {c: c + 0x20 for c in range(0x10D50, 0x10D66)} | {c: c + 0x1B for c in range(0x16EA0, 0x16EB9)}
-NEW_CAPITAL = regex.compile("[" + "".join(map(chr, CAPITALS)) + "]")
-WIDE_SPACE = regex.compile(r"[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
-REMEMBERED = 600_000
+#: Without one of these bytes a text has none of them.
+CAPITAL_LEADS = sorted({chr(c).encode()[:-1] for c in CAPITALS})
+WIDE_SPACE = re.compile(r"[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+#: Words and chunks that a worker remembers, and their bytes together.
+REMEMBERED, REMEMBERED_BYTES = 600_000, 1 << 26
 
 
 ASCII_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
@@ -86,7 +88,8 @@ class WordVocabulary:
             text = unicodedata.normalize("NFC", text)
             if "Σ" in text:
                 text = text.replace("Σ", "σ")  # character by character there is no final form
-            if NEW_CAPITAL.search(text):
+            raw = text.encode("utf-8", "surrogatepass")
+            if any(x in raw for x in CAPITAL_LEADS):
                 text = text.translate(CAPITALS)
         return text.lower()
 
@@ -153,18 +156,21 @@ class TokenCounter:
         self.v = WordVocabulary(path)
         self.words: dict[str, int] = {}
         self.of_chunk: dict[str, int] = {}
+        self.held = 0
 
     def chunk(self, chunk: str) -> int:
         total = 0
         for w in words_in(chunk):
             n = self.words.get(w)
             if n is None:
-                if len(self.words) >= REMEMBERED:
-                    self.words.clear()
                 n = self.words[w] = merged_length(self.v.symbols(w), self.v.ranks)
+                self.held += len(w)
             total += n
-        if len(self.of_chunk) >= REMEMBERED:
+        self.held += len(chunk)
+        if len(self.of_chunk) >= REMEMBERED or len(self.words) >= REMEMBERED or 4 * self.held > REMEMBERED_BYTES:
+            self.words.clear()
             self.of_chunk.clear()
+            self.held = 0
         self.of_chunk[chunk] = total
         return total
 
@@ -185,9 +191,9 @@ class TokenCounter:
 class TokenEncoder:
     """Identifiers of whole texts by the tokenizers library, word by remembered word.
 
-    A batch's texts are laid out in one buffer; word boundaries, word hashes and
-    the distinct words among them are found with array operations, so Python
-    touches each distinct word of a batch once. Words not met before go to the
+    A batch's texts are laid out in one buffer; word boundaries and the distinct
+    words among them (told apart by their bytes) are found with array operations,
+    so Python touches each distinct word of a batch once. Words not met before go to the
     library's own model together, in space-joined strings.
     """
 
@@ -208,7 +214,7 @@ class TokenEncoder:
         self.words: dict[str, int] = {}
         self.chunks: dict[bytes, int] = {}
         self.pool = np.empty(1 << 20, self.kind)
-        self.used = 0
+        self.used = self.held = 0
 
     def store(self, ids: np.ndarray) -> int:
         """Append to the pool; where it began."""
@@ -234,6 +240,7 @@ class TokenEncoder:
 
     def learn_chunks(self, chunks: list[bytes]) -> None:
         found = [words_in(c.decode()) for c in chunks]
+        self.held += 2 * sum(map(len, chunks))
         self.learn(list({w for ws in found for w in ws if w not in self.words}))
         for c, ws in zip(chunks, found, strict=True):
             if len(ws) == 1:
@@ -263,10 +270,10 @@ class TokenEncoder:
         if not raws:
             return []
         data = b" ".join(raws) + b" "
-        starts, stops, hashes = spans_of_words(np.frombuffer(data, np.uint8), part_marks=True)
-        _, first, which = np.unique(hashes, return_index=True, return_inverse=True)
+        starts, stops = spans_of_words(np.frombuffer(data, np.uint8), part_marks=True)
+        first, which = distinct_words(data, starts, stops)
         distinct = [data[a:b] for a, b in zip(starts[first].tolist(), stops[first].tolist(), strict=True)]
-        if len(self.chunks) + len(distinct) > REMEMBERED or self.used > REMEMBERED * 16:
+        if len(self.chunks) + len(distinct) > REMEMBERED or self.used > REMEMBERED * 16 or self.held > REMEMBERED_BYTES:
             self.forget()
         self.learn_chunks([c for c in distinct if c not in self.chunks])
         place = np.fromiter(map(self.chunks.__getitem__, distinct), np.int64, len(distinct))

@@ -101,8 +101,8 @@ _MARKS = np.isin(np.arange(256), list(b".,!?;:*|$%#&)\"]"))
 _ALNUM = np.array([b < 128 and chr(b).isalnum() for b in range(256)])
 
 
-def spans_of_words(data: np.ndarray, part_marks: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(starts, stops, hashes) of the words in a byte array that ends in white space.
+def spans_of_words(data: np.ndarray, part_marks: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, stops) of the words in a byte array that ends in white space.
 
     part_marks: a run of punctuation at a word's end is a word of its own where
     an ASCII letter or digit precedes it.
@@ -114,13 +114,41 @@ def spans_of_words(data: np.ndarray, part_marks: bool = False) -> tuple[np.ndarr
     starts, stops = edge[0::2], edge[1::2]
     if part_marks and len(stops):
         mark = _MARKS[data]
-        last = np.maximum.accumulate(np.where(mark, -1, np.arange(len(data))))[stops - 1]
+        last = np.maximum.accumulate(np.where(mark, -1, np.arange(len(data), dtype=np.int32)))[stops - 1]
         cut = (last + 1 < stops) & (last >= starts) & _ALNUM[data[np.maximum(last, 0)]]
         inner = last[cut] + 1
         starts, stops = np.sort(np.concatenate([starts, inner])), np.sort(np.concatenate([stops, inner]))
-    up, down = powers(len(data) + 1)
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:-1], dtype=np.uint64)])
-    return starts, stops, mixed((sums[stops] - sums[starts]) * down[starts] + (stops - starts).astype(np.uint64))
+    return starts, stops
+
+
+_TAILS = np.array([(1 << (8 * k)) - 1 for k in range(8)] + [(1 << 64) - 1], np.uint64)
+
+
+def distinct_words(data: bytes, starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first, which): an occurrence of each distinct word, and for every word the number of its distinct one.
+
+    Words are told apart by their bytes: up to 16 bytes are two integers, longer
+    words get a number by the words themselves.
+    """
+    padded = np.frombuffer(data + bytes(16), np.uint8)
+    eight = np.lib.stride_tricks.as_strided(padded[:8].view(np.uint64), (len(data) + 1,), (1,), writeable=False)
+    size = stops - starts
+    a = eight[starts] & _TAILS[np.minimum(size, 8)]
+    b = np.zeros(len(starts), np.uint64)
+    more = np.flatnonzero(size > 8)
+    b[more] = eight[starts[more] + 8] & _TAILS[np.minimum(size[more] - 8, 8)]
+    numbers: dict[bytes, int] = {}
+    for k in np.flatnonzero(size > 16).tolist():
+        b[k] = numbers.setdefault(data[starts[k] : stops[k]], len(numbers))
+    kind = np.minimum(size, 17).astype(np.uint64)
+    # long words: their first bytes do not matter beside their number
+    a[size > 16] = 0
+    key = mixed(a * np.uint64(0xBF58476D1CE4E5B9) + mixed(b + kind * np.uint64(0x9E3779B97F4A7C15)))
+    _, first, which = np.unique(key, return_index=True, return_inverse=True)
+    of = first[which]
+    if not ((a == a[of]) & (b == b[of]) & (kind == kind[of])).all():  # two words with one key: by all three columns instead
+        _, first, which = np.unique(np.stack([a, b, kind], axis=1), axis=0, return_index=True, return_inverse=True)
+    return first, which.reshape(-1)
 
 
 def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:

@@ -3,8 +3,10 @@
 A block is coded on its own by LANES states that advance together (numpy does
 one step of all lanes at once). Its header holds the decoder's states; further
 checkpoints inside it hold the states and the place in the word stream every
-CHECKPOINT steps, so that a reader may start at any of them. A CRC-32 over
-header and payload guards each block.
+CHECKPOINT steps, so that a reader may start at any of them. Every span between
+checkpoints has a CRC-32 of its own over its words and states, and the header
+one over itself, so a reader checks what it reads and no more. The header names
+the frequency table by its checksum.
 """
 
 from __future__ import annotations
@@ -15,17 +17,20 @@ import zlib
 import numpy as np
 
 SCALE_BITS = 20
-LANES = 512
-CHECKPOINT = 256
+LANES = 2048
+CHECKPOINT = 64
 LOW = np.uint64(1 << 31)
 MAGIC = b"RANS"
-HEAD = struct.Struct("<4sHHQQI")  # magic, version, lanes, symbols, words, checkpoints
+VERSION = 2
+HEAD = struct.Struct("<4sHHIQQI")  # magic, version, lanes, checksum of the table, symbols, words, checkpoints
+MARK = struct.Struct("<QQI")  # of a checkpoint: step, place among the words, checksum of its states and of the words up to the next one
 
 
 class Frequencies:
     """Counts scaled to a power of two; every symbol that occurs keeps a place."""
 
     def __init__(self, counts: np.ndarray):
+        self.checksum = zlib.crc32(np.asarray(counts, "<i8").tobytes())
         counts = np.asarray(counts, np.float64)
         total, size = counts.sum(), 1 << SCALE_BITS
         if np.count_nonzero(counts) > size:
@@ -71,25 +76,35 @@ def encode_block(symbols: np.ndarray, table: Frequencies) -> bytes:
             marks.append((t, emitted, x.astype("<u8").tobytes()))
     payload = b"".join(w.tobytes() for w in reversed(words))
     marks.reverse()
-    body = HEAD.pack(MAGIC, 1, LANES, n, emitted, len(marks)) + b"".join(struct.pack("<QQ", t, emitted - e) + states for t, e, states in marks) + payload
-    return body + struct.pack("<I", zlib.crc32(body))
+    places = [emitted - e for _, e, _ in marks] + [emitted]
+    spans = [MARK.pack(t, at, zlib.crc32(payload[4 * at : 4 * end], zlib.crc32(states))) + states for (t, _, states), at, end in zip(marks, places[:-1], places[1:], strict=True)]
+    head = HEAD.pack(MAGIC, VERSION, LANES, table.checksum, n, emitted, len(marks)) + b"".join(x[: MARK.size] for x in spans)
+    return head + struct.pack("<I", zlib.crc32(head)) + b"".join(x[MARK.size :] for x in spans) + payload
 
 
 def decode_block(data: bytes, table: Frequencies, from_checkpoint: int = 0, checkpoints: int | None = None) -> np.ndarray:
     """Symbols from a checkpoint on (0: the whole block), through so many checkpoints' spans."""
-    body, (crc,) = data[:-4], struct.unpack("<I", data[-4:])
-    if zlib.crc32(body) != crc:
-        raise ValueError("checksum mismatch: the block is damaged")
-    magic, version, lanes, n, count, marks = HEAD.unpack_from(body)
-    if magic != MAGIC or version != 1:
+    magic, version, lanes, checksum, n, count, marks = HEAD.unpack_from(data)
+    if magic != MAGIC or version != VERSION:
         raise ValueError("not a block of this format")
+    head = HEAD.size + marks * MARK.size
+    if zlib.crc32(data[:head]) != struct.unpack_from("<I", data, head)[0]:
+        raise ValueError("checksum mismatch: the block's head is damaged")
+    if checksum != table.checksum:
+        raise ValueError("the block was coded with another frequency table")
     if not n:
         return np.empty(0, np.uint32)
-    size = 16 + 8 * lanes
-    words = np.frombuffer(body, "<u4", count, HEAD.size + marks * size)
-    at = HEAD.size + from_checkpoint * size
-    first, place = struct.unpack_from("<QQ", body, at)
-    x = np.frombuffer(body, "<u8", lanes, at + 16).astype(np.uint64)
+    size, states_at = 8 * lanes, head + 4
+    payload = states_at + marks * size
+    spans = [MARK.unpack_from(data, HEAD.size + k * MARK.size) for k in range(marks)] + [(None, count, None)]
+    until = marks if checkpoints is None else min(marks, from_checkpoint + checkpoints)
+    for k in range(from_checkpoint, until):
+        words = data[payload + 4 * spans[k][1] : payload + 4 * spans[k + 1][1]]
+        if zlib.crc32(words, zlib.crc32(data[states_at + k * size : states_at + (k + 1) * size])) != spans[k][2]:
+            raise ValueError("checksum mismatch: the block is damaged")
+    words = np.frombuffer(data, "<u4", count, payload)
+    first, place, _ = spans[from_checkpoint]
+    x = np.frombuffer(data, "<u8", lanes, states_at + from_checkpoint * size).astype(np.uint64)
     steps = -(-n // lanes)
     last = steps if checkpoints is None else min(steps, first + checkpoints * CHECKPOINT)
     out = np.empty((last - first, lanes), np.uint32)

@@ -1,28 +1,36 @@
 """Token-ID output in a block format with static rANS coding (operator 5).
 
-Layout: a dataset of blocks in ascending document order. Each row is one
-independent block: its shard and number, the directory of the documents in it
-(id, place, length) and the coded identifiers of all of them. Documents never
-cross blocks, blocks are coded under one shared frequency table, carry their
-decoder checkpoints, and end in a checksum; so any block, and any span between
-checkpoints, decodes without the rest.
+Layout of a token file, a folder with two Parquet datasets:
+
+* ``blocks``, in ascending document order. Each row is one independent block: its
+  shard and number, the directory of the documents in it (id, place, length) and
+  the coded identifiers of all of them (see ``rans``).
+* ``frequencies``, one row: format version, width of identifiers, and the counts
+  of all identifiers (deflated 64-bit integers) with their CRC-32, which every
+  block's head repeats.
+
+Documents never cross blocks; blocks carry decoder checkpoints and checksums. So
+any block, and any span between checkpoints, decodes with the table and without
+the other blocks, in any process that can read the folder (``decode_folder``
+does so without Spark).
 """
 
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import accumulate
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import TokenEncoder
 from .common import Workspace, fresh
-from .rans import Frequencies, decode_block, encode_block
+from .rans import CHECKPOINT, LANES, VERSION, Frequencies, decode_block, encode_block
 
-BLOCK_TOKENS = 1 << 17
+BLOCK_TOKENS = 1 << 19
 BLOCK_SCHEMA = "shard int, block int, first_token long, n_tokens long, docs array<struct<doc_id:{kind},place:long,n:long>>, data binary"
 
 
@@ -104,6 +112,27 @@ def write_blocks(tokens: DataFrame, counts: np.ndarray, width: str, block_tokens
     return ordered.mapInArrow(run, schema)
 
 
+def write_table(spark: SparkSession, path: str, counts: np.ndarray, width: str) -> None:
+    raw = np.asarray(counts, "<i8").tobytes()
+    row = (VERSION, width, len(counts), bytearray(zlib.compress(raw)), zlib.crc32(raw))
+    spark.createDataFrame([row], "version int, width string, size int, counts binary, crc32 long").coalesce(1).write.parquet(f"{path}/frequencies")
+
+
+def _counts(version: int, size: int, counts: bytes, crc32: int) -> np.ndarray:
+    if version != VERSION:
+        raise ValueError("not a token file of this version")
+    raw = zlib.decompress(counts)
+    if zlib.crc32(raw) != crc32 or len(raw) != 8 * size:
+        raise ValueError("checksum mismatch: the frequency table is damaged")
+    return np.frombuffer(raw, "<i8")
+
+
+def read_table(spark: SparkSession, path: str) -> np.ndarray:
+    """The counts that a token file holds; as long as the vocabulary."""
+    r = spark.read.parquet(f"{path}/frequencies").first()
+    return _counts(r.version, r.size, bytes(r.counts), r.crc32)
+
+
 def read_blocks(blocks: DataFrame, counts: np.ndarray) -> DataFrame:
     """Decode every block and give each document's identifiers' place, number and CRC-32."""
     import pyarrow as pa
@@ -123,10 +152,11 @@ def read_blocks(blocks: DataFrame, counts: np.ndarray) -> DataFrame:
     return fresh(blocks, "shard", "first_token", "docs", "data").mapInArrow(run, f"doc_id {kind.simpleString()}, shard int, place long, n_tokens long, ids_crc32 long")
 
 
-def decode_documents(blocks: DataFrame, counts: np.ndarray) -> DataFrame:
-    """(doc_id, ids array<int>) from the files, for readers that want the identifiers."""
+def decode_documents(spark: SparkSession, path: str) -> DataFrame:
+    """(doc_id, ids array<int>) from a token file, for readers that want the identifiers."""
     import pyarrow as pa
 
+    blocks, counts = spark.read.parquet(f"{path}/blocks"), read_table(spark, path)
     kind = blocks.schema["docs"].dataType.elementType["doc_id"].dataType
 
     def run(batches):
@@ -141,8 +171,53 @@ def decode_documents(blocks: DataFrame, counts: np.ndarray) -> DataFrame:
     return fresh(blocks, "docs", "data").mapInArrow(run, f"doc_id {kind.simpleString()}, ids array<int>")
 
 
+def decode_folder(path: str) -> Iterator[tuple[object, np.ndarray]]:
+    """(doc_id, identifiers) of a token file that lies on a mounted disk, block by block, without Spark."""
+    import pyarrow.dataset as ds
+
+    (r,) = ds.dataset(f"{path}/frequencies", format="parquet").to_table().to_pylist()
+    table = Frequencies(_counts(r["version"], r["size"], r["counts"], r["crc32"]))
+    for b in ds.dataset(f"{path}/blocks", format="parquet").to_batches(columns=["docs", "data"], batch_size=1):
+        for docs, data in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            ids = decode_block(data, table)
+            for d in docs:
+                yield d["doc_id"], ids[d["place"] : d["place"] + d["n"]]
+
+
+def read_span(data: bytes, table: Frequencies, place: int, n: int) -> np.ndarray:
+    """Identifiers ``place`` .. ``place + n`` of a block, decoded from the checkpoint before them on."""
+    step = LANES * CHECKPOINT
+    first = place // step
+    ids = decode_block(data, table, first, -(-(place + n) // step) - first)
+    return ids[place - first * step : place - first * step + n]
+
+
+def write_token_file(docs: DataFrame, vocabulary: str, end_id: int, path: str) -> None:
+    """Encode all documents and write the token file's folder."""
+    spark = docs.sparkSession
+    ws = Workspace(spark, "tokenfile")
+    encoder = _encoder(vocabulary)
+    width, size = encoder.kind.str, max(encoder.v.size, end_id + 1)
+    tokens = ws.save(tokenize(docs, vocabulary, end_id), "ids")
+    counts = frequencies(tokens, size, width)
+    write_table(spark, path, counts, width)
+    write_blocks(tokens, counts, width).write.option("compression", "none").parquet(f"{path}/blocks")
+    ws.drop(tokens)
+
+
+def read_token_file(spark: SparkSession, path: str) -> DataFrame:
+    """(doc_id, start, n_tokens, ids_crc32) from the folder alone."""
+    blocks, counts = spark.read.parquet(f"{path}/blocks"), read_table(spark, path)
+    totals = sorted((r.shard, r.n) for r in blocks.groupBy("shard").agg(F.sum("n_tokens").alias("n")).collect())
+    bases = list(accumulate([n for _, n in totals], initial=0))
+    # one row for each partition that wrote
+    base = spark.createDataFrame([(shard, before) for (shard, _), before in zip(totals, bases, strict=False)], "shard int, base long")
+    read = read_blocks(blocks, counts).join(F.broadcast(base), "shard")
+    return read.select("doc_id", (F.col("base") + F.col("place")).alias("start"), "n_tokens", "ids_crc32")
+
+
 def token_file(docs: DataFrame, vocabulary: str, end_id: int = 2) -> DataFrame:
-    """Encode all documents, write the block files, read them back.
+    """Encode all documents, write the token file, read it back.
 
     Returns (doc_id, start, n_tokens, ids_crc32): ``start`` counts the
     identifiers of all documents before it in ascending doc_id order. Null or
@@ -152,17 +227,6 @@ def token_file(docs: DataFrame, vocabulary: str, end_id: int = 2) -> DataFrame:
     and one total for each shard reach the driver.
     """
     spark = docs.sparkSession
-    ws = Workspace(spark, "tokenfile")
-    encoder = _encoder(vocabulary)
-    width, size = encoder.kind.str, max(encoder.v.size, end_id + 1)
-    tokens = ws.save(tokenize(docs, vocabulary, end_id), "ids")
-    counts = frequencies(tokens, size, width)
-    blocks = ws.save(write_blocks(tokens, counts, width), "blocks")
-    ws.drop(tokens)
-    totals = sorted((r.shard, r.n) for r in blocks.groupBy("shard").agg(F.sum("n_tokens").alias("n")).collect())
-    bases, before = {}, 0
-    for shard, n in totals:
-        bases[shard], before = before, before + n
-    base = F.create_map(*chain.from_iterable((F.lit(k), F.lit(v)) for k, v in bases.items())) if bases else F.create_map(F.lit(0), F.lit(0))
-    read = read_blocks(blocks, counts)
-    return read.select("doc_id", (F.try_element_at(base, F.col("shard")) + F.col("place")).cast("long").alias("start"), "n_tokens", "ids_crc32")
+    path = Workspace(spark, "tokenfile").path
+    write_token_file(docs, vocabulary, end_id, path)
+    return read_token_file(spark, path)

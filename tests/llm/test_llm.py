@@ -2,7 +2,10 @@
 
 import collections
 import hashlib
+import os
 import random
+import subprocess
+import sys
 import zlib
 
 import numpy as np
@@ -14,7 +17,7 @@ import public_tokenizers
 from tokenizers import Tokenizer
 
 from inkvane.llm import bpe, chat, decontaminate, flatgraph, hyperminhash, langid, pieces, rans, suffixes, tokencount, tokenfile, toxicity
-from inkvane.llm.common import Workspace, components, shingle_set
+from inkvane.llm.common import Workspace, components, distinct_words, shingle_set, spans_of_words
 
 VOCAB, PIECES = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("piece_bpe_32k.model")
 POOL = "abcdefghijklmnopABC   \t\n.,'’!?#$%0123456789éèñßöÄÜΣσςİıﬁ中文字́̈\x1c\x1f\x85\xa0​ 　😀½²①\x00\x7f_-<|>"
@@ -89,6 +92,34 @@ def test_token_file(spark):
     assert tokenfile.token_file(documents(spark, []), VOCAB, 2).count() == 0
 
 
+def test_token_file_is_read_by_another_process_from_its_folder_alone(spark, tmp_path):
+    rows = [(k, t) for k, t in enumerate(random_texts(300, 4))]
+    path = str(tmp_path / "tokens")
+    tokenfile.write_token_file(documents(spark, rows), VOCAB, 2, path)
+    code = f"import sys; sys.path.insert(0, {os.getcwd()!r})\nfrom inkvane.llm.tokenfile import decode_folder\nfor i, ids in decode_folder({path!r}): print(i, *ids.tolist())"
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True).stdout.splitlines()
+    want = [e.ids + [2] for e in Tokenizer.from_file(VOCAB).encode_batch([t for _, t in rows], add_special_tokens=False)]
+    assert sorted(list(map(int, x.split())) for x in out) == sorted([k, *ids] for k, ids in enumerate(want))
+    assert {r.doc_id: list(r.ids) for r in tokenfile.decode_documents(spark, path).collect()} == dict(enumerate(want))
+    table = rans.Frequencies(tokenfile.read_table(spark, path))
+    block = spark.read.parquet(f"{path}/blocks").first()
+    d = block.docs[len(block.docs) // 2]
+    assert tokenfile.read_span(bytes(block.data), table, d.place, d.n).tolist() == want[d.doc_id]
+    with pytest.raises(ValueError):
+        rans.decode_block(bytes(block.data), rans.Frequencies(np.ones(5, int)))
+
+
+def test_distinct_words_go_by_their_bytes(monkeypatch):
+    rnd = random.Random(2)
+    words = ["".join(rnd.choice("ab") for _ in range(n)).encode() for n in [1, 2, 7, 8, 9, 15, 16, 17, 18, 40] * 60]
+    data = b" ".join(words) + b" "
+    for _ in range(2):
+        starts, stops = spans_of_words(np.frombuffer(data, np.uint8))
+        first, which = distinct_words(data, starts, stops)
+        assert [data[starts[f] : stops[f]] for f in first[which]] == words and len(first) == len(set(words))
+        monkeypatch.setattr("inkvane.llm.common.mixed", lambda x: x & np.uint64(7))  # all keys clash
+
+
 # 3: chat
 
 
