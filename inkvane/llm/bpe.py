@@ -226,8 +226,8 @@ class TokenEncoder:
         self.used = need
         return at
 
-    def learn(self, words: list[str]) -> None:
-        plain = [w if w.isascii() and w.isprintable() else "".join([self.v.bytes[b] for b in w.encode()]) for w in words]
+    def learn(self, known: dict, words: list, plain: list[str]) -> None:
+        """Remember in ``known`` what the library makes of the words, given as it spells them."""
         for a in range(0, len(plain), 1000):
             part = plain[a : a + 1000]
             ids = np.array(self.lib.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, self.kind)
@@ -236,12 +236,17 @@ class TokenEncoder:
                 raise ValueError("a word without an end symbol")
             at = self.store(ids)
             sizes = np.diff(stops, prepend=0)
-            self.words.update(zip(words[a : a + 1000], ((stops - sizes + at) * (1 << 24) + sizes).tolist(), strict=True))
+            known.update(zip(words[a : a + 1000], ((stops - sizes + at) * (1 << 24) + sizes).tolist(), strict=True))
 
     def learn_chunks(self, chunks: list[bytes]) -> None:
-        found = [words_in(c.decode()) for c in chunks]
         self.held += 2 * sum(map(len, chunks))
-        self.learn(list({w for ws in found for w in ws if w not in self.words}))
+        # chunks of ASCII letters are words
+        words = [c for c in chunks if c.isalpha()]
+        self.learn(self.chunks, words, b" ".join(words).decode().split(" ") if words else [])
+        chunks = [c for c in chunks if not c.isalpha()]
+        found = [words_in(c.decode()) for c in chunks]
+        new = list({w for ws in found for w in ws if w not in self.words})
+        self.learn(self.words, new, [w if w.isascii() and w.isprintable() else "".join([self.v.bytes[b] for b in w.encode()]) for w in new])
         for c, ws in zip(chunks, found, strict=True):
             if len(ws) == 1:
                 self.chunks[c] = self.words[ws[0]]
@@ -275,8 +280,12 @@ class TokenEncoder:
         distinct = [data[a:b] for a, b in zip(starts[first].tolist(), stops[first].tolist(), strict=True)]
         if len(self.chunks) + len(distinct) > REMEMBERED or self.used > REMEMBERED * 16 or self.held > REMEMBERED_BYTES:
             self.forget()
-        self.learn_chunks([c for c in distinct if c not in self.chunks])
-        place = np.fromiter(map(self.chunks.__getitem__, distinct), np.int64, len(distinct))
+        places = list(map(self.chunks.get, distinct))
+        missing = [k for k, p in enumerate(places) if p is None]
+        self.learn_chunks([distinct[k] for k in missing])
+        for k in missing:
+            places[k] = self.chunks[distinct[k]]
+        place = np.array(places, np.int64)
         size = (place & 0xFFFFFF)[which]
         begin = (place >> 24)[which]
         total = np.concatenate([[0], np.cumsum(size)])
