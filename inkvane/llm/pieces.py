@@ -170,7 +170,7 @@ class BatchFolder:
     LONGEST characters, go through ``best_path`` itself.
     """
 
-    LONGEST = 64
+    LONGEST, MET_BITS = 64, 21
 
     def __init__(self, model: PieceModel):
         self.model = model
@@ -185,7 +185,7 @@ class BatchFolder:
         self.keys, self.values = h[order], np.array(usable, np.int32)[order]
         self.maybe = np.zeros(1 << 21, bool)
         self.maybe[(self.keys & np.uint64((1 << 21) - 1)).astype(np.int64)] = True
-        self.met, self.fine = np.empty(0, np.int64), np.empty(0, bool)
+        self.met, self.fine = np.full(1 << self.MET_BITS, -1, np.int64), np.zeros(1 << self.MET_BITS, bool)
 
     @staticmethod
     def hashes(data: np.ndarray):
@@ -194,23 +194,22 @@ class BatchFolder:
         return lambda a, b: mixed((sums[b] - sums[a]) * down[a] + (b - a).astype(np.uint64))
 
     def apart(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        """``may_follow`` for arrays of pieces; each pair is decided once."""
+        """``may_follow`` for arrays of pieces; pairs met lately are remembered, each at a place of its hash."""
         key = left.astype(np.int64) * self.n + right
-        at = np.searchsorted(self.met, key)
-        known = at < len(self.met)
-        known[known] = self.met[at[known]] == key[known]
-        if not known.all():
-            new = np.unique(key[~known])
-            fine = np.array([self.model._apart(self.model.name[k // self.n], self.model.name[k % self.n]) for k in new.tolist()], bool)
-            if len(self.met) > 1_000_000:  # begin again with the pairs of this call
-                new = np.unique(key)
-                self.met, self.fine = np.empty(0, np.int64), np.empty(0, bool)
-                fine = np.array([self.model._apart(self.model.name[k // self.n], self.model.name[k % self.n]) for k in new.tolist()], bool)
-            met = np.concatenate([self.met, new])
-            order = np.argsort(met, kind="stable")
-            self.met, self.fine = met[order], np.concatenate([self.fine, fine])[order]
-            at = np.searchsorted(self.met, key)
-        return self.fine[at]
+        place = lambda k: (k.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.MET_BITS)).astype(np.int64)
+        at = place(key)
+        out, new = self.fine[at], np.flatnonzero(self.met[at] != key)
+        if len(new):
+            pairs, which = np.unique(key[new], return_inverse=True)
+            fine = np.array([self.model._apart(self.model.name[k // self.n], self.model.name[k % self.n]) for k in pairs.tolist()], bool)
+            at = place(pairs)
+            self.met[at] = pairs
+            self.fine[at] = fine
+            out[new] = fine[which]
+            # of pairs that share a place the last one stays, with its own answer
+            last = self.met[at] == pairs
+            self.fine[at[last]] = fine[last]
+        return out
 
     def fold(self, words: list[str]) -> list[bytes]:
         """Identifiers of each word, little-endian."""
