@@ -2,14 +2,17 @@
 
 A suffix is retained where the hash of its first ten words is the smallest
 among the 41 ten-word starts of some 50-word window (its minimiser); so two equal
-windows retain the same suffix, at the same place within them. Retained suffixes
-are brought together by their first ten words and then by the longest stretch
-that the windows around them cover; matches are extended to the left and right,
-window by window, up to their exact ends.
-
-Neighbours are compared by aggregation rather than in one sorted run per
-passage: minima combine before the shuffle, so a passage that a third of all
-documents share costs no task more than its own rows.
+windows retain the same suffix, at the same place within them. The retained
+suffixes of seeds that repeat, once for each distinct stretch around them, are
+sorted by the words that follow (range partitions, so that a frequent seed is
+many tasks' work). Of all suffixes, a suffix's neighbours in that order share the
+most words with it: they tell how far any match can extend to the right. A second
+sort, by the words before, tells the same for the left. Windows within both
+extents are then compared exactly, and joined up to maximal passages.
+
+At the border of a range partition a suffix lacks a neighbour; its extent there
+is taken as unlimited, so that no match is lost. Words are sorted by 16 bits of
+their hashes: a clash can only make an extent longer, never shorter.
 """
 
 from __future__ import annotations
@@ -17,12 +20,14 @@ from __future__ import annotations
 import re
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Workspace, fresh, gram_hashes, mixed, powers, rows_of, word_hashes
 
 SEED_WORDS = 10
+UNLIMITED = 1 << 30
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
@@ -53,17 +58,50 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 def retained(text: str | None, length: int) -> tuple[np.ndarray, ...]:
-    """(seed, lo, hi, stretch) of each retained suffix: windows lo..hi have it as their minimiser."""
+    """(seed, lo, hi, at, stretch) of each retained suffix, at word ``at``: windows lo..hi have it as their minimiser."""
     words = word_hashes(words_of(text))
     if len(words) < length:
-        return (np.empty(0, np.int64),) * 4
+        return (np.empty(0, np.int64),) * 5
     grams = gram_hashes(words, SEED_WORDS)
     at = minimisers(grams, length - SEED_WORDS + 1)
     lo = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
     hi = np.append(lo[1:], len(at)) - 1
-    place = (at[lo] - lo).astype(np.uint64)
-    stretch = Stretches(words)(lo, hi + length) ^ mixed(place + np.uint64(1))
-    return grams[at[lo]].view(np.int64), lo, hi, stretch.view(np.int64)
+    at = at[lo]
+    stretch = Stretches(words)(lo, hi + length) ^ mixed((at - lo).astype(np.uint64) + np.uint64(1))
+    return grams[at].view(np.int64), lo, hi, at, stretch.view(np.int64)
+
+
+def shared(values: list[bytes], seeds: np.ndarray) -> np.ndarray:
+    """For each row but the last how many 16-bit words its value shares from the start with the next row's of the same seed."""
+    size = np.array([len(v) // 2 for v in values])
+    flat = np.frombuffer(b"".join(values), "<u2")
+    begin = np.cumsum(size) - size
+    least = np.where(seeds[1:] == seeds[:-1], np.minimum(size[1:], size[:-1]), 0)
+    out = np.zeros(len(least), np.int64)
+    some = np.flatnonzero(least)
+    if len(some):
+        n = least[some]
+        first = np.cumsum(n) - n
+        step = np.arange(n.sum()) - np.repeat(first, n)
+        differ = flat[np.repeat(begin[some], n) + step] != flat[np.repeat(begin[some + 1], n) + step]
+        out[some] = np.minimum.reduceat(np.where(differ, step, np.repeat(n, n)), first)
+    return out
+
+
+def extents(batches, side: str):
+    """Pairs of a batch of sorted rows and the extents of their ``side``: the most words that a row's shares with any other row's of its seed."""
+    kept, before = None, UNLIMITED  # the last row waits for its successor
+    for b in batches:
+        if not b.num_rows:
+            continue
+        t = pa.Table.from_batches([*([kept] if kept is not None else []), b]).combine_chunks()
+        common = shared(t.column(side).to_pylist(), t.column("seed").to_numpy())
+        extent = np.maximum(np.concatenate([[before], common]), np.append(common, 0))
+        rows = t.to_batches()[0]
+        kept, before = rows.slice(t.num_rows - 1), extent[-1]
+        yield rows.slice(0, t.num_rows - 1), extent[:-1]
+    if kept is not None:
+        yield kept, np.array([UNLIMITED])
 
 
 def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -93,8 +131,6 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     their texts apart; an empty table gives an empty result; extra columns are
     not read.
     """
-    import pyarrow as pa
-
     spark = docs.sparkSession
     ws = Workspace(spark, "suffixes")
     kind = docs.schema[id_col].dataType.simpleString()
@@ -102,61 +138,102 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     def suffixes(batches):
         for b in batches:
-            ids, keys, cols = [], [], [[], [], [], []]
+            ids, keys, cols = [], [], [[], [], [], [], []]
             for i, key, text in rows_of(b):
                 got = retained(text, length)
                 ids += [i] * len(got[0])
                 keys += [key] * len(got[0])
                 for c, x in zip(cols, got, strict=True):
                     c.append(x)
-            flat = [np.concatenate(c) if c else np.empty(0, np.int64) for c in cols]
-            yield pa.record_batch([pa.array(flat[0], pa.int64()), pa.array(ids, b.schema.field(0).type), pa.array(keys, pa.int64()), pa.array(flat[1].astype(np.int32)), pa.array(flat[2].astype(np.int32)), pa.array(flat[3], pa.int64())], names=["seed", "id", "text_key", "lo", "hi", "stretch"])
+            seed, lo, hi, at, stretch = [np.concatenate(c) if c else np.empty(0, np.int64) for c in cols]
+            yield pa.record_batch([pa.array(seed, pa.int64()), pa.array(ids, b.schema.field(0).type), pa.array(keys, pa.int64()), *(pa.array(c.astype(np.int32)) for c in (lo, hi, at)), pa.array(stretch, pa.int64())], names=["seed", "id", "text_key", "lo", "hi", "at", "stretch"])
 
-    def windows(batches):
+    def contexts(batches):
+        """What surrounds each suffix: the words from it on, those before it from the last on, and the hashes of its windows."""
         for b in batches:
+            out = []
             for i, key, runs, text in rows_of(b):
                 words = word_hashes(words_of(text))
-                starts = np.unique(np.concatenate([np.arange(r["lo"], r["hi"] + 1) for r in runs]))
-                h = Stretches(words)(starts, starts + length).view(np.int64)
-                yield pa.record_batch([pa.array(h), pa.array([i] * len(h), b.schema.field(0).type), pa.array([key] * len(h), pa.int64()), pa.array(starts.astype(np.int32))], names=["window", "id", "text_key", "lo"])
-
-    all_rows = ws.save(texts.mapInArrow(suffixes, f"seed long, id {kind}, text_key long, lo int, hi int, stretch long"), "retained")
+                codes, stretches = (words >> np.uint64(48)).astype("<u2"), Stretches(words)
+                for r in runs:
+                    starts = np.arange(r["lo"], r["hi"] + 1)
+                    out.append((r["seed"], i, key, r["lo"], codes[r["at"] : r["hi"] + length].tobytes(), codes[r["lo"] : r["at"]][::-1].tobytes(), stretches(starts, starts + length).tobytes()))
+            kinds = [pa.int64(), b.schema.field(0).type, pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [[]] * 7, kinds, strict=True)], names=["seed", "id", "text_key", "lo", "right", "left", "windows"])
+
+    def to_right(batches):
+        for b, extent in extents(batches, "right"):
+            yield b.append_column("extent", pa.array(np.minimum(extent, UNLIMITED).astype(np.int32)))
+
+    def to_left(batches):
+        for b, extent in extents(batches, "left"):
+            # window number k of a suffix begins at most ``extent`` words before it and ends within the right extent
+            n = np.array([len(w) // 8 for w in b.column(6).to_pylist()])
+            before = np.array([len(x) // 2 for x in b.column(5).to_pylist()])
+            first = np.maximum(0, before - extent)
+            last = np.minimum(n - 1, before + b.column(7).to_numpy() - length)
+            keep = np.maximum(0, last - first + 1)
+            row = np.repeat(np.arange(len(n)), keep)
+            k = first[row] + np.arange(len(row)) - np.repeat(np.cumsum(keep) - keep, keep)
+            h = np.frombuffer(b"".join(b.column(6).to_pylist()), np.int64)[(np.cumsum(n) - n)[row] + k]
+            lo = b.column(3).to_numpy()[row]
+            yield pa.record_batch([pa.array(h, pa.int64()), b.column(1).take(pa.array(row)), b.column(2).take(pa.array(row)), pa.array((lo + k).astype(np.int32)), pa.array(lo, pa.int32())], names=["window", "id", "text_key", "lo", "run"])
+
+    def in_order(rows: DataFrame, side: str) -> DataFrame:
+        return rows.repartitionByRange("seed", side).sortWithinPartitions("seed", side)
+
+    all_rows = ws.save(texts.mapInArrow(suffixes, f"seed long, id {kind}, text_key long, lo int, hi int, at int, stretch long"), "retained")
     ends = [g(c).alias(f"{c}_{n}") for c in ("id", "stretch", *(("text_key", "lo") if within else ())) for n, g in enumerate((F.min, F.max))]
     seeds = all_rows.groupBy("seed").agg(*ends).filter("id_0 < id_1" + (" or text_key_0 < text_key_1 or lo_0 < lo_1" if within else ""))
     seeds = ws.save(seeds.select("seed", (F.col("stretch_0") < F.col("stretch_1")).alias("several")), "seeds")
     rows = ws.save(all_rows.join(seeds, "seed"), "repeated")
     ws.drop(all_rows)
     place = F.struct("id", "text_key", "lo")
-    firsts = rows.groupBy("seed", "stretch").agg(F.min(F.struct("id", "text_key", "lo", "hi")).alias("f"), F.max(place).alias("last"), F.max("several").alias("several"))
+    firsts = rows.groupBy("seed", "stretch").agg(F.min(F.struct("id", "text_key", "lo", "hi", "at")).alias("f"), F.max(place).alias("last"), F.max("several").alias("several"))
     firsts = ws.save(firsts.select("seed", "stretch", "several", "last", "f.*"), "firsts")
     first_cols = [F.col("id").alias("first_id"), F.col("text_key").alias("first_key"), F.col("lo").alias("first_lo")]
     # an occurrence that overlaps the first one in its own text is no repeat: the first one stays whole
     repeat = "first_id < id" + (f" or first_key <> text_key or lo >= first_lo + {length}" if within else "")
     again = ws.save(firsts.filter(F.col("last") > place).select("seed", "stretch", *first_cols), "again")
     same = rows.join(again, ["seed", "stretch"])
-    whole = same.filter(repeat).select("id", "text_key", "lo", (F.col("hi") + length).alias("end"), "first_id")
-
-    # where the stretches of a seed differ, the first holder of each, and those that do not repeat it, are compared with the others window by window
-    apart = same.filter(f"several and not ({repeat})").select("id", "text_key", "lo", "hi")
-    edge = ws.save(firsts.filter("several").select("id", "text_key", "lo", "hi").unionByName(apart).groupBy("id", "text_key").agg(F.collect_list(F.struct("lo", "hi")).alias("runs")), "edges")
-    parts = texts.join(edge, ["id", "text_key"]).select("id", "text_key", "runs", "text").mapInArrow(windows, f"window long, id {kind}, text_key long, lo int")
-    parts = ws.save(parts, "windows")
+    whole = same.filter(repeat).select("id", "text_key", "lo", (F.col("hi") + length).alias("end"), "first_id", "first_key", "first_lo")
+
+    # where the stretches of a seed differ, the first holder of each, and those that do not repeat it, are sorted and compared
+    cols = ["id", "text_key", "seed", "lo", "hi", "at"]
+    apart = same.filter(f"several and not ({repeat})").select(*cols)
+    edge = firsts.filter("several").select(*cols).unionByName(apart).groupBy("id", "text_key").agg(F.collect_list(F.struct("seed", "lo", "hi", "at")).alias("runs"))
+    around = texts.join(ws.save(edge, "edges"), ["id", "text_key"]).select("id", "text_key", "runs", "text")
+    schema = f"seed long, id {kind}, text_key long, lo int, right binary, left binary, windows binary"
+    around = ws.save(around.mapInArrow(contexts, schema), "contexts")
+    bounded = ws.save(in_order(around, "right").mapInArrow(to_right, f"{schema}, extent int"), "by-right")
+    ws.drop(around)
+    parts = ws.save(in_order(bounded, "left").mapInArrow(to_left, f"window long, id {kind}, text_key long, lo int, run int"), "windows")
+    ws.drop(bounded)
     first = parts.groupBy("window").agg(F.min(place).alias("f"), F.max(place).alias("last")).filter("f < last").select("window", "f.*")
     first = ws.save(first.select("window", *first_cols), "first-windows")
-    part = parts.join(first, "window").filter(repeat).select("id", "text_key", "lo", (F.col("lo") + length).alias("end"), "first_id")
+    part_table = ws.save(parts.join(first, "window").filter(repeat).select("id", "text_key", "lo", (F.col("lo") + length).alias("end"), "first_id", "run"), "parts")
+    # what an earlier stretch holds of a first holder's windows, it holds of its copies' windows too
+    earlier = part_table.groupBy(F.col("id").alias("first_id"), F.col("text_key").alias("first_key"), F.col("run").alias("first_lo")).agg(F.min("first_id").alias("still"))
+    whole = whole.join(ws.save(earlier, "earlier"), ["first_id", "first_key", "first_lo"], "left").select("id", "text_key", "lo", "end", F.least("first_id", "still").alias("first_id"))
+    part = part_table.drop("run")
 
     def join_up(batches):
         for b in batches:
             out = []
             for i, key, spans in rows_of(b):
-                for a, e in merge([(s["lo"], s["end"]) for s in spans]):
-                    out.append((i, key, a, e, min(s["first_id"] for s in spans if a <= s["lo"] < e)))
+                last = None
+                for x in sorted(spans, key=lambda x: (x["lo"], x["end"])):
+                    if last and x["lo"] <= last[3]:
+                        last[3], last[4] = max(last[3], x["end"]), min(last[4], x["first_id"])
+                    else:
+                        last = [i, key, x["lo"], x["end"], x["first_id"]]
+                        out.append(last)
             kinds = [b.schema.field(0).type, pa.int64(), pa.int32(), pa.int32(), b.schema.field(0).type]
             yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [[]] * 5, kinds, strict=True)], names=["id", "text_key", "start_word", "end_word", "first_id"])
 
     per_doc = whole.unionByName(part).groupBy("id", "text_key").agg(F.collect_set(F.struct("lo", "end", "first_id")).alias("spans"))
     found = ws.save(per_doc.mapInArrow(join_up, f"id {kind}, text_key long, start_word int, end_word int, first_id {kind}"), "passages")
-    ws.drop(rows, parts, firsts)
+    ws.drop(rows, parts, part_table, firsts)
     return found.withColumnRenamed("id", id_col)
 
 
@@ -178,8 +255,6 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
     Columns and rows stay, but for documents of which nothing but white space is
     left; texts without a repeated passage are unchanged.
     """
-    import pyarrow as pa
-
     found = repeated_passages(docs, id_col, text_col, length, within=True)
     spans = found.groupBy(id_col, "text_key").agg(F.array_sort(F.collect_list(F.struct(F.col("start_word").alias("a"), F.col("end_word").alias("b")))).alias("spans"))
     spans = Workspace(docs.sparkSession, "suffixes").save(spans.select(F.col(id_col).alias("_k"), F.col("text_key").alias("_h"), F.col("spans").alias("_s")), "spans")

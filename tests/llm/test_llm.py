@@ -9,6 +9,7 @@ import sys
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 pytest.importorskip("inkvane.llm")
@@ -278,6 +279,26 @@ def test_repeated_passages_equal_brute_force(spark):
     assert suffixes.repeated_passages(documents(spark, [])).count() == 0
 
 
+def test_first_holder_is_the_earliest_of_any_window(spark):
+    rnd = random.Random(21)
+    words = lambda n: [f"q{rnd.randrange(100_000)}" for _ in range(n)]
+    core = words(120)
+    texts = {1: words(30) + core[20:75] + words(30), 2: words(9) + core + words(40), 3: words(50) + core + words(3), 4: core[22:110], 5: words(60)}
+    got = {(r.doc_id, r.start_word, r.end_word): r.first_id for r in suffixes.repeated_passages(documents(spark, [(i, " ".join(w)) for i, w in texts.items()])).collect()}
+    assert got == {(2, 29, 84): 1, (3, 50, 170): 1, (4, 0, 88): 1}
+
+
+def test_extents_are_the_longest_over_all_rows():
+    rnd = random.Random(3)
+    rows = sorted((rnd.randrange(3), bytes(rnd.choice([0, 0, 1, 2]) if k % 2 == 0 else 0 for k in range(2 * rnd.randrange(12)))) for _ in range(300))
+    schema = pa.schema([("seed", pa.int64()), ("right", pa.binary())])
+    batches = [pa.record_batch([pa.array([r[k] for r in rows[a : a + 37]], schema.field(k).type) for k in range(2)], schema=schema) for a in range(0, 300, 37)]
+    got = np.concatenate([e for _, e in suffixes.extents(batches, "right")])
+    alike = lambda a, b: next((k for k in range(min(len(a), len(b)) // 2) if a[2 * k : 2 * k + 2] != b[2 * k : 2 * k + 2]), min(len(a), len(b)) // 2)
+    want = [max(alike(v, w) if s == t else 0 for j, (t, w) in enumerate(rows) if j != i) for i, (s, v) in enumerate(rows)]
+    assert got[0] == got[-1] == suffixes.UNLIMITED and got[1:-1].tolist() == want[1:-1]
+
+
 def brute_occurrences(rows):
     texts = sorted({(i, key, tuple(suffixes.words_of(t))) for i, t, key in rows})
     first, out = {}, set()
