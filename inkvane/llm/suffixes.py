@@ -99,7 +99,8 @@ def extents(batches, side: str):
         extent = np.maximum(np.concatenate([[before], common]), np.append(common, 0))
         rows = t.to_batches()[0]
         kept, before = rows.slice(t.num_rows - 1), extent[-1]
-        yield rows.slice(0, t.num_rows - 1), extent[:-1]
+        if t.num_rows > 1:
+            yield rows.slice(0, t.num_rows - 1), extent[:-1]
     if kept is not None:
         yield kept, np.array([UNLIMITED])
 
@@ -168,8 +169,8 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     def to_left(batches):
         for b, extent in extents(batches, "left"):
             # window number k of a suffix begins at most ``extent`` words before it and ends within the right extent
-            n = np.array([len(w) // 8 for w in b.column(6).to_pylist()])
-            before = np.array([len(x) // 2 for x in b.column(5).to_pylist()])
+            n = np.array([len(w) // 8 for w in b.column(6).to_pylist()], np.int64)
+            before = np.array([len(x) // 2 for x in b.column(5).to_pylist()], np.int64)
             first = np.maximum(0, before - extent)
             last = np.minimum(n - 1, before + b.column(7).to_numpy() - length)
             keep = np.maximum(0, last - first + 1)

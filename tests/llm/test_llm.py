@@ -297,6 +297,7 @@ def test_extents_are_the_longest_over_all_rows():
     alike = lambda a, b: next((k for k in range(min(len(a), len(b)) // 2) if a[2 * k : 2 * k + 2] != b[2 * k : 2 * k + 2]), min(len(a), len(b)) // 2)
     want = [max(alike(v, w) if s == t else 0 for j, (t, w) in enumerate(rows) if j != i) for i, (s, v) in enumerate(rows)]
     assert got[0] == got[-1] == suffixes.UNLIMITED and got[1:-1].tolist() == want[1:-1]
+    assert [len(e) for _, e in suffixes.extents([batches[0].slice(0, 1), batches[0].slice(0, 0)], "right")] == [1]
 
 
 def brute_occurrences(rows):
