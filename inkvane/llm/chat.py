@@ -1,11 +1,11 @@
 """Chat formatting by prefix-target expansion (operator 3).
 
-Every assistant turn becomes an example of its own: all preceding turns are its
-context, and only its reply is trainable. A conversation is rendered once, turn
-by turn, into segments with character offsets; an example is a pair of spans
-over that rendering (context 0..target_start, target target_start..target_end),
-so a conversation of n turns costs n segments and not n squared characters.
-``materialise`` writes an example's text out where a consumer wants it.
+Every assistant turn is exploded into an example of its own, a row: all preceding
+turns are its context, and only its reply is trainable. A conversation is
+rendered once, turn by turn, into segments with character offsets; an example
+holds its target and names its context as the rendering's first characters, so a
+conversation of n turns costs n rows and not n squared characters.
+``materialise`` writes the contexts out too, where a consumer wants it.
 
 Template of a turn: ``### Name: `` + escaped text + ``</turn>\\n``, with the names
 System, User and Assistant for the usual roles (any other role is written out with its
@@ -99,25 +99,47 @@ def format_chat(conversations: DataFrame) -> DataFrame:
     return rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").mapInArrow(run, SEGMENTS.format(kind=kind))
 
 
+def expand(segments: DataFrame) -> DataFrame:
+    """One row per example: (conv_id, example, context_turns, context_chars, target_end, target).
+
+    The context is the first ``context_chars`` characters of the conversation's
+    rendering (its first ``context_turns`` turns and the head of the reply), the
+    target its characters from there to ``target_end``; the loss mask covers the
+    target alone.
+    """
+    target = F.col("text").substr((F.col("target_start") - F.col("start") + 1).cast("int"), (F.col("target_end") - F.col("target_start")).cast("int"))
+    return segments.filter("trainable").select("conv_id", "example", F.col("place").alias("context_turns"), F.col("target_start").alias("context_chars"), "target_end", target.alias("target"))
+
+
 def materialise(segments: DataFrame, longest: int) -> DataFrame:
-    """(conv_id, example, context, target) with whole texts, for examples of up to ``longest`` characters.
+    """(conv_id, example, part, context, target) with whole texts: one row, part 0, for examples of up to ``longest`` characters.
 
-    Longer examples stay available as spans; how much is written grows with the
-    sum of all prefixes, so the caller names the length its model can read.
+    A longer example comes in parts, a row for each turn by number, the target
+    with the last one. How much is written grows with the sum of all prefixes.
     """
-    t = segments.filter("trainable").filter(F.col("target_end") <= longest).select("conv_id", F.col("place").alias("last"), "example", "target_start", "target_end")
-    s = segments.filter(F.col("start") < longest).select("conv_id", "place", F.col("text").alias("piece"))
-    whole = s.join(t, "conv_id").filter("place <= last").groupBy("conv_id", "example", "target_start", "target_end").agg(F.array_sort(F.collect_list(F.struct("place", "piece"))).alias("p"))
-    text = F.concat_ws("", F.col("p.piece"))
-    return whole.select("conv_id", "example", text.substr(F.lit(1), F.col("target_start").cast("int")).alias("context"), text.substr((F.col("target_start") + 1).cast("int"), (F.col("target_end") - F.col("target_start")).cast("int")).alias("target"))
+    t = segments.filter("trainable").select("conv_id", F.col("place").alias("last"), "example", "target_start", "target_end")
+    pieces = segments.select("conv_id", "place", "start", F.col("text").alias("piece")).join(t, "conv_id").filter("place <= last")
+    whole = pieces.filter(F.col("target_end") <= longest).groupBy("conv_id", "example", "target_start", "target_end").agg(F.array_sort(F.collect_list(F.struct("place", "piece"))).alias("p"))
+    cut = lambda text, a, b: text.substr((a + 1).cast("int"), (b - a).cast("int"))
+    text, zero = F.concat_ws("", F.col("p.piece")), F.lit(0)
+    short = whole.select("conv_id", "example", F.lit(0).cast("long").alias("part"), cut(text, zero, F.col("target_start")).alias("context"), cut(text, F.col("target_start"), F.col("target_end")).alias("target"))
+    own, here = F.col("place") == F.col("last"), lambda c: F.col(c) - F.col("start")
+    context = F.when(own, cut(F.col("piece"), zero, here("target_start"))).otherwise(F.col("piece"))
+    target = F.when(own, cut(F.col("piece"), here("target_start"), here("target_end")))
+    return short.unionByName(pieces.filter(F.col("target_end") > longest).select("conv_id", "example", F.col("place").alias("part"), context.alias("context"), target.alias("target")))
 
 
-def read_back(segments: DataFrame) -> DataFrame:
-    """One row per conversation, from the rendered text and the loss spans alone.
+def read_back(segments: DataFrame, examples: DataFrame) -> DataFrame:
+    """One row per conversation, from the rendered turns and the examples alone.
 
     (conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars,
-    n_examples, expanded_chars). ``formatted_chars`` is the length of the
-    rendering, ``expanded_chars`` that of all examples written out.
+    n_examples, expanded_chars). Turns and roles are read from the rendering, the
+    loss from the examples' targets; an example whose context does not end where
+    its target begins in the rendering is an error. ``formatted_chars`` is the
+    length of the rendering, ``expanded_chars`` that of all examples written out.
+
+    A digest needs a conversation's turns in order, so they stream through one
+    task, which holds a batch of them at a time.
     """
     import pyarrow as pa
 
@@ -128,7 +150,8 @@ def read_back(segments: DataFrame) -> DataFrame:
         class Sums:
             def __init__(self, conv):
                 self.conv, self.turns, self.loss = conv, hashlib.sha256(), hashlib.sha256()
-                self.n = self.chars = self.formatted = self.examples = self.expanded = 0
+                self.n = self.chars = self.formatted = self.before = self.examples = self.expanded = 0
+                self.segment = ""
 
             def row(self):
                 return (self.conv, self.n, self.turns.hexdigest(), self.chars, self.loss.hexdigest(), self.formatted, self.examples, self.expanded)
@@ -136,21 +159,25 @@ def read_back(segments: DataFrame) -> DataFrame:
         now: Sums | None = None
         for b in batches:
             out = []
-            for conv, start, segment, first, last, trainable in rows_of(b):
+            for conv, is_example, text, context, end in rows_of(b):
                 if now is None or conv != now.conv:
                     if now:
                         out.append(now.row())
                     now = Sums(conv)
-                role, text = parse(segment)
-                now.turns.update(f"{role}\n{text}\n".encode("utf-8", "surrogatepass"))
-                now.n += 1
-                now.formatted += len(segment)
-                if trainable:
-                    target = unescape(segment[first - start : last - start])
+                if is_example:
+                    if now.segment[context - now.before : end - now.before] != text:
+                        raise ValueError("an example's target is not where its context ends")
+                    target = unescape(text)
                     now.loss.update(target.encode("utf-8", "surrogatepass"))
                     now.chars += len(target)
                     now.examples += 1
-                    now.expanded += last
+                    now.expanded += end
+                else:
+                    role, plain = parse(text)
+                    now.turns.update(f"{role}\n{plain}\n".encode("utf-8", "surrogatepass"))
+                    now.n += 1
+                    now.before, now.segment = now.formatted, text
+                    now.formatted += len(text)
             yield pack(out, b.schema.field(0).type)
             kind_ = b.schema.field(0).type
         if now:
@@ -160,12 +187,15 @@ def read_back(segments: DataFrame) -> DataFrame:
         kinds = [k, pa.int64(), pa.string(), pa.int64(), pa.string(), *[pa.int64()] * 3]
         return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)] if rows else [pa.array([], t) for t in kinds], names=names)
 
-    s = segments.select("conv_id", "start", "text", "target_start", "target_end", "trainable", "place")
-    s = s.repartition("conv_id").sortWithinPartitions("conv_id", "place").drop("place")
+    none = F.lit(None).cast("long")
+    turns = segments.select("conv_id", "place", F.lit(False).alias("is_example"), "text", none.alias("context"), none.alias("end"))
+    targets = examples.select("conv_id", F.col("context_turns").alias("place"), F.lit(True).alias("is_example"), F.col("target").alias("text"), F.col("context_chars").alias("context"), F.col("target_end").alias("end"))
+    s = turns.unionByName(targets).repartition("conv_id").sortWithinPartitions("conv_id", "place", "is_example").drop("place")
     return s.mapInArrow(run, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_examples long, expanded_chars long")
 
 
 def chat_digest(spark: SparkSession, conversations: DataFrame) -> DataFrame:
-    """Format, write, and read back; see ``format_chat`` and ``read_back``."""
+    """Format, explode into examples, write both, and read back; see ``format_chat``, ``expand`` and ``read_back``."""
     ws = Workspace(spark, "chat")
-    return read_back(ws.save(format_chat(conversations), "segments"))
+    segments = ws.save(format_chat(conversations), "segments")
+    return read_back(segments, ws.save(expand(segments), "examples"))

@@ -142,6 +142,19 @@ def test_chat_digests(spark):
     whole = chat.materialise(chat.format_chat(df), 10_000).filter("conv_id = 1").orderBy("example").collect()
     assert len(whole) == 3 and whole[1].context.startswith(whole[0].context) and chat.unescape(whole[0].target) == "b ###"
     assert chat.chat_digest(spark, df.limit(0)).count() == 0
+    examples = {(r.conv_id, r.example): r for r in chat.expand(chat.format_chat(df)).collect()}
+    assert len(examples) == 4 and all(len(w.context) == examples[1, w.example].context_chars and w.target == examples[1, w.example].target for w in whole)
+    parts = chat.materialise(chat.format_chat(df), 1).filter("conv_id = 1").orderBy("example", "part").collect()
+    for w in whole:
+        mine = [p for p in parts if p.example == w.example]
+        assert "".join(p.context for p in mine) == w.context and [p.target for p in mine if p.target is not None] == [w.target] and len(mine) == examples[1, w.example].context_turns + 1
+
+
+def test_chat_of_a_long_conversation(spark):
+    rows = [(5, k, "assistant" if k % 2 else "user", f"### {k} \\ </turn>" * (3000 if k == 41 else 1)) for k in range(1500)]
+    (got,) = chat.chat_digest(spark, spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    assert got.n_turns == 1500 and got.n_examples == 750 and got.loss_sha256 == hashlib.sha256("".join(t for _, k, _, t in rows if k % 2).encode()).hexdigest()
+    assert got.turns_sha256 == hashlib.sha256("".join(f"{r}\n{t}\n" for _, _, r, t in rows).encode()).hexdigest()
 
 
 # 6, 8, 9: duplicates
