@@ -6,12 +6,16 @@ robust rule (a neighbour is dropped when an already chosen one is much nearer to
 it); a vector's lists from all its shards are united. Every vector is then sought
 in the shard of its nearest centroid: greedily from the shard's medoid, then by
 expanding everything found within the range. Links are confirmed by the cosine in
-double precision. Recall is audited against brute force, and the overlap grows
-until it is high enough.
+double precision. Recall is audited against brute force: every vector whose id is
+divisible by 20 is compared with all vectors of its label, in blocks. The overlap
+grows until recall is high enough; if it never is, whole labels are compared in
+blocks instead.
 """
 
 from __future__ import annotations
 
+import logging
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,7 +27,9 @@ TARGET, CAPACITY = 256, 4096
 #: Vectors that the centroids may be fitted on.
 SAMPLE = 20_000
 DEGREE, POOL, ALPHA, BEAM = 24, 48, 1.2, 24
-AUDITED, ENOUGH = 256, 0.98
+#: Queries that one task seeks; of these ids' vectors the links are audited; recall that is enough; shards a vector is dealt to at most.
+CHUNK, EVERY, ENOUGH, MOST_SHARDS = 1024, 20, 0.98, 16
+_LOG = logging.getLogger(__name__)
 
 
 def robust_prune(sims: np.ndarray, pool: np.ndarray, between: np.ndarray, degree: int = DEGREE) -> np.ndarray:
@@ -129,12 +135,19 @@ def centroids(vectors: dict, counts: dict) -> dict:
 
 
 def unit(raw: bytes) -> np.ndarray:
+    """The vector at length 1; its largest component first, so that no square over- or underflows."""
     v = np.frombuffer(raw, np.float64)
+    v = v / np.abs(v).max()
     return v / np.linalg.norm(v)
 
 
 def near_vectors(vectors: DataFrame, floor: float = 0.98) -> DataFrame:
-    """One row per vector: (vec_id, n_links, component_id, kept).
+    """See ``near_vectors_and_recall``, of which this is the first part."""
+    return near_vectors_and_recall(vectors, floor)[0]
+
+
+def near_vectors_and_recall(vectors: DataFrame, floor: float = 0.98, most_shards: int = MOST_SHARDS, enough: float = ENOUGH) -> tuple[DataFrame, float]:
+    """One row per vector: (vec_id, n_links, component_id, kept); and the audited recall of the search that found them.
 
     Vectors are linked where their labels are equal and not null and their cosine
     is at least ``floor``. Equal vectors of a label are one node with a weight;
@@ -194,37 +207,44 @@ def near_vectors(vectors: DataFrame, floor: float = 0.98) -> DataFrame:
     def seek(key, pdf):
         pdf = pdf.sort_values(["id", "is_query"], kind="stable")
         node, query = pdf[~pdf["is_query"]], pdf[pdf["is_query"]]
-        empty = pd.DataFrame({"id": pd.Series([], dtype="int64"), "links": pd.Series([], dtype="int64"), "root": pd.Series([], dtype="int64")})
-        if node.empty or query.empty:
-            return empty
-        ids, weight = node["id"].to_numpy(), node["weight"].to_numpy()
-        place = {int(i): k for k, i in enumerate(ids)}
-        x = np.stack([unit(v) for v in node["v"]])
-        s = Searcher(x, [np.array([place[j] for j in near if j in place], np.int64) if near is not None else np.empty(0, np.int64) for near in node["near"]])
         got = []
-        for i, v in zip(query["id"], query["v"], strict=True):
-            found, _ = s.within(unit(v), floor, place.get(int(i)))
-            others = found[ids[found] != i]
-            got.append((i, int(weight[others].sum()), int(min(i, ids[others].min())) if len(others) else int(i)))
-        return pd.DataFrame(got, columns=["id", "links", "root"])
+        if len(node) and len(query):
+            ids, weight = node["id"].to_numpy(), node["weight"].to_numpy()
+            place = {i: k for k, i in enumerate(ids.tolist())}
+            x = np.stack([unit(v) for v in node["v"]])
+            s = Searcher(x, [np.array([place[j] for j in near if j in place], np.int64) if near is not None else np.empty(0, np.int64) for near in node["near"]])
+            for i, v in zip(query["id"].tolist(), query["v"], strict=True):
+                found, _ = s.within(unit(v), floor, place.get(i))
+                others = found[ids[found] != i]
+                got.append((i, int(weight[others].sum()), min([i, *ids[others].tolist()])))
+        return pd.DataFrame({c: pd.Series([r[k] for r in got], dtype="int64" if c == "links" else None) for k, c in enumerate(("id", "links", "root"))})
 
     id_kind = kinds["vec_id"]
+    integral = id_kind in ("tinyint", "smallint", "int", "bigint")
+    audited = nodes.filter(F.pmod(F.col("id") if integral else F.xxhash64("id"), F.lit(EVERY)) == 0)
+    truth = ws.save(in_blocks(ws, nodes, audited, floor, id_kind), "audited")
     overlap = 2
     while True:
         dealt = ws.save(nodes.select("label", "v", "id", "weight").mapInArrow(assign(overlap), f"shard string, id {id_kind}, weight long, v binary, home boolean"), "dealt")
-        sizes = ws.save(dealt.groupBy("shard").agg(F.ceil(F.count("*") / CAPACITY).cast("int").alias("pieces")), "sizes")
+        sizes = ws.save(dealt.groupBy("shard").agg(F.ceil(F.count("*") / CAPACITY).cast("int").alias("pieces"), F.ceil(F.count_if("home") / CHUNK).cast("int").alias("chunks")), "sizes")
         placed = dealt.join(sizes, "shard").withColumn("piece", F.pmod(F.xxhash64("id"), F.col("pieces")).cast("int"))
         placed = ws.save(placed, "placed")
         lists = placed.groupBy("shard", "piece").applyInPandas(graph, f"id {id_kind}, near array<{id_kind}>")
         union = ws.save(lists.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near")), "graph")
-        # queries meet every piece of their home shard, in chunks as large as pieces
-        chunk = F.sequence(F.lit(0), F.col("pieces") - 1)
-        as_nodes = placed.join(union, "id").select("shard", "piece", F.explode(chunk).alias("chunk"), "id", "weight", "v", "near", F.lit(False).alias("is_query"))
-        as_queries = placed.filter("home").select("shard", F.explode(chunk).alias("piece"), F.col("piece").alias("chunk"), "id", "weight", "v", F.lit(None).cast(f"array<{id_kind}>").alias("near"), F.lit(True).alias("is_query"))
+        # queries meet every piece of their home shard, in chunks
+        as_nodes = placed.filter("chunks > 0").join(union, "id").select("shard", "piece", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "id", "weight", "v", "near", F.lit(False).alias("is_query"))
+        mine = F.pmod(F.xxhash64("id", F.lit(1)), "chunks").cast("int").alias("chunk")
+        as_queries = placed.filter("home").select("shard", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"), mine, "id", "weight", "v", F.lit(None).cast(f"array<{id_kind}>").alias("near"), F.lit(True).alias("is_query"))
         found = as_nodes.unionByName(as_queries).groupBy("shard", "piece", "chunk").applyInPandas(seek, f"id {id_kind}, links long, root {id_kind}")
         found = ws.save(found.groupBy("id").agg(F.sum("links").alias("links"), F.collect_set("root").alias("roots")), "found")
-        recall = audit(ws, nodes, found, floor)
-        if recall >= ENOUGH or overlap >= 16:
+        recall = audit(truth, found)
+        _LOG.info("recall %.4f with %d shards for each vector", recall, overlap)
+        if recall >= enough:
+            break
+        if overlap >= most_shards:
+            found = ws.save(in_blocks(ws, nodes, nodes, floor, id_kind), "all-pairs-of-labels")
+            _LOG.warning("recall %.4f is too low with %d shards for each vector: whole labels were compared in blocks", recall, overlap)
+            recall = 1.0
             break
         overlap *= 2
     edges = found.select(F.col("id").alias("a"), F.explode("roots").alias("b")).filter("a <> b")
@@ -234,37 +254,42 @@ def near_vectors(vectors: DataFrame, floor: float = 0.98) -> DataFrame:
     linked = rows.filter("v is not null").join(per_node, ["label", "v"]).select("vec_id", "n_links", "component_id")
     alone = rows.filter("v is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     out = linked.unionByName(alone)
-    return out.select("vec_id", "n_links", F.col("component_id").cast("long").alias("component_id"), F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    component = F.col("component_id").cast("long") if integral else F.col("component_id")
+    return out.select("vec_id", "n_links", component.alias("component_id"), F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)).alias("kept")), recall
 
 
-def audit(ws: Workspace, nodes: DataFrame, found: DataFrame, floor: float) -> float:
-    """Share of true links that were found, by brute force for up to 2 * AUDITED queries against all rows.
+def in_blocks(ws: Workspace, nodes: DataFrame, queries: DataFrame, floor: float, id_kind: str) -> DataFrame:
+    """(id, links, roots) of each query by brute force: blocks of queries meet blocks of the nodes of their label.
 
-    Half of the queries are any vectors, half have found links (else few true
-    links would be looked at); both are those with the smallest id hashes.
+    Blocks have CHUNK queries and CAPACITY nodes, about, whatever the label's size.
     """
-    import pyarrow as pa
+    import pandas as pd
 
-    linked = found.filter("links > 0")
-    both = hash_sample(found, "id", AUDITED, found.count(), 7).unionByName(hash_sample(linked, "id", AUDITED, linked.count(), 7)).select("id", "links").distinct()
-    queries = both.join(nodes, "id").select("id", "links", "label", "v").collect()
-    by_key: dict = {}
-    for r in queries:
-        by_key.setdefault((r.label, len(r.v)), []).append(r)
-    asked = {k: (np.stack([unit(r.v) for r in v]), [r.id for r in v]) for k, v in by_key.items()}
+    label = [F.col("label"), F.length("v").alias("size")]
+    cut = lambda t, n, name: t.groupBy(*label).agg(F.ceil(F.count("*") / n).alias(name))
+    cuts = ws.save(cut(nodes, CAPACITY, "pieces").join(cut(queries, CHUNK, "chunks"), ["label", "size"]), "cuts")
+    dealt = lambda t: t.withColumn("size", F.length("v")).join(cuts, ["label", "size"])
+    hash_, every = F.xxhash64("id", F.lit(2)), lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+    a = dealt(nodes).select("label", "size", F.pmod(hash_, "pieces").alias("piece"), F.explode(every("chunks")).alias("chunk"), "id", "weight", "v", F.lit(False).alias("is_query"))
+    b = dealt(queries).select("label", "size", F.explode(every("pieces")).alias("piece"), F.pmod(hash_, "chunks").alias("chunk"), "id", "weight", "v", F.lit(True).alias("is_query"))
 
-    def run(batches):
-        for b in batches:
-            got: dict = {}
-            for label, v, i, w in rows_of(b):
-                if (q := asked.get((label, len(v)))) is not None:
-                    for k in np.flatnonzero(q[0] @ unit(v) >= floor):
-                        if q[1][k] != i:
-                            got[q[1][k]] = got.get(q[1][k], 0) + w
-            yield pa.record_batch([pa.array(list(got), b.schema.field(2).type), pa.array(list(got.values()), pa.int64())], names=["id", "n"])
-
-    kind = nodes.schema["id"].dataType.simpleString()
-    truth = {r.id: r.n for r in nodes.select("label", "v", "id", "weight").mapInArrow(run, f"id {kind}, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()}
-    have = {r.id: r.links for r in queries}
-    total = sum(truth.values())
-    return sum(min(n, have.get(i, 0)) for i, n in truth.items()) / total if total else 1.0
+    def compare(pdf):
+        node, query = pdf[~pdf["is_query"]], pdf[pdf["is_query"]]
+        got = []
+        if len(node) and len(query):
+            ids, weight, x = node["id"].to_numpy(), node["weight"].to_numpy(), np.stack([unit(v) for v in node["v"]])
+            for i, v in zip(query["id"].tolist(), query["v"], strict=True):
+                hit = np.flatnonzero((x @ unit(v) >= floor) & (ids != i))
+                got.append((i, int(weight[hit].sum()), min([i, *ids[hit].tolist()])))
+        return pd.DataFrame({c: pd.Series([r[k] for r in got], dtype="int64" if c == "links" else None) for k, c in enumerate(("id", "links", "root"))})
+
+    found = a.unionByName(b).groupBy("label", "size", "piece", "chunk").applyInPandas(compare, f"id {id_kind}, links long, root {id_kind}")
+    return found.groupBy("id").agg(F.sum("links").alias("links"), F.collect_set("root").alias("roots"))
+
+
+def audit(truth: DataFrame, found: DataFrame) -> float:
+    """Recall of the found links against brute force: by link or by query (of those with links), whichever is lower."""
+    t = truth.filter("links > 0").select("id", F.col("links").alias("all")).join(found.select("id", F.col("links").alias("got")), "id", "left")
+    got = F.least("all", F.coalesce("got", F.lit(0)))
+    r = t.agg(F.sum(got).alias("got"), F.sum("all").alias("all"), F.avg(got / F.col("all")).alias("mean")).first()
+    return min(r["got"] / r["all"], r["mean"]) if r["all"] else 1.0

@@ -356,6 +356,21 @@ def test_near_vectors_equal_brute_force(spark):
     assert flatgraph.near_vectors(df.limit(0)).count() == 0
 
 
+def test_near_vectors_of_extreme_lengths_and_string_ids(spark):
+    rows = [("a", [1.0, 0.0], 1), ("b", [1e-200, 0.0], 1), ("c", [5e200, 1e199], 1), ("d", [0.0, 1.0], 1), ("e", [0.0, -1e-300], 1), ("f", [1e-310, 0.0], 2)]
+    got = flatgraph.near_vectors(spark.createDataFrame(rows, "vec_id string, embedding array<double>, label int")).collect()
+    assert {r.vec_id: (r.n_links, r.component_id) for r in got} == {"a": (2, "a"), "b": (2, "a"), "c": (2, "a"), "d": (0, "d"), "e": (0, "e"), "f": (0, "f")}
+
+
+def test_near_vectors_fall_back_to_all_pairs_of_a_label(spark):
+    rng = np.random.default_rng(5)
+    x = np.repeat(rng.normal(size=(40, 8)), 5, axis=0) + rng.normal(scale=0.02, size=(200, 8))
+    df = spark.createDataFrame([(i, v.tolist(), i % 2) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    (graph, recall), (exact, whole) = flatgraph.near_vectors_and_recall(df), flatgraph.near_vectors_and_recall(df, most_shards=1, enough=1.1)
+    assert recall >= flatgraph.ENOUGH and whole == 1.0 and sorted(graph.collect()) == sorted(exact.collect())
+    assert flatgraph.audit(spark.createDataFrame([(1, 4), (2, 1), (3, 0)], "id long, links long"), spark.createDataFrame([(1, 4)], "id long, links long")) == 0.5
+
+
 # 2: decontamination
 
 
