@@ -21,9 +21,12 @@ BATCH_ROWS = 512
 
 
 def work_root(spark: SparkSession) -> str:
-    """The shared folder; a temporary one only where the session names none (tests)."""
+    """The shared folder that the session names; one of this machine only where all runs in one process of it."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.conf.get("spark.master", "")
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="inkvane-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")

@@ -1,10 +1,11 @@
 """Benchmark decontamination: rare seeds, then Smith-Waterman (operator 2).
 
 Three-word grams of the test items seed the search. Their document frequencies
-are counted over all documents; for each item the rarer half of its grams (by
-rank, so a gram's frequency alone never disqualifies it) join documents to the
-item, and a local alignment of words around the seeds scores copies, edited and
-paraphrased ones included.
+are counted over all documents; for each item every gram of at most RARE
+documents, and of the others the rarer half of its grams (by rank, so a gram's
+frequency alone never disqualifies it), join documents to the item, and a local
+alignment of words around the seeds scores copies, edited and paraphrased ones
+included.
 """
 
 from __future__ import annotations
@@ -17,7 +18,9 @@ from pyspark.sql import functions as F
 from .common import Workspace, fresh, gram_hashes, rows_of, word_hashes
 
 GRAM = 3
-#: Grams of test items up to which they go to each task as a sorted filter (8 bytes each); beyond, all grams are joined.
+#: Documents up to which a gram always seeds.
+RARE = 1000
+#: Grams of test items up to which they are broadcast as a sorted filter (8 bytes each); beyond, all grams are joined.
 FILTER_GRAMS = 4_000_000
 MATCH, MISMATCH, GAP = 2, -1, -1
 
@@ -72,30 +75,35 @@ def best_alignment(item: np.ndarray, text: np.ndarray, starts: list[int]) -> tup
 
 
 def _items(ws: Workspace, benchmark: DataFrame) -> DataFrame:
-    """(item_id, words, gram, place): one row for each gram of each item; shorter items have one gram of all their words."""
+    """(item_id, item_key, words, gram, place, n): one row for each gram of each item's text; shorter items have one gram of all their words.
+
+    Rows that repeat an item_id with other texts are items of their own, told apart by item_key.
+    """
     import pyarrow as pa
 
     def run(batches):
         for b in batches:
             out = []
-            for i, text in rows_of(b):
+            for i, key, text in rows_of(b):
                 h = word_hashes(plain_words(text))
                 if len(h):
                     g = gram_hashes(h, min(GRAM, len(h))).view(np.int64)
-                    out += [(i, h.view(np.int64), int(x), k, len(h)) for k, x in enumerate(g)]
-            kinds = [b.schema.field(0).type, pa.list_(pa.int64()), pa.int64(), pa.int32(), pa.int32()]
-            yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [[]] * 5, kinds, strict=True)], names=["item_id", "words", "gram", "place", "n"])
+                    out += [(i, key, h.view(np.int64), int(x), k, len(h)) for k, x in enumerate(g)]
+            kinds = [b.schema.field(0).type, pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.int32(), pa.int32()]
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [[]] * 6, kinds, strict=True)], names=["item_id", "item_key", "words", "gram", "place", "n"])
 
     kind = benchmark.schema["item_id"].dataType.simpleString()
-    rows = fresh(benchmark, "item_id", "text").filter("item_id is not null")
-    return ws.save(rows.mapInArrow(run, f"item_id {kind}, words array<long>, gram long, place int, n int"), "items")
+    rows = fresh(benchmark, "item_id", "text").filter("item_id is not null").select("item_id", F.xxhash64("text").alias("item_key"), "text").dropDuplicates(["item_id", "item_key"])
+    return ws.save(rows.mapInArrow(run, f"item_id {kind}, item_key long, words array<long>, gram long, place int, n int"), "items")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, text_key, item_id, score, start_word, end_word) of each document that holds a test item.
 
     ``score`` is the alignment score divided by that of a whole copy; rows at or
-    above ``threshold`` are returned, one for each document text and item.
+    above ``threshold`` are returned, one for each document text and item: the
+    best one where rows of the benchmark repeat an ``item_id`` with other texts,
+    all of which are sought; the earlier place wins a tie.
 
     Null and empty texts or items match nothing; rows with a null id are left
     alone; rows that repeat an id are told apart by ``text_key``; empty tables
@@ -110,10 +118,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5,
     grams = items.select("gram").distinct()
     sizes = [r.n for r in items.select(F.least("n", F.lit(GRAM)).alias("n")).distinct().collect()]
     few = grams.count() <= FILTER_GRAMS
-    wanted = np.sort(np.array([r.gram for r in grams.collect()], np.int64)) if few else None
+    filter_ = spark.sparkContext.broadcast(np.sort(grams.toArrow()["gram"].to_numpy()) if few else None)
     texts = fresh(docs, id_col, text_col).filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("text"))
 
     def seeds(batches):
+        wanted = filter_.value
         low = np.zeros(1 << 20, bool)
         if few and len(wanted):
             low[wanted & ((1 << 20) - 1)] = True
@@ -140,12 +149,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5,
     hits = ws.save(hits if few else hits.join(grams, "gram", "left_semi").select("id", "text_key", "gram", "at"), "hits")
     found = ws.save(hits.select("id", "gram").distinct().groupBy("gram").agg(F.count("*").alias("df")), "frequency")
     # an item's window is as long as the item
-    rank = F.row_number().over(W.partitionBy("item_id").orderBy("df", "gram", "place"))
-    rare = items.join(found, "gram").withColumn("rank", rank).filter((F.col("rank") <= 4) | (2 * F.col("rank") <= F.col("n")))
-    rare = ws.save(rare.select("gram", "item_id", "place"), "rare")
-    pairs = hits.join(rare, "gram").groupBy("id", "text_key", "item_id").agg(F.collect_set(F.col("at") - F.col("place")).alias("starts"))
-    words = ws.save(items.select("item_id", "words").dropDuplicates(["item_id"]), "item-words")
-    pairs = ws.save(pairs, "pairs").join(words, "item_id").groupBy("id", "text_key").agg(F.collect_list(F.struct("item_id", "starts", "words")).alias("cases"))
+    rank = F.row_number().over(W.partitionBy("item_id", "item_key").orderBy("df", "gram", "place"))
+    rare = items.join(found, "gram").withColumn("rank", rank).filter((F.col("df") <= RARE) | (F.col("rank") <= 4) | (2 * F.col("rank") <= F.col("n")))
+    rare = ws.save(rare.select("gram", "item_id", "item_key", "place"), "rare")
+    pairs = hits.join(rare, "gram").groupBy("id", "text_key", "item_id", "item_key").agg(F.collect_set(F.col("at") - F.col("place")).alias("starts"))
+    words = ws.save(items.select("item_id", "item_key", "words").dropDuplicates(["item_id", "item_key"]), "item-words")
+    # a document's cases are dealt to so many rows that none holds very many
+    deal = F.pmod(F.xxhash64("item_id", "item_key"), F.lit(64)).alias("deal")
+    pairs = ws.save(pairs, "pairs").join(words, ["item_id", "item_key"]).groupBy("id", "text_key", deal).agg(F.collect_list(F.struct("item_id", "starts", "words")).alias("cases"))
 
     def alignments(batches):
         for b in batches:
@@ -162,11 +173,17 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5,
 
     schema = f"id {kind}, text_key long, item_id {item_kind}, score double, start_word int, end_word int"
     rows = texts.join(ws.save(pairs, "cases"), ["id", "text_key"]).select("id", "text_key", "cases", "text").mapInArrow(alignments, schema)
-    return ws.save(rows.distinct(), "leaks").withColumnRenamed("id", id_col)
+    best = F.max_by(F.struct("score", "start_word", "end_word"), F.struct("score", -F.col("start_word"), -F.col("end_word")))
+    rows = rows.groupBy("id", "text_key", "item_id").agg(best.alias("b")).select("id", "text_key", "item_id", "b.*")
+    return ws.save(rows, "leaks").withColumnRenamed("id", id_col)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """The documents that hold no test item, all columns unchanged."""
+    """The documents that hold no test item, all columns unchanged.
+
+    Null, empty and repeated rows are treated as in ``contaminated``: rows with a
+    null id stay, and of rows that share an id only those whose text leaks go.
+    """
     found = contaminated(docs, benchmark, threshold).select(F.col("doc_id").alias("_k"), F.col("text_key").alias("_h")).distinct()
     ws = Workspace(docs.sparkSession, "decontaminate")
     found = ws.save(found, "leaking")
@@ -174,4 +191,5 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5)
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """``contaminated`` by document id alone."""
     return contaminated(docs, benchmark).drop("text_key")

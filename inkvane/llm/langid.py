@@ -4,7 +4,8 @@ log P(l | page) = tempered text log likelihood + log P(declared language | l) +
 log P(address suffix | l) + log P(l | host), up to a constant. The text model is
 a character-trigram profile; the declaration and suffix tables and the host
 priors come from grouped counts over all pages, the priors smoothed from host to
-domain to top-level suffix to all pages.
+domain to top-level suffix to all pages. A page's own text is left out of its
+host's, domain's and suffix's counts: it speaks through the likelihood alone.
 """
 
 from __future__ import annotations
@@ -15,28 +16,70 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace, fresh, hash_sample, rows_of
+from .common import Workspace, fresh, rows_of
 
-#: Labelled documents that the profile may be fitted on, and trigrams kept for each language.
+#: Labelled documents of each language that the profile may be fitted on, and trigrams kept for each.
 SAMPLE_ROWS, TRIGRAMS = 4000, 4000
 #: Words after which more text adds no more certainty (trigrams of a text are far from independent).
 SURE_WORDS = 60
 KAPPA = 5.0
-_DROP = re.compile(r"<!--.*?-->|<(script|style|nav|footer|header|aside|noscript)\b.*?</\1\s*>|<div[^>]*class=\"ad\"[^>]*>.*?</div>", re.S | re.I)
-_ARTICLE = re.compile(r"<(article|main)\b[^>]*>(.*?)</\1\s*>", re.S | re.I)
-_TAG = re.compile(r"<[^>]*>")
+#: Elements that are not part of a page's text, and those that hold its main part.
+DROPPED, MAIN = {"script", "style", "nav", "footer", "header", "aside", "noscript"}, {"article", "main"}
+# no pattern looks beyond the next bracket, so that unclosed tags cost no second look at the text
+_MARK = re.compile(r"<!--|<(/?)([a-z][a-z0-9]*)\b[^<>]*>", re.I)
+_AD = re.compile(r"\bclass\s*=\s*[\"']?ad[\"'\s>]", re.I)
+_TAG = re.compile(r"<[^<>]*>")
 _ENTITY = re.compile(r"&(#?\w+);")
-_DECLARED = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z]+)", re.I)
+_DECLARED = re.compile(r"<html\b[^<>]*?\blang\s*=\s*[\"']?([A-Za-z]+)", re.I)
 _HOST = re.compile(r"^[a-z][a-z0-9+.-]*://(?:[^/@]*@)?([^/:?#]+)", re.I)
 
 
 def main_text(html: str | None) -> str:
-    """Visible text of the page's main part, without navigation, scripts and advertising."""
+    """Visible text of the page's main part, without navigation, scripts and advertising.
+
+    One pass: an element is dropped up to its first closing tag; where there is
+    none, only the tag itself goes.
+    """
     if not html:
         return ""
-    body = _DROP.sub(" ", html)
-    parts = [m[2] for m in _ARTICLE.finditer(body)]
-    return _ENTITY.sub(" ", _TAG.sub(" ", " ".join(parts) if parts else body))
+    marks = [(m.start(), m.end(), bool(m[1]), (m[2] or "!--").lower(), m) for m in _MARK.finditer(html)]
+    closings: dict[str, list[int]] = {}
+    for start, end, closes, name, _ in reversed(marks):
+        if closes:
+            closings.setdefault(name, []).append(start)
+    after = {start: end for start, end, closes, _, _ in marks if closes}
+
+    def closing(name: str, at: int) -> int | None:
+        left = closings.get(name, [])
+        while left and left[-1] < at:
+            left.pop()
+        return left[-1] if left else None
+
+    everything: list[str] = []
+    parts: list[str] = []
+    at, inside, no_comment_ends = 0, None, False
+    for start, end, closes, name, m in marks:
+        if start < at:
+            continue
+        here = html[at:start]
+        everything.append(here)
+        if inside:
+            parts.append(here)
+        at = end
+        if name == "!--":
+            stop = -1 if no_comment_ends else html.find("-->", end)
+            no_comment_ends = stop < 0
+            at = end if stop < 0 else stop + 3
+        elif closes:
+            inside = None if name == inside else inside
+        elif name in DROPPED or name == "div" and _AD.search(m[0]):
+            stop = closing(name, end)
+            at = end if stop is None else after[stop]
+        elif name in MAIN and not inside and closing(name, end) is not None:
+            inside = name
+            parts.append("")
+    everything.append(html[at:])
+    return _ENTITY.sub(" ", _TAG.sub(" ", " ".join(parts or everything)))
 
 
 def host_levels(url: str | None) -> tuple[str, str, str]:
@@ -94,12 +137,18 @@ class Profile:
 
 
 def fit_profile(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Profile:
-    """From the labelled documents with the smallest id hashes, by grouped aggregation."""
+    """From the ``sample_rows`` labelled documents of each language with the smallest id hashes, by grouped aggregation."""
     import pyarrow as pa
+    from pyspark.sql import Window as W
 
     ws = Workspace(docs.sparkSession, "langid")
     labelled = fresh(docs, "doc_id", "lang").filter("lang is not null and doc_id is not null")
-    ids = hash_sample(labelled, "doc_id", sample_rows, labelled.count()).select("doc_id").distinct()
+    order = F.pmod(F.xxhash64("doc_id", F.lit(0)), F.lit(1 << 40))
+    # rows beyond a bound for their language drop out before any sort
+    share = (F.lit(sample_rows) + 4 * F.sqrt(F.lit(float(sample_rows)))) / F.col("n")
+    bound = ws.save(labelled.groupBy("lang").agg(F.count("*").alias("n")).select("lang", (F.least(share, F.lit(1.0)) * (1 << 40)).cast("long").alias("bound")), "bounds")
+    near = labelled.join(bound, "lang").withColumn("h", order).filter("h <= bound")
+    ids = near.withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy("h", "doc_id"))).filter(F.col("r") <= sample_rows).select("doc_id").distinct()
     rows = fresh(docs, "doc_id", "lang", "text").join(F.broadcast(ws.save(ids, "sample")), "doc_id").filter("lang is not null and text is not null")
 
     def run(batches):
@@ -112,8 +161,6 @@ def fit_profile(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Profile:
             keys = list(counts)
             yield pa.record_batch([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array(list(counts.values()), pa.int64())], names=["lang", "gram", "n"])
 
-    from pyspark.sql import Window as W
-
     top = rows.select("lang", "text").mapInArrow(run, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     top = top.withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "gram"))).filter(F.col("r") <= TRIGRAMS)
     counts: dict[str, dict[str, int]] = {}
@@ -166,29 +213,28 @@ def page_language(pages: DataFrame, profile: Profile) -> DataFrame:
         return np.log(n / n.sum(0)).tolist()
 
     declared, hints = given("d"), given("a")
-    per = [F.count_if(F.col("t") == k).alias(f"n{k}") for k in range(len(langs))]
-    hosts = ws.save(rows.groupBy("host", "domain", "suffix").agg(*per), "hosts")
-    sums = lambda keys: hosts.groupBy(*keys).agg(*(F.sum(f"n{k}").alias(f"n{k}") for k in range(len(langs))))
-
-    total = sum((F.col(f"n{k}") for k in range(len(langs))), F.lit(0))
-
-    def smoothed(table: DataFrame, key: str, above: list) -> DataFrame:
-        """P(l | group) with KAPPA pseudo-counts dealt out by the level above."""
-        return table.select(key, *(((F.col(f"n{k}") + KAPPA * above[k]) / (total + KAPPA)).alias(f"p{k}") for k in range(len(langs))))
-
-    def under(table: DataFrame, above: DataFrame, on: str) -> DataFrame:
-        return table.join(above.select(on, *(F.col(f"p{k}").alias(f"u{k}") for k in range(len(langs)))), on)
-
-    upper = [F.col(f"u{k}") for k in range(len(langs))]
-    n0 = [r or 0 for r in hosts.agg(*(F.sum(f"n{k}") for k in range(len(langs)))).first()]
-    by_suffix = ws.save(smoothed(sums(["suffix"]), "suffix", [F.lit((n + 1) / (sum(n0) + len(langs))) for n in n0]), "suffixes")
-    by_domain = ws.save(smoothed(under(sums(["domain", "suffix"]), by_suffix, "suffix"), "domain", upper), "domains")
-    by_host = ws.save(smoothed(under(hosts, by_domain, "domain"), "host", upper), "priors")
+    per = F.array(*(F.count_if(F.col("t") == k) for k in range(len(langs))))
+    hosts = ws.save(rows.groupBy("host", "domain", "suffix").agg(per.alias("at_host")), "hosts")
+
+    def level(table: DataFrame, keys: list[str], of: str, name: str) -> DataFrame:
+        return table.groupBy(*keys).agg(F.array(*(F.sum(F.element_at(of, k + 1)) for k in range(len(langs)))).alias(name))
+
+    domains = ws.save(level(hosts, ["domain", "suffix"], "at_host", "at_domain"), "domains")
+    suffixes = ws.save(level(domains, ["suffix"], "at_domain", "at_suffix"), "suffixes")
+    n0 = [r or 0 for r in (suffixes.agg(*(F.sum(F.element_at("at_suffix", k + 1)) for k in range(len(langs)))).first())]
+    by_host = ws.save(hosts.join(domains, ["domain", "suffix"]).join(suffixes, "suffix").select("host", "at_host", "at_domain", "at_suffix"), "levels")
+    own = F.array(*(F.coalesce((F.col("t") == k).cast("int"), F.lit(0)) for k in range(len(langs))))
+    prior = F.array(*(F.lit((n + 1) / (sum(n0) + len(langs))) for n in n0))
+    scored = rows.join(by_host, "host").withColumn("own", own).withColumn("prior", prior)
+    for name in ("at_suffix", "at_domain", "at_host"):
+        # P(l | group) without the page itself, KAPPA pseudo-counts dealt out by the level above
+        total = F.aggregate(name, F.lit(0).cast("long"), lambda x, y: x + y) - F.col("t").isNotNull().cast("int") + KAPPA
+        scored = scored.withColumn("others", F.zip_with(name, "own", lambda n, o: n - o)).withColumn("prior", F.zip_with("others", "prior", lambda n, p: (n + KAPPA * p) / total))
     score = [
-        F.element_at("ll", k + 1) + F.element_at(F.array(*(F.lit(r[k]) for r in declared)), F.col("d") + 1) + F.element_at(F.array(*(F.lit(r[k]) for r in hints)), F.col("a") + 1) + F.log(F.col(f"p{k}"))
+        F.element_at("ll", k + 1) + F.element_at(F.array(*(F.lit(r[k]) for r in declared)), F.col("d") + 1) + F.element_at(F.array(*(F.lit(r[k]) for r in hints)), F.col("a") + 1) + F.log(F.element_at("prior", k + 1))
         for k in range(len(langs))
     ]
-    scored = rows.join(by_host, "host").withColumn("s", F.array(*score))
+    scored = scored.withColumn("s", F.array(*score))
     best = F.array_max("s")
     return scored.select(
         "page_id",
@@ -201,4 +247,5 @@ def page_language(pages: DataFrame, profile: Profile) -> DataFrame:
 
 
 def language_id(spark: SparkSession, pages: DataFrame, docs: DataFrame) -> DataFrame:
+    """Fit the profile on the labelled documents, decide every page; see ``fit_profile`` and ``page_language``."""
     return page_language(pages, fit_profile(docs))

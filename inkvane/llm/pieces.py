@@ -292,7 +292,7 @@ def words(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def lattice(ws: Workspace, word_table: DataFrame, model: PieceModel) -> DataFrame:
-    """(word, ids): the best path of each word, by joins and folds alone."""
+    """(word, ids): the best path of each distinct word, by joins and folds alone; null words have none, the empty word is the marker."""
     spark = word_table.sparkSession
     pieces = spark.createDataFrame([(p, k, s) for p, (k, s) in model.pieces.items()], "piece string, id int, score double")
     w = word_table.select("word").distinct().withColumn("unit", F.concat(F.lit(SPACE_MARK), "word")).withColumn("n", F.length("unit"))
@@ -411,7 +411,7 @@ def encode_pieces(docs: DataFrame, model_path: str, id_col: str = "doc_id", text
 
 
 def decode_pieces(coded: DataFrame, model_path: str, id_col: str = "doc_id") -> DataFrame:
-    """(id, text) from the identifiers."""
+    """(id, text) from the identifiers; a null list gives an empty text, null ids stay null."""
     import pyarrow as pa
 
     def run(batches):
@@ -424,4 +424,5 @@ def decode_pieces(coded: DataFrame, model_path: str, id_col: str = "doc_id") ->
 
 
 def sentence_pieces(spark: SparkSession, docs: DataFrame, model_path: str) -> DataFrame:
+    """``encode_pieces`` with the default columns; nulls, repeats and empty tables as there."""
     return encode_pieces(docs, model_path)

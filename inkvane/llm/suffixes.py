@@ -254,7 +254,9 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
     """The documents, each repeated passage cut from all but its first occurrence, repeats inside a document included.
 
     Columns and rows stay, but for documents of which nothing but white space is
-    left; texts without a repeated passage are unchanged.
+    left; texts without a repeated passage are unchanged. Null, short and empty
+    texts and rows with a null id stay as they are; rows equal in id and text are
+    one document and stay or are cut alike; an empty table gives an empty result.
     """
     found = repeated_passages(docs, id_col, text_col, length, within=True)
     spans = found.groupBy(id_col, "text_key").agg(F.array_sort(F.collect_list(F.struct(F.col("start_word").alias("a"), F.col("end_word").alias("b")))).alias("spans"))

@@ -63,33 +63,41 @@ class Sparse:
         return np.bincount(self.rows, self.values * v[self.cols], self.shape[0])
 
 
+def _cuts(p: np.ndarray, d: int) -> np.ndarray:
+    """Thresholds of the parameters behind the ``d`` weights: the first one, then logarithms of the gaps."""
+    return p[d] + np.concatenate([[0.0], np.cumsum(np.exp(p[d + 1 :]))])
+
+
+def loss_and_gradient(p: np.ndarray, x: np.ndarray | Sparse, y: np.ndarray, ridge: float) -> tuple[float, np.ndarray]:
+    """Mean negative log likelihood of the cumulative-link model with its ridge penalty, and the gradient."""
+    n, d = x.shape
+    sig = lambda z: 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+    theta, s = _cuts(p, d), x @ p[:d]
+    upper = np.append(theta, np.inf)[y]
+    lower = np.concatenate([[-np.inf], theta])[y]
+    fu, fl = np.where(np.isinf(upper), 1.0, sig(upper - s)), np.where(np.isinf(lower), 0.0, sig(lower - s))
+    mass = np.maximum(fu - fl, 1e-9)
+    du, dl = fu * (1 - fu) / mass, fl * (1 - fl) / mass
+    g_theta = np.array([-(du[y == k].sum() - dl[y == k + 1].sum()) / n for k in range(len(theta))])
+    g = np.empty_like(p)
+    g[:d] = x.T @ (du - dl) / n + ridge * p[:d]
+    g[d] = g_theta.sum()
+    for k in range(1, len(theta)):
+        g[d + k] = g_theta[k:].sum() * np.exp(p[d + k])
+    return float(-np.log(mass).mean() + ridge * (p[:d] @ p[:d]) / 2), g
+
+
 def fit_ordinal(x: np.ndarray | Sparse, y: np.ndarray, grades: int = GRADES, ridge: float = 5e-5, steps: int = 1000, rate: float = 0.05) -> tuple[np.ndarray, np.ndarray]:
     """Maximum likelihood by Adam over shared weights and thresholds kept in order by positive gaps."""
-    n, d = x.shape
+    d = x.shape[1]
     p = np.zeros(d + grades - 1)
     p[d] = np.log((np.mean(y == 0) + 1e-3) / (np.mean(y > 0) + 1e-3))
     m, v = np.zeros_like(p), np.zeros_like(p)
-    sig = lambda z: 1 / (1 + np.exp(-np.clip(z, -40, 40)))
-
-    def cuts(p):
-        return p[d] + np.concatenate([[0.0], np.cumsum(np.exp(p[d + 1 :]))])
-
     for t in range(1, steps + 1):
-        theta, s = cuts(p), x @ p[:d]
-        upper = np.append(theta, np.inf)[y]
-        lower = np.concatenate([[-np.inf], theta])[y]
-        fu, fl = np.where(np.isinf(upper), 1.0, sig(upper - s)), np.where(np.isinf(lower), 0.0, sig(lower - s))
-        mass = np.maximum(fu - fl, 1e-9)
-        du, dl = fu * (1 - fu) / mass, fl * (1 - fl) / mass
-        g_theta = np.array([-(du[y == k].sum() - dl[y == k + 1].sum()) / n for k in range(grades - 1)])
-        g = np.empty_like(p)
-        g[:d] = x.T @ (du - dl) / n + ridge * p[:d]
-        g[d] = g_theta.sum()
-        for k in range(1, grades - 1):
-            g[d + k] = g_theta[k:].sum() * np.exp(p[d + k])
+        _, g = loss_and_gradient(p, x, y, ridge)
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         p = p - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-    return p[:d], cuts(p)
+    return p[:d], _cuts(p, d)
 
 
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", grade_col: str | None = None, sample_rows: int = SAMPLE_ROWS) -> OrdinalModel:
@@ -190,7 +198,7 @@ def score(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_col
 
 
 def keep_clean(docs: DataFrame, model: OrdinalModel, text_col: str = "text") -> DataFrame:
-    """The rows that the model does not call toxic, all columns unchanged."""
+    """The rows that the model does not call toxic, all columns unchanged; null and empty texts are not toxic."""
     if not model.weights:
         return docs
     import pyarrow as pa

@@ -390,6 +390,46 @@ def test_leaks(spark):
     assert decontaminate.benchmark_leaks(spark, docs, bench.limit(0)).count() == 0 and decontaminate.benchmark_leaks(spark, docs.limit(0), bench).count() == 0
 
 
+def test_every_text_of_a_repeated_item_is_sought(spark):
+    rnd = random.Random(12)
+    a, b = (" ".join(f"z{rnd.randrange(5000)}" for _ in range(20)) for _ in range(2))
+    bench = spark.createDataFrame([(7, a), (7, b), (7, b), (8, a)], "item_id long, text string")
+    docs = documents(spark, [(1, f"x y {a} z"), (2, f"{b} x"), (3, f"{a} {b}")])
+    got = {(r.doc_id, r.item_id): r.score for r in decontaminate.benchmark_leaks(spark, docs, bench).collect()}
+    assert got == {(1, 7): 1.0, (1, 8): 1.0, (2, 7): 1.0, (3, 7): 1.0, (3, 8): 1.0}
+
+
+@pytest.mark.parametrize("few", [4_000_000, 0])
+def test_leaks_equal_brute_force(spark, monkeypatch, few):
+    """All pairs aligned over whole texts; copies with words changed, dropped, added and swapped."""
+    monkeypatch.setattr(decontaminate, "FILTER_GRAMS", few)
+    rnd = random.Random(9)
+    word = lambda: f"w{rnd.randrange(9 if rnd.random() < 0.2 else 2000)}"
+    items = [[word() for _ in range(rnd.choice([2, 5, 12, 30]))] for _ in range(25)]
+    docs = []
+    for i in range(120):
+        words = [word() for _ in range(rnd.randrange(0, 120))]
+        if i % 2:
+            copy = [w for w in rnd.choice(items)]
+            for _ in range(rnd.randrange(0, 1 + len(copy) // 4)):
+                k = rnd.randrange(len(copy))
+                copy[k : k + 1] = rnd.choice([[], [word()], [copy[k], word()]])
+                copy = copy or [word()]
+            at = rnd.randrange(len(words) + 1)
+            words[at:at] = copy
+        docs.append((i, " ".join(words)))
+    coded = {i: decontaminate.word_hashes(decontaminate.plain_words(t)) for i, t in docs}
+    want = set()
+    for k, item in enumerate(items):
+        h = decontaminate.word_hashes(decontaminate.plain_words(" ".join(item)))
+        grams = set(decontaminate.gram_hashes(h, min(3, len(h))).tolist())
+        # without a common gram there is no seed
+        want |= {(i, k) for i, t in coded.items() if decontaminate.align(h, t)[0] >= len(h) and grams & set(decontaminate.gram_hashes(t, min(3, len(h))).tolist())}
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.benchmark_leaks(spark, documents(spark, docs), bench).collect()}
+    assert len(want) > 50 and got == want
+
+
 def test_alignment_equals_plain_table():
     rng = np.random.default_rng(1)
     for _ in range(50):
@@ -430,6 +470,34 @@ def test_toxicity_held_out(spark):
     assert toxicity.toxicity(spark, docs.limit(0), lab).count() == 0
 
 
+def test_ordinal_gradient_equals_finite_differences():
+    rng = np.random.default_rng(4)
+    x, y, p = rng.normal(size=(60, 5)), rng.integers(0, 4, 60), rng.normal(size=8) * 0.3
+    rows, cols = np.nonzero(np.ones_like(x))
+    for m in (x, toxicity.Sparse(rows, cols, x.ravel(), x.shape)):
+        _, g = toxicity.loss_and_gradient(p, m, y, 0.1)
+        steps = np.eye(8) * 1e-6
+        numeric = [(toxicity.loss_and_gradient(p + e, m, y, 0.1)[0] - toxicity.loss_and_gradient(p - e, m, y, 0.1)[0]) / 2e-6 for e in steps]
+        assert np.allclose(g, numeric, atol=1e-6)
+
+
+def test_toxicity_with_given_grades(spark):
+    rnd = random.Random(16)
+    rows, labels = [], []
+    for i in range(500):
+        grade = rnd.choice([0, 0, 1, 2, 3])
+        words = [f"t{rnd.randrange(900)}" for _ in range(30)] + ["vile"] * 2 * grade
+        rnd.shuffle(words)
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(grade > 0), grade))
+    lab = spark.createDataFrame(labels, "doc_id long, toxic int, grade int")
+    docs = documents(spark, [*rows, (900, "vile " * 20_000)])
+    got = {r.doc_id: r for r in toxicity.score(docs, toxicity.fit(docs, lab.filter("doc_id % 2 = 0"), grade_col="grade")).collect()}
+    held = [(got[i].expected_severity, g) for i, _, g in labels if i % 2]
+    means = [np.mean([s for s, g in held if g == k]) for k in range(4)]
+    assert means == sorted(means) and means[3] - means[0] > 1.5 and got[900].grade == 3
+
+
 def test_toxicity_of_few_labels(spark):
     rows = [(i, f"a{i} b{i} c{i} " + ("vile" if i < 3 else "fine")) for i in range(30)]
     docs = documents(spark, [*rows, (50, "quite vile"), (51, "quite fine")])
@@ -455,6 +523,43 @@ def test_languages(spark, sf):
     assert langid.main_text("<html><nav>a</nav><article>b<script>c</script></article></html>").split() == ["b"]
 
 
+def test_languages_of_held_out_texts(spark):
+    """Labels the model has not seen; address and declaration say nothing, or something false."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    held = docs.filter("doc_id % 2 = 1 and size(split(text, ' ')) >= 20 and lang is not null").select("doc_id", "lang", "text").collect()
+    pages = [(r.doc_id, f"http://h{r.doc_id % 7}.example.com/x", ("<html lang='xx'>" if r.doc_id % 3 else "<html>") + f"<script>nicht und der</script><p>{r.text}</p>") for r in held]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {r.page_id: r.lang for r in langid.language_id(spark, df, docs.filter("doc_id % 2 = 0")).collect()}
+    assert len(held) > 300 and np.mean([got[r.doc_id] == r.lang for r in held]) > 0.97
+
+
+def test_a_page_is_left_out_of_its_own_prior(spark):
+    docs = spark.createDataFrame([(1, "aa", "xyzzy plugh"), (2, "bb", "foobar quux")], "doc_id long, lang string, text string")
+    pages = spark.createDataFrame([(1, "http://one.net/", "<p>xyzzy plugh</p>"), (2, "http://two.net/", "<p>12</p>"), (3, "http://two.net/", "<p>foobar quux</p>"), (4, "http://two.net/", "<p>foobar quux</p>")], "page_id long, url string, html string")
+    got = {r.page_id: r for r in langid.language_id(spark, pages, docs).collect()}
+    assert [got[k].lang for k in (1, 2, 3, 4)] == ["aa", "bb", "bb", "bb"] and got[2].text_lang is None
+    # the one page of its host is decided by its text and by the other pages of the suffix, which say bb
+    profile = langid.fit_profile(docs)
+    ll, k = profile.likelihood("xyzzy plugh"), langid.KAPPA
+    total = np.array([1 + 1, 2 + 1]) / 5
+    suffix = (np.array([0, 2]) + k * total) / (2 + k)
+    want = np.exp(ll) * suffix * given_nothing(1, 2)
+    assert abs(got[1].p_lang - want[0] / want.sum()) < 1e-9
+
+
+def given_nothing(a, b):
+    """P(no declaration | l) * P(no hint | l) with add-one smoothing: rows place.. other, none for two languages."""
+    n = np.array([a, b])
+    return ((n + 1) / (n + 4)) ** 2
+
+
+def test_unclosed_tags_are_read_in_one_pass():
+    for html in ("<script>" * 40_000, "<script " * 200_000, "<!--" * 100_000, "<article>" * 100_000, "<" * 500_000, "<div class='ad'>" * 50_000):
+        langid.main_text(html)
+        langid._DECLARED.search(html)
+    assert langid.main_text("a<!-- b --><style>c</style>d<script>e").split() == ["a", "d", "e"]
+
+
 # 10: pieces
 
 
