@@ -19,7 +19,7 @@ from .common import Workspace, fresh, gram_hashes, rows_of, word_hashes
 
 GRAM = 3
 #: Documents up to which a gram always seeds.
-RARE = 1000
+RARE = 100
 #: Grams of test items up to which they are broadcast as a sorted filter (8 bytes each); beyond, all grams are joined.
 FILTER_GRAMS = 4_000_000
 MATCH, MISMATCH, GAP = 2, -1, -1
