@@ -23,8 +23,9 @@ _PRON = set("i me my mine myself we us our ours you your yours he him his she he
 _DET = set("the a an each every both all some such no few more most other".split())
 _ADP = set("in on at to for of with by from as into over after before during until since".split())
 _CCONJ, _SCONJ = set("and but or so yet nor".split()), set("because if when while although though unless whereas since that".split())
-_VERBS = set("go went walk walked run ran come came see saw say said tell told ask asked take took give gave think thought know knew feel felt learn learned realize realized eat ate sleep slept hear heard laugh laughed shout shouted argue argued".split())
-_COGNITIVE = set("think thought know knew believe believed learn learned realize realized understand understood wonder wondered decide decided".split())
+_VERBS = set(L.EVENTIVE_VERBS) | set(L.COGNITIVE_VERBS) | set(L.CONFLICT_VERBS) | {"laugh"}
+_COGNITIVE, _EVENTIVE = set(L.COGNITIVE_VERBS) - set(L.EVENTIVE_VERBS), set(L.EVENTIVE_VERBS)
+_PAST = set("went ran came fell stood sat lay left drove flew rode saw heard felt said told took gave held threw caught broke ate drank slept woke understood thought knew forgot learnt".split())
 _TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
 
@@ -46,7 +47,7 @@ class RuleAnnotator:
             if w in words:
                 return tag, ("past" if w in ("was", "were", "had", "did") else "present") if tag == "AUX" else ""
         if w in _VERBS or w.endswith(("ed", "ing")) and len(w) > 4:
-            return "VERB", "past" if w.endswith("ed") or w in ("went", "ran", "came", "saw", "said", "told", "took", "gave", "thought", "knew", "felt", "ate", "slept", "heard") else "present"
+            return "VERB", "past" if w.endswith("ed") or w in _PAST else "present"
         if w.endswith("ly"):
             return "ADV", ""
         if place and token[0].isupper():
@@ -54,6 +55,13 @@ class RuleAnnotator:
         return ("ADJ", "") if w.endswith(("ous", "ful", "able", "ive", "al")) else ("NOUN", "")
 
 
+def stem(verb: str) -> str:
+    """A verb form as the lists have it: an -ing or -s form becomes the plain one."""
+    w = verb.lower()
+    tries = [w, w[:-1] if w.endswith("s") else w, *([w[:-3], f"{w[:-3]}e", w[:-4]] if w.endswith("ing") else [])]
+    return next((x for x in tries if x in _EVENTIVE or x in _COGNITIVE), w)
+
+
 def syntax_row(sentences: list[list[tuple[str, str, str]]]) -> dict[str, float]:
     """Markers that need tags; depth is approximated by nested clause openers."""
     tokens = [t for s in sentences for t in s]
@@ -64,16 +72,17 @@ def syntax_row(sentences: list[list[tuple[str, str, str]]]) -> dict[str, float]:
     depth = [1 + sum(t[1] in ("SCONJ", "ADP") for t in x) for x in sentences]
     nouns = [t[0].lower() for t in tokens if t[1] == "NOUN"]
     abstract = sum(w.endswith(tuple(L.ABSTRACT_SUFFIXES)) for w in nouns)
-    cognitive = sum(t[0].lower() in _COGNITIVE for t in verbs)
-    eventive = len(verbs) - cognitive
+    # without a parser every verb counts as the root of a clause
+    cognitive = sum(stem(t[0]) in _COGNITIVE for t in verbs)
+    eventive = sum(stem(t[0]) in _EVENTIVE for t in verbs)
     fragments = sum(not any(t[1] in ("VERB", "AUX") for t in x) and sum(t[1] != "PUNCT" for t in x) > 1 for x in sentences)
     first = {"eventive": 0, "cognitive": 0}
     for x in sentences:
         for k, t in enumerate(x):
             if t[0].lower() in ("i", "we"):
                 verb = next((v for v in x[k + 1 : k + 4] if v[1] == "VERB"), None)
-                if verb:
-                    first["cognitive" if verb[0].lower() in _COGNITIVE else "eventive"] += 1
+                for kind, known in (("eventive", _EVENTIVE), ("cognitive", _COGNITIVE)):
+                    first[kind] += bool(verb) and stem(verb[0]) in known
     return {
         "syn_subordination_ratio": count("SCONJ") / s,
         "syn_mean_parse_depth": float(np.mean(depth)) if depth else 0.0,
@@ -88,6 +97,7 @@ def syntax_row(sentences: list[list[tuple[str, str, str]]]) -> dict[str, float]:
         "idx_event_interpretation_ratio": eventive / cognitive if cognitive else float(eventive) or 1.0,
         "idx_cognitive_verb_density": cognitive / s,
         "idx_abstract_noun_ratio": abstract / max(len(nouns), 1),
+        "idx_concrete_noun_density": 100 * (len(nouns) - abstract) / max(sum(t[0].isalpha() for t in tokens), 1),
         "idx_fp_eventive_density": first["eventive"] / s,
         "idx_fp_cognitive_density": first["cognitive"] / s,
         "idx_fp_immediacy_ratio": first["eventive"] / first["cognitive"] if first["cognitive"] else float(first["eventive"]) or 1.0,

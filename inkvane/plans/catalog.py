@@ -52,12 +52,6 @@ def _stories(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relational(lambda _: f"WITH {texts.stories(d)} SELECT id, source, story FROM stories", spark, sf_dir)
 
 
-def mtld(spark, sf_dir):
-    from ..functions.annotate import mtld
-
-    return mtld(_stories(spark, sf_dir))
-
-
 def syntax_markers(spark, sf_dir):
     from ..functions.annotate import syntax_markers
 
@@ -111,10 +105,19 @@ def pair_distances(spark, sf_dir):
     return pair_distances(relational(lambda d: f"WITH {statistics.pairs(d)} SELECT id, orig, rewrite FROM pairs", spark, sf_dir))
 
 
+def compare_every_marker(spark, sf_dir):
+    """The paired comparison of all shared numeric markers, those of the annotator and the embedder included."""
+    from ..operators.markers import compare_tables, compute_all_markers
+
+    pairs = relational(lambda d: f"WITH {statistics.pairs(d)} SELECT id, orig, rewrite FROM pairs", spark, sf_dir)
+    orig, rewrite = (compute_all_markers(pairs.select("id", F.col(c).alias("story")), include_empathic=True) for c in ("orig", "rewrite"))
+    return compare_tables(orig, rewrite)
+
+
 def correlation_p(spark, sf_dir):
     from ..operators.paired import correlation
 
     return correlation(relational(lambda d: f"WITH {statistics.long(d)} SELECT * FROM long", spark, sf_dir), ["model", "marker"])
 
 
-PROVIDED = {f.__name__: f for f in (mtld, syntax_markers, pos_ratios, semantic_markers, pca_projection, wilcoxon_p, rewrite_offline, events_by_window, pair_distances, correlation_p)}
+PROVIDED = {f.__name__: f for f in (syntax_markers, pos_ratios, semantic_markers, pca_projection, wilcoxon_p, rewrite_offline, events_by_window, pair_distances, correlation_p, compare_every_marker)}

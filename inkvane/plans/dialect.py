@@ -46,14 +46,41 @@ class Spark:
     def array(self, items):
         return "array(" + ", ".join(items) + ")"
 
+    def some(self, x):
+        """The list, or one null where it is empty: its row survives being exploded."""
+        return f"CASE WHEN {self.size(x)} = 0 THEN {self.array(['CAST(NULL AS STRING)'])} ELSE {x} END"
+
+    def cat(self, lists):
+        return "concat(" + ", ".join(lists) + ")"
+
+    def gather(self, x, cond, order=None):
+        """The values of a group as a list, nulls and other rows left out; empty where there is none."""
+        return f"collect_list(CASE WHEN {cond} THEN {x} END)" if order is None else f"transform(array_sort(collect_list(CASE WHEN {cond} THEN struct({order} AS k, {x} AS x) END)), p -> p.x)"
+
+    def top(self, x):
+        return f"array_max({x})"
+
+    def fold(self, x, start, state, item, e):
+        """Left fold; ``start`` and the step are dicts of field and expression, all doubles."""
+        struct = lambda f: "named_struct(" + ", ".join(f"'{k}', CAST({v} AS DOUBLE)" for k, v in f.items()) + ")"
+        return f"aggregate({x}, {struct(start)}, ({state}, {item}) -> {struct(e)})"
+
+    def levenshtein(self, x, y):
+        """Edit distance by character."""
+        return f"levenshtein({x}, {y})"
+
+    def best(self, key, value):
+        return f"min(struct({key} AS k, {value} AS v)).v"
+
     def unpivot(self, cols):
         return "inline(array(" + ", ".join(f"struct('{c}' AS marker, CAST({c} AS DOUBLE) AS value)" for c in cols) + "))"
 
-    def ngrams(self, x, n):
-        """Array operations over the characters: linear in the text's length."""
-        e = "cs"
-        for k in range(1, n):
-            e = f"zip_with({e}, slice(cs, {k + 1}, greatest(size(cs) - {k}, 0)), (a, b) -> a || b)"
+    def ngrams(self, x, longest):
+        """All grams of 2 .. longest characters, each size made from the one before: linear in the text's length."""
+        step = lambda g, k: f"zip_with({g}, slice(cs, {k}, greatest(size(cs) - {k - 1}, 0)), (a, b) -> a || b)"
+        e = "concat(" + ", ".join(f"g{k}" for k in range(2, longest + 1)) + ")"
+        for k in range(longest, 1, -1):
+            e = f"transform(array({step(f'g{k - 1}' if k > 2 else 'cs', k)}), g{k} -> {e})[0]"
         return f"filter(transform(array(split({x}, '')), cs -> {e})[0], g -> g IS NOT NULL)"
 
     def json(self, x, path):
@@ -117,11 +144,37 @@ class Duck(Spark):
     def array(self, items):
         return "[" + ", ".join(items) + "]"
 
+    def cat(self, lists):
+        out = lists[-1]
+        for x in reversed(lists[:-1]):
+            out = f"list_concat({x}, {out})"
+        return out
+
+    def gather(self, x, cond, order=None):
+        return f"coalesce(list({x}{'' if order is None else f' ORDER BY {order}'}) FILTER (WHERE {cond}), [])"
+
+    def top(self, x):
+        return f"list_max({x})"
+
+    def fold(self, x, start, state, item, e):
+        struct = lambda f: "{" + ", ".join(f"'{k}': CAST({v} AS DOUBLE)" for k, v in f.items()) + "}"
+        return f"list_reduce({x}, lambda {state}, {item}: {struct(e)}, {struct(start)})"
+
+    def levenshtein(self, x, y):
+        """This engine counts bytes: a pair's other characters are first mapped to control characters (26 of them)."""
+        other = f"array_to_string(list_distinct(regexp_extract_all({x} || {y}, '[^\\x00-\\x7F]')), '')"
+        controls = " || ".join(f"chr({k})" for k in [*range(1, 9), *range(14, 32)])
+        one = lambda t: f"translate({t}, {other}, substr({controls}, 1, length({other})))"
+        return f"levenshtein({one(x)}, {one(y)})"
+
+    def best(self, key, value):
+        return f"arg_min({value}, ({key}, {value}))"
+
     def unpivot(self, cols):
         return "unnest([" + ", ".join(f"{{'marker': '{c}', 'value': CAST({c} AS DOUBLE)}}" for c in cols) + "], recursive := true)"
 
-    def ngrams(self, x, n):
-        return f"list_transform(range(1, length({x}) - {n} + 2), lambda i: substr({x}, i, {n}))"
+    def ngrams(self, x, longest):
+        return self.cat([f"list_transform(range(1, length({x}) - {n} + 2), lambda i: substr({x}, i, {n}))" for n in range(2, longest + 1)])
 
     def json(self, x, path):
         return f"json_extract_string({x}, '$.{path}')"

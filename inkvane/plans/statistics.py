@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 from ..functions import lexicons as L
+from . import texts
 from .dialect import Duck, r, upper_tail, words_in
 
 #: Markers of the paired comparison, over (x, low, toks, n, n_sents, letters) of one text.
 COMPARED = [
     "ld_total_words", "ld_unique_words", "ld_ttr", "sty_mean_word_length", "sty_function_word_ratio", "punct_comma_ratio", "punct_total_ratio", "slen_mean", "syn_n_sents", "wlen_long_ratio", "wlen_short_ratio", "read_ari", "read_coleman_liau", "vocab_repeat_ratio", "mfw_the_ratio", "char_vowel_ratio",
 ]
-#: The dimension of a marker by its prefix; anything else is "other".
-DIMENSIONS = {"ld": "lexical_diversity", "syn": "syntactic", "sd": "semantic", "ent": "entropy", "sent": "sentiment", "coh": "cohesion", "sty": "stylometric", "pos": "stylometric", "read": "readability", "trans": "transformation"}
+# The dimension of a marker by its prefix; anything else is "other".
+DIMENSIONS = {"ld": "lexical_diversity", "syn": "syntactic_complexity", "sd": "semantic_distance", "ent": "textual_entropy", "sent": "sentiment_affect", "coh": "discourse_cohesion", "sty": "stylometric", "pos": "stylometric", "read": "readability"}
 CONDITIONS = ["generic", "rewrite_only", "voice_preserving"]
 MODELS = ["gpt54", "claude_sonnet", "gemini_31_pro"]
 
@@ -47,12 +48,81 @@ def long(d: Duck) -> str:
     long AS (SELECT lo.id, lo.condition, lo.model, lo.marker, round(lo.value, 9) AS o, round(lw.value, 9) AS w FROM lo JOIN lw ON lo.id = lw.id AND lo.marker = lw.marker WHERE lo.value IS NOT NULL AND lw.value IS NOT NULL)"""
 
 
-def comparison(d: Duck, by: str = "condition, model") -> str:
-    """CTEs up to comparison: the paired row of each (group, marker) with at least 10 pairs, Wilcoxon and Benjamini-Hochberg."""
+#: Marker tables of both sides of a pair, with the columns taken from each.
+TABLES = {
+    "lexical_diversity": ["ld_ttr", "ld_root_ttr", "ld_hapax_ratio", "ld_unique_words", "ld_total_words"],
+    "mtld": ["ld_mtld"],
+    "textual_entropy": ["ent_word", "ent_char", "ent_bigram"],
+    "sentence_lengths": [*(f"syn_{k}_sent_len" for k in ("mean", "std", "max", "min")), "syn_n_sents"],
+    "sentiment_affect": [*(f"sent_{k}_compound" for k in ("mean", "std", "min", "max", "range")), "sent_pct_positive", "sent_pct_negative"],
+    "sentence_cohesion": ["coh_local_similarity", "coh_global_similarity", "sd_mean_consecutive", "sd_max_consecutive"],
+    "discourse_connectives": ["coh_connective_density"],
+    "stylometric_features": ["sty_function_word_ratio", "sty_punct_ratio", "sty_mean_word_length", "sty_exclamation_per_sent", "sty_question_per_sent"],
+    "readability": [f"read_{k}" for k in ("flesch_ease", "flesch_kincaid", "gunning_fog", "coleman_liau", "ari", "syllables_per_word")],
+    "emotional_dynamics": [f"emo_{k}" for k in ("granularity", "volatility", "word_density", "distinct_emotions")],
+    "moral_reflective": [*(f"moral_{k}" for k in L.MORAL), "reflective_markers", "causal_markers", "growth_markers"],
+    "authenticity_voice": [f"voice_{k}" for k in ("first_person_density", "disfluency", "contraction_density", "specific_number_density")],
+    "conflict_blame": ["conflict_verb_density", "conflict_blame_density", "conflict_second_person"],
+    "temporal_markers": ["narr_temporal_marker_density"],
+}
+#: Further tables, of the stylometric feature sets.
+STYLOMETRIC = {
+    "mfw_profile": [f"mfw_{k}" for k in ("top10_coverage", "top50_coverage", "concentration", "fw_ratio")],
+    "delta_features": [f"delta_fw_{k}" for k in ("zscore_mean", "zscore_std", "deviation")],
+    "vocab_richness": [f"vocab_{k}" for k in ("yules_k", "simpsons_d", "honores_r", "sichels_s", "brunets_w")],
+    "char_ngrams": [f"char_{n}gram_{k}" for n in (2, 3, 4) for k in ("entropy", "hapax_ratio")],
+    "word_length_dist": ["wlen_mean", "wlen_std", "wlen_skew", *(f"wlen_{k}" for k in range(1, 6))],
+    "sent_length_dist": [f"slen_{k}" for k in ("mean", "std", "variation_coef", "short_ratio", "long_ratio")],
+    "punct_patterns": [f"punct_{k}_ratio" for k in ("comma", "dash", "semicolon", "colon", "exclamation", "question")],
+}
+# The stylometric feature sets by name.
+FULL_SET = [c for cols in STYLOMETRIC.values() for c in cols]
+CORE_SET = [*(f"char_{n}gram_{k}" for k in ("entropy", "hapax_ratio") for n in (2, 3, 4)), "wlen_mean", "wlen_std", "slen_mean", "slen_std", "punct_comma_ratio", "punct_dash_ratio"]
+# The refined markers with their category, citation and kind of effect.
+REFINED = {
+    "mfw_top50_coverage": ("Function Words", "Burrows 2002; Eder et al. 2016", "stylometric"),
+    "mfw_fw_ratio": ("Function Words", "Burrows 2002; Eder et al. 2016", "stylometric"),
+    "vocab_honores_r": ("Vocabulary", "Honoré 1979", "stylometric"),
+    "ld_mtld": ("Vocabulary", "McCarthy & Jarvis 2010", "comparison"),
+    "wlen_mean": ("Vocabulary", "Mendenhall 1887", "stylometric"),
+    "char_3gram_entropy": ("Vocabulary", "Stamatatos 2009, 2013", "stylometric"),
+    "vocab_yules_k": ("Vocabulary", "Yule 1944; Tweedie & Baayen 1998", "stylometric"),
+    "slen_mean": ("Syntax & Punctuation", "Williams 1940; Stamatatos 2009", "stylometric"),
+    "punct_comma_ratio": ("Syntax & Punctuation", "Stamatatos 2009; Grieve 2007", "stylometric"),
+    "punct_dash_ratio": ("Syntax & Punctuation", "Stamatatos 2009", "stylometric"),
+    "voice_contraction_density": ("Register", "Biber 1988; Heylighen & Dewaele 2002", "comparison"),
+    "voice_first_person_density": ("Register", "Biber 1988", "comparison"),
+    "emo_word_density": ("Register", "Pennebaker et al. 2015", "comparison"),
+}
+
+
+def wide_long(d: Duck, wanted: list[str]) -> str:
+    """CTEs up to long (id, condition, model, marker, o, w) of any markers of the registered tables.
+
+    Both sides of all pairs are one table of stories (2 * id and 2 * id + 1), so a
+    marker table runs once over all of them; a side that is null or blank has no
+    values, and a missing side drops the pair.
+    """
+    tables = {k: [c for c in cols if c in wanted] for k, cols in (TABLES | STYLOMETRIC).items()}
+    tables = {k: cols for k, cols in tables.items() if cols}
+    sides = f"stories AS (SELECT {d.near('id')} id, CAST(NULL AS STRING) AS source, CAST(NULL AS STRING) AS lang, story FROM sides WHERE trim(story) <> '')"
+    subs = ",\n".join(f"t_{k} AS ({texts.QUERIES[k](d).replace(texts.stories(d), sides)})" for k in tables)
+    values = " UNION ALL ".join(f"SELECT id, {d.unpivot(cols)} FROM t_{k}" for k, cols in tables.items())
+    return f"""{pairs(d)}, sides AS (SELECT 2 * id AS id, orig AS story FROM pairs UNION ALL SELECT 2 * id + 1 AS id, rewrite AS story FROM pairs),
+    {subs}, vals AS ({values}),
+    both_sides AS (SELECT CAST(floor(id / 2.0) AS BIGINT) AS id, marker, max(CASE WHEN id % 2 = 0 THEN round(value, 9) END) AS o, max(CASE WHEN id % 2 <> 0 THEN round(value, 9) END) AS w FROM vals GROUP BY CAST(floor(id / 2.0) AS BIGINT), marker),
+    long AS (SELECT b.id, condition, model, marker, o, w FROM both_sides b JOIN pairs p ON b.id = p.id WHERE o IS NOT NULL AND w IS NOT NULL)"""
+
+
+def comparison(d: Duck, by: str = "condition, model", source: str | None = None) -> str:
+    """CTEs up to comparison: the paired row of each (group, marker) with at least 10 pairs, Wilcoxon and Benjamini-Hochberg.
+
+    source: the CTEs up to ``long``; those of the COMPARED markers where not given.
+    """
     on = " AND ".join(f"st.{c.strip()} = rk.{c.strip()}" for c in (by + ", marker").split(","))
     p = f"least(CAST(1 AS DOUBLE), 2 * {upper_tail('abs(z)')})"
     cols = ", ".join("st." + c.strip() for c in by.split(","))
-    return f"""{long(d)},
+    return f"""{source or long(d)},
     diffs AS (SELECT {by}, marker, id, o, w, round(o - w, 9) AS df FROM long),
     st AS (SELECT {by}, marker, count(*) AS n, avg(o) AS mo, avg(w) AS mw, avg(df) AS md, stddev_samp(df) AS sd FROM diffs GROUP BY {by}, marker HAVING count(*) >= 10),
     nz AS (SELECT {by}, marker, df, rank() OVER (PARTITION BY {by}, marker ORDER BY abs(df)) AS rk, count(*) OVER (PARTITION BY {by}, marker, abs(df)) AS t FROM diffs WHERE df <> 0),
@@ -66,11 +136,31 @@ def comparison(d: Duck, by: str = "condition, model") -> str:
         CASE WHEN mo = 0 THEN 0 ELSE (mw - mo) / abs(mo) * 100 END AS pct FROM ranked)"""
 
 
-def compare_markers(d):
-    return f"""WITH {comparison(d)} SELECT condition, model, marker, n, {r('mo', 4)} AS mean_orig, {r('mw', 4)} AS mean_rewrite, {r('md', 4)} AS mean_diff, {r('pct', 2)} AS pct_change, {r('stat', 2)} AS wilcoxon_stat, {r('z')} AS z,
+def comparison_rows(d, source: str | None = None) -> str:
+    return f"""WITH {comparison(d, source=source)} SELECT condition, model, marker, n, {r('mo', 4)} AS mean_orig, {r('mw', 4)} AS mean_rewrite, {r('md', 4)} AS mean_diff, {r('pct', 2)} AS pct_change, {r('stat', 2)} AS wilcoxon_stat, {r('z')} AS z,
     {r('p', 8)} AS p_value, p < 0.05 AS significant, {r('cohens_d', 4)} AS cohens_d, direction, {r('q', 8)} AS p_value_fdr, q < 0.05 AS significant_fdr FROM comparison"""
 
 
+def compare_markers(d):
+    return comparison_rows(d)
+
+
+ALL_COMPARED = [c for cols in TABLES.values() for c in cols]
+
+
+def compare_all_markers(d):
+    """The paired comparison of every marker that needs no parser or embedder."""
+    return comparison_rows(d, wide_long(d, ALL_COMPARED))
+
+
+def marker_counts_by_dimension(d):
+    """Markers of each dimension that the whole comparison has, against the number that it should have."""
+    expected = " UNION ALL ".join(f"SELECT '{c}' AS marker" for c in ALL_COMPARED)
+    return f"""WITH {comparison(d, 'condition', wide_long(d, ALL_COMPARED))}, ex AS (SELECT {dimension()} AS dimension, count(*) AS expected FROM ({expected}) AS e GROUP BY {dimension()}),
+    got AS (SELECT condition, {dimension()} AS dimension, count(*) AS n, count_if(q < 0.05) AS significant FROM comparison GROUP BY condition, {dimension()})
+    SELECT condition, got.dimension, n, expected, n = expected AS complete, significant FROM got JOIN ex ON got.dimension = ex.dimension"""
+
+
 def wilcoxon_signed_rank(d):
     return f"WITH {comparison(d, 'condition')} SELECT condition, marker, n, CAST(m AS BIGINT) AS nonzero, {r('stat', 2)} AS w, {r('z')} AS z, {r('p', 8)} AS p FROM comparison"
 
@@ -158,14 +248,22 @@ def condition_vs_generic(d):
     SELECT condition, model, count(*) AS n, {r('avg(CASE WHEN (round(x, 8) > 0) = (round(y, 8) > 0) THEN 1 ELSE 0 END)')} AS agreement FROM j GROUP BY condition, model"""
 
 
+def refined(d: Duck) -> str:
+    """CTEs up to refined: the REFINED markers, pooled d towards the rewrite for stylometric ones, the paired comparison's d for the others."""
+    case = lambda k: "CASE marker " + " ".join(f"WHEN '{m}' THEN {d.s(v[k])}" for m, v in REFINED.items()) + " END"
+    pooled = "(avg(w) - avg(o)) / nullif(sqrt((var_samp(o) + var_samp(w)) / 2), 0)"
+    return f"""{comparison(d, source=wide_long(d, list(REFINED)))}, pooled AS (SELECT condition, model, marker, {pooled} AS dp FROM long GROUP BY condition, model, marker),
+    refined AS (SELECT c.condition, c.model, c.marker, {case(0).replace('marker', 'c.marker', 1)} AS category, {case(1).replace('marker', 'c.marker', 1)} AS citation, mo, mw, p, pct,
+        CASE WHEN {case(2).replace('marker', 'c.marker', 1)} = 'stylometric' THEN coalesce(dp, 0) ELSE -cohens_d END AS d FROM comparison c JOIN pooled ON c.condition = pooled.condition AND c.model = pooled.model AND c.marker = pooled.marker)"""
+
+
 def refined_effects(d):
-    """Chosen markers: pooled d towards the rewrite for the stylometric ones, the comparison's d (sign turned) for the others."""
-    styl = words_in(["punct_comma_ratio", "punct_total_ratio", "slen_mean", "vocab_repeat_ratio", "mfw_the_ratio", "sty_function_word_ratio"])
-    other = words_in(["ld_ttr", "read_coleman_liau"])
-    return f"""WITH {comparison(d)}, pooled AS (SELECT condition, model, marker, (avg(w) - avg(o)) / nullif(sqrt((var_samp(o) + var_samp(w)) / 2), 0) AS dp FROM long GROUP BY condition, model, marker)
-    SELECT c.condition, c.model, c.marker, 'stylometric' AS category, {r('mo')} AS orig_mean, {r('mw')} AS rewrite_mean, {r('coalesce(dp, 0)')} AS cohens_d, {r('p', 8)} AS p_value, {r('coalesce((mw - mo) / nullif(mo, 0) * 100, 0)', 4)} AS pct_change
-    FROM comparison c JOIN pooled ON c.condition = pooled.condition AND c.model = pooled.model AND c.marker = pooled.marker WHERE c.marker IN {styl} UNION ALL
-    SELECT condition, model, marker, 'comparison' AS category, {r('mo')} AS orig_mean, {r('mw')} AS rewrite_mean, {r('-cohens_d')} AS cohens_d, {r('p', 8)} AS p_value, {r('pct', 4)} AS pct_change FROM comparison WHERE marker IN {other}"""
+    return f"WITH {refined(d)} SELECT condition, model, marker, category, citation, {r('mo')} AS orig_mean, {r('mw')} AS rewrite_mean, {r('d')} AS cohens_d, {r('p', 8)} AS p_value, {r('pct', 4)} AS pct_change FROM refined"
+
+
+def refined_categories(d):
+    """Mean size of the refined effects by condition and category, over all models."""
+    return f"WITH {refined(d)} SELECT condition, category, count(DISTINCT marker) AS n_markers, {r('avg(abs(d))')} AS mean_abs_d FROM refined GROUP BY condition, category"
 
 
 def category_summary(d):
@@ -186,9 +284,11 @@ def table_dimensions(d):
 
 
 def table_models(d):
-    cols = ", ".join(f"{r(f'avg(CASE WHEN condition = {chr(39)}{c}{chr(39)} THEN abs(cohens_d) END)', 4)} AS d_{c}" for c in CONDITIONS)
-    g, v = (f"avg(CASE WHEN condition = '{c}' THEN abs(cohens_d) END)" for c in ("generic", "voice_preserving"))
-    return f"WITH {comparison(d)} SELECT model, {cols}, {r(f'(1 - {v} / nullif({g}, 0)) * 100', 4)} AS reduction_pct FROM comparison GROUP BY model"
+    cols = ", ".join(f"{r(f'd_{c}', 4)} AS d_{c}" for c in CONDITIONS)
+    by_model = ", ".join(f"avg(CASE WHEN condition = '{c}' THEN abs(cohens_d) END) AS d_{c}" for c in CONDITIONS)
+    mean = ", ".join(f"avg(d_{c}) AS d_{c}" for c in CONDITIONS)
+    return f"""WITH {comparison(d)}, m AS (SELECT model, {by_model} FROM comparison GROUP BY model), every_row AS (SELECT model, {', '.join(f'd_{c}' for c in CONDITIONS)} FROM m UNION ALL SELECT 'mean' AS model, {mean} FROM m)
+    SELECT model, {cols}, {r('(1 - d_voice_preserving / nullif(d_generic, 0)) * 100', 4)} AS reduction_pct FROM every_row"""
 
 
 def table_key_markers(d):
@@ -226,21 +326,20 @@ def paired_histogram(d):
 
 
 def kde_density(d):
-    """Gaussian kernel density at 50 points of the originals' mean word length, Scott's bandwidth."""
-    grid = d.seq(0, 49)
+    """Gaussian kernel density at 200 points of the originals' mean word length, Scott's bandwidth."""
+    grid = d.seq(0, 199)
     return f"""WITH {long(d)}, x AS (SELECT o FROM long WHERE marker = 'sty_mean_word_length'), s AS (SELECT min(o) AS a, max(o) AS b, stddev_samp(o) * power(count(*), -0.2) AS h FROM x), g AS (SELECT a, b, h, {d.explode(grid)} AS k FROM s),
-    pts AS (SELECT k, h, a + (b - a) * k / 49.0 AS t FROM g) SELECT CAST(k AS BIGINT) AS k, {r('max(t)')} AS t, {r('avg(exp(-0.5 * ((t - o) / h) * ((t - o) / h)) / (h * 2.5066282746310002))')} AS density FROM pts CROSS JOIN x GROUP BY k"""
+    pts AS (SELECT k, h, a + (b - a) * k / 199.0 AS t FROM g) SELECT CAST(k AS BIGINT) AS k, {r('max(t)')} AS t, {r('avg(exp(-0.5 * ((t - o) / h) * ((t - o) / h)) / (h * 2.5066282746310002))')} AS density FROM pts CROSS JOIN x GROUP BY k"""
 
 
 def transformation(d):
-    """Length ratios, vocabulary overlap and normalised edit distance of each pair (the distance of ASCII texts only, as DuckDB counts bytes; ``pair_distances`` has it for every pair)."""
-    ascii_ = d.matches("orig || rewrite", r"^[\x00-\x7F]*$")
+    """Length ratios, vocabulary overlap and normalised edit distance by character of each pair."""
     ow, rw = (d.tokens(x, r"[^ \t\n\r]+") for x in ("lower(orig)", "lower(rewrite)"))
-    return f"""WITH {pairs(d)}, t AS (SELECT id, orig, rewrite, {d.distinct(ow)} AS a, {d.distinct(rw)} AS b, CAST({d.size(ow)} AS DOUBLE) AS na, CAST({d.size(rw)} AS DOUBLE) AS nb, {ascii_} AS plain FROM pairs WHERE orig IS NOT NULL AND rewrite IS NOT NULL),
+    return f"""WITH {pairs(d)}, t AS (SELECT {d.near('id')} id, orig, rewrite, {d.distinct(ow)} AS a, {d.distinct(rw)} AS b, CAST({d.size(ow)} AS DOUBLE) AS na, CAST({d.size(rw)} AS DOUBLE) AS nb FROM pairs WHERE orig IS NOT NULL AND rewrite IS NOT NULL),
     u AS (SELECT *, CAST({d.size(d.both('a', 'b'))} AS DOUBLE) AS both_ FROM t)
     SELECT id, {r('coalesce(length(rewrite) / nullif(CAST(length(orig) AS DOUBLE), 0), 1)')} AS trans_length_ratio, {r('coalesce(nb / nullif(na, 0), 1)')} AS trans_word_ratio,
     {r(f"coalesce(both_ / nullif({d.size('a')} + {d.size('b')} - both_, 0), 1)")} AS trans_vocab_jaccard,
-    CASE WHEN plain THEN {r('coalesce(levenshtein(orig, rewrite) / nullif(CAST(greatest(length(orig), length(rewrite)) AS DOUBLE), 0), 0)')} END AS trans_char_edit_distance FROM u"""
+    {r(f"coalesce({d.levenshtein('orig', 'rewrite')} / nullif(CAST(greatest(length(orig), length(rewrite)) AS DOUBLE), 0), 0)")} AS trans_char_edit_distance FROM u"""
 
 
 def transformation_bars(d):
@@ -251,6 +350,41 @@ def stylometric_delta(d):
     return f"WITH {long(d)} SELECT id, count(*) AS n_markers, {r('avg(abs(w - o))', 5)} AS mean_abs_delta, {r('max(abs(w - o))', 5)} AS max_abs_delta FROM long GROUP BY id"
 
 
+def stylometric_deltas(d):
+    """Rewrite less original of each stylometric marker, and the mean and largest size of these differences."""
+    cols = ", ".join(f"{r(f'max(CASE WHEN marker = {chr(39)}{c}{chr(39)} THEN w - o END)')} AS {c}_delta" for c in FULL_SET)
+    return f"WITH {wide_long(d, FULL_SET)} SELECT id, {cols}, {r('avg(abs(w - o))', 4)} AS mean_abs_delta, {r('max(abs(w - o))')} AS max_abs_delta FROM long GROUP BY id"
+
+
+def convergence(d):
+    """Mean pairwise Delta of the originals, of all rewrites and of each model's, each scaled apart, for both feature sets.
+
+    The mean comes from sorted prefix sums of each marker, without pairs; the
+    ratio is that of the originals to the group.
+    """
+    sets = f"SELECT 'full' AS feature_set, grp, id, marker, x FROM g UNION ALL SELECT 'core' AS feature_set, grp, id, marker, x FROM g WHERE marker IN {words_in(CORE_SET)}"
+    return f"""WITH {wide_long(d, FULL_SET)}, g AS (SELECT 'originals' AS grp, id, marker, o AS x FROM long UNION ALL SELECT 'rewrites' AS grp, id, marker, w AS x FROM long UNION ALL SELECT model AS grp, id, marker, w AS x FROM long), s AS ({sets}),
+    sc AS (SELECT feature_set, grp, marker, avg(x) AS mu, coalesce(nullif(stddev_pop(x), 0), 1) AS sd, count(*) AS n FROM s GROUP BY feature_set, grp, marker),
+    z AS (SELECT s.feature_set, s.grp, s.marker, n, (x - mu) / sd AS v, row_number() OVER (PARTITION BY s.feature_set, s.grp, s.marker ORDER BY x, id) AS i FROM s JOIN sc ON s.feature_set = sc.feature_set AND s.grp = sc.grp AND s.marker = sc.marker),
+    m AS (SELECT feature_set, grp, max(n) AS n, count(DISTINCT marker) AS n_features, sum((2.0 * i - n - 1) * v) / nullif(max(n) * (max(n) - 1) / 2.0, 0) / count(DISTINCT marker) AS delta FROM z GROUP BY feature_set, grp)
+    SELECT m.feature_set, m.grp, m.n, m.n_features, {r('m.delta', 5)} AS mean_delta, {r('o.delta / nullif(m.delta, 0)', 5)} AS convergence_ratio FROM m JOIN m o ON m.feature_set = o.feature_set AND o.grp = 'originals'"""
+
+
+def reliability_summary(d):
+    """Medians of the reliability table, its tiers and the share of highly reliable markers."""
+    return f"""WITH t AS (SELECT * FROM ({reliability_icc_cv(d)}) AS r) SELECT count(*) AS n_markers, {r('median(icc)', 5)} AS median_icc, {r('median(cv)', 5)} AS median_cv, count_if(reliability = 'High') AS high, count_if(reliability = 'Moderate') AS moderate, count_if(reliability = 'Low') AS low,
+    {r('avg(CASE WHEN icc >= 0.9 THEN 1 ELSE 0 END) * 100', 4)} AS pct_high FROM t"""
+
+
+def temperature_extremes(d):
+    """The five markers whose effect changes most, and least, between the first and the last temperature, by model."""
+    first, last = sorted(CONDITIONS)[0], sorted(CONDITIONS)[-1]
+    return f"""WITH {long(d)}, eff AS (SELECT model, condition AS t, marker, coalesce(avg(w - o) / nullif(stddev_samp(w - o), 0), 0) AS e FROM long GROUP BY model, condition, marker),
+    df AS (SELECT a.model, a.marker, round(a.e, 8) AS e1, round(b.e, 8) AS e2, round(abs(a.e - b.e), 8) AS diff FROM eff a JOIN eff b ON a.model = b.model AND a.marker = b.marker AND a.t = '{first}' AND b.t = '{last}'),
+    k AS (SELECT *, row_number() OVER (PARTITION BY model ORDER BY diff DESC, marker) AS top, row_number() OVER (PARTITION BY model ORDER BY diff, marker DESC) AS low FROM df)
+    SELECT model, marker, {r('e1', 5)} AS d_first, {r('e2', 5)} AS d_last, {r('diff', 5)} AS diff, CASE WHEN top <= 5 THEN 'sensitive' ELSE 'stable' END AS kind FROM k WHERE top <= 5 OR low <= 5"""
+
+
 def vectors(d: Duck) -> str:
     return "vecs AS (SELECT vec_id AS id, label, embedding AS e FROM embeddings WHERE embedding IS NOT NULL)"
 
@@ -281,17 +415,30 @@ def convergence_spread(d):
 
 
 def standardised(d: Duck, fit: str) -> str:
-    """CTEs up to zl (id, model, marker, zo, zw): z scores by the originals of each model, or by both sides stacked."""
-    both = "SELECT model, marker, o AS x FROM long" + (" UNION ALL SELECT model, marker, w AS x FROM long" if fit == "stacked" else "")
+    """CTEs up to zl (id, model, marker, zo, zw): z scores by the originals of each model, by its rewrites, or by both sides stacked."""
+    side = {"reference": "o", "rewrites": "w", "stacked": "o"}[fit]
+    both = f"SELECT model, marker, {side} AS x FROM long" + (" UNION ALL SELECT model, marker, w AS x FROM long" if fit == "stacked" else "")
     return f"""{long(d)}, fit AS ({both}), sc AS (SELECT model, marker, avg(x) AS mu, coalesce(nullif(stddev_pop(x), 0), 1) AS sd FROM fit GROUP BY model, marker),
     zl AS (SELECT id, long.model, long.marker, (o - mu) / sd AS zo, (w - mu) / sd AS zw FROM long JOIN sc ON long.model = sc.model AND long.marker = sc.marker)"""
 
 
+def side_by_side(d: Duck, fit: str, sides: dict[str, str]) -> str:
+    """CTEs up to wide: one row per text, a column for each side and COMPARED marker, so that a pair's distance is one expression."""
+    cols = ", ".join(f"max(CASE WHEN marker = '{c}' THEN {v} END) AS {s}_{c}" for s, v in sides.items() for c in COMPARED)
+    return f"{standardised(d, fit)}, wide AS (SELECT model, id, {cols} FROM zl GROUP BY model, id)"
+
+
+def distance(x: str, y: str) -> str:
+    """Mean absolute difference over the markers that both have."""
+    diffs = [f"abs({x}_{c} - {y}_{c})" for c in COMPARED]
+    return "((" + " + ".join(f"coalesce({e}, 0)" for e in diffs) + ") / (" + " + ".join(f"CASE WHEN {e} IS NULL THEN 0.0 ELSE 1.0 END" for e in diffs) + "))"
+
+
 def source_matching(d, fit="reference"):
     """Nearest rewrite of each original within a model's texts by mean absolute z difference, and the share that hit their own."""
-    return f"""WITH {standardised(d, fit)}, dist AS (SELECT a.model, a.id AS original, b.id AS rewrite, avg(abs(a.zo - b.zw)) AS dd FROM zl a JOIN zl b ON a.model = b.model AND a.marker = b.marker GROUP BY a.model, a.id, b.id),
-    best AS (SELECT model, original, rewrite, row_number() OVER (PARTITION BY model, original ORDER BY round(dd, 8), rewrite) AS k FROM dist)
-    SELECT model, count(*) AS n, {r('100.0 * count_if(original = rewrite) / count(*)', 4)} AS accuracy, {r('100.0 / count(*)', 4)} AS chance FROM best WHERE k = 1 GROUP BY model"""
+    best = d.best(f"round({distance('a.o', 'b.w')}, 8)", "b.id")
+    return f"""WITH {side_by_side(d, fit, {'o': 'zo', 'w': 'zw'})}, best AS (SELECT a.model, a.id AS original, {best} AS rewrite FROM wide a JOIN wide b ON a.model = b.model GROUP BY a.model, a.id)
+    SELECT model, count(*) AS n, {r('100.0 * count_if(original = rewrite) / count(*)', 4)} AS accuracy, {r('100.0 / count(*)', 4)} AS chance FROM best GROUP BY model"""
 
 
 def source_matching_stacked(d):
@@ -306,15 +453,14 @@ def stance_effects(d):
 
 def burrows_delta_pairs(d):
     """Min, max, mean and deviation of pairwise Delta among the rewrites of each model."""
-    return f"""WITH {long(d)}, sc AS (SELECT model, marker, avg(w) AS mu, coalesce(nullif(stddev_pop(w), 0), 1) AS sd FROM long GROUP BY model, marker), z AS (SELECT id, long.model, long.marker, (w - mu) / sd AS v FROM long JOIN sc ON long.model = sc.model AND long.marker = sc.marker),
-    p AS (SELECT a.model, a.id AS i, b.id AS j, avg(abs(a.v - b.v)) AS dd FROM z a JOIN z b ON a.model = b.model AND a.marker = b.marker AND a.id < b.id GROUP BY a.model, a.id, b.id)
+    return f"""WITH {side_by_side(d, 'rewrites', {'w': 'zw'})}, p AS (SELECT a.model, {distance('a.w', 'b.w')} AS dd FROM wide a JOIN wide b ON a.model = b.model AND a.id < b.id)
     SELECT model, count(*) AS n_pairs, {r('avg(dd)', 5)} AS mean, {r('stddev_pop(dd)', 5)} AS std, {r('min(dd)', 5)} AS min, {r('max(dd)', 5)} AS max FROM p GROUP BY model"""
 
 
 QUERIES = {
     f.__name__: f
     for f in (
-        compare_markers, wilcoxon_signed_rank, bh_fdr, cohens_d_variants, summary_by_dimension, pearson_spearman, protocol_stability, reliability_icc_cv, run_alignment, temperature_stability, temperature_summary, direction_agreement, condition_vs_generic, refined_effects, category_summary, table_significance, table_conditions, table_dimensions,
+        compare_markers, compare_all_markers, marker_counts_by_dimension, refined_categories, stylometric_deltas, convergence, reliability_summary, temperature_extremes, wilcoxon_signed_rank, bh_fdr, cohens_d_variants, summary_by_dimension, pearson_spearman, protocol_stability, reliability_icc_cv, run_alignment, temperature_stability, temperature_summary, direction_agreement, condition_vs_generic, refined_effects, category_summary, table_significance, table_conditions, table_dimensions,
         table_models, table_key_markers, marker_count_validation, pivot_effects, topk_cross_model, highlights, radar_effects, paired_histogram, kde_density, transformation, transformation_bars, stylometric_delta, semantic_cosine, burrows_delta_mean, convergence_spread, source_matching, source_matching_stacked, stance_effects, burrows_delta_pairs,
     )
 }

@@ -18,10 +18,16 @@ ADDED = [
 ]
 
 
+#: Hand-made stories with negative ids, of which the markers are known (tests/test_operators.py).
+HAND = ["...!", "abc", "a b c d e f g h i j", "a a a a", "don’t it's y'all", "some person"]
+
+
 def stories(d: Duck) -> str:
-    """CTE: (id, source, lang, story), documents with the added sentences, dealt by id once."""
+    """CTE: (id, source, lang, story), documents with the added sentences and the hand-made ones, dealt by id once."""
     cases = " ".join(f"WHEN {k} THEN {d.s(t)}" for k, t in enumerate(ADDED))
-    return f"stories AS (SELECT {d.near('id')} doc_id AS id, source, lang, text || ' ' || CASE doc_id % {len(ADDED)} {cases} END AS story FROM documents WHERE text IS NOT NULL)"
+    hand = ", ".join(f"({-1 - k}, 'hand', 'en', {d.s(t)})" for k, t in enumerate(HAND))
+    added = f"SELECT doc_id AS id, source, lang, text || ' ' || CASE doc_id % {len(ADDED)} {cases} END AS story FROM documents WHERE text IS NOT NULL"
+    return f"stories AS (SELECT {d.near('id')} id, source, lang, story FROM ({added} UNION ALL SELECT * FROM (VALUES {hand}) AS v(id, source, lang, story)) AS u)"
 
 
 CLITICS = r"n't\b|'(?:s|re|ve|ll|d|m)\b"
@@ -40,11 +46,21 @@ def parsed(d: Duck) -> str:
 
 
 def freq(d: Duck) -> str:
-    """CTEs up to freq (id, tok, c) and size (id, n, v)."""
+    """CTEs up to freq (id, tok, c); a text without words has one row, of no word and count 0."""
     return f"""{parsed(d)},
-    toks AS (SELECT id, {d.explode('toks')} AS tok FROM parsed),
-    freq AS (SELECT id, tok, CAST(count(*) AS DOUBLE) AS c FROM toks GROUP BY id, tok),
-    size AS (SELECT id, CAST(sum(c) AS DOUBLE) AS n, CAST(count(*) AS DOUBLE) AS v FROM freq GROUP BY id)"""
+    toks AS (SELECT id, {d.explode(d.some('toks'))} AS tok FROM parsed),
+    freq AS (SELECT id, tok, CAST(count(tok) AS DOUBLE) AS c FROM toks GROUP BY id, tok)"""
+
+
+def phrases(d: Duck, kind: str) -> str:
+    """Occurrences of the multi-word constructions of a kind, at word borders."""
+    return f"CAST({d.count('low', chr(92) + 'b(?:' + '|'.join(L.PHRASES[kind]) + ')' + chr(92) + 'b')} AS DOUBLE)"
+
+
+def subject_verb(d: Duck, subjects: str, verbs: list[str]) -> str:
+    """A subject right before any form of the verbs."""
+    forms = "|".join(f for v in verbs for f in L.forms(v))
+    return f"CAST({d.count('low', f'{chr(92)}b(?:{subjects}) (?:{forms}){chr(92)}b')} AS DOUBLE)"
 
 
 def of_words(d: Duck, words: list[str]) -> str:
@@ -79,6 +95,7 @@ def per_n(e, den="nullif(n, 0)"):
 
 
 words_over = lambda ws, den="nullif(n, 0)", scale="": per_n(lambda d: of_words(d, ws) + scale, den)
+both_over = lambda ws, kind, den, scale="": per_n(lambda d: f"({of_words(d, ws)} + {phrases(d, kind)}){scale}", den)
 subs_over = lambda ws, den, scale="", x="low": per_n(lambda d: substrings(d, x, ws) + scale, den)
 WHITESPACE = r"[^ \t\n\r]+"
 SPLIT_WORDS = lambda d: f"nullif({d.count('low', WHITESPACE)}, 0)"
@@ -94,12 +111,15 @@ def scan_filter_words(d):
 
 
 def stratified_sample(d):
-    """Exactly 300 rows in proportion to the sources, by a seeded hash order; topped up or trimmed by the global order."""
-    h = "md5(CAST(doc_id AS STRING) || ':42')" if d.spark else "md5(CAST(doc_id AS VARCHAR) || ':42')"
-    return f"""WITH base AS (SELECT doc_id AS id, source, {h} AS h, count(*) OVER () AS total, count(*) OVER (PARTITION BY source) AS per FROM documents),
-    ranked AS (SELECT id, source, h, row_number() OVER (PARTITION BY source ORDER BY h, id) AS k, round(300.0 * per / total) AS want FROM base),
-    picked AS (SELECT id, source, row_number() OVER (ORDER BY CASE WHEN k <= want THEN 0 ELSE 1 END, h, id) AS g FROM ranked)
-    SELECT id, source FROM picked WHERE g <= 300"""
+    """Exactly 300 rows in proportion to the sources, by a seeded hash order; topped up or trimmed by the global order.
+
+    No source gives more than 300 rows, so only that many of each leave the tasks.
+    """
+    h = "md5(CAST(doc_id AS STRING) || ':42')"
+    return f"""WITH per AS (SELECT source, count(*) AS per FROM documents GROUP BY source), total AS (SELECT sum(per) AS total FROM per),
+    ranked AS (SELECT * FROM (SELECT doc_id AS id, source, {h} AS h, row_number() OVER (PARTITION BY source ORDER BY {h}, doc_id) AS k FROM documents) AS o WHERE k <= 300)
+    SELECT id, ranked.source FROM ranked JOIN per ON ranked.source IS NOT DISTINCT FROM per.source CROSS JOIN total
+    ORDER BY CASE WHEN k <= round(300.0 * per / total) THEN 0 ELSE 1 END, h, id LIMIT 300"""
 
 
 def head_n(d):
@@ -170,59 +190,86 @@ def job_planner(d):
     return f"WITH jobs AS (SELECT doc_id AS id, {d.explode(models)} AS job FROM documents), done AS ({done}) SELECT job, count(*) AS todo FROM jobs WHERE NOT EXISTS (SELECT 1 FROM done WHERE done.id = jobs.id AND done.job = jobs.job) GROUP BY job"
 
 
+def entropy(cond: str) -> str:
+    """Shannon entropy in bits of the counts c where the condition holds; 0 where there is none."""
+    n = f"sum(CASE WHEN {cond} THEN c ELSE 0 END)"
+    return f"CASE WHEN {n} > 0 THEN log2({n}) - sum(CASE WHEN {cond} AND c > 0 THEN c * log2(c) ELSE 0 END) / {n} ELSE 0 END"
+
+
 def char_ngrams(d):
-    """Entropy, hapax share and type share of character 2-, 3- and 4-grams; zero below four characters."""
+    """Entropy, hapax share and type share of character 2-, 3- and 4-grams, counted together; zero below four characters."""
     text = "text_norm"
-    parts = ",\n".join(
-        f"g{n} AS (SELECT id, {d.explode(d.ngrams(text, n))} AS g FROM lowered WHERE length({text}) >= 4), c{n} AS (SELECT id, g, CAST(count(*) AS DOUBLE) AS c FROM g{n} GROUP BY id, g), "
-        f"s{n} AS (SELECT id, log2(sum(c)) - sum(c * log2(c)) / sum(c) AS e, count_if(c = 1) / CAST(count(*) AS DOUBLE) AS h, count(*) / sum(c) AS t FROM c{n} GROUP BY id)"
-        for n in (2, 3, 4)
-    )
-    cols = ", ".join(f"{r(f'coalesce(s{n}.{k}, 0)')} AS char_{n}gram_{name}" for n in (2, 3, 4) for k, name in (("e", "entropy"), ("h", "hapax"), ("t", "type_ratio")))
-    joins = " ".join(f"LEFT JOIN s{n} ON lowered.id = s{n}.id" for n in (2, 3, 4))
-    return f"WITH {stories(d)}, lowered AS (SELECT id, trim({d.sub('lower(story)', r'[ \t\n\r]+', ' ')}) AS {text} FROM stories), {parts} SELECT lowered.id, {cols} FROM lowered {joins}"
+    grams = f"CASE WHEN length({text}) >= 4 THEN {d.ngrams(text, 4)} ELSE {d.array(['CAST(NULL AS STRING)'])} END"
+    share = lambda a, b: f"CASE WHEN {b} > 0 THEN {a} / {b} ELSE 0 END"
+    cols = []
+    for n in (2, 3, 4):
+        types, total, once = f"CAST(count_if(g = {n} AND c > 0) AS DOUBLE)", f"sum(CASE WHEN g = {n} THEN c ELSE 0 END)", f"count_if(g = {n} AND c = 1)"
+        cols += [(f"char_{n}gram_entropy", entropy(f"g = {n}")), (f"char_{n}gram_hapax_ratio", share(once, types)), (f"char_{n}gram_type_ratio", share(types, total))]
+    return f"""WITH {stories(d)}, lowered AS (SELECT id, trim({d.sub('lower(story)', r'[ \t\n\r]+', ' ')}) AS {text} FROM stories),
+    grams AS (SELECT id, {d.explode(grams)} AS gram FROM lowered), counts AS (SELECT id, length(gram) AS g, CAST(count(gram) AS DOUBLE) AS c FROM grams GROUP BY id, gram)
+    SELECT id, {', '.join(f'{r(e)} AS {c}' for c, e in cols)} FROM counts GROUP BY id"""
 
 
 def lexical_diversity(d):
-    return f"""WITH {freq(d)}, a AS (SELECT id, sum(c) AS n, CAST(count(*) AS DOUBLE) AS v, count_if(c = 1) AS v1 FROM freq GROUP BY id)
-    SELECT id, {r('v / n')} AS ld_ttr, {r('v / sqrt(n)')} AS ld_root_ttr, {r('v1 / v')} AS ld_hapax_ratio, CAST(v AS BIGINT) AS ld_unique_words, CAST(n AS BIGINT) AS ld_total_words FROM a"""
+    return f"""WITH {freq(d)}, a AS (SELECT id, sum(c) AS n, CAST(count(tok) AS DOUBLE) AS v, count_if(c = 1) AS v1 FROM freq GROUP BY id)
+    SELECT id, {r('coalesce(v / nullif(n, 0), 0)')} AS ld_ttr, {r('coalesce(v / nullif(sqrt(n), 0), 0)')} AS ld_root_ttr, {r('coalesce(v1 / nullif(v, 0), 0)')} AS ld_hapax_ratio, CAST(v AS BIGINT) AS ld_unique_words, CAST(n AS BIGINT) AS ld_total_words FROM a"""
 
 
 def textual_entropy(d):
-    return f"""WITH {freq(d)},
-    w AS (SELECT id, log2(sum(c)) - sum(c * log2(c)) / sum(c) AS e FROM freq GROUP BY id),
-    letters AS (SELECT id, {d.explode(d.filter(d.split('clean', ''), 'c', d.matches('c', chr(92) + 'p{L}')))} AS tok FROM parsed),
-    lc AS (SELECT id, tok, CAST(count(*) AS DOUBLE) AS c FROM letters GROUP BY id, tok),
-    l AS (SELECT id, log2(sum(c)) - sum(c * log2(c)) / sum(c) AS e FROM lc GROUP BY id),
-    bi AS (SELECT id, {d.explode(d.map(d.seq(1, f'greatest({d.size("toks")} - 1, 1)'), 'i', 'toks[' + ('i - 1' if d.spark else 'i') + "] || ' ' || " + ('get(toks, i)' if d.spark else 'toks[i + 1]')))} AS tok FROM parsed WHERE n > 1),
-    bc AS (SELECT id, tok, CAST(count(*) AS DOUBLE) AS c FROM bi WHERE tok IS NOT NULL GROUP BY id, tok),
-    b AS (SELECT id, log2(sum(c)) - sum(c * log2(c)) / sum(c) AS e FROM bc GROUP BY id)
-    SELECT w.id, {r('w.e')} AS ent_word, {r('l.e')} AS ent_char, {r('coalesce(b.e, 0)')} AS ent_bigram FROM w JOIN l ON w.id = l.id LEFT JOIN b ON w.id = b.id"""
+    """Entropies of words, letters and word pairs, counted together under a letter for their kind."""
+    words = d.map("toks", "t", "'w' || t")
+    letters = d.map(d.tokens("clean", r"\p{L}"), "c", "'c' || c")
+    pairs_ = d.map(d.seq(1, f"greatest({d.size('toks')}, 1)"), "i", "'b' || " + ("get(toks, i - 1) || ' ' || get(toks, i)" if d.spark else "toks[i] || ' ' || toks[i + 1]"))
+    cols = ", ".join(f"{r(entropy(f'kind = {chr(39)}{k}{chr(39)}'))} AS ent_{name}" for k, name in (("w", "word"), ("c", "char"), ("b", "bigram")))
+    return f"""WITH {parsed(d)}, units AS (SELECT id, {d.explode(d.cat([words, letters, pairs_]))} AS tok FROM parsed),
+    counts AS (SELECT id, left(tok, 1) AS kind, CAST(count(tok) AS DOUBLE) AS c FROM units GROUP BY id, tok) SELECT id, {cols} FROM counts GROUP BY id"""
+
+
+def mtld(d):
+    """Mean of a forward and a backward pass: a segment closes at a type-token ratio of 0.72, the tail counts in part.
+
+    A word is new in its segment if its last occurrence lies before the segment,
+    so the pass is a fold over those places.
+    """
+    left = d.fold("prev", {"f": 0, "lo": 1, "types": 0, "i": 0}, "s", "p", {"f": f"s.f + {CLOSED}", "lo": f"CASE WHEN {CLOSED} = 1 THEN s.i + 2 ELSE s.lo END", "types": f"CASE WHEN {CLOSED} = 1 THEN 0 ELSE {TYPES} END", "i": "s.i + 1"})
+    tail = lambda s: f"({s}.f + CASE WHEN n > {s}.lo AND {s}.types < n - {s}.lo + 1 THEN (1 - {s}.types / (n - {s}.lo + 1)) / 0.28 ELSE 0 END)"
+    score = lambda s: f"CASE WHEN {tail(s)} > 0 THEN n / {tail(s)} ELSE n END"
+    at = f"SELECT id, n, pos + 1 AS pos, tok FROM parsed LATERAL VIEW posexplode({d.some('toks')}) pe AS pos, tok" if d.spark else f"SELECT id, n, unnest(range(1, greatest({d.size('toks')}, 1) + 1)) AS pos, unnest({d.some('toks')}) AS tok FROM parsed"
+    return f"""WITH {parsed(d)}, places AS ({at}),
+    seen AS (SELECT id, n, pos, coalesce(lag(pos) OVER (PARTITION BY id, tok ORDER BY pos), 0) AS p, coalesce(n + 1 - lead(pos) OVER (PARTITION BY id, tok ORDER BY pos), 0) AS q, tok FROM places),
+    lists AS (SELECT id, n, {d.gather('CAST(p AS DOUBLE)', 'tok IS NOT NULL', 'pos')} AS prev, {d.gather('CAST(q AS DOUBLE)', 'tok IS NOT NULL', '-pos')} AS next FROM seen GROUP BY id, n),
+    folded AS (SELECT id, n, {left} AS a, {left.replace('prev', 'next', 1)} AS b FROM lists)
+    SELECT id, {r(f'({score("a")} + {score("b")}) / 2')} AS ld_mtld FROM folded"""
+
+
+TYPES = "(s.types + CASE WHEN p < s.lo THEN 1 ELSE 0 END)"
+CLOSED = f"(CASE WHEN {TYPES} / (s.i + 2 - s.lo) <= 0.72 THEN 1 ELSE 0 END)"
 
 
 def mfw_profile(d):
+    share = lambda e: r(f"coalesce({e} / nullif(sum(c), 0), 0)")
     return f"""WITH {freq(d)}, ranked AS (SELECT id, tok, c, row_number() OVER (PARTITION BY id ORDER BY c DESC, tok) AS k, row_number() OVER (PARTITION BY id ORDER BY c, tok) AS i FROM freq)
-    SELECT id, {r('sum(CASE WHEN k <= 10 THEN c ELSE 0 END) / sum(c)')} AS mfw_top10_coverage, {r('sum(CASE WHEN k <= 50 THEN c ELSE 0 END) / sum(c)')} AS mfw_top50_coverage,
+    SELECT id, {share('sum(CASE WHEN k <= 10 THEN c ELSE 0 END)')} AS mfw_top10_coverage, {share('sum(CASE WHEN k <= 50 THEN c ELSE 0 END)')} AS mfw_top50_coverage,
     {r('CASE WHEN count(*) > 1 THEN 2 * sum(i * c) / (count(*) * sum(c)) - (count(*) + 1) / CAST(count(*) AS DOUBLE) ELSE 0 END')} AS mfw_concentration,
-    {r(f'sum(CASE WHEN tok IN {words_in(L.TOP_FUNCTION_WORDS)} THEN c ELSE 0 END) / sum(c)')} AS mfw_fw_ratio FROM ranked GROUP BY id"""
+    {share(f'sum(CASE WHEN tok IN {words_in(L.TOP_FUNCTION_WORDS)} THEN c ELSE 0 END)')} AS mfw_fw_ratio FROM ranked GROUP BY id"""
 
 
 def mfw_frequencies(d):
-    cols = ", ".join(f"{r(f'1000 * sum(CASE WHEN tok = {chr(39)}{w}{chr(39)} THEN c ELSE 0 END) / sum(c)')} AS mfw_{w}" for w in L.TOP_FUNCTION_WORDS)
+    cols = ", ".join(f"{r(f'coalesce(1000 * sum(CASE WHEN tok = {chr(39)}{w}{chr(39)} THEN c ELSE 0 END) / nullif(sum(c), 0), 0)')} AS mfw_{w}" for w in L.TOP_FUNCTION_WORDS)
     return f"WITH {freq(d)} SELECT id, {cols} FROM freq GROUP BY id"
 
 
 def vocab_richness(d):
-    return f"""WITH {freq(d)}, a AS (SELECT id, sum(c) AS n, CAST(count(*) AS DOUBLE) AS v, CAST(count_if(c = 1) AS DOUBLE) AS v1, CAST(count_if(c = 2) AS DOUBLE) AS v2, sum(c * c) AS m2, sum(c * (c - 1)) AS m1 FROM freq GROUP BY id)
+    return f"""WITH {freq(d)}, a AS (SELECT id, sum(c) AS n, CAST(count(tok) AS DOUBLE) AS v, CAST(count_if(c = 1) AS DOUBLE) AS v1, CAST(count_if(c = 2) AS DOUBLE) AS v2, sum(c * c) AS m2, sum(c * (c - 1)) AS m1 FROM freq GROUP BY id)
     SELECT id, {r('CASE WHEN n < 2 THEN 0 ELSE 10000 * (m2 - n) / (n * n) END')} AS vocab_yules_k, {r('CASE WHEN n < 2 THEN 0 ELSE m1 / (n * (n - 1)) END')} AS vocab_simpsons_d,
     {r('CASE WHEN n < 2 OR v1 = v THEN 0 ELSE 100 * ln(n) / (1 - v1 / v) END')} AS vocab_honores_r, {r('CASE WHEN n < 2 THEN 0 ELSE v2 / v END')} AS vocab_sichels_s, {r('CASE WHEN n < 2 THEN 0 ELSE power(n, power(v, -0.172)) END')} AS vocab_brunets_w FROM a"""
 
 
 def word_length_dist(d):
-    cols = ", ".join(f"{r(f'sum(CASE WHEN l = {k} THEN c ELSE 0 END) / sum(c)')} AS wlen_{k}" for k in range(1, 16))
-    return f"""WITH {freq(d)}, lens AS (SELECT id, CAST(length(tok) AS DOUBLE) AS l, c FROM freq), m AS (SELECT id, sum(l * c) / sum(c) AS mu FROM lens GROUP BY id),
+    cols = ", ".join(f"{r(f'coalesce(sum(CASE WHEN l = {k} THEN c ELSE 0 END) / nullif(sum(c), 0), 0)')} AS wlen_{k}" for k in range(1, 16))
+    return f"""WITH {freq(d)}, lens AS (SELECT id, CAST(length(tok) AS DOUBLE) AS l, c FROM freq), m AS (SELECT id, sum(l * c) / nullif(sum(c), 0) AS mu FROM lens GROUP BY id),
     cent AS (SELECT lens.id, l, c, mu, l - mu AS e FROM lens JOIN m ON lens.id = m.id)
-    SELECT id, {cols}, {r('max(mu)')} AS wlen_mean, {r('sqrt(sum(c * e * e) / sum(c))')} AS wlen_std,
+    SELECT id, {cols}, {r('coalesce(max(mu), 0)')} AS wlen_mean, {r('coalesce(sqrt(sum(c * e * e) / nullif(sum(c), 0)), 0)')} AS wlen_std,
     {r('CASE WHEN sum(c * e * e) > 0.000000001 THEN (sum(c * e * e * e) / sum(c)) / power(sum(c * e * e) / sum(c), 1.5) ELSE 0 END')} AS wlen_skew FROM cent GROUP BY id"""
 
 
@@ -232,29 +279,44 @@ ALL_PUNCT = [x for v in PUNCT.values() for x in v]
 punct_patterns = marker_table({f"punct_{k}_ratio": punct(k, "nullif(n_all, 0)") for k in PUNCT} | {"punct_total_ratio": subs_over(ALL_PUNCT, "nullif(n_all, 0)", x="story"), "punct_per_sentence": subs_over(ALL_PUNCT, S1, x="story")})
 
 
+def lengths(d: Duck) -> str:
+    """CTEs up to le (id, l): words of each sentence, null for sentences and texts without any."""
+    return f"""{parsed(d)}, se AS (SELECT id, {d.explode(d.some('sents'))} AS s FROM parsed), le AS (SELECT id, nullif(CAST({d.count(d.sub('s', CLITICS, ' '), chr(92) + 'p{L}+')} AS DOUBLE), 0) AS l FROM se)"""
+
+
 def sent_length_dist(d):
-    return f"""WITH {parsed(d)}, se AS (SELECT id, {d.explode('sents')} AS s FROM parsed), ls AS (SELECT id, CAST({d.count(d.sub('s', CLITICS, ' '), chr(92) + 'p{L}+')} AS DOUBLE) AS l FROM se), le AS (SELECT id, l FROM ls WHERE l > 0)
-    SELECT id, {r('avg(l)')} AS slen_mean, {r('stddev_pop(l)')} AS slen_std, {r('median(l)')} AS slen_median, {r('min(l)')} AS slen_min, {r('max(l)')} AS slen_max, {r('max(l) - min(l)')} AS slen_range,
-    {r('avg(CASE WHEN l < 10 THEN 1 ELSE 0 END)')} AS slen_short_ratio, {r('avg(CASE WHEN l > 25 THEN 1 ELSE 0 END)')} AS slen_long_ratio, {r('stddev_pop(l) / avg(l)')} AS slen_variation_coef FROM le GROUP BY id"""
+    cols = {"mean": "avg(l)", "std": "stddev_pop(l)", "median": "median(l)", "min": "min(l)", "max": "max(l)", "range": "max(l) - min(l)", "short_ratio": "avg(CASE WHEN l < 10 THEN 1 WHEN l >= 10 THEN 0 END)", "long_ratio": "avg(CASE WHEN l > 25 THEN 1 WHEN l <= 25 THEN 0 END)", "variation_coef": "stddev_pop(l) / avg(l)"}
+    return f"WITH {lengths(d)} SELECT id, {', '.join(f'{r(f"coalesce({e}, 0)")} AS slen_{k}' for k, e in cols.items())} FROM le GROUP BY id"
+
+
+def sentence_lengths(d):
+    """The length markers of syntactic complexity; the others need a parser (``syntax_markers``)."""
+    cols = {"mean": "avg(l)", "std": "stddev_pop(l)", "max": "max(l)", "min": "min(l)"}
+    return f"WITH {lengths(d)}, n AS (SELECT id, n_sents FROM parsed) SELECT le.id, {', '.join(f'{r(f"coalesce({e}, 0)")} AS syn_{k}_sent_len' for k, e in cols.items())}, {r('max(n_sents)')} AS syn_n_sents FROM le JOIN n ON le.id = n.id GROUP BY le.id"
 
 
 def fw_freqs(d):
-    """CTEs up to fw (id, w, f): relative frequencies of the 50 function words, zeros included."""
-    listed = d.array([f"'{w}'" for w in L.TOP_FUNCTION_WORDS])
-    return f"""{freq(d)}, grid AS (SELECT id, n, {d.explode(listed)} AS w FROM size),
-    fw AS (SELECT grid.id, grid.w, coalesce(freq.c, 0) / grid.n AS f FROM grid LEFT JOIN freq ON grid.id = freq.id AND grid.w = freq.tok)"""
+    """CTEs up to fw (id, tok, f): relative frequencies of the function words that a text holds, one row of no word where there is none."""
+    return f"""{parsed(d)}, ft AS (SELECT id, n, {d.explode(d.some(d.filter('toks', 't', f't IN {words_in(L.TOP_FUNCTION_WORDS)}')))} AS tok FROM parsed),
+    fw AS (SELECT id, tok, CAST(count(tok) AS DOUBLE) / greatest(n, 1) AS f FROM ft GROUP BY id, n, tok)"""
+
+
+WORDS_50 = float(len(L.TOP_FUNCTION_WORDS))
 
 
 def delta_features(d):
-    return f"""WITH {fw_freqs(d)}, m AS (SELECT id, avg(f) AS mu, stddev_pop(f) AS sd FROM fw GROUP BY id)
-    SELECT fw.id, {r('coalesce(avg(abs(f - mu)) / nullif(max(sd), 0), 0)')} AS delta_fw_zscore_mean, {r('CASE WHEN max(sd) > 0 THEN 1.0 ELSE 0.0 END')} AS delta_fw_zscore_std, {r('sum(abs(f - 0.02))')} AS delta_fw_deviation
-    FROM fw JOIN m ON fw.id = m.id GROUP BY fw.id"""
+    """Over the 50 function words; those that a text lacks have frequency 0."""
+    total = lambda e, absent: f"({d.sumlist(d.map('fs', 'f', e))} + ({WORDS_50} - {d.size('fs')}) * {absent})"
+    return f"""WITH {fw_freqs(d)}, g AS (SELECT id, {d.gather('f', 'tok IS NOT NULL')} AS fs FROM fw GROUP BY id), m AS (SELECT id, fs, {d.sumlist('fs')} / {WORDS_50} AS mu FROM g),
+    v AS (SELECT id, fs, mu, sqrt({total('(f - mu) * (f - mu)', 'mu * mu')} / {WORDS_50}) AS sd FROM m)
+    SELECT id, {r(f"coalesce({total('abs(f - mu)', 'mu')} / {WORDS_50} / nullif(sd, 0), 0)")} AS delta_fw_zscore_mean, {r('CASE WHEN sd > 0 THEN 1.0 ELSE 0.0 END')} AS delta_fw_zscore_std, {r(total('abs(f - 0.02)', '0.02'))} AS delta_fw_deviation FROM v"""
 
 
 def delta_distance(d):
-    """Mean absolute z distance to the whole corpus as the reference."""
-    return f"""WITH {fw_freqs(d)}, ref AS (SELECT w, avg(f) AS mu, CASE WHEN stddev_pop(f) = 0 OR count(*) = 1 THEN 1.0 ELSE stddev_pop(f) END AS sd FROM fw GROUP BY w)
-    SELECT fw.id, {r('avg(abs((f - mu) / sd))')} AS delta_distance FROM fw JOIN ref ON fw.w = ref.w GROUP BY fw.id"""
+    """Mean absolute z distance to the whole corpus as the reference; a word that a text lacks lies at -mu / sd."""
+    return f"""WITH {fw_freqs(d)}, docs AS (SELECT CAST(count(DISTINCT id) AS DOUBLE) AS docs FROM fw), sums AS (SELECT tok, sum(f) AS s1, sum(f * f) AS s2 FROM fw WHERE tok IS NOT NULL GROUP BY tok),
+    ref AS (SELECT tok, s1 / docs AS mu, coalesce(nullif(sqrt(greatest((s2 - s1 * s1 / docs) / docs, 0)), 0), 1) AS sd FROM sums CROSS JOIN docs), lacking AS (SELECT coalesce(sum(mu / sd), 0) AS lacking FROM ref)
+    SELECT fw.id, {r(f'(sum(CASE WHEN ref.tok IS NULL THEN 0 ELSE abs((f - mu) / sd) - mu / sd END) + max(lacking)) / {WORDS_50}')} AS delta_distance FROM fw LEFT JOIN ref ON fw.tok = ref.tok CROSS JOIN lacking GROUP BY fw.id"""
 
 
 SYLLABLES = lambda d: d.count("clean", "[aeiouy]+")
@@ -273,7 +335,7 @@ readability = marker_table(
 stylometric_features = marker_table(
     {
         "sty_function_word_ratio": words_over(L.FUNCTION_WORDS, "nullif(n_all, 0)"),
-        "sty_punct_ratio": per_n(lambda d: d.count("clean", r"[^\s\p{L}\p{N}]"), "nullif(n_all, 0)"),
+        "sty_punct_ratio": per_n(lambda d: d.count("clean", r"--|\.\.\.|[^\s\p{L}\p{N}]"), "nullif(n_all, 0)"),
         "sty_mean_word_length": per_n(LETTERS),
         "sty_exclamation_per_sent": subs_over(["!"], S1),
         "sty_question_per_sent": subs_over(["?"], S1),
@@ -304,21 +366,25 @@ conflict_blame = marker_table(
 )
 temporal_markers = marker_table({"narr_temporal_marker_density": lambda d: f"coalesce(CAST({d.size(d.filter(d.tokens('low', WHITESPACE), 't', f't IN {words_in(L.TEMPORAL_MARKERS)}'))} AS DOUBLE) / {SPLIT_WORDS(d)}, 0)"})
 discourse_connectives = marker_table({"coh_connective_density": lambda d: f"CASE WHEN {d.size(d.filter('sents', 's', 'length(trim(s)) > 10'))} < 2 THEN 0 ELSE {substrings(d, 'low', L.CONNECTIVES)} / {d.size(d.filter('sents', 's', 'length(trim(s)) > 10'))} END"})
+UNSURE, SURE = (lambda d: f"({of_words(d, L.UNCERTAINTY)} + {phrases(d, 'hedges')})"), (lambda d: f"({of_words(d, L.CERTAINTY)} + {phrases(d, 'certainty')})")
 stance_epistemic = marker_table(
     {
-        "idx_hedge_density": words_over(L.HEDGES, S1),
-        "idx_booster_density": words_over(L.BOOSTERS, S1),
-        "idx_epistemic_construction_density": per_n(lambda d: d.count("low", r"\b(?:i|we) (?:think|believe|guess|suppose|feel|know)\b"), S1),
-        "idx_certainty_ratio": words_over(L.CERTAINTY, S1),
-        "idx_uncertainty_ratio": words_over(L.UNCERTAINTY, S1),
-        "idx_certainty_uncertainty_ratio": lambda d: ratio(of_words(d, L.CERTAINTY), of_words(d, L.UNCERTAINTY), f"CASE WHEN {of_words(d, L.CERTAINTY)} > 0 THEN 1.0 ELSE 0.0 END"),
+        "idx_hedge_density": both_over(L.HEDGES, "hedges", S1),
+        "idx_booster_density": both_over(L.BOOSTERS, "boosters", S1),
+        "idx_epistemic_construction_density": per_n(lambda d: f"({subject_verb(d, 'i|we', L.EPISTEMIC_VERBS)} + {subject_verb(d, 'it', L.SEEMING_VERBS)})", S1),
+        "idx_certainty_ratio": per_n(SURE, S1),
+        "idx_uncertainty_ratio": per_n(UNSURE, S1),
+        "idx_certainty_uncertainty_ratio": lambda d: ratio(SURE(d), UNSURE(d), f"CASE WHEN {SURE(d)} > 0 THEN 1.0 ELSE 0.0 END"),
     }
 )
+#: Sentences that begin with a discourse marker.
+INITIAL = lambda d: f"CAST({d.size(d.filter('sents', 's', d.matches('s', '^[^a-z]*(?:' + '|'.join(L.INITIAL_DISCOURSE) + ')' + chr(92) + 'b')))} AS DOUBLE)"
 stance_involvement = marker_table(
     {
         "idx_first_person_singular": words_over(L.FIRST_SINGULAR, N1, " * 100"),
         "idx_first_person_plural": words_over(L.FIRST_PLURAL, N1, " * 100"),
         "idx_second_person": words_over(L.SECOND_PERSON, N1, " * 100"),
+        "idx_discourse_marker_density": per_n(lambda d: f"({INITIAL(d)} + {phrases(d, 'discourse_parenthetical')})", S1),
         "idx_question_density": subs_over(["?"], S1),
         "idx_exclamation_density": subs_over(["!"], S1),
         "idx_direct_speech_density": lambda d: f"floor({substrings(d, 'low', [chr(34)])} / 2) / {S1}",
@@ -327,7 +393,7 @@ stance_involvement = marker_table(
 REPEATS = lambda d: d.size(d.filter(d.seq(2, f"greatest({d.size('toks')}, 2)"), "i", "toks[i - 1] = toks[i - 2]" if d.spark else "toks[i] = toks[i - 1]"))
 stance_orality = marker_table(
     {
-        "idx_contraction_density": per_n(lambda d: f"100.0 * {d.count('lower(story)', chr(92) + 'b(?:[a-z]+n' + chr(39) + 't|[a-z]+' + chr(39) + '(?:m|re|ve|ll|d|s)|gonna|wanna|gotta|kinda|sorta|dunno)' + chr(92) + 'b')}", N1),
+        "idx_contraction_density": per_n(lambda d: f"100.0 * {d.count('lower(story)', chr(92) + 'b(?:[a-z]+n' + chr(39) + 't|[a-z]+' + chr(39) + '(?:m|re|ve|ll|d|s)|gonna|wanna|gotta|kinda|sorta|dunno|y' + chr(39) + 'all)' + chr(92) + 'b')}", N1),
         "idx_repetition_ratio": lambda d: f"CASE WHEN n > 1 THEN 100.0 * {REPEATS(d)} / n ELSE 0 END",
         "idx_clause_chaining": words_over(L.COORDINATORS, S1),
         "idx_em_dash_density": subs_over(["—", "--"], S1, x="story"),
@@ -338,18 +404,27 @@ stance_orality = marker_table(
         "idx_complex_word_ratio": per_n(lambda d: f"100.0 * {d.size(d.filter('toks', 't', 'length(t) > 6'))}", N1),
     }
 )
-stance_temporal_causal = marker_table({"idx_temporal_connective_density": words_over(L.TEMPORAL, S1), "idx_causal_connective_density": words_over(L.CAUSAL, S1), "idx_evaluative_density": words_over(L.EVALUATIVE, S1), "idx_narrative_sequencing": words_over(L.SEQUENCING, S1)})
+stance_temporal_causal = marker_table(
+    {
+        "idx_temporal_connective_density": both_over(L.TEMPORAL, "temporal", S1),
+        "idx_causal_connective_density": both_over(L.CAUSAL, "causal", S1),
+        "idx_evaluative_density": both_over(L.EVALUATIVE, "evaluative", S1),
+        "idx_closure_marker_density": per_n(lambda d: f"({phrases(d, 'closure')} + {subject_verb(d, 'i|we', L.CLOSURE_VERBS)})", S1),
+        "idx_narrative_sequencing": words_over(L.SEQUENCING, S1),
+    }
+)
 stance_affect = marker_table(
     {
         "idx_positive_affect": words_over(L.POSITIVE, N1, " * 100"),
         "idx_negative_affect": words_over(L.NEGATIVE, N1, " * 100"),
         "idx_affect_balance": lambda d: ratio(f"{of_words(d, L.POSITIVE)} - {of_words(d, L.NEGATIVE)}", f"{of_words(d, L.POSITIVE)} + {of_words(d, L.NEGATIVE)}", "0"),
-        "idx_interpersonal_density": words_over(L.INTERPERSONAL, S1),
-        "idx_moral_framing_density": words_over(L.MORAL_FRAMING, S1),
+        "idx_interpersonal_density": both_over(L.INTERPERSONAL, "interpersonal", S1),
+        "idx_moral_framing_density": both_over(L.MORAL_FRAMING, "moral", S1),
     }
 )
 stance_experiential = marker_table(
     {
+        "idx_sensory_language_density": words_over(sorted({w for ws in L.SENSORY.values() for w in ws}), S1),
         "idx_retrospective_framing_density": per_n(lambda d: f"({present(d, 'low', L.RETROSPECTIVE_PHRASES, regex=False)} + {of_words(d, L.RETROSPECTIVE_TOKENS)})", S1),
         "idx_causal_explanatory_density": per_n(lambda d: f"({of_words(d, L.CAUSAL_EXPLANATORY)} + {present(d, 'low', L.CAUSAL_PHRASES, regex=False)})", S1),
         "idx_abstraction_density": per_n(lambda d: f"100.0 * {d.size(d.filter('toks', 't', d.matches('t', '(' + '|'.join(L.ABSTRACT_SUFFIXES) + ')$')))}", N1),
@@ -371,22 +446,34 @@ def emotional_dynamics(d):
 
 
 def sentiment_affect(d):
-    """Valence s / sqrt(s*s + 15) of sentences of three words or more, with the own lexicon."""
+    """Valence s / sqrt(s*s + 15) of sentences of three words or more, with the own lexicon; zeros where there is none."""
+    cols = {"mean_compound": "avg(x)", "std_compound": "stddev_pop(x)", "min_compound": "min(x)", "max_compound": "max(x)", "range_compound": "max(x) - min(x)", "pct_positive": "avg(CASE WHEN x > 0.05 THEN 1 WHEN x <= 0.05 THEN 0 END)", "pct_negative": "avg(CASE WHEN x < -0.05 THEN 1 WHEN x >= -0.05 THEN 0 END)"}
     value = f"1.9 * ({d.size(d.filter('toks', 't', f't IN {words_in(L.POSITIVE)}'))} - {d.size(d.filter('toks', 't', f't IN {words_in(L.NEGATIVE)}'))})"
-    return f"""WITH {parsed(d)}, se AS (SELECT id, {d.explode('sents')} AS s FROM parsed), st AS (SELECT id, {d.tokens('s')} AS toks FROM se), sv AS (SELECT id, CAST({value} AS DOUBLE) AS v FROM st WHERE {d.size('toks')} >= 3),
+    return f"""WITH {parsed(d)}, se AS (SELECT id, {d.explode(d.some('sents'))} AS s FROM parsed), st AS (SELECT id, {d.tokens('s')} AS toks FROM se), sv AS (SELECT id, CASE WHEN {d.size('toks')} >= 3 THEN CAST({value} AS DOUBLE) END AS v FROM st),
     c AS (SELECT id, v / sqrt(v * v + 15) AS x FROM sv)
-    SELECT id, {r('avg(x)')} AS sent_mean_compound, {r('stddev_pop(x)')} AS sent_std_compound, {r('min(x)')} AS sent_min_compound, {r('max(x)')} AS sent_max_compound, {r('max(x) - min(x)')} AS sent_range_compound,
-    {r('avg(CASE WHEN x > 0.05 THEN 1 ELSE 0 END)')} AS sent_pct_positive, {r('avg(CASE WHEN x < -0.05 THEN 1 ELSE 0 END)')} AS sent_pct_negative FROM c GROUP BY id"""
+    SELECT id, {', '.join(f'{r(f"coalesce({e}, 0)")} AS sent_{k}' for k, e in cols.items())} FROM c GROUP BY id"""
 
 
 def sentence_cohesion(d):
-    """Adjacent-sentence word overlap (cosine of word sets) and its mean over all pairs is left to the embedder; local here."""
+    """Word overlap (cosine of word sets) of adjacent sentences and of all pairs; zeros below two sentences of over two words.
+
+    All pairs by their closed form: the squared length of the sum of the
+    sentences' unit vectors, less their number.
+    """
+    one, two = ("ws[i - 2]", "ws[i - 1]") if d.spark else ("ws[i - 1]", "ws[i]")
+    sim = f"CAST({d.size(d.both(one, two))} AS DOUBLE) / sqrt(CAST({d.size(one)} AS DOUBLE) * {d.size(two)})"
+    sims = f"CASE WHEN {d.size('ws')} >= 2 THEN {d.map(d.seq(2, f'greatest({d.size("ws")}, 2)'), 'i', sim)} ELSE {d.array(['CAST(1 AS DOUBLE)'])} END"
+    weights = d.map("ws", "w", d.map("w", "t", f"t || ' ' || CAST({d.size('w')} AS STRING)"))
+    flat = f"flatten({weights})"
+    many = "k >= 2"
     return f"""WITH {parsed(d)}, se AS (SELECT id, {d.filter(d.map('sents', 's', d.distinct(d.tokens('s'))), 'w', f"{d.size('w')} > 2")} AS ws FROM parsed),
-    pairs AS (SELECT id, {d.explode(d.map(d.seq(2, f"greatest({d.size('ws')}, 2)"), 'i', f"CAST({d.size(d.both('ws[i - 2]' if d.spark else 'ws[i - 1]', 'ws[i - 1]' if d.spark else 'ws[i]'))} AS DOUBLE) / sqrt(CAST({d.size('ws[i - 2]' if d.spark else 'ws[i - 1]')} AS DOUBLE) * {d.size('ws[i - 1]' if d.spark else 'ws[i]')})"))} AS sim FROM se WHERE {d.size('ws')} >= 2)
-    SELECT id, {r('avg(sim)')} AS coh_local_similarity, {r('avg(1 - sim)')} AS sd_mean_consecutive, {r('max(1 - sim)')} AS sd_max_consecutive FROM pairs GROUP BY id"""
+    sim AS (SELECT id, CAST({d.size('ws')} AS DOUBLE) AS k, {sims} AS sims FROM se), wt AS (SELECT id, {d.explode(d.some(flat))} AS t FROM se),
+    wc AS (SELECT id, split_part(t, ' ', 1) AS tok, sum(1 / sqrt(CAST(split_part(t, ' ', 2) AS DOUBLE))) AS u FROM wt GROUP BY id, split_part(t, ' ', 1)), al AS (SELECT id, coalesce(sum(u * u), 0) AS u2 FROM wc GROUP BY id)
+    SELECT sim.id, {r(f"CASE WHEN {many} THEN {d.sumlist('sims')} / (k - 1) ELSE 0 END")} AS coh_local_similarity, {r(f'CASE WHEN {many} THEN (u2 - k) / (k * (k - 1)) ELSE 0 END')} AS coh_global_similarity,
+    {r(f"CASE WHEN {many} THEN 1 - {d.sumlist('sims')} / (k - 1) ELSE 0 END")} AS sd_mean_consecutive, {r(f"CASE WHEN {many} THEN 1 + {d.top(d.map('sims', 'x', '-x'))} ELSE 0 END")} AS sd_max_consecutive FROM sim JOIN al ON sim.id = al.id"""
 
 
-QUERIES = {f.__name__: f for f in (scan_filter_words, stratified_sample, head_n, semi_manifest, anti_resume, update_join, todo_mask, prompt_template, jsonl_requests, json_response_parse, value_counts, describe_words, union_models, set_operations, pivot_rewrites, job_planner, char_ngrams, lexical_diversity, textual_entropy, mfw_profile, mfw_frequencies, vocab_richness, word_length_dist, sent_length_dist, delta_features, delta_distance, emotional_dynamics, sentiment_affect, sentence_cohesion)} | {
+QUERIES = {f.__name__: f for f in (scan_filter_words, stratified_sample, head_n, semi_manifest, anti_resume, update_join, todo_mask, prompt_template, jsonl_requests, json_response_parse, value_counts, describe_words, union_models, set_operations, pivot_rewrites, job_planner, char_ngrams, lexical_diversity, mtld, textual_entropy, mfw_profile, mfw_frequencies, vocab_richness, word_length_dist, sent_length_dist, sentence_lengths, delta_features, delta_distance, emotional_dynamics, sentiment_affect, sentence_cohesion)} | {
     "punct_patterns": punct_patterns, "readability": readability, "stylometric_features": stylometric_features, "moral_reflective": moral_reflective, "authenticity_voice": authenticity_voice, "conflict_blame": conflict_blame, "temporal_markers": temporal_markers,
     "discourse_connectives": discourse_connectives, "stance_epistemic": stance_epistemic, "stance_involvement": stance_involvement, "stance_orality": stance_orality, "stance_temporal_causal": stance_temporal_causal, "stance_affect": stance_affect, "stance_experiential": stance_experiential,
 }

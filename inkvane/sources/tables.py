@@ -85,3 +85,22 @@ def append_missing(spark: SparkSession, todo: DataFrame, path: str, compute, key
         todo = todo.join(spark.read.parquet(path).select(*keys).distinct(), keys, "left_anti")
     compute(todo).write.mode("append").parquet(path)
     return spark.read.parquet(path)
+
+
+def append_in_batches(spark: SparkSession, todo: DataFrame, path: str, compute, keys: list[str], batch_rows: int = 25) -> DataFrame:
+    """Resume with a checkpoint for about every ``batch_rows`` rows: each batch is appended before the next one is computed.
+
+    Batches are classes of a hash of the keys, so a run that ended between two of
+    them goes on with what is missing. Choose ``batch_rows`` so that there are few
+    batches; each is a job over its share of the input.
+    """
+    parts = -(-todo.count() // batch_rows)
+    for k in range(parts):
+        append_missing(spark, todo.filter(F.pmod(F.xxhash64(*keys), F.lit(parts)) == k), path, compute, keys)
+    return spark.read.parquet(path) if parts else compute(todo)
+
+
+def load_pair(spark: SparkSession, path: str, condition: str, model: str) -> tuple[DataFrame, DataFrame]:
+    """Marker tables of the originals and of one model's rewrites, of a sink partitioned by (condition, model)."""
+    rows = spark.read.parquet(path).filter(F.col("condition") == condition)
+    return rows.filter("model = 'original'").drop("condition", "model"), rows.filter(F.col("model") == model).drop("condition", "model")
