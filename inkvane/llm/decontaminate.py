@@ -6,29 +6,70 @@ documents, and of the others the rarer half of its grams (by rank, so a gram's
 frequency alone never disqualifies it), join documents to the item, and a local
 alignment of words around the seeds scores copies, edited and paraphrased ones
 included.
+
+Up to FILTER_GRAMS grams of test items the seeds travel to the texts: one pass
+counts, a second one seeds and aligns, and no text is ever shuffled. Beyond,
+hits are joined to the seeds, and texts to their cases.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Workspace, fresh, gram_hashes, rows_of, word_hashes
+from .common import WordHashes, Workspace, fresh, gram_hashes, rows_of
 
 GRAM = 3
 #: Documents up to which a gram always seeds.
 RARE = 100
-#: Grams of test items up to which they are broadcast as a sorted filter (8 bytes each); beyond, all grams are joined.
-FILTER_GRAMS = 4_000_000
+#: Grams of test items up to which they and the items are broadcast (some 24 bytes a gram); beyond, all is joined.
+FILTER_GRAMS = 2_000_000
 MATCH, MISMATCH, GAP = 2, -1, -1
 
 
-def plain_words(text: str | None) -> list[bytes]:
-    """Lower-cased words without the punctuation at their ends."""
-    words = ((text or "").lower().encode("utf-8", "surrogatepass")).split()
-    return [w for w in (x.strip(b"\"'.,;:!?()[]{}*|#$%&-_/\\") for x in words) if w]
+class PlainHashes(WordHashes):
+    """64-bit hashes of lower-case words without the punctuation at their ends; 0 where nothing is left."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= self.LIMIT:
+            self.clear()
+        plain = word.strip(b"\"'.,;:!?()[]{}*|#$%&-_/\\")
+        h = self[word] = (xxhash.xxh64_intdigest(plain) or 1) if plain else 0
+        return h
+
+
+_PLAIN = PlainHashes()
+
+
+def plain_hashes(text: str | None) -> np.ndarray:
+    """Hashes of a text's words, punctuation left out."""
+    words = (text or "").lower().encode("utf-8", "surrogatepass").split()
+    h = np.fromiter(map(_PLAIN.__getitem__, words), np.uint64, len(words))
+    return h[h != 0]
+
+
+def gram_places(h: np.ndarray, sizes: list[int], wanted: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places in the text, numbers among the sorted ``wanted``) of the wanted grams; ``low`` marks their last bits."""
+    places, found = [], []
+    for n in sizes:
+        g = gram_hashes(h, n).view(np.int64)
+        at = np.flatnonzero(low[g & (len(low) - 1)])
+        if len(at):
+            k = np.minimum(np.searchsorted(wanted, g[at]), len(wanted) - 1)
+            same = wanted[k] == g[at]
+            places.append(at[same])
+            found.append(k[same])
+    empty = np.empty(0, np.int64)
+    return (np.concatenate(places), np.concatenate(found)) if places else (empty, empty)
+
+
+def marked(wanted: np.ndarray) -> np.ndarray:
+    low = np.zeros(1 << 20, bool)
+    low[wanted & (len(low) - 1)] = True
+    return low
 
 
 def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
@@ -85,7 +126,7 @@ def _items(ws: Workspace, benchmark: DataFrame) -> DataFrame:
         for b in batches:
             out = []
             for i, key, text in rows_of(b):
-                h = word_hashes(plain_words(text))
+                h = plain_hashes(text)
                 if len(h):
                     g = gram_hashes(h, min(GRAM, len(h))).view(np.int64)
                     out += [(i, key, h.view(np.int64), int(x), k, len(h)) for k, x in enumerate(g)]
@@ -115,64 +156,105 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5,
     ws = Workspace(spark, "decontaminate")
     kind, item_kind = docs.schema[id_col].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString()
     items = _items(ws, benchmark)
-    grams = items.select("gram").distinct()
     sizes = [r.n for r in items.select(F.least("n", F.lit(GRAM)).alias("n")).distinct().collect()]
-    few = grams.count() <= FILTER_GRAMS
-    filter_ = spark.sparkContext.broadcast(np.sort(grams.toArrow()["gram"].to_numpy()) if few else None)
+    few = items.count() <= FILTER_GRAMS
     texts = fresh(docs, id_col, text_col).filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("text"))
 
-    def seeds(batches):
-        wanted = filter_.value
-        low = np.zeros(1 << 20, bool)
-        if few and len(wanted):
-            low[wanted & ((1 << 20) - 1)] = True
-        for b in batches:
-            ids, keys, gs, places = [], [], [], []
-            for i, key, text in rows_of(b):
-                words = word_hashes(plain_words(text))
-                for n in sizes:
-                    g = gram_hashes(words, n).view(np.int64)
-                    at = np.arange(len(g))
-                    if few:
-                        at = np.flatnonzero(low[g & ((1 << 20) - 1)])
-                        if len(at):
-                            k = np.minimum(np.searchsorted(wanted, g[at]), len(wanted) - 1)
-                            at = at[wanted[k] == g[at]]
-                    ids += [i] * len(at)
-                    keys += [key] * len(at)
-                    gs.append(g[at])
-                    places.append(at)
-            flat = lambda x: np.concatenate(x) if x else np.empty(0, np.int64)
-            yield pa.record_batch([pa.array(ids, b.schema.field(0).type), pa.array(keys, pa.int64()), pa.array(flat(gs), pa.int64()), pa.array(flat(places).astype(np.int32))], names=["id", "text_key", "gram", "at"])
-
-    hits = texts.mapInArrow(seeds, f"id {kind}, text_key long, gram long, at int")
-    hits = ws.save(hits if few else hits.join(grams, "gram", "left_semi").select("id", "text_key", "gram", "at"), "hits")
-    found = ws.save(hits.select("id", "gram").distinct().groupBy("gram").agg(F.count("*").alias("df")), "frequency")
-    # an item's window is as long as the item
-    rank = F.row_number().over(W.partitionBy("item_id", "item_key").orderBy("df", "gram", "place"))
-    rare = items.join(found, "gram").withColumn("rank", rank).filter((F.col("df") <= RARE) | (F.col("rank") <= 4) | (2 * F.col("rank") <= F.col("n")))
-    rare = ws.save(rare.select("gram", "item_id", "item_key", "place"), "rare")
-    pairs = hits.join(rare, "gram").groupBy("id", "text_key", "item_id", "item_key").agg(F.collect_set(F.col("at") - F.col("place")).alias("starts"))
-    words = ws.save(items.select("item_id", "item_key", "words").dropDuplicates(["item_id", "item_key"]), "item-words")
-    # a document's cases are dealt to so many rows that none holds very many
-    deal = F.pmod(F.xxhash64("item_id", "item_key"), F.lit(64)).alias("deal")
-    pairs = ws.save(pairs, "pairs").join(words, ["item_id", "item_key"]).groupBy("id", "text_key", deal).agg(F.collect_list(F.struct("item_id", "starts", "words")).alias("cases"))
-
-    def alignments(batches):
-        for b in batches:
-            out = []
-            for i, key, cases, text in rows_of(b):
-                t = word_hashes(plain_words(text)).view(np.int64)
-                for c in cases:
-                    item = np.array(c["words"], np.int64)
-                    score, start, end = best_alignment(item, t, c["starts"])
-                    if score >= threshold * MATCH * len(item):
-                        out.append((i, key, c["item_id"], score / (MATCH * len(item)), start, end))
-            kinds = [b.schema.field(0).type, pa.int64(), b.schema.field(2).type.value_type.field(0).type, pa.float64(), pa.int32(), pa.int32()]
-            yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [[]] * 6, kinds, strict=True)], names=["id", "text_key", "item_id", "score", "start_word", "end_word"])
+    def seeded(found: DataFrame) -> DataFrame:
+        """(gram, item_id, item_key, place) of the grams that seed, from (gram, df)."""
+        rank = F.row_number().over(W.partitionBy("item_id", "item_key").orderBy("df", "gram", "place"))
+        rare = items.join(found, "gram").withColumn("rank", rank).filter((F.col("df") <= RARE) | (F.col("rank") <= 4) | (2 * F.col("rank") <= F.col("n")))
+        return ws.save(rare.select("gram", "item_id", "item_key", "place"), "rare")
+
+    def scored(i, key, t: np.ndarray, cases, out: list) -> None:
+        for item_id, item, starts in cases:
+            score, start, end = best_alignment(item, t, starts)
+            if score >= threshold * MATCH * len(item):
+                out.append((i, key, item_id, score / (MATCH * len(item)), start, end))
+
+    def packed(out: list, id_type, item_type):
+        kinds = [id_type, pa.int64(), item_type, pa.float64(), pa.int32(), pa.int32()]
+        return pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [[]] * 6, kinds, strict=True)], names=["id", "text_key", "item_id", "score", "start_word", "end_word"])
 
     schema = f"id {kind}, text_key long, item_id {item_kind}, score double, start_word int, end_word int"
-    rows = texts.join(ws.save(pairs, "cases"), ["id", "text_key"]).select("id", "text_key", "cases", "text").mapInArrow(alignments, schema)
+    if few:
+        from pyspark.sql.pandas.types import to_arrow_type
+
+        item_type = to_arrow_type(benchmark.schema["item_id"].dataType)
+        grams = spark.sparkContext.broadcast(np.sort(items.select("gram").distinct().toArrow()["gram"].to_numpy()))
+
+        def counts(batches):
+            wanted = grams.value
+            low, total = marked(wanted), np.zeros(len(wanted), np.int64)
+            for b in batches:
+                for text in b.column(0).to_pylist():
+                    total[np.unique(gram_places(plain_hashes(text), sizes, wanted, low)[1])] += 1
+            some = np.flatnonzero(total)
+            yield pa.record_batch([pa.array(wanted[some], pa.int64()), pa.array(total[some])], names=["gram", "n"])
+
+        found = texts.select("text").mapInArrow(counts, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("df"))
+        rare = seeded(ws.save(found, "frequency")).orderBy("gram", "item_id", "item_key", "place").toArrow()
+        words = items.select("item_id", "item_key", "words").dropDuplicates(["item_id", "item_key"]).toArrow().to_pylist()
+        number = {(r["item_id"], r["item_key"]): k for k, r in enumerate(words)}
+        owner = np.array([number[x] for x in zip(rare["item_id"].to_pylist(), rare["item_key"].to_pylist(), strict=True)], np.int64)
+        known = spark.sparkContext.broadcast((rare["gram"].to_numpy(), owner, rare["place"].to_numpy().astype(np.int64), [r["item_id"] for r in words], [np.array(r["words"], np.int64) for r in words]))
+
+        def leaks(batches):
+            gram, owner, place, ids, bodies = known.value
+            wanted, first = np.unique(gram, return_index=True)
+            last = np.append(first[1:], len(gram))
+            low = marked(wanted)
+            for b in batches:
+                out = []
+                for i, key, text in rows_of(b):
+                    h = plain_hashes(text)
+                    at, k = gram_places(h, sizes, wanted, low)
+                    if not len(at):
+                        continue
+                    n = last[k] - first[k]
+                    seed = np.repeat(first[k] - np.cumsum(n) + n, n) + np.arange(n.sum())
+                    mine, starts = owner[seed], np.repeat(at, n) - place[seed]
+                    order = np.argsort(mine, kind="stable")
+                    cut = np.flatnonzero(np.diff(mine[order])) + 1
+                    groups = zip(np.split(mine[order], cut), np.split(starts[order], cut), strict=True)
+                    scored(i, key, h.view(np.int64), [(ids[m[0]], bodies[m[0]], s.tolist()) for m, s in groups], out)
+                yield packed(out, b.schema.field(0).type, item_type)
+
+        rows = texts.mapInArrow(leaks, schema)
+    else:
+        grams = items.select("gram").distinct()
+
+        def every_gram(batches):
+            for b in batches:
+                ids, keys, gs, places = [], [], [], []
+                for i, key, text in rows_of(b):
+                    h = plain_hashes(text)
+                    for n in sizes:
+                        g = gram_hashes(h, n).view(np.int64)
+                        ids += [i] * len(g)
+                        keys += [key] * len(g)
+                        gs.append(g)
+                        places.append(np.arange(len(g)))
+                flat = lambda x: np.concatenate(x) if x else np.empty(0, np.int64)
+                yield pa.record_batch([pa.array(ids, b.schema.field(0).type), pa.array(keys, pa.int64()), pa.array(flat(gs), pa.int64()), pa.array(flat(places).astype(np.int32))], names=["id", "text_key", "gram", "at"])
+
+        hits = texts.mapInArrow(every_gram, f"id {kind}, text_key long, gram long, at int")
+        hits = ws.save(hits.join(grams, "gram", "left_semi").select("id", "text_key", "gram", "at"), "hits")
+        rare = seeded(ws.save(hits.select("id", "gram").distinct().groupBy("gram").agg(F.count("*").alias("df")), "frequency"))
+        pairs = hits.join(rare, "gram").groupBy("id", "text_key", "item_id", "item_key").agg(F.collect_set(F.col("at") - F.col("place")).alias("starts"))
+        words = ws.save(items.select("item_id", "item_key", "words").dropDuplicates(["item_id", "item_key"]), "item-words")
+        # a document's cases are dealt to so many rows that none holds very many
+        deal = F.pmod(F.xxhash64("item_id", "item_key"), F.lit(64)).alias("deal")
+        pairs = ws.save(pairs, "pairs").join(words, ["item_id", "item_key"]).groupBy("id", "text_key", deal).agg(F.collect_list(F.struct("item_id", "starts", "words")).alias("cases"))
+
+        def alignments(batches):
+            for b in batches:
+                out = []
+                for i, key, cases, text in rows_of(b):
+                    scored(i, key, plain_hashes(text).view(np.int64), [(c["item_id"], np.array(c["words"], np.int64), c["starts"]) for c in cases], out)
+                yield packed(out, b.schema.field(0).type, b.schema.field(2).type.value_type.field(0).type)
+
+        rows = texts.join(ws.save(pairs, "cases"), ["id", "text_key"]).select("id", "text_key", "cases", "text").mapInArrow(alignments, schema)
     best = F.max_by(F.struct("score", "start_word", "end_word"), F.struct("score", -F.col("start_word"), -F.col("end_word")))
     rows = rows.groupBy("id", "text_key", "item_id").agg(best.alias("b")).select("id", "text_key", "item_id", "b.*")
     return ws.save(rows, "leaks").withColumnRenamed("id", id_col)

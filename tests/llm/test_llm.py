@@ -418,10 +418,10 @@ def test_leaks_equal_brute_force(spark, monkeypatch, few):
             at = rnd.randrange(len(words) + 1)
             words[at:at] = copy
         docs.append((i, " ".join(words)))
-    coded = {i: decontaminate.word_hashes(decontaminate.plain_words(t)) for i, t in docs}
+    coded = {i: decontaminate.plain_hashes(t) for i, t in docs}
     want = set()
     for k, item in enumerate(items):
-        h = decontaminate.word_hashes(decontaminate.plain_words(" ".join(item)))
+        h = decontaminate.plain_hashes(" ".join(item))
         grams = set(decontaminate.gram_hashes(h, min(3, len(h))).tolist())
         # without a common gram there is no seed
         want |= {(i, k) for i, t in coded.items() if decontaminate.align(h, t)[0] >= len(h) and grams & set(decontaminate.gram_hashes(t, min(3, len(h))).tolist())}
@@ -430,6 +430,15 @@ def test_leaks_equal_brute_force(spark, monkeypatch, few):
     assert len(want) > 50 and got == want
 
 
+def test_very_long_texts_and_dense_hits(spark):
+    """A text that repeats an item thousands of times, and items that share their grams."""
+    item = "alpha beta gamma delta epsilon zeta eta theta"
+    bench = spark.createDataFrame([(k, item) for k in range(3)] + [(9, "alpha beta gamma")], "item_id long, text string")
+    docs = documents(spark, [(1, f"{item} " * 5000), (2, "nothing here"), (3, "beta gamma delta")])
+    got = {(r.doc_id, r.item_id): (r.score, r.start_word) for r in decontaminate.benchmark_leaks(spark, docs, bench).collect()}
+    assert got == {(1, 0): (1, 0), (1, 1): (1, 0), (1, 2): (1, 0), (1, 9): (1, 0)}
+
+
 def test_alignment_equals_plain_table():
     rng = np.random.default_rng(1)
     for _ in range(50):
