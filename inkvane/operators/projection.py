@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -26,3 +27,9 @@ def pca2(rows: DataFrame, vector: str = "v", group: str = "label") -> DataFrame:
         F.lit(shares[0]).alias("explained_1"),
         F.lit(shares[1]).alias("explained_2"),
     )
+
+
+def spread_reduction(projected: DataFrame, base: str, group: str = "label") -> DataFrame:
+    """The rows of ``pca2`` with the percentage by which each group's spread is below that of the group ``base``."""
+    of_base = F.max(F.when(F.col(group) == base, F.col("spread"))).over(W.partitionBy())  # one row for each group
+    return projected.withColumn("reduction_pct", (1 - F.col("spread") / F.nullif(of_base, F.lit(0.0))) * 100)

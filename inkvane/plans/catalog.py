@@ -76,6 +76,18 @@ def pca_projection(spark, sf_dir):
     return pca2(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), "embedding", "label")
 
 
+def pca_of_sides(spark, sf_dir):
+    """Originals and each model's rewrites in the plane of the core set's first two components."""
+    from ..operators.projection import pca2, spread_reduction
+
+    def vectors(d):
+        cells = ", ".join(f"coalesce(max(CASE WHEN marker = '{c}' THEN x END), 0)" for c in statistics.CORE_SET)
+        both = "SELECT 'originals' AS label, id, marker, o AS x FROM long UNION ALL SELECT model AS label, id, marker, w AS x FROM long"
+        return f"WITH {statistics.wide_long(d, statistics.CORE_SET)} SELECT label, id, array({cells}) AS v FROM ({both}) GROUP BY label, id"
+
+    return spread_reduction(pca2(relational(vectors, spark, sf_dir)), "originals")
+
+
 def wilcoxon_p(spark, sf_dir):
     from ..operators.paired import benjamini_hochberg, wilcoxon
 
@@ -120,4 +132,4 @@ def correlation_p(spark, sf_dir):
     return correlation(relational(lambda d: f"WITH {statistics.long(d)} SELECT * FROM long", spark, sf_dir), ["model", "marker"])
 
 
-PROVIDED = {f.__name__: f for f in (syntax_markers, pos_ratios, semantic_markers, pca_projection, wilcoxon_p, rewrite_offline, events_by_window, pair_distances, correlation_p, compare_every_marker)}
+PROVIDED = {f.__name__: f for f in (syntax_markers, pos_ratios, semantic_markers, pca_projection, pca_of_sides, wilcoxon_p, rewrite_offline, events_by_window, pair_distances, correlation_p, compare_every_marker)}

@@ -98,8 +98,12 @@ class Spark:
     def near(self, by):
         return f"/*+ REPARTITION({by}) */"
 
+    def struct(self, fields):
+        """A record; values that are dicts are records inside it."""
+        return "named_struct(" + ", ".join(f"'{k}', {self.struct(v) if isinstance(v, dict) else v}" for k, v in fields.items()) + ")"
+
     def to_json(self, fields):
-        return "to_json(named_struct(" + ", ".join(f"'{k}', {v}" for k, v in fields.items()) + "))"
+        return f"to_json({self.struct(fields)})"
 
 
 class Duck(Spark):
@@ -191,8 +195,8 @@ class Duck(Spark):
     def near(self, by):
         return ""
 
-    def to_json(self, fields):
-        return "to_json(struct_pack(" + ", ".join(f"{k} := {v}" for k, v in fields.items()) + "))"
+    def struct(self, fields):
+        return "struct_pack(" + ", ".join(f"{k} := {self.struct(v) if isinstance(v, dict) else v}" for k, v in fields.items()) + ")"
 
 
 def r(x: str, digits: int = 6) -> str:

@@ -147,14 +147,23 @@ def prompt_template(d):
 
 
 def jsonl_requests(d):
-    t = "STRING" if d.spark else "VARCHAR"
-    body = d.to_json({"custom_id": f"CAST(conv_id AS {t}) || '-' || CAST(turn AS {t})", "method": "'POST'", "n": "turn", "content": "text"})
-    return f"WITH q AS (SELECT {body} AS line FROM conversations WHERE role = 'user') SELECT {d.json('line', 'custom_id')} AS custom_id, {d.json('line', 'method')} AS method, {d.json('line', 'n')} AS n, {d.json('line', 'content')} AS content FROM q"
+    """Batch request lines with their nested body, read back field by field."""
+    message = d.array([d.struct({"role": "'user'", "content": "text"})])
+    line = d.to_json({"custom_id": "CAST(conv_id AS STRING) || '-' || CAST(turn AS STRING)", "method": "'POST'", "url": "'/v1/chat/completions'", "body": {"model": "'gpt54'", "messages": message, "max_completion_tokens": "turn + 100", "temperature": "0.5"}})
+    paths = {"custom_id": "custom_id", "method": "method", "url": "url", "model": "body.model", "role": "body.messages[0].role", "content": "body.messages[0].content", "tokens": "body.max_completion_tokens"}
+    return f"WITH q AS (SELECT {line} AS line FROM conversations WHERE role = 'user') SELECT {', '.join(f'{d.json("line", p)} AS {c}' for c, p in paths.items())} FROM q"
 
 
 def json_response_parse(d):
-    keys = ["k", "page", "ref"]
-    return f"SELECT event_id, event_type, trim({d.json('props', keys[0])}) AS k, CAST(length(props) AS BIGINT) AS n FROM events WHERE props IS NOT NULL"
+    """(id, text) of batch response lines without an error; every fifth conversation's line has one."""
+    choices = d.array([d.struct({"message": {"content": "text"}})])
+    line = d.to_json({"custom_id": "CAST(conv_id * 1000 + turn AS STRING)", "error": "CASE WHEN conv_id % 5 = 0 THEN 'rate limit' END", "response": {"body": {"choices": choices}}})
+    return f"""WITH q AS (SELECT {line} AS line FROM conversations WHERE role = 'assistant' AND text IS NOT NULL)
+    SELECT CAST({d.json('line', 'custom_id')} AS BIGINT) AS id, trim({d.json('line', 'response.body.choices[0].message.content')}) AS text FROM q WHERE {d.json('line', 'error')} IS NULL"""
+
+
+def event_properties(d):
+    return f"SELECT event_id, event_type, trim({d.json('props', 'k')}) AS k, CAST(length(props) AS BIGINT) AS n FROM events WHERE props IS NOT NULL"
 
 
 def value_counts(d):
@@ -473,7 +482,7 @@ def sentence_cohesion(d):
     {r(f"CASE WHEN {many} THEN 1 - {d.sumlist('sims')} / (k - 1) ELSE 0 END")} AS sd_mean_consecutive, {r(f"CASE WHEN {many} THEN 1 + {d.top(d.map('sims', 'x', '-x'))} ELSE 0 END")} AS sd_max_consecutive FROM sim JOIN al ON sim.id = al.id"""
 
 
-QUERIES = {f.__name__: f for f in (scan_filter_words, stratified_sample, head_n, semi_manifest, anti_resume, update_join, todo_mask, prompt_template, jsonl_requests, json_response_parse, value_counts, describe_words, union_models, set_operations, pivot_rewrites, job_planner, char_ngrams, lexical_diversity, mtld, textual_entropy, mfw_profile, mfw_frequencies, vocab_richness, word_length_dist, sent_length_dist, sentence_lengths, delta_features, delta_distance, emotional_dynamics, sentiment_affect, sentence_cohesion)} | {
+QUERIES = {f.__name__: f for f in (scan_filter_words, stratified_sample, head_n, semi_manifest, anti_resume, update_join, todo_mask, prompt_template, jsonl_requests, json_response_parse, event_properties, value_counts, describe_words, union_models, set_operations, pivot_rewrites, job_planner, char_ngrams, lexical_diversity, mtld, textual_entropy, mfw_profile, mfw_frequencies, vocab_richness, word_length_dist, sent_length_dist, sentence_lengths, delta_features, delta_distance, emotional_dynamics, sentiment_affect, sentence_cohesion)} | {
     "punct_patterns": punct_patterns, "readability": readability, "stylometric_features": stylometric_features, "moral_reflective": moral_reflective, "authenticity_voice": authenticity_voice, "conflict_blame": conflict_blame, "temporal_markers": temporal_markers,
     "discourse_connectives": discourse_connectives, "stance_epistemic": stance_epistemic, "stance_involvement": stance_involvement, "stance_orality": stance_orality, "stance_temporal_causal": stance_temporal_causal, "stance_affect": stance_affect, "stance_experiential": stance_experiential,
 }

@@ -277,3 +277,9 @@ def test_published_summaries_follow_from_published_comparisons(spark):
             want = tables.load_csv(spark, f"{GOLDEN}/summary_{condition}_{model}.csv", "dimension string, n long, sig long, d double, down long, up long").collect()
             known = {r.dimension: r for r in got}
             assert want and all((known[w.dimension].n, known[w.dimension].sig, known[w.dimension].up, known[w.dimension].down) == (w.n, w.sig, w.down, w.up) and known[w.dimension].d == pytest.approx(w.d, abs=2e-4) for w in want)
+
+
+def test_spread_of_sides(spark, sf):
+    got = {r.label: r for r in catalog.queries()["pca_of_sides"](spark, sf).collect()}
+    assert got["originals"].reduction_pct == 0 and {"originals", *statistics.MODELS} == set(got)
+    assert all(r.reduction_pct == pytest.approx((1 - r.spread / got["originals"].spread) * 100) for r in got.values())
