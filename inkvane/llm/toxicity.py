@@ -222,7 +222,7 @@ def text_score(text: str | None, weights: dict[str, float], known: dict) -> floa
         try:
             hit = known[w]
         except KeyError:
-            if len(known) >= 400_000:
+            if len(known) >= 200_000:
                 known.clear()
             hit = known[w] = tuple(f for f in features_of(w) if f in weights) or None
         if hit:
