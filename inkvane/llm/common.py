@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 
 #: Rows per Arrow batch; texts can be long, so batches stay small.
 BATCH_ROWS = 512
+#: Bytes of an Arrow batch, about: a batch of very long texts ends sooner.
+BATCH_BYTES = 8 << 20
 
 
 def work_root(spark: SparkSession) -> str:
@@ -38,6 +40,7 @@ class Workspace:
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.path, self.n = spark, f"{work_root(spark)}/{name}-{uuid.uuid4().hex[:12]}", 0
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         """Write and reread: cuts the lineage and lets joins re-plan on real sizes."""
