@@ -16,7 +16,7 @@ import unicodedata
 import numpy as np
 import regex
 
-from .common import distinct_words, spans_of_words
+from .common import distinct_words, short_words, spans_of_words
 
 # Fixed values of the vocabulary file: its white space class (Unicode White_Space) and its word pattern.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -42,6 +42,8 @@ CAPITAL_LEADS = sorted({chr(c).encode()[:-1] for c in CAPITALS})
 WIDE_SPACE = re.compile(r"[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 #: Words and chunks that a worker remembers, and their bytes together.
 REMEMBERED, REMEMBERED_BYTES = 600_000, 1 << 26
+#: Slots of the encoder's table of short chunks, a power of two; five eighths of them are used.
+SLOTS = 1 << 21
 
 
 ASCII_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
@@ -188,13 +190,67 @@ class TokenCounter:
         return total
 
 
+class ChunkPlaces:
+    """Places of short chunks: an open-addressed table of three array columns.
+
+    A chunk is its own key: its bytes as two integers, its length in the upper
+    byte of the second. So all chunks of a batch are looked up by array
+    operations, each is compared whole, and none needs a Python object.
+    """
+
+    #: Longer chunks do not fit the two integers.
+    BYTES = 15
+
+    def __init__(self):
+        self.low, self.high, self.place = np.zeros(SLOTS, np.uint64), np.zeros(SLOTS, np.uint64), np.zeros(SLOTS, np.int64)
+        self.room = SLOTS * 5 // 8
+
+    @staticmethod
+    def slots(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        h = low * np.uint64(0xBF58476D1CE4E5B9) + high * np.uint64(0x94D049BB133111EB)
+        h ^= h >> np.uint64(32)
+        h *= np.uint64(0x9E3779B97F4A7C15)
+        return (h >> np.uint64(65 - SLOTS.bit_length())).view(np.int64)
+
+    def get(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """The places, -1 where a chunk is not in the table."""
+        slot = self.slots(low, high)
+        there = self.high[slot]
+        hit = (there == high) & (self.low[slot] == low)
+        out = np.where(hit, self.place[slot], -1)
+        open_ = np.flatnonzero(~hit & (there != 0))
+        while len(open_):
+            slot[open_] = at = (slot[open_] + 1) & (SLOTS - 1)
+            there = self.high[at]
+            hit = (there == high[open_]) & (self.low[at] == low[open_])
+            out[open_[hit]] = self.place[at[hit]]
+            open_ = open_[~hit & (there != 0)]
+        return out
+
+    def put(self, low: np.ndarray, high: np.ndarray, place: np.ndarray) -> None:
+        """Remember distinct chunks that are not in the table, as many as there is room for."""
+        open_ = np.arange(min(self.room, len(low)))
+        self.room -= len(open_)
+        slot = self.slots(low, high)
+        while len(open_):
+            free = open_[self.high[slot[open_]] == 0]
+            self.place[slot[free]] = free  # of chunks that want one slot the last written has it
+            won = free[self.place[slot[free]] == free]
+            at = slot[won]
+            self.low[at], self.high[at], self.place[at] = low[won], high[won], place[won]
+            lost = np.ones(len(low), bool)
+            lost[won] = False
+            open_ = open_[lost[open_]]
+            slot[open_] = (slot[open_] + 1) & (SLOTS - 1)
+
+
 class TokenEncoder:
     """Identifiers of whole texts by the tokenizers library, word by remembered word.
 
-    A batch's texts are laid out in one buffer; word boundaries and the distinct
-    words among them (told apart by their bytes) are found with array operations,
-    so Python touches each distinct word of a batch once. Words not met before go to the
-    library's own model together, in space-joined strings.
+    A batch's texts are laid out in one buffer; its chunks are found and looked up
+    with array operations, so Python touches only chunks that the worker has not
+    met (told apart by their bytes) and long ones. Their words go to the library's
+    own model together, in space-joined strings.
     """
 
     def __init__(self, path: str):
@@ -207,10 +263,13 @@ class TokenEncoder:
         for s, k in self.v.vocab.items():
             self.ends[k] = s.endswith(self.v.end)
         self.kind = np.dtype("<u2") if self.v.size <= 1 << 16 else np.dtype("<u4")
+        # the library's spelling of each byte; words are joined by plain spaces
+        self.spelled = np.array([32 if b == 32 else ord(c) for b, c in enumerate(self.v.bytes)], "<u4")
         self.forget()
 
     def forget(self) -> None:
-        """Places of the words and chunks in one pool of identifiers: chunk -> (start, length) as start * 2**24 + length."""
+        """Places in one pool of identifiers, as start * 2**32 + length: of short chunks, of long ones, and of words inside chunks."""
+        self.places = ChunkPlaces()
         self.words: dict[str, int] = {}
         self.chunks: dict[bytes, int] = {}
         self.pool = np.empty(1 << 20, self.kind)
@@ -226,33 +285,47 @@ class TokenEncoder:
         self.used = need
         return at
 
-    def learn(self, known: dict, words: list, plain: list[str]) -> None:
-        """Remember in ``known`` what the library makes of the words, given as it spells them."""
-        for a in range(0, len(plain), 1000):
-            part = plain[a : a + 1000]
-            ids = np.array(self.lib.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, self.kind)
+    def ids_at(self, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, ends): the identifiers of all the places in turn, and where each place's end, after a 0."""
+        size = place & 0xFFFFFFFF
+        ends = np.zeros(len(place) + 1, np.int64)
+        np.cumsum(size, out=ends[1:])
+        at = np.repeat((place >> 32) - ends[:-1], size)
+        at += np.arange(len(at))
+        return self.pool[at], ends
+
+    def learn(self, words: list[bytes]) -> np.ndarray:
+        """Places of what the library makes of the words."""
+        places = [np.empty(0, np.int64)]
+        for a in range(0, len(words), 1000):
+            part = words[a : a + 1000]
+            plain = self.spelled[np.frombuffer(b" ".join(part), np.uint8)].tobytes().decode("utf-32-le")
+            ids = np.array(self.lib.encode_batch_fast([plain], add_special_tokens=False)[0].ids, self.kind)
             stops = np.flatnonzero(self.ends[ids]) + 1
             if len(stops) != len(part):
                 raise ValueError("a word without an end symbol")
-            at = self.store(ids)
             sizes = np.diff(stops, prepend=0)
-            known.update(zip(words[a : a + 1000], ((stops - sizes + at) * (1 << 24) + sizes).tolist(), strict=True))
+            places.append((stops - sizes + self.store(ids) << 32) + sizes)
+        return np.concatenate(places)
 
-    def learn_chunks(self, chunks: list[bytes]) -> None:
-        self.held += 2 * sum(map(len, chunks))
+    def learn_chunks(self, chunks: list[bytes]) -> np.ndarray:
+        """Places of chunks; those of several words get the words' identifiers in turn."""
         # chunks of ASCII letters are words
-        words = [c for c in chunks if c.isalpha()]
-        self.learn(self.chunks, words, b" ".join(words).decode().split(" ") if words else [])
-        chunks = [c for c in chunks if not c.isalpha()]
-        found = [words_in(c.decode()) for c in chunks]
-        new = list({w for ws in found for w in ws if w not in self.words})
-        self.learn(self.words, new, [w if w.isascii() and w.isprintable() else "".join([self.v.bytes[b] for b in w.encode()]) for w in new])
-        for c, ws in zip(chunks, found, strict=True):
-            if len(ws) == 1:
-                self.chunks[c] = self.words[ws[0]]
-            else:
-                ids = np.concatenate([self.pool[(p := self.words[w]) >> 24 : (p >> 24) + (p & 0xFFFFFF)] for w in ws]) if ws else self.pool[:0]
-                self.chunks[c] = (self.store(ids) << 24) + len(ids)
+        found = [None if c.isalpha() else words_in(c.decode()) for c in chunks]
+        single = [k for k, ws in enumerate(found) if ws is None or len(ws) == 1]
+        several = [k for k, ws in enumerate(found) if ws is not None and len(ws) != 1]
+        places = np.empty(len(chunks), np.int64)
+        places[single] = self.learn([chunks[k] for k in single])
+        if several:
+            new = list({w for k in several for w in found[k] if w not in self.words})
+            raw = [w.encode() for w in new]
+            self.held += sum(map(len, raw))
+            self.words.update(zip(new, self.learn(raw).tolist(), strict=True))
+            ids, ends = self.ids_at(np.array([self.words[w] for k in several for w in found[k]], np.int64))
+            stops = ends[np.cumsum([len(found[k]) for k in several])]
+            sizes = np.diff(stops, prepend=0)
+            places[several] = (stops - sizes + self.store(ids) << 32) + sizes
+        return places
 
     def encode_batch(self, texts: list[str | None]) -> list[bytes]:
         """For each text its identifiers, little-endian, in ``self.kind``."""
@@ -274,22 +347,27 @@ class TokenEncoder:
     def encode_pieces(self, raws: list[bytes]) -> list[bytes]:
         if not raws:
             return []
+        if not self.places.room or len(self.words) + len(self.chunks) > REMEMBERED or self.used > REMEMBERED * 16 or self.held > REMEMBERED_BYTES:
+            self.forget()
         data = b" ".join(raws) + b" "
         starts, stops = spans_of_words(np.frombuffer(data, np.uint8), part_marks=True)
-        first, which = distinct_words(data, starts, stops)
-        distinct = [data[a:b] for a, b in zip(starts[first].tolist(), stops[first].tolist(), strict=True)]
-        if len(self.chunks) + len(distinct) > REMEMBERED or self.used > REMEMBERED * 16 or self.held > REMEMBERED_BYTES:
-            self.forget()
-        places = list(map(self.chunks.get, distinct))
-        missing = [k for k, p in enumerate(places) if p is None]
-        self.learn_chunks([distinct[k] for k in missing])
-        for k in missing:
-            places[k] = self.chunks[distinct[k]]
-        place = np.array(places, np.int64)
-        size = (place & 0xFFFFFF)[which]
-        begin = (place >> 24)[which]
-        total = np.concatenate([[0], np.cumsum(size)])
-        ids = self.pool[np.repeat(begin - total[:-1], size) + np.arange(total[-1])] if total[-1] else self.pool[:0]
+        low, high = short_words(data, starts, stops)
+        place = self.places.get(low, high)
+        for k in np.flatnonzero(stops - starts > ChunkPlaces.BYTES).tolist():
+            place[k] = self.chunks.get(data[starts[k] : stops[k]], -1)
+        missing = np.flatnonzero(place < 0)
+        if len(missing):
+            first, which = distinct_words(data, starts[missing], stops[missing])
+            new = missing[first]
+            chunks = [data[a:b] for a, b in zip(starts[new].tolist(), stops[new].tolist(), strict=True)]
+            learned = self.learn_chunks(chunks)
+            place[missing] = learned[which]
+            short = stops[new] - starts[new] <= ChunkPlaces.BYTES
+            self.places.put(low[new[short]], high[new[short]], learned[short])
+            for k in np.flatnonzero(~short).tolist():
+                self.chunks[chunks[k]] = int(learned[k])
+                self.held += len(chunks[k])
+        ids, ends = self.ids_at(place)
         edges = np.cumsum([len(r) + 1 for r in raws])
-        cut = [0, *total[np.searchsorted(starts, edges)].tolist()]
+        cut = [0, *ends[np.searchsorted(starts, edges)].tolist()]
         return [ids[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]

@@ -89,7 +89,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 _BASE = 0x9E3779B97F4A7C15
 _POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-_SPACES = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+_SPACES = bytes(b in (9, 10, 11, 12, 13, 32) for b in range(256))
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -103,7 +103,8 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[0][:n], _POWERS[1][:n]
 
 
-_MARKS = np.isin(np.arange(256), list(b".,!?;:*|$%#&)\"]"))
+_MARK_BYTES = b".,!?;:*|$%#&)\"]"
+_MARKS = np.isin(np.arange(256), list(_MARK_BYTES))
 _ALNUM = np.array([b < 128 and chr(b).isalnum() for b in range(256)])
 
 
@@ -113,31 +114,50 @@ def spans_of_words(data: np.ndarray, part_marks: bool = False) -> tuple[np.ndarr
     part_marks: a run of punctuation at a word's end is a word of its own where
     an ASCII letter or digit precedes it.
     """
-    space = _SPACES[data]
+    space = np.frombuffer(data.tobytes().translate(_SPACES), bool)
     edge = np.flatnonzero(space[1:] != space[:-1]) + 1
     if len(data) and not space[0]:
         edge = np.concatenate([[0], edge])
     starts, stops = edge[0::2], edge[1::2]
-    if part_marks and len(stops):
-        mark = _MARKS[data]
-        last = np.maximum.accumulate(np.where(mark, -1, np.arange(len(data), dtype=np.int32)))[stops - 1]
-        cut = (last + 1 < stops) & (last >= starts) & _ALNUM[data[np.maximum(last, 0)]]
-        inner = last[cut] + 1
-        starts, stops = np.sort(np.concatenate([starts, inner])), np.sort(np.concatenate([stops, inner]))
+    if part_marks:
+        tail = np.flatnonzero(_MARKS[data[stops - 1]])
+        first, last = starts[tail], stops[tail] - 1
+        for _ in range(8):  # back over a run of marks
+            last -= _MARKS[data[last]] & (last > first)
+        for k in np.flatnonzero(_MARKS[data[last]] & (last > first)).tolist():  # long runs
+            last[k] = max(first[k], first[k] + len(data[first[k] : last[k]].tobytes().rstrip(_MARK_BYTES)) - 1)
+        cut = _ALNUM[data[last]]
+        inner, tail = last[cut] + 1, tail[cut]
+        starts, stops = np.insert(starts, tail + 1, inner), np.insert(stops, tail, inner)
     return starts, stops
 
 
 _TAILS = np.array([(1 << (8 * k)) - 1 for k in range(8)] + [(1 << 64) - 1], np.uint64)
 
 
+def eights(data: bytes) -> np.ndarray:
+    """The eight bytes from each place on as one integer, zeros behind the end."""
+    padded = np.frombuffer(data + bytes(16), np.uint8)
+    return np.lib.stride_tricks.as_strided(padded[:8].view(np.uint64), (len(data) + 1,), (1,), writeable=False)
+
+
+def short_words(data: bytes, starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(low, high): the bytes of each word of up to 15 bytes as two integers, its length in the upper byte of the second."""
+    eight, size = eights(data), stops - starts
+    low = eight[starts] & _TAILS[np.minimum(size, 8)]
+    high = size.astype(np.uint64) << np.uint64(56)
+    more = np.flatnonzero(size > 8)
+    high[more] |= eight[starts[more] + 8] & _TAILS[np.minimum(size[more] - 8, 7)]
+    return low, high
+
+
 def distinct_words(data: bytes, starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(first, which): an occurrence of each distinct word, and for every word the number of its distinct one.
 
     Words are told apart by their bytes: up to 16 bytes are two integers, longer
     words get a number by the words themselves.
     """
-    padded = np.frombuffer(data + bytes(16), np.uint8)
-    eight = np.lib.stride_tricks.as_strided(padded[:8].view(np.uint64), (len(data) + 1,), (1,), writeable=False)
+    eight = eights(data)
     size = stops - starts
     a = eight[starts] & _TAILS[np.minimum(size, 8)]
     b = np.zeros(len(starts), np.uint64)

@@ -4,6 +4,7 @@ import collections
 import hashlib
 import os
 import random
+import re
 import subprocess
 import sys
 import zlib
@@ -121,6 +122,47 @@ def test_distinct_words_go_by_their_bytes(monkeypatch):
         monkeypatch.setattr("inkvane.llm.common.mixed", lambda x: x & np.uint64(7))  # all keys clash
 
 
+def test_words_part_from_runs_of_marks():
+    words = ["a", "ab.", "a" + "!" * 7, "b" + "." * 8, "c" + ".," * 40, "." * 30, "é!!", "!x", "a.b..", "\x00.", "-" * 12 + ".", "9)", "z" + "?" * 9 + "-" + "?" * 9]
+    for data in (" ".join(words).encode() + b" ", b" " + "\n".join(reversed(words)).encode() + b"\t"):
+        starts, stops = spans_of_words(np.frombuffer(data, np.uint8), part_marks=True)
+        parts = (re.fullmatch(rb"(.*?)([.,!?;:*|$%#&)\"\]]*)", w, re.S).groups() for w in data.split())
+        want = [x for w, m in parts for x in ([w, m] if w[-1:].isalnum() and m else [w + m])]
+        assert [data[a:b] for a, b in zip(starts, stops, strict=True)] == want
+    assert all(len(x) == 0 for x in spans_of_words(np.frombuffer(b"  ", np.uint8), part_marks=True))
+
+
+def test_chunks_met_before_are_only_looked_up(monkeypatch):
+    texts = [*random_texts(400, 5), " ".join(f"w{k} {'long' * 5}{k}, x{k}é" for k in range(3000))]
+    handled = []
+    monkeypatch.setattr(bpe, "distinct_words", lambda data, starts, stops: handled.append(len(starts)) or distinct_words(data, starts, stops))
+    encoder = bpe.TokenEncoder(VOCAB)
+    first = encoder.encode_batch(texts)
+    handled.clear()
+    assert encoder.encode_batch(texts) == first and not sum(handled)
+
+
+def test_encoder_with_too_little_room_to_remember(monkeypatch):
+    texts = [*random_texts(300, 6), "a b\x00 b ab\x00 ab " + " ".join(f"w{k}" for k in range(500)), "abcdefghijklmno abcdefghijklmnop " * 3]
+    want = [e.ids for e in Tokenizer.from_file(VOCAB).encode_batch(texts, add_special_tokens=False)]
+    monkeypatch.setattr(bpe, "SLOTS", 64)
+    monkeypatch.setattr(bpe, "REMEMBERED", 50)
+    encoder = bpe.TokenEncoder(VOCAB)
+    for step in (1, 7, len(texts)):
+        got = [b for k in range(0, len(texts), step) for b in encoder.encode_batch(texts[k : k + step])]
+        assert [np.frombuffer(b, encoder.kind).tolist() for b in got] == want
+
+
+def test_table_of_chunks_holds_all_that_clash(monkeypatch):
+    monkeypatch.setattr(bpe, "SLOTS", 1024)
+    monkeypatch.setattr(bpe.ChunkPlaces, "slots", staticmethod(lambda low, high: np.full(len(low), 1020)))
+    table, n = bpe.ChunkPlaces(), 1024 * 5 // 8
+    low, high = np.arange(2 * n, dtype=np.uint64) % np.uint64(n), (np.arange(2 * n, dtype=np.uint64) // np.uint64(n) + np.uint64(1)) << np.uint64(56)
+    table.put(low[:300], high[:300], np.arange(300))
+    table.put(low[300:], high[300:], np.arange(300, 2 * n))
+    assert table.room == 0 and table.get(low, high).tolist() == [*range(n), *[-1] * n]
+
+
 # 3: chat
 
 
