@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
+from ..functions import counted
 from ..functions.annotate import semantic_markers, syntax_markers
 from ..plans import statistics, texts
 from ..plans.dialect import Spark
@@ -25,6 +26,7 @@ def marker_table(stories: DataFrame, name: str) -> DataFrame:
     stories.select("id", "story").createOrReplaceTempView(view)
     d = Spark()
     text = texts.QUERIES[name](d).replace(texts.stories(d), f"stories AS (SELECT {d.near('id')} id, CAST(NULL AS STRING) AS source, CAST(NULL AS STRING) AS lang, story FROM {view} WHERE trim(story) <> '')")
+    counted.register(stories.sparkSession, text)
     return stories.sparkSession.sql(text)
 
 

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import counted
 from . import statistics, texts
 from .dialect import Duck, Spark
 
@@ -24,6 +25,7 @@ def views(spark: SparkSession, sf_dir: str, text: str) -> None:
 def relational(build: Callable, spark: SparkSession, sf_dir: str) -> DataFrame:
     text = build(Spark())
     views(spark, sf_dir, text)
+    counted.register(spark, text)
     return spark.sql(text)
 
 

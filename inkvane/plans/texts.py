@@ -52,6 +52,16 @@ def freq(d: Duck) -> str:
     freq AS (SELECT id, tok, CAST(count(tok) AS DOUBLE) AS c FROM toks GROUP BY id, tok)"""
 
 
+def bags(d: Duck) -> str:
+    """CTEs up to bags (id, bag): the word lists of an id's texts, for the functions that count within a row."""
+    return f"{parsed(d)}, bags AS (SELECT id, collect_list(toks) AS bag FROM parsed GROUP BY id)"
+
+
+def counted(d: Duck, function: str) -> str:
+    """CTEs up to made (id, w): what a function of ``functions.counted`` makes of the bags."""
+    return f"{bags(d)}, made AS (SELECT id, {function}(bag) AS w FROM bags)"
+
+
 def phrases(d: Duck, kind: str) -> str:
     """Occurrences of the multi-word constructions of a kind, at word borders."""
     return f"CAST({d.count('low', chr(92) + 'b(?:' + '|'.join(L.PHRASES[kind]) + ')' + chr(92) + 'b')} AS DOUBLE)"
@@ -208,6 +218,10 @@ def entropy(cond: str) -> str:
 def char_ngrams(d):
     """Entropy, hapax share and type share of character 2-, 3- and 4-grams, counted together; zero below four characters."""
     text = "text_norm"
+    if d.spark:
+        cols = ", ".join(f"{r(f'w.{k}{n}')} AS char_{n}gram_{name}" for n in (2, 3, 4) for k, name in (("e", "entropy"), ("h", "hapax_ratio"), ("t", "type_ratio")))
+        return f"""WITH {stories(d)}, lowered AS (SELECT id, trim({d.sub('lower(story)', r'[ \t\n\r]+', ' ')}) AS {text} FROM stories),
+        made AS (SELECT id, inkvane_char_grams(collect_list({text})) AS w FROM lowered GROUP BY id) SELECT id, {cols} FROM made"""
     grams = f"CASE WHEN length({text}) >= 4 THEN {d.ngrams(text, 4)} ELSE {d.array(['CAST(NULL AS STRING)'])} END"
     share = lambda a, b: f"CASE WHEN {b} > 0 THEN {a} / {b} ELSE 0 END"
     cols = []
@@ -220,12 +234,15 @@ def char_ngrams(d):
 
 
 def lexical_diversity(d):
-    return f"""WITH {freq(d)}, a AS (SELECT id, sum(c) AS n, CAST(count(tok) AS DOUBLE) AS v, count_if(c = 1) AS v1 FROM freq GROUP BY id)
+    a = "SELECT id, w.n, w.v, w.v1 FROM made" if d.spark else "SELECT id, sum(c) AS n, CAST(count(tok) AS DOUBLE) AS v, count_if(c = 1) AS v1 FROM freq GROUP BY id"
+    return f"""WITH {counted(d, 'inkvane_word_counts') if d.spark else freq(d)}, a AS ({a})
     SELECT id, {r('coalesce(v / nullif(n, 0), 0)')} AS ld_ttr, {r('coalesce(v / nullif(sqrt(n), 0), 0)')} AS ld_root_ttr, {r('coalesce(v1 / nullif(v, 0), 0)')} AS ld_hapax_ratio, CAST(v AS BIGINT) AS ld_unique_words, CAST(n AS BIGINT) AS ld_total_words FROM a"""
 
 
 def textual_entropy(d):
     """Entropies of words, letters and word pairs, counted together under a letter for their kind."""
+    if d.spark:
+        return f"WITH {counted(d, 'inkvane_unit_entropies')} SELECT id, {', '.join(f'{r(f"w.{k}")} AS ent_{name}' for k, name in (('w', 'word'), ('c', 'char'), ('b', 'bigram')))} FROM made"
     words = d.map("toks", "t", "'w' || t")
     letters = d.map(d.tokens("clean", r"\p{L}"), "c", "'c' || c")
     pairs_ = d.map(d.seq(1, f"greatest({d.size('toks')}, 1)"), "i", "'b' || " + ("get(toks, i - 1) || ' ' || get(toks, i)" if d.spark else "toks[i] || ' ' || toks[i + 1]"))
@@ -240,10 +257,12 @@ def mtld(d):
     A word is new in its segment if its last occurrence lies before the segment,
     so the pass is a fold over those places.
     """
+    if d.spark:
+        return f"WITH {parsed(d)} SELECT id, {r('inkvane_mtld(toks)')} AS ld_mtld FROM parsed"
     left = d.fold("prev", {"f": 0, "lo": 1, "types": 0, "i": 0}, "s", "p", {"f": f"s.f + {CLOSED}", "lo": f"CASE WHEN {CLOSED} = 1 THEN s.i + 2 ELSE s.lo END", "types": f"CASE WHEN {CLOSED} = 1 THEN 0 ELSE {TYPES} END", "i": "s.i + 1"})
     tail = lambda s: f"({s}.f + CASE WHEN n > {s}.lo AND {s}.types < n - {s}.lo + 1 THEN (1 - {s}.types / (n - {s}.lo + 1)) / 0.28 ELSE 0 END)"
     score = lambda s: f"CASE WHEN {tail(s)} > 0 THEN n / {tail(s)} ELSE n END"
-    at = f"SELECT id, n, pos + 1 AS pos, tok FROM parsed LATERAL VIEW posexplode({d.some('toks')}) pe AS pos, tok" if d.spark else f"SELECT id, n, unnest(range(1, greatest({d.size('toks')}, 1) + 1)) AS pos, unnest({d.some('toks')}) AS tok FROM parsed"
+    at = f"SELECT id, n, unnest(range(1, greatest({d.size('toks')}, 1) + 1)) AS pos, unnest({d.some('toks')}) AS tok FROM parsed"
     return f"""WITH {parsed(d)}, places AS ({at}),
     seen AS (SELECT id, n, pos, coalesce(lag(pos) OVER (PARTITION BY id, tok ORDER BY pos), 0) AS p, coalesce(n + 1 - lead(pos) OVER (PARTITION BY id, tok ORDER BY pos), 0) AS q, tok FROM places),
     lists AS (SELECT id, n, {d.gather('CAST(p AS DOUBLE)', 'tok IS NOT NULL', 'pos')} AS prev, {d.gather('CAST(q AS DOUBLE)', 'tok IS NOT NULL', '-pos')} AS next FROM seen GROUP BY id, n),
@@ -256,6 +275,11 @@ CLOSED = f"(CASE WHEN {TYPES} / (s.i + 2 - s.lo) <= 0.72 THEN 1 ELSE 0 END)"
 
 
 def mfw_profile(d):
+    if d.spark:
+        of = lambda e: r(f"coalesce({e} / nullif(w.n, 0), 0)")
+        fw = d.sumlist("w.fw")
+        return f"""WITH {counted(d, 'inkvane_word_counts')} SELECT id, {of('w.top10')} AS mfw_top10_coverage, {of('w.top50')} AS mfw_top50_coverage,
+        {r('CASE WHEN w.size > 1 THEN 2 * w.ranked / (w.size * w.n) - (w.size + 1) / w.size ELSE 0 END')} AS mfw_concentration, {of(fw)} AS mfw_fw_ratio FROM made"""
     share = lambda e: r(f"coalesce({e} / nullif(sum(c), 0), 0)")
     return f"""WITH {freq(d)}, ranked AS (SELECT id, tok, c, row_number() OVER (PARTITION BY id ORDER BY c DESC, tok) AS k, row_number() OVER (PARTITION BY id ORDER BY c, tok) AS i FROM freq)
     SELECT id, {share('sum(CASE WHEN k <= 10 THEN c ELSE 0 END)')} AS mfw_top10_coverage, {share('sum(CASE WHEN k <= 50 THEN c ELSE 0 END)')} AS mfw_top50_coverage,
@@ -264,17 +288,25 @@ def mfw_profile(d):
 
 
 def mfw_frequencies(d):
+    if d.spark:
+        cols = ", ".join(f"{r(f'coalesce(1000 * w.fw[{k}] / nullif(w.n, 0), 0)')} AS mfw_{w}" for k, w in enumerate(L.TOP_FUNCTION_WORDS))
+        return f"WITH {counted(d, 'inkvane_word_counts')} SELECT id, {cols} FROM made"
     cols = ", ".join(f"{r(f'coalesce(1000 * sum(CASE WHEN tok = {chr(39)}{w}{chr(39)} THEN c ELSE 0 END) / nullif(sum(c), 0), 0)')} AS mfw_{w}" for w in L.TOP_FUNCTION_WORDS)
     return f"WITH {freq(d)} SELECT id, {cols} FROM freq GROUP BY id"
 
 
 def vocab_richness(d):
-    return f"""WITH {freq(d)}, a AS (SELECT id, sum(c) AS n, CAST(count(tok) AS DOUBLE) AS v, CAST(count_if(c = 1) AS DOUBLE) AS v1, CAST(count_if(c = 2) AS DOUBLE) AS v2, sum(c * c) AS m2, sum(c * (c - 1)) AS m1 FROM freq GROUP BY id)
+    a = "SELECT id, w.n, w.v, w.v1, w.v2, w.m2, w.m2 - w.n AS m1 FROM made" if d.spark else "SELECT id, sum(c) AS n, CAST(count(tok) AS DOUBLE) AS v, CAST(count_if(c = 1) AS DOUBLE) AS v1, CAST(count_if(c = 2) AS DOUBLE) AS v2, sum(c * c) AS m2, sum(c * (c - 1)) AS m1 FROM freq GROUP BY id"
+    return f"""WITH {counted(d, 'inkvane_word_counts') if d.spark else freq(d)}, a AS ({a})
     SELECT id, {r('CASE WHEN n < 2 THEN 0 ELSE 10000 * (m2 - n) / (n * n) END')} AS vocab_yules_k, {r('CASE WHEN n < 2 THEN 0 ELSE m1 / (n * (n - 1)) END')} AS vocab_simpsons_d,
     {r('CASE WHEN n < 2 OR v1 = v THEN 0 ELSE 100 * ln(n) / (1 - v1 / v) END')} AS vocab_honores_r, {r('CASE WHEN n < 2 THEN 0 ELSE v2 / v END')} AS vocab_sichels_s, {r('CASE WHEN n < 2 THEN 0 ELSE power(n, power(v, -0.172)) END')} AS vocab_brunets_w FROM a"""
 
 
 def word_length_dist(d):
+    if d.spark:
+        cols = ", ".join(f"{r(f'coalesce(w.by[{k - 1}] / nullif(w.n, 0), 0)')} AS wlen_{k}" for k in range(1, 16))
+        return f"""WITH {counted(d, 'inkvane_word_lengths')} SELECT id, {cols}, {r('w.mu')} AS wlen_mean, {r('coalesce(sqrt(w.m2 / nullif(w.n, 0)), 0)')} AS wlen_std,
+        {r('CASE WHEN w.m2 > 0.000000001 THEN (w.m3 / w.n) / power(w.m2 / w.n, 1.5) ELSE 0 END')} AS wlen_skew FROM made"""
     cols = ", ".join(f"{r(f'coalesce(sum(CASE WHEN l = {k} THEN c ELSE 0 END) / nullif(sum(c), 0), 0)')} AS wlen_{k}" for k in range(1, 16))
     return f"""WITH {freq(d)}, lens AS (SELECT id, CAST(length(tok) AS DOUBLE) AS l, c FROM freq), m AS (SELECT id, sum(l * c) / nullif(sum(c), 0) AS mu FROM lens GROUP BY id),
     cent AS (SELECT lens.id, l, c, mu, l - mu AS e FROM lens JOIN m ON lens.id = m.id)

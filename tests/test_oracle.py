@@ -34,3 +34,24 @@ def test_same_as_sql(spark, duck, sf, name):
 
 def test_entry(spark):
     assert catalog.entry(spark, "/root/testdata/sf0.001").count() > 0
+
+
+ODD = [(1, "a b a"), (1, "b a. c"), (2, "...!"), (2, "one two one"), (3, "日本語の 文字 文字。日本"), (4, "😀a😀a 😀a"), (5, "abc"), (6, "Istanbul straße ÉTÉ été"), (7, " ".join(chr(0x4E00 + k % 3000) + chr(0x61 + k % 26) for k in range(4000)))]
+#: Queries that count within a row: no row for each word or gram is made, so none is shuffled, sorted or spilled.
+WITHIN = ["char_ngrams", "lexical_diversity", "textual_entropy", "mfw_profile", "mfw_frequencies", "vocab_richness", "word_length_dist", "mtld"]
+
+
+@pytest.mark.parametrize("name", WITHIN)
+def test_counts_within_a_row(spark, name, monkeypatch):
+    from inkvane.functions import counted
+    from inkvane.operators.markers import marker_table
+    from inkvane.plans import texts
+    from inkvane.plans.dialect import Duck
+
+    odd = [x for x in ODD if x[0] > 2] if name == "mtld" else ODD  # texts that share an id have no order there
+    given = ", ".join(f"({k}, 'x', 'x', '{t}')" for k, t in odd)
+    want = duckdb.sql(texts.QUERIES[name](Duck()).replace(texts.stories(Duck()), f"stories AS (SELECT * FROM (VALUES {given}) AS v(id, source, lang, story))")).df()
+    monkeypatch.setattr(counted, "UNITS", 5)
+    got = marker_table(spark.createDataFrame(odd, "id long, story string").coalesce(1), name)
+    assert rows(got.toPandas()) == rows(want)
+    assert "Generate" not in got._jdf.queryExecution().executedPlan().toString() and "Window" not in got._jdf.queryExecution().executedPlan().toString()
