@@ -80,6 +80,7 @@ def pca_projection(spark, sf_dir):
 
 def pca_of_sides(spark, sf_dir):
     """Originals and each model's rewrites in the plane of the core set's first two components."""
+    from ..operators.matching import stored
     from ..operators.projection import pca2, spread_reduction
 
     def vectors(d):
@@ -87,7 +88,36 @@ def pca_of_sides(spark, sf_dir):
         both = "SELECT 'originals' AS label, id, marker, o AS x FROM long UNION ALL SELECT model AS label, id, marker, w AS x FROM long"
         return f"WITH {statistics.wide_long(d, statistics.CORE_SET)} SELECT label, id, array({cells}) AS v FROM ({both}) GROUP BY label, id"
 
-    return spread_reduction(pca2(relational(vectors, spark, sf_dir)), "originals")
+    return spread_reduction(pca2(stored(relational(vectors, spark, sf_dir))), "originals")
+
+
+def _standardised(spark: SparkSession, sf_dir: str, fit: str) -> DataFrame:
+    """(model, id, o, w): the z scores of both sides of each pair as vectors; the markers are computed once."""
+    from ..operators.matching import stored, view
+
+    d = Spark()
+    rows = view(stored(relational(lambda d: f"WITH {statistics.long(d)} SELECT * FROM long", spark, sf_dir)))
+    text = statistics.side_by_side(d, fit, {"o": "zo", "w": "zw"}).replace(statistics.long(d), f"long AS (SELECT * FROM {rows})")
+    cells = ", ".join(f"array({', '.join(f'{s}_{c}' for c in statistics.COMPARED)}) AS {s}" for s in "ow")
+    return stored(spark.sql(f"WITH {text} SELECT model, id, {cells} FROM wide"))
+
+
+def source_matching(spark, sf_dir):
+    from ..operators.matching import matched
+
+    return matched(_standardised(spark, sf_dir, "reference"))
+
+
+def source_matching_stacked(spark, sf_dir):
+    from ..operators.matching import matched
+
+    return matched(_standardised(spark, sf_dir, "stacked"))
+
+
+def burrows_delta_pairs(spark, sf_dir):
+    from ..operators.matching import pairwise
+
+    return pairwise(_standardised(spark, sf_dir, "rewrites"))
 
 
 def wilcoxon_p(spark, sf_dir):
@@ -134,4 +164,4 @@ def correlation_p(spark, sf_dir):
     return correlation(relational(lambda d: f"WITH {statistics.long(d)} SELECT * FROM long", spark, sf_dir), ["model", "marker"])
 
 
-PROVIDED = {f.__name__: f for f in (syntax_markers, pos_ratios, semantic_markers, pca_projection, pca_of_sides, wilcoxon_p, rewrite_offline, events_by_window, pair_distances, correlation_p, compare_every_marker)}
+PROVIDED = {f.__name__: f for f in (syntax_markers, pos_ratios, semantic_markers, pca_projection, pca_of_sides, wilcoxon_p, rewrite_offline, events_by_window, pair_distances, correlation_p, compare_every_marker, source_matching, source_matching_stacked, burrows_delta_pairs)}

@@ -55,3 +55,23 @@ def test_counts_within_a_row(spark, name, monkeypatch):
     got = marker_table(spark.createDataFrame(odd, "id long, story string").coalesce(1), name)
     assert rows(got.toPandas()) == rows(want)
     assert "Generate" not in got._jdf.queryExecution().executedPlan().toString() and "Window" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("name", ["source_matching", "source_matching_stacked", "burrows_delta_pairs"])
+def test_pairs_in_small_blocks(spark, duck, sf, name, monkeypatch):
+    """Every pair of texts meets once, however small the blocks; no join makes a row for each pair."""
+    from inkvane.operators import matching
+
+    monkeypatch.setattr(matching, "BLOCK", 5)
+    got = catalog.queries()[name](spark, sf)
+    assert rows(got.toPandas()) == rows(duck.execute(catalog.oracle_sql()[name]).df())
+    assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_distance_over_common_columns():
+    import numpy as np
+
+    from inkvane.operators.matching import distances
+
+    a, b = np.array([[1.0, np.nan, 3.0]]), np.array([[2.0, 5.0, 3.0], [1.0, 1.0, np.nan]])
+    assert distances(a, b).tolist() == [[0.5, 0.0]]
