@@ -13,6 +13,7 @@ from ..functions import counted
 from ..functions.annotate import semantic_markers, syntax_markers
 from ..plans import statistics, texts
 from ..plans.dialect import Spark
+from .matching import stored, view
 
 BASE = ["lexical_diversity", "mtld", "sentence_lengths", "textual_entropy", "sentiment_affect", "discourse_connectives", "stylometric_features", "readability"]
 EMPATHIC = ["emotional_dynamics", "moral_reflective", "authenticity_voice", "conflict_blame", "temporal_markers"]
@@ -83,6 +84,23 @@ def compare_tables(orig: DataFrame, rewrite: DataFrame, markers: list[str] | Non
     return spark.sql(statistics.comparison_rows(Spark(), f"long AS (SELECT * FROM {view})")).drop("condition", "model")
 
 
+def compare_sides(pairs: DataFrame) -> DataFrame:
+    """The paired comparison of all base and empathic markers of (id, orig, rewrite), as ``compare_tables`` has it.
+
+    Both sides are one table of stories (2 * id and 2 * id + 1), over which each
+    marker table runs once; tables meet as rows of (id, marker), not in joins.
+    """
+    spark = pairs.sparkSession
+    sides = stored(pairs.select((F.col("id") * 2).alias("id"), F.col("orig").alias("story")).union(pairs.select(F.col("id") * 2 + 1, "rewrite")))
+    rows = []
+    for t in [*(marker_table(sides, n) for n in BASE + EMPATHIC), syntax_columns(sides), semantic_markers(sides)]:
+        cols = numeric_markers(t, t)
+        rows.append(t.select("id", *(F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(c) for c in cols)).unpivot(["id"], cols, "marker", "x").filter("x is not null"))
+    both = reduce(DataFrame.union, rows).groupBy(F.shiftright("id", 1).alias("id"), "marker").agg(*(F.round(F.max(F.when(F.col("id").bitwiseAND(1) == k, F.col("x"))), 9).alias(c) for k, c in ((0, "o"), (1, "w"))))
+    long = view(stored(both.filter("o is not null and w is not null").select("id", F.lit("all").alias("condition"), F.lit("all").alias("model"), "marker", "o", "w")))
+    return spark.sql(statistics.comparison_rows(Spark(), f"long AS (SELECT * FROM {long})")).drop("condition", "model")
+
+
 def compute_empathic_markers(stories: DataFrame) -> DataFrame:
     return merged(stories, EMPATHIC)
 

@@ -151,11 +151,9 @@ def pair_distances(spark, sf_dir):
 
 def compare_every_marker(spark, sf_dir):
     """The paired comparison of all shared numeric markers, those of the annotator and the embedder included."""
-    from ..operators.markers import compare_tables, compute_all_markers
+    from ..operators.markers import compare_sides
 
-    pairs = relational(lambda d: f"WITH {statistics.pairs(d)} SELECT id, orig, rewrite FROM pairs", spark, sf_dir)
-    orig, rewrite = (compute_all_markers(pairs.select("id", F.col(c).alias("story")), include_empathic=True) for c in ("orig", "rewrite"))
-    return compare_tables(orig, rewrite)
+    return compare_sides(relational(lambda d: f"WITH {statistics.pairs(d)} SELECT id, orig, rewrite FROM pairs", spark, sf_dir))
 
 
 def correlation_p(spark, sf_dir):
@@ -165,3 +163,21 @@ def correlation_p(spark, sf_dir):
 
 
 PROVIDED = {f.__name__: f for f in (syntax_markers, pos_ratios, semantic_markers, pca_projection, pca_of_sides, wilcoxon_p, rewrite_offline, events_by_window, pair_distances, correlation_p, compare_every_marker, source_matching, source_matching_stacked, burrows_delta_pairs)}
+
+
+def _on_stored_markers(name: str, wanted: list[str]) -> Callable[[SparkSession, str], DataFrame]:
+    """A query that reads the markers of all pairs several times: they are computed once and stored."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        from ..operators.matching import stored, view
+
+        d = Spark()
+        source = statistics.wide_long(d, wanted)
+        rows = view(stored(relational(lambda _: f"WITH {source} SELECT * FROM long", spark, sf_dir)))
+        return spark.sql(RELATIONAL[name](d).replace(source, f"long AS (SELECT * FROM {rows})"))
+
+    query.__name__ = name
+    return query
+
+
+PROVIDED |= {k: _on_stored_markers(k, w) for k, w in {"convergence": statistics.FULL_SET, "compare_all_markers": statistics.ALL_COMPARED, "marker_counts_by_dimension": statistics.ALL_COMPARED, "refined_effects": list(statistics.REFINED), "refined_categories": list(statistics.REFINED)}.items()}

@@ -4,6 +4,7 @@ import math
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from inkvane.plans import catalog
 
@@ -75,3 +76,20 @@ def test_distance_over_common_columns():
 
     a, b = np.array([[1.0, np.nan, 3.0]]), np.array([[2.0, 5.0, 3.0], [1.0, 1.0, np.nan]])
     assert distances(a, b).tolist() == [[0.5, 0.0]]
+
+
+@pytest.mark.parametrize("name", ["convergence", "refined_effects", "compare_all_markers"])
+def test_markers_of_pairs_are_computed_once(spark, sf, name):
+    assert "regexp" not in catalog.queries()[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_sides_compare_like_tables(spark):
+    from inkvane.operators import markers
+
+    words = "I think maybe we walked home and laughed because it was late".split()
+    data = [(k, " ".join(words[: 3 + k % 9]) + ". " + " ".join(words[k % 5 :]) + "!", None if k == 3 else " ".join(words[k % 7 :]) + ".") for k in range(14)]
+    pairs = spark.createDataFrame(data, "id long, orig string, rewrite string")
+    sides = [markers.compute_all_markers(pairs.select("id", F.col(c).alias("story")), include_empathic=True) for c in ("orig", "rewrite")]
+    got = markers.compare_sides(pairs)
+    assert rows(got.toPandas()) == rows(markers.compare_tables(*sides).toPandas())
+    assert "regexp" not in got._jdf.queryExecution().optimizedPlan().toString()
