@@ -214,7 +214,31 @@ def subjects(d: Duck) -> str:
     grand AS (SELECT marker, avg(m) AS g, CAST(count(*) AS DOUBLE) AS n FROM means GROUP BY marker)"""
 
 
+def aligned(d: Duck) -> str:
+    """CTEs up to means for Spark: ``subjects`` in one scan, a row for each order, and only then one for each marker of it."""
+    kinds = {"quantity": "l_quantity", "price": "l_extendedprice", "discount": "l_discount"}
+    of = lambda k: f"struct('{k}' AS marker, avg({k}) AS m, stddev_samp({k}) AS s, CASE WHEN story IS NOT NULL THEN var_pop({k}) * count({k}) END AS ssw, CASE WHEN story IS NOT NULL THEN count({k}) END AS k, CASE WHEN story IS NOT NULL THEN sum({k}) END AS t, CASE WHEN story IS NOT NULL THEN sum({k} * {k}) END AS t2, " + ", ".join(f"max(CASE WHEN run = {i} AND story IS NOT NULL THEN {k} END) AS x{i}" for i in (1, 2, 3)) + ")"
+    return f"""lines AS (SELECT {d.near('l_orderkey')} l_orderkey, l_linenumber, {', '.join(kinds.values())} FROM lineitem WHERE l_linenumber <= 3),
+    per AS (SELECT l_orderkey AS story, l_linenumber AS run, {', '.join(f'avg({c}) AS {k}' for k, c in kinds.items())} FROM lines GROUP BY l_orderkey, l_linenumber),
+    three AS (SELECT story, array({', '.join(of(k) for k in kinds)}) AS r FROM per GROUP BY story HAVING count(*) = 3), means AS (SELECT story, inline(r) FROM three)"""
+
+
+def median_by_buckets(of: str) -> str:
+    """CTEs up to med (marker, median) of means.m: counts of 10000 ranges find the one with the middle, only its values are ranked."""
+    return f"""b AS (SELECT marker, count(*) AS n_rows, avg(m) AS mean, count(m) AS n, min(m) AS lo, max(m) AS hi FROM {of} GROUP BY marker),
+    k AS (SELECT {of}.marker, m, least(9999, coalesce(floor((m - lo) / nullif(hi - lo, 0) * 10000), 0)) AS place FROM {of} JOIN b ON {of}.marker = b.marker WHERE m IS NOT NULL),
+    cum AS (SELECT marker, place, c, sum(c) OVER (PARTITION BY marker ORDER BY place) AS upto FROM (SELECT marker, place, count(*) AS c FROM k GROUP BY marker, place) AS bk),
+    sel AS (SELECT cum.marker, place, upto - c AS before FROM cum JOIN b ON cum.marker = b.marker WHERE upto - c < n div 2 + 1 AND upto >= (n + 1) div 2),
+    vals AS (SELECT marker, m, first AS before, sum(c) OVER (PARTITION BY marker ORDER BY m) AS upto FROM (SELECT k.marker, m, count(*) AS c FROM k JOIN sel ON k.marker = sel.marker AND k.place = sel.place GROUP BY k.marker, m) AS v JOIN (SELECT marker AS mk, min(before) AS first FROM sel GROUP BY marker) AS f ON v.marker = f.mk),
+    med AS (SELECT vals.marker, (min(CASE WHEN before + upto >= (n + 1) div 2 THEN m END) + min(CASE WHEN before + upto >= n div 2 + 1 THEN m END)) / 2 AS median FROM vals JOIN b ON vals.marker = b.marker GROUP BY vals.marker)"""
+
+
 def reliability_icc_cv(d):
+    if d.spark:
+        total = "sqrt(greatest(sum(t2) / nullif(sum(k), 0) - (sum(t) / nullif(sum(k), 0)) * (sum(t) / nullif(sum(k), 0)), 0))"
+        return f"""WITH {aligned(d)}, a AS (SELECT marker, CAST(count(*) AS DOUBLE) AS n, avg(m) AS g, 3 * var_pop(m) * count(m) / nullif(count(*) - 1, 0) AS msb, avg(s / nullif(abs(m), 0)) * 100 AS cv, sum(ssw) AS ssw, {total} AS sd, avg(x1) AS m1, avg(x2) AS m2, avg(x3) AS m3 FROM means GROUP BY marker HAVING count(story) > 0),
+        icc AS (SELECT *, greatest(CAST(0 AS DOUBLE), least(CAST(1 AS DOUBLE), (msb - ssw / (n * 2)) / nullif(msb + 2 * ssw / (n * 2), 0))) AS icc FROM a)
+        SELECT marker, CAST(n AS BIGINT) AS n, {r('icc')} AS icc, {r('cv')} AS cv, {tier('icc', 0.9, 0.7)} AS reliability, {r('m1', 4)} AS mean_r1, {r('m2', 4)} AS mean_r2, {r('m3', 4)} AS mean_r3, {r('g', 4)} AS overall_mean, {r('sd', 4)} AS overall_std FROM icc"""
     return f"""WITH {subjects(d)}, ms AS (SELECT means.marker, max(n) AS n, max(g) AS g, 3 * sum((m - g) * (m - g)) / nullif(max(n) - 1, 0) AS msb, avg(s / nullif(abs(m), 0)) * 100 AS cv FROM means JOIN grand ON means.marker = grand.marker GROUP BY means.marker),
     wi AS (SELECT subject.marker, sum((x - m) * (x - m)) AS ssw, stddev_pop(x) AS sd, avg(CASE WHEN run = 1 THEN x END) AS m1, avg(CASE WHEN run = 2 THEN x END) AS m2, avg(CASE WHEN run = 3 THEN x END) AS m3 FROM subject JOIN means ON subject.marker = means.marker AND subject.story = means.story GROUP BY subject.marker),
     icc AS (SELECT ms.marker, n, g, cv, sd, m1, m2, m3, greatest(CAST(0 AS DOUBLE), least(CAST(1 AS DOUBLE), (msb - ssw / (n * 2)) / nullif(msb + 2 * ssw / (n * 2), 0))) AS icc FROM ms JOIN wi ON ms.marker = wi.marker)
@@ -222,6 +246,8 @@ def reliability_icc_cv(d):
 
 
 def run_alignment(d):
+    if d.spark:
+        return f"WITH {aligned(d)}, {median_by_buckets('means')} SELECT b.marker, n_rows AS n_aligned, {r('mean', 4)} AS mean, {r('median', 4)} AS median FROM b LEFT JOIN med ON b.marker = med.marker"
     return f"WITH {subjects(d)} SELECT marker, count(*) AS n_aligned, {r('avg(m)', 4)} AS mean, {r('median(m)', 4)} AS median FROM means GROUP BY marker"
 
 
