@@ -9,7 +9,9 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from collections.abc import Callable
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -30,11 +32,26 @@ _TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
 
 
+#: Tokens of each kind that a worker remembers.
+KNOWN = 100_000
+
+
 class RuleAnnotator:
     """(token, tag, tense) by lists and endings; tense is past, present or empty."""
 
+    def __init__(self) -> None:
+        self.known: tuple[dict, dict] = ({}, {})  # tagged tokens, at the beginning of a sentence and after it
+
     def tag(self, text: str) -> list[list[tuple[str, str, str]]]:
-        return [[(t, *self.one(t, k)) for k, t in enumerate(_TOKEN.findall(s))] for s in _SENTENCE.split(text) if s.strip()]
+        return [[self._tagged(t, k) for k, t in enumerate(_TOKEN.findall(s))] for s in _SENTENCE.split(text) if s.strip()]
+
+    def _tagged(self, token: str, place: int) -> tuple[str, str, str]:
+        known = self.known[place > 0]
+        if (found := known.get(token)) is None:
+            if len(known) >= KNOWN:
+                known.clear()
+            found = known[token] = (token, *self.one(token, place))
+        return found
 
     @staticmethod
     def one(token: str, place: int) -> tuple[str, str]:
@@ -55,6 +72,7 @@ class RuleAnnotator:
         return ("ADJ", "") if w.endswith(("ous", "ful", "able", "ive", "al")) else ("NOUN", "")
 
 
+@lru_cache(KNOWN)
 def stem(verb: str) -> str:
     """A verb form as the lists have it: an -ing or -s form becomes the plain one."""
     w = verb.lower()
@@ -66,7 +84,7 @@ def syntax_row(sentences: list[list[tuple[str, str, str]]]) -> dict[str, float]:
     """Markers that need tags; depth is approximated by nested clause openers."""
     tokens = [t for s in sentences for t in s]
     n, s = len(tokens), max(len(sentences), 1)
-    count = lambda tag: sum(t[1] == tag for t in tokens)
+    count = Counter(t[1] for t in tokens).__getitem__
     verbs = [t for t in tokens if t[1] == "VERB"]
     verbal = [t for t in tokens if t[1] in ("VERB", "AUX")]
     depth = [1 + sum(t[1] in ("SCONJ", "ADP") for t in x) for x in sentences]

@@ -283,3 +283,14 @@ def test_spread_of_sides(spark, sf):
     got = {r.label: r for r in catalog.queries()["pca_of_sides"](spark, sf).collect()}
     assert got["originals"].reduction_pct == 0 and {"originals", *statistics.MODELS} == set(got)
     assert all(r.reduction_pct == pytest.approx((1 - r.spread / got["originals"].spread) * 100) for r in got.values())
+
+
+def test_tagged_tokens_are_remembered_by_place(monkeypatch):
+    from inkvane.functions import annotate
+
+    monkeypatch.setattr(annotate, "KNOWN", 3)
+    text = "Anna saw Anna. Anna went home quickly, and 3 dogs saw Anna!"
+    tagger, plain = annotate.RuleAnnotator(), annotate.RuleAnnotator
+    got = tagger.tag(text)
+    assert got == [[(t, *plain.one(t, k)) for k, t in enumerate(annotate._TOKEN.findall(s))] for s in annotate._SENTENCE.split(text)]
+    assert all(len(k) <= 3 for k in tagger.known) and got[0][0][1] == "NOUN" and got[0][2][1] == "PROPN"
