@@ -1,7 +1,7 @@
 """Counts within a text, made for many texts at a time, without a row for each word or gram.
 
 Each function takes an Arrow array with one row for each id, which holds the
-texts of that id (or their word lists), and gives one row for each id. They
+texts of that id (or their words between blanks), and gives one row for each id. They
 are what grouping the exploded units by (id, unit) and then by id gives; a
 slice of about ``UNITS`` units, or one text, is in memory at a time.
 """
@@ -97,17 +97,26 @@ def char_grams(texts: pa.Array) -> pa.Array:
     return sliced(texts, np.bincount(per, pc.binary_length(texts.flatten()).to_numpy(zero_copy_only=False), len(texts)), one)
 
 
+def split(texts: pa.Array, mark: str) -> tuple[np.ndarray, pa.Array]:
+    """The number of parts between marks of each text, and all parts; empty ones do not count."""
+    lists = pc.split_pattern(texts, mark)
+    parts = lists.flatten()
+    keep = pc.binary_length(parts).to_numpy(zero_copy_only=False) > 0
+    return np.bincount(np.repeat(np.arange(len(texts)), lengths(lists))[keep], minlength=len(texts)), parts.filter(pa.array(keep))
+
+
 def _words(part: pa.Array) -> tuple[int, np.ndarray, np.ndarray, pa.Array]:
-    """Rows, the row of each text, the words of each text, and all words."""
-    inner = part.flatten()
-    return len(part), np.repeat(np.arange(len(part)), lengths(part)), lengths(inner), inner.flatten()
+    """Rows, the row of each text, the number of words of each text, and all words."""
+    size, words = split(part.flatten(), " ")
+    return len(part), np.repeat(np.arange(len(part)), lengths(part)), size, words
 
 
 def _by_words(one: Callable) -> Callable[[pa.Array], pa.Array]:
     def run(bags: pa.Array) -> pa.Array:
-        bags = bags.cast(pa.list_(pa.list_(pa.string())))
+        bags = bags.cast(pa.list_(pa.string()))
         per = np.repeat(np.arange(len(bags)), lengths(bags))
-        return sliced(bags, np.bincount(per, lengths(bags.flatten()), len(bags)), lambda part: one(*_words(part)))
+        blanks = pc.count_substring(bags.flatten(), " ").to_numpy(zero_copy_only=False)
+        return sliced(bags, np.bincount(per, blanks + 1, len(bags)), lambda part: one(*_words(part)))
 
     return run
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import counted
-from . import statistics, texts
+from . import dialect, statistics, texts
 from .dialect import Duck, Spark
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -22,8 +22,16 @@ def views(spark: SparkSession, sf_dir: str, text: str) -> None:
             spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
 
 
+def sized(spark: SparkSession, sf_dir: str, table: str) -> Spark:
+    """The dialect with as many partitions as a table's files ask for, and no fewer than the session has, of a MB each at least."""
+    size = int(str(spark.read.parquet(f"{sf_dir}/{table}.parquet")._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return Spark(max(1, -(-size // dialect.PART_BYTES), min(int(spark.conf.get("spark.sql.shuffle.partitions")), size >> 20)))
+
+
 def relational(build: Callable, spark: SparkSession, sf_dir: str) -> DataFrame:
     text = build(Spark())
+    if "REPARTITION" in text:
+        text = build(sized(spark, sf_dir, "documents" if "documents" in text else "conversations"))
     views(spark, sf_dir, text)
     counted.register(spark, text)
     return spark.sql(text)
@@ -171,9 +179,9 @@ def _on_stored_markers(name: str, wanted: list[str]) -> Callable[[SparkSession,
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         from ..operators.matching import stored, view
 
-        d = Spark()
+        d = sized(spark, sf_dir, "conversations")
         source = statistics.wide_long(d, wanted)
-        rows = view(stored(relational(lambda _: f"WITH {source} SELECT * FROM long", spark, sf_dir)))
+        rows = view(stored(relational(lambda d: f"WITH {statistics.wide_long(d, wanted)} SELECT * FROM long", spark, sf_dir)))
         return spark.sql(RELATIONAL[name](d).replace(source, f"long AS (SELECT * FROM {rows})"))
 
     query.__name__ = name

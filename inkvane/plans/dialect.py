@@ -3,9 +3,18 @@
 from __future__ import annotations
 
 
+#: Bytes of input files for each partition of the texts.
+PART_BYTES = 8 << 20
+
+
 class Spark:
+    """partitions: how many the texts are dealt over, so that a task's share does not grow with them; the session's setting where not given."""
+
     spark = True
 
+    def __init__(self, partitions: int | None = None) -> None:
+        self.partitions = partitions
+
     def s(self, text: str) -> str:
         """A string literal, backslashes as they are."""
         return "r'" + text.replace("'", "\\'") + "'" if "'" not in text else "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
@@ -96,7 +105,7 @@ class Spark:
         return f"aggregate(zip_with({x}, {y}, (p, q) -> CAST(p AS DOUBLE) * CAST(q AS DOUBLE)), CAST(0 AS DOUBLE), (acc, v) -> acc + v)"
 
     def near(self, by):
-        return f"/*+ REPARTITION({by}) */"
+        return f"/*+ REPARTITION({by}) */" if self.partitions is None else f"/*+ REPARTITION({self.partitions}, {by}) */"
 
     def struct(self, fields):
         """A record; values that are dicts are records inside it."""

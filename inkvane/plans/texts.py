@@ -33,6 +33,7 @@ def stories(d: Duck) -> str:
 CLITICS = r"n't\b|'(?:s|re|ve|ll|d|m)\b"
 TOKEN = r"--|\.\.\.|\p{L}+|\p{N}+|[^\s\p{L}\p{N}]"
 SENTENCE = r"[.!?]+\s+|\n+"
+NO_WORD = r"[^\p{L}]+"
 
 
 def parsed(d: Duck) -> str:
@@ -53,8 +54,11 @@ def freq(d: Duck) -> str:
 
 
 def bags(d: Duck) -> str:
-    """CTEs up to bags (id, bag): the word lists of an id's texts, for the functions that count within a row."""
-    return f"{parsed(d)}, bags AS (SELECT id, collect_list(toks) AS bag FROM parsed GROUP BY id)"
+    """CTEs up to bags (id, bag): the words of each of an id's texts between blanks, for the functions that count within a row.
+
+    The rows of a partition are sorted to be grouped; lists of words would take several times a text's memory there.
+    """
+    return f"{parsed(d)}, bags AS (SELECT id, collect_list({d.sub('clean', NO_WORD, ' ')}) AS bag FROM parsed GROUP BY id)"
 
 
 def counted(d: Duck, function: str) -> str:

@@ -105,3 +105,14 @@ def test_median_of_runs_on_odd_orders(spark, tmp_path):
         assert rows(got.toPandas()) == rows(want)
         plan = got._jdf.queryExecution().optimizedPlan().toString()
         assert "median(" not in plan and "percentile" not in plan and "Union" not in plan
+
+
+@pytest.mark.parametrize("name", ["lexical_diversity", "mfw_frequencies", "vocab_richness", "char_ngrams"])
+def test_texts_are_dealt_by_their_size(spark, sf, name, monkeypatch):
+    """A task's share of the texts does not grow with the input, and words are grouped as texts, not as lists."""
+    from inkvane.plans import dialect
+
+    monkeypatch.setattr(dialect, "PART_BYTES", 20_000)
+    got = catalog.queries()[name](spark, sf)
+    assert got.rdd.getNumPartitions() > 10
+    assert "regexp_extract_all" not in got._jdf.queryExecution().optimizedPlan().toString()
