@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from ..functions import lexicons as L
 from . import texts
-from .dialect import Duck, r, upper_tail, words_in
+from .dialect import Duck, Spark, r, upper_tail, words_in
 
 #: Markers of the paired comparison, over (x, low, toks, n, n_sents, letters) of one text.
 COMPARED = [
@@ -108,12 +108,34 @@ def wide_long(d: Duck, wanted: list[str]) -> str:
     sides = f"stories AS (SELECT {d.near('id')} id, CAST(NULL AS STRING) AS source, CAST(NULL AS STRING) AS lang, story FROM sides WHERE trim(story) <> '')"
     subs = ",\n".join(f"t_{k} AS ({texts.QUERIES[k](d).replace(texts.stories(d), sides)})" for k in tables)
     values = " UNION ALL ".join(f"SELECT id, {d.unpivot(cols)} FROM t_{k}" for k, cols in tables.items())
+    pair = "CAST(floor(id / 2.0) AS BIGINT)"
+    dealt = f" dealt AS (SELECT {d.near('pair')} * FROM (SELECT *, {pair} AS pair FROM vals) AS v)," if d.spark else ""
+    pair = "pair" if d.spark else pair
     return f"""{pairs(d)}, sides AS (SELECT 2 * id AS id, orig AS story FROM pairs UNION ALL SELECT 2 * id + 1 AS id, rewrite AS story FROM pairs),
-    {subs}, vals AS ({values}),
-    both_sides AS (SELECT CAST(floor(id / 2.0) AS BIGINT) AS id, marker, max(CASE WHEN id % 2 = 0 THEN round(value, 9) END) AS o, max(CASE WHEN id % 2 <> 0 THEN round(value, 9) END) AS w FROM vals GROUP BY CAST(floor(id / 2.0) AS BIGINT), marker),
+    {subs}, vals AS ({values}),{dealt}
+    both_sides AS (SELECT {pair} AS id, marker, max(CASE WHEN id % 2 = 0 THEN round(value, 9) END) AS o, max(CASE WHEN id % 2 <> 0 THEN round(value, 9) END) AS w FROM {'dealt' if d.spark else 'vals'} GROUP BY {pair}, marker),
     long AS (SELECT b.id, condition, model, marker, o, w FROM both_sides b JOIN pairs p ON b.id = p.id WHERE o IS NOT NULL AND w IS NOT NULL)"""
 
 
+def ranks(by: str) -> str:
+    """CTEs nz and rk: the sums of the signed ranks of each (group, marker), and its ties."""
+    return f"""nz AS (SELECT {by}, marker, df, rank() OVER (PARTITION BY {by}, marker ORDER BY abs(df)) AS rk, count(*) OVER (PARTITION BY {by}, marker, abs(df)) AS t FROM diffs WHERE df <> 0),
+    rk AS (SELECT {by}, marker, CAST(count(*) AS DOUBLE) AS m, sum(CASE WHEN df > 0 THEN rk + (t - 1) / 2.0 ELSE 0 END) AS wp, sum(CASE WHEN df < 0 THEN rk + (t - 1) / 2.0 ELSE 0 END) AS wm, sum(CAST(t * t - 1 AS DOUBLE)) AS ties FROM nz GROUP BY {by}, marker)"""
+
+
+def banded_ranks(d: Spark, by: str) -> str:
+    """The same sums from ranks within bands of the difference, so that no task sorts all differences of a marker.
+
+    A band's ranks begin after those of the bands below it; the bands of all markers are few.
+    """
+    mean = "(rk + (t - 1) / CAST(2 AS DOUBLE))"
+    return f"""banded AS (SELECT {d.near(f'{by}, marker, band')} * FROM (SELECT {by}, marker, df, abs(df) AS a, floor(nanvl(16 * ln(abs(df)), CAST('Infinity' AS DOUBLE))) AS band FROM diffs WHERE df <> 0) AS b),
+    nz AS (SELECT {by}, marker, band, df, rank() OVER (PARTITION BY {by}, marker, band ORDER BY a) AS rk, count(*) OVER (PARTITION BY {by}, marker, band, a) AS t FROM banded),
+    bands AS (SELECT {by}, marker, band, count(*) AS m, count_if(df > 0) AS np, count_if(df < 0) AS nm, sum(CASE WHEN df > 0 THEN {mean} ELSE 0 END) AS wp, sum(CASE WHEN df < 0 THEN {mean} ELSE 0 END) AS wm, sum(CAST(t * t - 1 AS DOUBLE)) AS ties FROM nz GROUP BY {by}, marker, band),
+    below AS (SELECT *, CAST(sum(m) OVER (PARTITION BY {by}, marker ORDER BY band) - m AS DOUBLE) AS lower_ranks FROM bands),
+    rk AS (SELECT {by}, marker, CAST(sum(m) AS DOUBLE) AS m, sum(wp + lower_ranks * np) AS wp, sum(wm + lower_ranks * nm) AS wm, sum(ties) AS ties FROM below GROUP BY {by}, marker)"""
+
+
 def comparison(d: Duck, by: str = "condition, model", source: str | None = None) -> str:
     """CTEs up to comparison: the paired row of each (group, marker) with at least 10 pairs, Wilcoxon and Benjamini-Hochberg.
 
@@ -125,8 +147,7 @@ def comparison(d: Duck, by: str = "condition, model", source: str | None = None)
     return f"""{source or long(d)},
     diffs AS (SELECT {by}, marker, id, o, w, round(o - w, 9) AS df FROM long),
     st AS (SELECT {by}, marker, count(*) AS n, avg(o) AS mo, avg(w) AS mw, avg(df) AS md, stddev_samp(df) AS sd FROM diffs GROUP BY {by}, marker HAVING count(*) >= 10),
-    nz AS (SELECT {by}, marker, df, rank() OVER (PARTITION BY {by}, marker ORDER BY abs(df)) AS rk, count(*) OVER (PARTITION BY {by}, marker, abs(df)) AS t FROM diffs WHERE df <> 0),
-    rk AS (SELECT {by}, marker, CAST(count(*) AS DOUBLE) AS m, sum(CASE WHEN df > 0 THEN rk + (t - 1) / 2.0 ELSE 0 END) AS wp, sum(CASE WHEN df < 0 THEN rk + (t - 1) / 2.0 ELSE 0 END) AS wm, sum(CAST(t * t - 1 AS DOUBLE)) AS ties FROM nz GROUP BY {by}, marker),
+    {banded_ranks(d, by) if d.spark else ranks(by)},
     tested AS (SELECT {cols}, st.marker, n, mo, mw, md, sd, coalesce(m, 0) AS m, CAST(coalesce(least(wp, wm), 0) AS DOUBLE) AS stat,
         CASE WHEN m IS NULL THEN CAST(0 AS DOUBLE) ELSE (CAST(least(wp, wm) AS DOUBLE) - m * (m + 1) / 4) / sqrt(m * (m + 1) * (2 * m + 1) / 24 - ties / 48) END AS z FROM st LEFT JOIN rk ON {on}),
     pv AS (SELECT *, {p} AS p, coalesce(md / nullif(sd, 0), 0) AS cohens_d FROM tested),

@@ -116,3 +116,17 @@ def test_texts_are_dealt_by_their_size(spark, sf, name, monkeypatch):
     got = catalog.queries()[name](spark, sf)
     assert got.rdd.getNumPartitions() > 10
     assert "regexp_extract_all" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_ranks_in_bands(spark):
+    """Ties, signs, zeros and differences of every size: the same sums of ranks, and no window over all of a marker's differences."""
+    from inkvane.plans import statistics
+    from inkvane.plans.dialect import Duck, Spark
+
+    long = [("c", "m", f"k{k % 3}", i, float(i * 37 % 101) ** (1 + k % 3), float(i * 53 % 89) / (1 + k * 40)) for k in range(3) for i in range(60)] + [("c", "m", "k0", 99, 1e9, 0.0), ("c", "m", "k0", 100, 0.0, 1e-9)]
+    spark.createDataFrame(long, "condition string, model string, marker string, id long, o double, w double").createOrReplaceTempView("given_long")
+    got = spark.sql(statistics.comparison_rows(Spark(5), "long AS (SELECT * FROM given_long)"))
+    values = ", ".join(f"('{c}', '{m}', '{k}', {i}, CAST({o!r} AS DOUBLE), CAST({w!r} AS DOUBLE))" for c, m, k, i, o, w in long)
+    want = duckdb.sql(statistics.comparison_rows(Duck(), f"long AS (SELECT * FROM (VALUES {values}) AS v(condition, model, marker, id, o, w))")).df()
+    assert rows(got.toPandas()) == rows(want)
+    assert "band" in "".join(x for x in got._jdf.queryExecution().optimizedPlan().toString().splitlines() if "rank(a" in x)
