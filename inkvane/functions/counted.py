@@ -176,6 +176,48 @@ def word_lengths(n, text, size, words):
     return {"n": total, "mu": mu, "m2": np.bincount(whose, e * e, n), "m3": np.bincount(whose, e * e * e, n), "by": pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * 15, pa.int32()), pa.array(by))}
 
 
+def cohesion(texts: pa.Array) -> pa.Array:
+    """Of each row's texts, the number k of sentences of over two words, and the sum and the least cosine of the word sets of adjacent ones.
+
+    ``u2`` is the squared length of the sum of the unit vectors of all the row's
+    sentences. Sentences come between line ends, their words between blanks.
+    """
+
+    def one(part):
+        n, values = len(part), part.flatten()
+        owner = np.repeat(np.arange(n), lengths(part))
+        per, sentences = split(values, "\n")
+        size, words = split(sentences, " ")
+        code, width = _codes(words)
+        at = np.repeat(np.arange(len(sentences)), size)
+        key = np.unique(at * width + code)  # each word of a sentence once
+        at, code = key // width, key % width
+        size = np.bincount(at, minlength=len(sentences))
+        long = size > 2
+        place, key = np.cumsum(long) - 1, key[long[at]]
+        at, code, size = place[key // width], key % width, size[long].astype(float)
+        text = np.repeat(np.arange(len(values)), per)[long]
+        key = at * width + code
+        found = np.searchsorted(key, key + width)
+        common = np.bincount(at, np.append(key, -1)[found] == key + width, len(size))[:-1]
+        near = text[1:] == text[:-1]
+        cosine, whose = (common / np.sqrt(size[1:] * size[:-1]))[near], text[1:][near]
+        least = np.full(len(values), np.inf)
+        np.minimum.at(least, whose, cosine)
+        row = owner[text[at]]
+        word, which = np.unique(row * width + code, return_inverse=True)
+        u = np.bincount(which, 1 / np.sqrt(size[at]), len(word))
+        fields = {"k": np.bincount(text, minlength=len(values)).astype(float), "total": np.bincount(whose, cosine, len(values)), "least": least}
+        of = pa.StructArray.from_arrays([pa.array(v) for v in fields.values()], list(fields))
+        ends = np.append(0, np.cumsum(lengths(part)))
+        return {"u2": np.bincount(word // width, u * u, n), "of": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), of)}
+
+    texts = texts.cast(pa.list_(pa.string()))
+    per = np.repeat(np.arange(len(texts)), lengths(texts))
+    marks = pc.add(pc.count_substring(texts.flatten(), " "), pc.count_substring(texts.flatten(), "\n")).to_numpy(zero_copy_only=False)
+    return sliced(texts, np.bincount(per, marks + 1, len(texts)), one)
+
+
 def mtld_factors(words: list) -> float:
     """Segments of one pass that closed at a type-token ratio of 0.72, the tail in part."""
     factors, types, n = 0.0, set(), 0
@@ -204,6 +246,7 @@ FUNCTIONS = {
     "inkvane_word_counts": (word_counts, "struct<n:double,v:double,v1:double,v2:double,m2:double,top10:double,top50:double,ranked:double,size:double,fw:array<double>>"),
     "inkvane_unit_entropies": (unit_entropies, "struct<w:double,c:double,b:double>"),
     "inkvane_word_lengths": (word_lengths, "struct<n:double,mu:double,m2:double,m3:double,by:array<double>>"),
+    "inkvane_cohesion": (cohesion, "struct<u2:double,of:array<struct<k:double,total:double,least:double>>>"),
     "inkvane_mtld": (mtld_scores, "double"),
 }
 

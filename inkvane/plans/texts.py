@@ -503,8 +503,16 @@ def sentence_cohesion(d):
     """Word overlap (cosine of word sets) of adjacent sentences and of all pairs; zeros below two sentences of over two words.
 
     All pairs by their closed form: the squared length of the sum of the
-    sentences' unit vectors, less their number.
+    sentences' unit vectors, less their number. For Spark both are counted within
+    a row: no row for each word of a sentence is made.
     """
+    if d.spark:
+        words = d.sub(d.sub("low", SENTENCE, "\n"), r"[^\p{L}\n]+", " ")
+        local, apart = "total / (k - 1)", "1 - least"
+        one = lambda e: r(f"CASE WHEN k >= 2 THEN {e} ELSE 0 END")
+        return f"""WITH {parsed(d)}, bags AS (SELECT id, collect_list({words}) AS bag FROM parsed GROUP BY id), made AS (SELECT id, inkvane_cohesion(bag) AS w FROM bags),
+        al AS (SELECT id, w.u2 AS u2, inline(w.of) FROM made)
+        SELECT id, {one(local)} AS coh_local_similarity, {one('(u2 - k) / (k * (k - 1))')} AS coh_global_similarity, {one(f'1 - {local}')} AS sd_mean_consecutive, {one(apart)} AS sd_max_consecutive FROM al"""
     one, two = ("ws[i - 2]", "ws[i - 1]") if d.spark else ("ws[i - 1]", "ws[i]")
     sim = f"CAST({d.size(d.both(one, two))} AS DOUBLE) / sqrt(CAST({d.size(one)} AS DOUBLE) * {d.size(two)})"
     sims = f"CASE WHEN {d.size('ws')} >= 2 THEN {d.map(d.seq(2, f'greatest({d.size("ws")}, 2)'), 'i', sim)} ELSE {d.array(['CAST(1 AS DOUBLE)'])} END"

@@ -130,3 +130,23 @@ def test_ranks_in_bands(spark):
     want = duckdb.sql(statistics.comparison_rows(Duck(), f"long AS (SELECT * FROM (VALUES {values}) AS v(condition, model, marker, id, o, w))")).df()
     assert rows(got.toPandas()) == rows(want)
     assert "band" in "".join(x for x in got._jdf.queryExecution().optimizedPlan().toString().splitlines() if "rank(a" in x)
+
+
+COHESIVE = [(1, "One two three four. Two three four! Nine ten\nTwo three eleven nine? two three FOUR"), (1, "a b c. a b c"), (1, "alone here now"), (2, ""), (3, "...!\n\n..."), (4, "日本 語の 文字. 日本 文字 語の! x y"), (5, "one one one. two two. one two three")]
+
+
+@pytest.mark.parametrize("units", [1, 1_000_000])
+def test_cohesion_within_a_row(spark, monkeypatch, units):
+    """Texts that share an id, repeated words, short sentences; no row for each word of a sentence, and the texts are parsed once."""
+    from inkvane.functions import counted
+    from inkvane.operators.markers import marker_table
+    from inkvane.plans import texts
+    from inkvane.plans.dialect import Duck
+
+    given = ", ".join(f"({k}, 'x', 'x', '{t}')" for k, t in COHESIVE if t)
+    want = duckdb.sql(texts.sentence_cohesion(Duck()).replace(texts.stories(Duck()), f"stories AS (SELECT * FROM (VALUES {given}) AS v(id, source, lang, story))")).df()
+    monkeypatch.setattr(counted, "UNITS", units)
+    got = marker_table(spark.createDataFrame(COHESIVE, "id long, story string").coalesce(1), "sentence_cohesion")
+    assert rows(got.toPandas()) == rows(want)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "flatten" not in plan
