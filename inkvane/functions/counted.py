@@ -218,6 +218,13 @@ def cohesion(texts: pa.Array) -> pa.Array:
     return sliced(texts, np.bincount(per, marks + 1, len(texts)), one)
 
 
+def phrases(texts: pa.Array) -> pa.Array:
+    """How many of each list's phrases occur in each text, inside words too."""
+    values, lists = texts.cast(pa.binary()).to_pylist(), {"retrospective": L.RETROSPECTIVE_PHRASES, "causal": L.CAUSAL_PHRASES}
+    found = {k: [p.encode() for p in v] for k, v in lists.items()}
+    return pa.StructArray.from_arrays([pa.array([None if t is None else float(sum(p in t for p in v)) for t in values], pa.float64()) for v in found.values()], list(found))
+
+
 def mtld_factors(words: list) -> float:
     """Segments of one pass that closed at a type-token ratio of 0.72, the tail in part."""
     factors, types, n = 0.0, set(), 0
@@ -247,6 +254,7 @@ FUNCTIONS = {
     "inkvane_unit_entropies": (unit_entropies, "struct<w:double,c:double,b:double>"),
     "inkvane_word_lengths": (word_lengths, "struct<n:double,mu:double,m2:double,m3:double,by:array<double>>"),
     "inkvane_cohesion": (cohesion, "struct<u2:double,of:array<struct<k:double,total:double,least:double>>>"),
+    "inkvane_phrases": (phrases, "struct<retrospective:double,causal:double>"),
     "inkvane_mtld": (mtld_scores, "double"),
 }
 

@@ -86,6 +86,20 @@ def substrings(d: Duck, x: str, needles: list[str]) -> str:
     return "(" + " + ".join(f"CAST((length({x}) - length(replace({x}, {d.s(n)}, ''))) / {len(n)} AS DOUBLE)" for n in needles) + ")"
 
 
+def ending(d: Duck, suffixes: list[str]) -> str:
+    """The number of words that end in one of the suffixes; for Spark by their last letters, without a pattern for each word."""
+    if d.spark:
+        last = " OR ".join(f"right(t, {k}) IN {words_in([x for x in suffixes if len(x) == k])}" for k in sorted({len(x) for x in suffixes}))
+    else:
+        last = d.matches("t", "(" + "|".join(suffixes) + ")$")
+    return d.size(d.filter("toks", "t", last))
+
+
+def of_phrases(d: Duck, kind: str, needles: list[str]) -> str:
+    """How many of the phrases a text holds; for Spark all are looked for at once."""
+    return f"inkvane_phrases(low).{kind}" if d.spark else present(d, "low", needles, regex=False)
+
+
 def present(d: Duck, x: str, patterns: list[str], regex: bool = True) -> str:
     one = (lambda p: d.matches(x, p)) if regex else (lambda p: f"(position({d.s(p)} IN {x}) > 0)")
     return "(" + " + ".join(f"CAST({one(p)} AS INT)" for p in patterns) + ")"
@@ -444,7 +458,7 @@ stance_orality = marker_table(
         "idx_em_dash_density": subs_over(["—", "--"], S1, x="story"),
         "idx_comma_density": subs_over([","], S1),
         "idx_semicolon_density": subs_over([";"], S1),
-        "idx_nominalization_ratio": per_n(lambda d: f"100.0 * {d.size(d.filter('toks', 't', d.matches('t', '(' + '|'.join(L.NOMINAL_SUFFIXES) + ')$')))}", N1),
+        "idx_nominalization_ratio": per_n(lambda d: f"100.0 * {ending(d, L.NOMINAL_SUFFIXES)}", N1),
         "idx_mean_word_length": per_n(LETTERS),
         "idx_complex_word_ratio": per_n(lambda d: f"100.0 * {d.size(d.filter('toks', 't', 'length(t) > 6'))}", N1),
     }
@@ -470,9 +484,9 @@ stance_affect = marker_table(
 stance_experiential = marker_table(
     {
         "idx_sensory_language_density": words_over(sorted({w for ws in L.SENSORY.values() for w in ws}), S1),
-        "idx_retrospective_framing_density": per_n(lambda d: f"({present(d, 'low', L.RETROSPECTIVE_PHRASES, regex=False)} + {of_words(d, L.RETROSPECTIVE_TOKENS)})", S1),
-        "idx_causal_explanatory_density": per_n(lambda d: f"({of_words(d, L.CAUSAL_EXPLANATORY)} + {present(d, 'low', L.CAUSAL_PHRASES, regex=False)})", S1),
-        "idx_abstraction_density": per_n(lambda d: f"100.0 * {d.size(d.filter('toks', 't', d.matches('t', '(' + '|'.join(L.ABSTRACT_SUFFIXES) + ')$')))}", N1),
+        "idx_retrospective_framing_density": per_n(lambda d: f"({of_phrases(d, 'retrospective', L.RETROSPECTIVE_PHRASES)} + {of_words(d, L.RETROSPECTIVE_TOKENS)})", S1),
+        "idx_causal_explanatory_density": per_n(lambda d: f"({of_words(d, L.CAUSAL_EXPLANATORY)} + {of_phrases(d, 'causal', L.CAUSAL_PHRASES)})", S1),
+        "idx_abstraction_density": per_n(lambda d: f"100.0 * {ending(d, L.ABSTRACT_SUFFIXES)}", N1),
     }
 )
 EMOTION_WORDS = sorted({w for ws in L.EMOTIONS.values() for w in ws})

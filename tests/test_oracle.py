@@ -150,3 +150,19 @@ def test_cohesion_within_a_row(spark, monkeypatch, units):
     assert rows(got.toPandas()) == rows(want)
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and "flatten" not in plan
+
+
+@pytest.mark.parametrize("name", ["stance_experiential", "stance_orality"])
+def test_endings_and_phrases(spark, name):
+    """Overlapping phrases, phrases inside words, words that are a suffix; no pattern is matched with each word."""
+    from inkvane.operators.markers import marker_table
+    from inkvane.plans import texts
+    from inkvane.plans.dialect import Duck
+
+    odd = [(1, "What this meant: only then, what this means. Residue to dom nations, ure"), (2, "Looking  back. looking back! IN HINDSIGHT it took meat"), (3, "日本tion été ness"), (4, "...")]
+    given = ", ".join(f"({k}, 'x', 'x', '{t}')" for k, t in odd)
+    want = duckdb.sql(texts.QUERIES[name](Duck()).replace(texts.stories(Duck()), f"stories AS (SELECT * FROM (VALUES {given}) AS v(id, source, lang, story))")).df()
+    got = marker_table(spark.createDataFrame(odd, "id long, story string"), name)
+    assert rows(got.toPandas()) == rows(want)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "RLIKE" not in plan and plan.count("locate(") + plan.count("position(") == 0
